@@ -230,3 +230,14 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     alone = rows_out.filter("n_shingles = 0 or doc_id is null").withColumn("component_id", F.col("doc_id"))
     out = linked.unionByName(alone)
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+
+
+def drop_near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of docs of which doc_id is its component's smallest, with their columns as they are.
+
+    A doc_id whose rows are in several components stays if it is the smallest of one of them.
+    """
+    found = materialize(near_duplicates(docs, text, doc_id, shingle, percent), "near")
+    fate = found.groupBy("doc_id").agg(F.max("kept").alias("kept"))
+    gone = materialize(fate.filter("not kept").select(F.col("doc_id").alias("__gone")), "gone")
+    return docs.join(sized(gone), docs[doc_id] == F.col("__gone"), "left_anti")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import exact_dedup, minhash
+from millrace.llm import exact_dedup, language, minhash, mixing, packing
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -21,6 +21,36 @@ def read(spark: SparkSession, sf_dir: str, table: str, *columns: str) -> DataFra
     return df.select(*columns) if columns else df
 
 
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
+    """Where the installed public tokenizer files have this one."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+@query
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learned from the labelled rows outside of the held-out fold."""
+    docs = read(spark, sf_dir, "documents", "doc_id", "text", "lang")
+    model = language.fit(docs.filter(~language.held_out()))
+    found = language.identify(docs, model)
+    return found.select("doc_id", language.held_out().alias("held_out"), "lang_pred", "score", F.concat_ws(",", "langs").alias("langs"))
+
+
+@query
+def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents, tokenised, in sequences of 4096 tokens at most."""
+    packed = packing.pack(read(spark, sf_dir, "documents", "doc_id", "text"), tokenizer_path())
+    return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+@query
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that the mix takes of every document."""
+    mixed = mixing.mix(read(spark, sf_dir, "documents", "doc_id", "text", "source"))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
 @query
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of equal texts over all documents."""
