@@ -7,8 +7,10 @@ import os
 import shutil
 import tempfile
 import uuid
+import zipfile
 import zlib
 from collections.abc import Iterator
+from pathlib import Path
 from urllib.parse import urlparse
 
 import numpy as np
@@ -100,6 +102,26 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(uri)
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the workers, once for each SparkContext: they may not have it installed."""
+    context = spark.sparkContext
+    if not getattr(context, "_millrace_shipped", False):
+        package = Path(__file__).resolve().parents[1]
+        target = Path(tempfile.mkdtemp(prefix="millrace-package-")) / "millrace.zip"
+        with zipfile.ZipFile(target, "w") as out:
+            for path in sorted(package.rglob("*.py")):
+                out.write(path, path.relative_to(package.parent))
+        context.addPyFile(str(target))
+        atexit.register(shutil.rmtree, target.parent, True)
+        context._millrace_shipped = True
+
+
+def map_arrow(df: DataFrame, function: object, schema: object) -> DataFrame:
+    """df.mapInArrow with this package at the workers."""
+    ship(df.sparkSession)
+    return df.mapInArrow(function, schema)
+
+
 # -- joins -----------------------------------------------------------------------------------------------------
 
 

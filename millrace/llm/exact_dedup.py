@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import encoded, map_file, materialize, put_file, shared_folder, sized
+from millrace.llm.common import encoded, map_arrow, map_file, materialize, put_file, shared_folder, sized
 
 _BLANK = b" \t\n\x0b\x0c\r"
 #: Bytes of normalised text, and entries, that a page (a bucket) may hold before the directory splits it.
@@ -203,7 +203,7 @@ def index_rows(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", hash
     docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     done, rest, generation = None, docs, 0
     while True:
-        keyed = rest.mapInArrow(_keys("text", "doc_id", hash_key), "doc_id long, key long, n_bytes long")
+        keyed = map_arrow(rest, _keys("text", "doc_id", hash_key), "doc_id long, key long, n_bytes long")
         twice = materialize(
             keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("doc_id").alias("rep"), F.max("n_bytes").alias("n_bytes")).filter("n > 1" if not generation else "n > 0"),
             "keys",
@@ -212,10 +212,10 @@ def index_rows(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", hash
         folder = shared_folder(spark, "pages")
         # A key whose rows all have a null doc_id has no representative here; such rows are chained below.
         reps = rest.join(sized(twice.select("key", F.col("rep").alias("doc_id"))), "doc_id")
-        pages = reps.mapInArrow(_normals(hash_key, directory), "bucket int, key long, normal binary")
+        pages = map_arrow(reps, _normals(hash_key, directory), "bucket int, key long, normal binary")
         written = pages.groupBy("bucket").applyInArrow(_owner(folder), "bucket int, entries long")
         written.agg(F.sum("entries")).collect()
-        rows = rest.mapInArrow(_probe("text", "doc_id", hash_key, folder, directory), "doc_id long, key long, n_points long, text_sha256 string, found int")
+        rows = map_arrow(rest, _probe("text", "doc_id", hash_key, folder, directory), "doc_id long, key long, n_points long, text_sha256 string, found int")
         rows = rows.withColumn("uid", F.monotonically_increasing_id()).withColumn("generation", F.lit(generation))
         null_rep = twice.filter("rep is null").select("key")
         if not null_rep.isEmpty():  # index nothing for them: their rows are told apart by digest instead

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import mix, slices, texts
+from millrace.llm.common import map_arrow, mix, slices, texts
 
 #: Places of the hashed n-gram table; n-gram length in characters; EM rounds; added count for unseen n-grams.
 PLACES, LENGTH, ROUNDS, SMOOTH = 1 << 15, 3, 12, 0.1
@@ -105,7 +105,7 @@ def _count(length: int, places: int) -> Callable:
 def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", length: int = LENGTH, places: int = PLACES) -> Model:
     """Count the n-grams of all rows whose language is not null. The driver gets `places` numbers for a language."""
     rows = labelled.filter(F.col(lang).isNotNull()).select(F.col(text).alias("text"), F.col(lang).cast("string").alias("lang"))
-    found = rows.mapInArrow(_count(length, places), "lang string, place int, n long").groupBy("lang", "place").agg(F.sum("n").alias("n"))
+    found = map_arrow(rows, _count(length, places), "lang string, place int, n long").groupBy("lang", "place").agg(F.sum("n").alias("n"))
     table = found.toArrow()
     langs = sorted(set(table["lang"].to_pylist()), key=lambda x: x.encode())
     counts = np.zeros((places, len(langs)))
@@ -198,7 +198,7 @@ def identify(docs: DataFrame, model: Model, text: str = "text", doc_id: str = "d
     """One row for each row of docs: doc_id, lang_pred, score (its share), langs and shares of the whole set."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # languages x places numbers
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return rows.mapInArrow(_predict(shared, length), "doc_id long, lang_pred string, score double, langs array<string>, shares array<double>")
+    return map_arrow(rows, _predict(shared, length), "doc_id long, lang_pred string, score double, langs array<string>, shares array<double>")
 
 
 def held_out(doc_id: str = "doc_id", folds: int = 4, fold: int = 2) -> F.Column:
@@ -221,4 +221,4 @@ def _mark(shared: object, length: int, least: float, text: str) -> Callable:
 def keep_identified(docs: DataFrame, model: Model, text: str = "text", least: float = 0.5, length: int = LENGTH) -> DataFrame:
     """The rows of docs, columns as they are, in which one language has a share of `least` or more."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    return docs.mapInArrow(_mark(shared, length, least, text), docs.schema)
+    return map_arrow(docs, _mark(shared, length, least, text), docs.schema)

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import map_file, mix, put_file, shared_folder, slices, word_hashes
+from millrace.llm.common import map_arrow, map_file, mix, put_file, shared_folder, slices, word_hashes
 
 BEGIN, END = 0, 1
 #: Bigrams that a task combines at a time, and bytes of text scored at a time.
@@ -164,7 +164,7 @@ def train(docs: DataFrame, text: str = "text") -> Model:
     rows = docs.select(F.col(text).alias("text"))
     bits = max(4, math.ceil(math.log2(2 * max(1, rows.rdd.getNumPartitions()))))  # files grow in number with the input
     folder = shared_folder(docs.sparkSession, "lm")
-    counted = rows.mapInArrow(_count(bits), "bucket int, before binary, word binary, counts binary")
+    counted = map_arrow(rows, _count(bits), "bucket int, before binary, word binary, counts binary")
     shares = counted.groupBy("bucket").applyInArrow(_bigram_file(folder, bits), "bucket int, word binary, sums binary")
     stats = shares.groupBy("bucket").applyInArrow(_word_file(folder), ", ".join(f"{x} long" for x in _STATS))
     s = stats.agg(*[F.coalesce(F.sum(x), F.lit(0)).alias(x) for x in _STATS]).first().asDict()
@@ -239,5 +239,5 @@ def _score(model: Model) -> Callable:
 def score(docs: DataFrame, model: Model, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """One row for each row of docs: doc_id, n_tokens, n_known, base_score, score, perplexity (all log10 sums but the last)."""
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    found = rows.mapInArrow(_score(model), "doc_id long, n_tokens long, n_known long, base_score double, score double")
+    found = map_arrow(rows, _score(model), "doc_id long, n_tokens long, n_known long, base_score double, score double")
     return found.withColumn("perplexity", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")))

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import materialize, mix, sized, slices, word_hashes
+from millrace.llm.common import map_arrow, materialize, mix, sized, slices, word_hashes
 
 BANDS, ROWS = 32, 6
 #: How far below the threshold a signature's estimate may be: five standard errors of 192 minima.
@@ -190,12 +190,12 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     """One row for each row of docs: doc_id, n_shingles, component_id, kept."""
     k, least = bands * rows, percent / 100 - SLACK
     docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    signed = materialize(docs.mapInArrow(_sign(shingle, k), "doc_id long, n_shingles long, d1 long, d2 long, sig binary"), "signed")
+    signed = materialize(map_arrow(docs, _sign(shingle, k), "doc_id long, n_shingles long, d1 long, d2 long, sig binary"), "signed")
     classes = materialize(signed.filter("n_shingles > 0 and doc_id is not null").groupBy("d1", "d2").agg(F.min("doc_id").alias("node")), "classes")
     named = signed.filter("n_shingles > 0 and doc_id is not null").select(F.col("doc_id").alias("node"), "d1", "d2", "sig")
     sigs = materialize(named.join(classes, ["d1", "d2", "node"]).select("node", "sig").dropDuplicates(["node"]), "signatures")
 
-    banded = sigs.mapInArrow(_bands(bands, rows), "bucket long, node long, order long")
+    banded = map_arrow(sigs, _bands(bands, rows), "bucket long, node long, order long")
     hubs = banded.groupBy("bucket").agg(F.min("order").alias("low"), F.count("*").alias("n")).filter("n > 1")
     shared = materialize(banded.join(hubs, "bucket").select("bucket", "node", (F.col("order") == F.col("low")).alias("hub")), "buckets")
     stars = shared.filter("not hub").join(shared.filter("hub").select("bucket", F.col("node").alias("hub_node")), "bucket")

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from millrace.llm.common import encoded, materialize, rank_rows, sized
+from millrace.llm.common import encoded, map_arrow, materialize, rank_rows, sized
 
 #: Documents of one source that a task settles in one go, and chunks whose open documents meet at the next level.
 CHUNK_ROWS, FAN_IN = 20_000, 64
@@ -115,7 +115,7 @@ def _level(seed: int, last: bool) -> Callable:
 def mix(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str = "doc_id", weights: tuple[float, ...] = (1, 2, 3), share: float = 1.0, most: float = 3.0, seed: int = 17) -> DataFrame:
     """One row for each row of docs: doc_id, source, size, source_size, target, copies, taken (= copies * size)."""
     narrow = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(source).cast("string").alias("source"), F.col(text).alias("text"))
-    sizes = materialize(narrow.mapInArrow(_word_counts("text"), "doc_id long, source string, size long"), "sizes")
+    sizes = materialize(map_arrow(narrow, _word_counts("text"), "doc_id long, source string, size long"), "sizes")
     goals = materialize(targets(sizes, weights, share, most), "targets")
     rows = sizes.join(sized(goals), sizes["source"].eqNullSafe(goals["source"])).drop(goals["source"])
     copies = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from millrace.llm.common import encoded, materialize, sized
+from millrace.llm.common import encoded, map_arrow, materialize, sized
 
 #: Tokens of a sequence; groups of large lengths; lengths of capacity / LARGE or more are large.
 CAPACITY, GROUPS, LARGE = 4096, 24, 8
@@ -91,7 +91,7 @@ def tokenize(docs: DataFrame, path: str, text: str = "text", doc_id: str = "doc_
     """Pieces of all documents: doc_id, piece, start, length, ids_crc32, and their ids if asked for."""
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     schema = "doc_id long, piece long, start long, length long, ids_crc32 long" + ", ids array<long>" * with_ids
-    return rows.mapInArrow(_pieces(path, capacity, end_id, with_ids), schema)
+    return map_arrow(rows, _pieces(path, capacity, end_id, with_ids), schema)
 
 
 # -- the plan --------------------------------------------------------------------------------------------------
@@ -278,7 +278,7 @@ def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     ranked = salted.withColumn("row", row).join(sized(offsets), ["length", "slice"])
     ranked = ranked.withColumn("rank", (F.col("before") + F.col("row")).cast("long")).select(*pieces.columns, "rank")
     names = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pieces.schema.fields)
-    return ranked.mapInArrow(_place(spark.sparkContext.broadcast(places)), f"{names}, sequence_id long, offset long")
+    return map_arrow(ranked, _place(spark.sparkContext.broadcast(places)), f"{names}, sequence_id long, offset long")
 
 
 def pack(docs: DataFrame, path: str, text: str = "text", doc_id: str = "doc_id", capacity: int = CAPACITY, end_id: int = 1, with_ids: bool = False) -> DataFrame:

@@ -1,6 +1,6 @@
 """Quality rules as weak supervision.
 
-Rules look at a document's statistics and vote (keep or drop) or abstain. Expectation-maximisation over the counts of
+Rules look at independent properties of a document and vote (keep or drop) or abstain. Expectation-maximisation over the counts of
 vote patterns (at most 3 ** rules rows, whatever the corpus) estimates how each rule votes on good and on bad
 documents, and each pattern gets its posterior probability of good quality; that replaces all-must-pass filtering.
 
@@ -12,13 +12,15 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import reduce
+from operator import and_
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import materialize, mix, slices, word_hashes
+from millrace.llm.common import map_arrow, materialize, mix, slices, word_hashes
 
 STATISTICS = ["n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_letters", "n_upper", "n_bang"]
 
@@ -73,7 +75,7 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def measure(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """doc_id and STATISTICS for each row of docs."""
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    return rows.mapInArrow(_measure, "doc_id long, " + ", ".join(f"{x} long" for x in STATISTICS))
+    return map_arrow(rows, _measure, "doc_id long, " + ", ".join(f"{x} long" for x in STATISTICS))
 
 
 @dataclass(frozen=True)
@@ -86,17 +88,23 @@ class Rule:
 
 
 def default_rules() -> list[Rule]:
-    """Rules over STATISTICS; those that need words abstain without any."""
-    c = F.col
+    """Rules over STATISTICS: each of five defects has one that drops or abstains, and whole prose has one that keeps.
+
+    A defect's absence is no vote: else five rules that know nothing of a defect would outvote the one that does.
+    """
+    c, no = F.col, F.lit(False)
     some = c("n_words") > 0
+    prose = [
+        some, c("word_chars").between(3 * c("n_words"), 9 * c("n_words")), 50 * c("n_symbols") <= c("n_words"), 100 * c("n_repeat_words") <= 25 * c("n_words"),
+        5 * c("n_upper") <= c("n_letters"), 20 * c("n_bang") <= c("n_words"),
+    ]
     return [
-        Rule("length", c("n_words") < 50, c("n_words") >= 100),
-        Rule("word_length", some & ((c("word_chars") < 2 * c("n_words")) | (c("word_chars") > 12 * c("n_words"))), some & c("word_chars").between(3 * c("n_words"), 9 * c("n_words"))),
-        Rule("symbols", some & (10 * c("n_symbols") > c("n_words")), some & (100 * c("n_symbols") <= c("n_words"))),
-        Rule("dup_lines", 10 * c("n_dup_lines") > 3 * c("n_lines"), (c("n_lines") > 2) & (c("n_dup_lines") == 0)),
-        Rule("repeats", some & (100 * c("n_repeat_words") > 25 * c("n_words")), some & (100 * c("n_repeat_words") <= 10 * c("n_words"))),
-        Rule("capitals", 2 * c("n_upper") > c("n_letters"), (c("n_letters") > 0) & (5 * c("n_upper") <= c("n_letters"))),
-        Rule("bangs", some & (10 * c("n_bang") > c("n_words")), some & (50 * c("n_bang") <= c("n_words"))),
+        Rule("length", c("n_words") < 50, no),
+        Rule("word_length", some & ((c("word_chars") < 2 * c("n_words")) | (c("word_chars") > 12 * c("n_words"))), no),
+        Rule("symbols", some & (10 * c("n_symbols") > c("n_words")), no),
+        Rule("repetition", some & ((2 * c("n_dup_lines") > c("n_lines")) | (100 * c("n_repeat_words") > 35 * c("n_words"))), no),
+        Rule("shouting", some & ((2 * c("n_upper") > c("n_letters")) | (10 * c("n_bang") > c("n_words"))), no),
+        Rule("prose", no, reduce(and_, prose)),
     ]
 
 
@@ -125,20 +133,29 @@ def pattern_codes(patterns: list[str]) -> np.ndarray:
     return np.array([["DK-".index(x) for x in p] for p in patterns], np.int64).reshape(len(patterns), -1)
 
 
+#: What is thought of a rule before any data: votes D, K, - on bad and on good documents; and the share of all
+#: documents that this counts as. It says that rules are better than chance, so that the classes keep their meaning.
+PRIOR_RATES, PRIOR_SHARE = ((0.20, 0.05, 0.75), (0.01, 0.29, 0.70)), 0.05
+
+
 def learn(patterns: dict[str, int], rounds: int = 100) -> LabelModel:
-    """Expectation-maximisation over patterns and their counts, begun from "bad if any rule says drop"."""
+    """Expectation-maximisation over patterns and their counts, begun from "bad if any rule says drop".
+
+    Rates are posterior means under PRIOR_RATES, whose weight grows with the corpus.
+    """
     order = sorted(patterns)
     codes, counts = pattern_codes(order), np.array([patterns[x] for x in order], float)
     n_rules = codes.shape[1]
-    model = LabelModel(0.5, np.full((n_rules, 2, 3), 1 / 3))
-    good = np.where((codes == 0).any(axis=1), 0.1, 0.9)
+    before = np.array(PRIOR_RATES)
+    model = LabelModel(0.5, np.repeat(before[None], n_rules, 0))
+    good = np.where((codes == 0).any(axis=1), 0.02, 0.98)
     for _ in range(rounds if len(order) else 0):
         weight = np.stack([counts * (1 - good), counts * good])
         prior = (weight[1].sum() + 1) / (counts.sum() + 2)
-        rates = np.empty((n_rules, 2, 3))
+        rates, prior_share = np.empty((n_rules, 2, 3)), np.array([1 - prior, prior])
         for j in range(n_rules):
             for v in range(3):
-                rates[j, :, v] = weight[:, codes[:, j] == v].sum(axis=1) + 1
+                rates[j, :, v] = weight[:, codes[:, j] == v].sum(axis=1) + before[:, v] * (PRIOR_SHARE * counts.sum() * prior_share + 1)
         rates /= rates.sum(axis=2, keepdims=True)
         model = LabelModel(float(prior), rates)
         new = model.posterior(codes)

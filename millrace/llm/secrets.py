@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import texts
+from millrace.llm.common import map_arrow, texts
 
 # The patterns of the contract.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -133,7 +133,7 @@ def _scan(least: float) -> Callable:
 def find_secrets(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", least: float = LEAST) -> DataFrame:
     """One row for each row of docs: doc_id, spans (array of kind, start, end)."""
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    return rows.mapInArrow(_scan(least), "doc_id long, spans array<struct<kind: string, start: long, end: long>>")
+    return map_arrow(rows, _scan(least), "doc_id long, spans array<struct<kind: string, start: long, end: long>>")
 
 
 def digest_spans(found: DataFrame) -> DataFrame:
