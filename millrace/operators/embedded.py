@@ -52,7 +52,7 @@ def _explicit(c: Column, sep: str) -> Column:
     else:
         parts = F.filter(F.transform(F.split(c, re.escape(sep), -1), ws_trim), lambda t: t != "")
         found = F.filter(parts, lambda t, i: (i % 2 == 0) & (F.length(t) < 30))
-    return F.filter(found, lambda t: (t != "") & ~t.rlike(r"^\d+$"))
+    return F.when(F.contains(c, F.lit(sep)), F.filter(found, lambda t: (t != "") & ~t.rlike(r"^\d+$"))).otherwise(F.slice(found, 1, 0))
 
 
 def explicit_labels(df: DataFrame, column: str) -> dict | None:

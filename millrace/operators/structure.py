@@ -193,7 +193,7 @@ def time_series(f: Facts) -> Evidence:
     else:
         for c in f.texts:
             head = f.df.filter(F.col(c).isNotNull()).select(c).limit(100)
-            row = head.agg(F.avg((classify_date(c)["status"] != "INVALID").cast("double")), F.count_distinct(c) / F.count(c)).first()
+            row = head.agg(F.avg((classify_date(c)["status"] != "INVALID").cast("double")), F.try_divide(F.count_distinct(c).cast("double"), F.count(c))).first()
             if (row[0] or 0) > 0.8 and (row[1] or 0) > 0.6:
                 parts.append((0.25, True, f"{c} reads as dates"))
                 break

@@ -649,7 +649,7 @@ def token_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedded.token_patterns(read(spark, sf_dir, "documents").select(F.regexp_replace("text", r"\s+", " ").alias("text")), "text").filter("kind = 'token'")
 
 
-@query("select r_regionkey, r_name as region_name from region")
+@query("select r_regionkey as r_region_key, r_name as region_name from region")
 def standardize_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = read(spark, sf_dir, "region").toDF("r RegionKey", "Region-Name")
     return reshape.standardize_names(df)

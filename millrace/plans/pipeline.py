@@ -105,7 +105,7 @@ def run(df: DataFrame, provider: Provider | None = None) -> Outcome:
     before, layout = profile.inspect(df)["score"], structure.detect(df)
     shaped, done = reshape_stage(df, layout)
     proposed = gate(provider.propose(shaped), shaped) if provider and provider.configured else []
-    result: Result = repair(shaped, proposed or plan_stage(shaped))
+    result: Result = repair(shaped, proposed or plan_stage(shaped), cache=True)
     after = profile.inspect(result.df)["score"]
     out = Outcome(result.df, result.audits, before, after, layout.layout, round(time.monotonic() - began, 2))
     out.summary = [f"Layout: {layout.layout}", *(f"Reshaped: {x}" for x in done), *(f"{a.operation}: {a.rows_before} -> {a.rows_after} rows" for a in result.audits if a.success), f"Quality {before:.2f} -> {after:.2f}"]

@@ -144,15 +144,18 @@ class Result:
         return any(a.success for a in self.audits) and not self.errors
 
 
-def repair(df: DataFrame, actions: list[Action], keep: Callable[[DataFrame], DataFrame] | None = None, keep_every: int = 5) -> Result:
+def repair(df: DataFrame, actions: list[Action], cache: bool = False, keep: Callable[[DataFrame], DataFrame] | None = None, keep_every: int = 5) -> Result:
     """Carry out actions in order: each result is validated, then committed or left; the others still run.
 
-    keep: cuts the lineage after every few commits (such as writing a table to a shared folder).
+    cache: persist the newest committed result (in memory, then on disk; lost parts are computed again), so that
+    chains of actions are computed once. keep: cuts the lineage after every few commits (such as writing a table to a
+    shared folder).
     """
     out, state, commits = Result(df), rows.null_counts(df), 0
     for action in actions:
         try:
             candidate = dispatch(out.df, action)
+            candidate = candidate.persist() if cache and candidate is not out.df else candidate
             verdict, after = validate(state, candidate, action.operation)
         except RepairError as e:
             out.errors.append(str(e))
@@ -161,10 +164,14 @@ def repair(df: DataFrame, actions: list[Action], keep: Callable[[DataFrame], Dat
         audit = Audit(action.operation, state[0], after[0], len(out.df.columns), len(candidate.columns), verdict.valid, verdict.warnings + verdict.errors, {"columns": action.columns, **action.params}, verdict.confidence)
         out.audits.append(audit)
         if verdict.valid:
+            if cache and out.df is not df and candidate is not out.df:
+                out.df.unpersist()
             out.df, state, commits = candidate, after, commits + 1
             if keep and commits % keep_every == 0:
                 out.df = keep(out.df)
         else:
+            if cache:
+                candidate.unpersist()
             out.errors += verdict.errors
     return out
 
