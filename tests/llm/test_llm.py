@@ -239,7 +239,8 @@ def test_plan_holds_every_length(seed):
 
 def test_quality(spark):
     rng = random.Random(6)
-    clean = [(1000 + i, " ".join(rng.choice(["the", "river", "runs", "slowly", "under", f"bridge{rng.randrange(99)}"]) for _ in range(80))) for i in range(60)]
+    vocabulary = ["".join(rng.choice("aeioustrnl") for _ in range(rng.randrange(3, 8))) for _ in range(400)]
+    clean = [(1000 + i, " ".join(rng.choice(vocabulary) for _ in range(80))) for i in range(60)]
     junk = [(100 + i, "WORD!! " * 60) for i in range(8)] + [(200 + i, " ".join(f"a{k}$$$" for k in range(90))) for i in range(8)]
     rows = clean + junk + ODD + [(300, "x\ny\nx\n\n\nx\n ")]
     got = quality.assess(documents(spark, rows)).collect()
