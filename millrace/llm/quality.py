@@ -130,7 +130,8 @@ class LabelModel:
 
 
 def pattern_codes(patterns: list[str]) -> np.ndarray:
-    return np.array([["DK-".index(x) for x in p] for p in patterns], np.int64).reshape(len(patterns), -1)
+    width = len(patterns[0]) if patterns else 0
+    return np.array([["DK-".index(x) for x in p] for p in patterns], np.int64).reshape(len(patterns), width)
 
 
 #: What is thought of a rule before any data: votes D, K, - on bad and on good documents; and the share of all
