@@ -279,10 +279,10 @@ def drop_high_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.drop_high_missing(dirty_orders(spark, sf_dir).select("o_orderkey", "o_orderpriority", "o_totalprice", "sparse"))
 
 
-@query("select o_orderkey, case when o_orderkey % 4 = 0 then null else o_orderstatus end as a from orders where o_orderkey % 4 != 0 and o_orderkey % 9 != 0")
+@query("select o_orderkey, o_orderstatus as a from orders where o_orderkey % 9 != 0")
 def remove_spacers(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("o_orderkey")
-    df = read(spark, sf_dir, "orders").filter(k % 4 != 0).select(F.when(k % 9 != 0, k).alias("o_orderkey"), F.when(k % 9 != 0, F.col("o_orderstatus")).alias("a"), F.lit(None).cast("string").alias("Spacer"))
+    df = read(spark, sf_dir, "orders").select(F.when(k % 9 != 0, k).alias("o_orderkey"), F.when(k % 9 != 0, F.col("o_orderstatus")).alias("a"), F.lit(None).cast("string").alias("Spacer"))
     return rows.remove_spacers(df)
 
 
@@ -575,14 +575,14 @@ def standardize_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _packed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Up to three items of each order in one cell, in two columns in step."""
+    """All items of each order in one cell, in two columns in step."""
     item = F.struct("l_linenumber", F.col("l_partkey").cast("string").alias("part"), F.col("l_quantity").cast("int").cast("string").alias("qty"))
-    few = read(spark, sf_dir, "lineitem").filter("l_linenumber <= 3").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(item)).alias("i"))
+    few = read(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(item)).alias("i"))
     cell = lambda f: F.array_join(F.transform("i", lambda x: x[f]), " | ")
     return few.select("l_orderkey", F.concat(F.lit("p"), F.array_join(F.transform("i", lambda x: x["part"]), " | p")).alias("parts"), cell("qty").alias("quantities"))
 
 
-@query("select l_orderkey, 'p' || l_partkey as parts, l_quantity::int::double as quantities from lineitem where l_linenumber <= 3")
+@query("select l_orderkey, 'p' || l_partkey as parts, l_quantity::int::double as quantities from lineitem")
 def explode_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reshape.explode_packed(_packed(spark, sf_dir), ["parts", "quantities"], "|")
 
@@ -761,5 +761,5 @@ def title_case(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def unicode_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """NFKC over documents' first line."""
-    return read(spark, sf_dir, "documents").select("doc_id", X.unicode_clean(F.substring_index("text", "\n", 1)).alias("line"))
+    """NFKC and white space of whole documents."""
+    return read(spark, sf_dir, "documents").select("doc_id", X.unicode_clean("text").alias("text"))
