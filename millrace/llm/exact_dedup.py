@@ -231,11 +231,10 @@ def index_rows(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", hash
         chained = rows.filter("found = 0").select("doc_id", "text_sha256").distinct()
         if chained.isEmpty():
             return done
-        rest = materialize(
-            rest.withColumn("__sha", F.sha2(F.translate(F.coalesce("text", F.lit("")), _BLANK.decode(), ""), 256))
-            .join(chained.withColumnRenamed("text_sha256", "__sha"), ["doc_id", "__sha"], "left_semi").drop("__sha"),
-            "chain",
-        )
+        again = rest.withColumn("__sha", F.sha2(F.translate(F.coalesce("text", F.lit("")), _BLANK.decode(), ""), 256))
+        chained = chained.select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__s"))
+        same = again["doc_id"].eqNullSafe(F.col("__id")) & (F.col("__sha") == F.col("__s"))
+        rest = materialize(again.join(chained, same, "left_semi").drop("__sha"), "chain")
         generation += 1
 
 
