@@ -27,7 +27,7 @@ from pyspark.sql.window import Window
 from millrace.llm.common import encoded, map_arrow, materialize, rank_rows, sized
 
 #: Documents of one source that a task settles in one go, and chunks whose open documents meet at the next level.
-CHUNK_ROWS, FAN_IN = 20_000, 64
+CHUNK_ROWS, FAN_IN = 2_000, 64
 _FIELDS = ["doc_id", "source", "size", "base", "p", "key", "chunk"]
 _SCHEMA = "doc_id long, source string, size long, base long, p double, key long, chunk long"
 
