@@ -106,13 +106,19 @@ def _count(bits: int) -> Callable:
     return run
 
 
+def _columns(keys: np.ndarray, *values: np.ndarray) -> list[np.ndarray]:
+    """A file's content: rows, bytes of each value, sorted keys, then each column of values in as few bytes as hold it."""
+    kinds = [next(t for t in (np.uint16, np.uint32, np.int64) if not len(v) or v.max() <= np.iinfo(t).max) for v in values]
+    return [np.array([len(keys), *(np.dtype(t).itemsize for t in kinds)], np.int64), keys, *(v.astype(t) for v, t in zip(values, kinds, strict=True))]
+
+
 def _bigram_file(folder: str, bits: int) -> Callable:
     def run(key: tuple, group: pa.Table) -> pa.Table:
         before, word = _long(group["before"].to_pylist()), _long(group["word"].to_pylist())
         counts = np.frombuffer(b"".join(group["counts"].to_pylist()), np.uint32).astype(np.int64)
         hashes, row, (counts,) = _summed(bigram(before, word), counts)
         before, word = before[row], word[row]
-        put_file(f"{folder}/bigrams-{key[0].as_py():06d}", [np.array([len(hashes)], np.int64), hashes, counts])
+        put_file(f"{folder}/bigrams-{key[0].as_py():06d}", _columns(hashes, counts))
         zero, one = np.zeros(len(counts), np.int64), np.ones(len(counts), np.int64)
         cells = [counts, *((counts == k).astype(np.int64) for k in (1, 2, 3, 4)), (counts > 4).astype(np.int64), zero, zero]
         cells = [np.concatenate([c, w]) for c, w in zip(cells, [zero] * 6 + [counts, one], strict=True)]
@@ -128,7 +134,7 @@ def _word_file(folder: str) -> Callable:
         parts = [np.frombuffer(b, np.int64).reshape(len(_WORD_FIELDS), -1) for b in group["sums"].to_pylist()]
         words, _, sums = _summed(_long(group["word"].to_pylist()), *np.concatenate(parts, axis=1))
         total, n1, n2, n3, n4, n5, count, preceders = sums
-        put_file(f"{folder}/words-{key[0].as_py():06d}", [np.array([len(words)], np.int64), words, count, preceders, total, n1, n2, n3 + n4 + n5])
+        put_file(f"{folder}/words-{key[0].as_py():06d}", _columns(words, count, preceders, total, n1, n2, n3 + n4 + n5))
         stats = {"types": (count > 0).sum(), "tokens": count.sum(), "b1": n1.sum(), "b2": n2.sum(), "b3": n3.sum(), "b4": n4.sum(), "bigrams": preceders.sum()}
         stats |= {f"u{k}": (preceders == k).sum() for k in (1, 2, 3, 4)}
         return pa.table({k: pa.array([int(v)], pa.int64()) for k, v in stats.items()})
@@ -183,8 +189,13 @@ class Reader:
     def columns(self, kind: str, bucket: int, n_columns: int) -> list[np.ndarray]:
         if (kind, bucket) not in self.files:
             raw = map_file(f"{self.model.folder}/{kind}-{bucket:06d}")
-            n = int(raw[:8].view(np.int64)[0]) if len(raw) else 0
-            self.files[kind, bucket] = [raw[8 + 8 * n * k : 8 + 8 * n * (k + 1)].view(np.int64 if k else np.uint64) for k in range(n_columns)]
+            head = 8 * n_columns
+            n, *widths = raw[:head].view(np.int64).tolist() if len(raw) else [0] * n_columns
+            found, at = [raw[head : head + 8 * n].view(np.uint64)], head + 8 * n
+            for w in widths:
+                found.append(raw[at : at + w * n].view({2: np.uint16, 4: np.uint32}.get(w, np.int64)))
+                at += w * n
+            self.files[kind, bucket] = found
         return self.files[kind, bucket]
 
     def find(self, kind: str, keys: np.ndarray, width: int, n_columns: int) -> np.ndarray:
