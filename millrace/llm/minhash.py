@@ -3,20 +3,22 @@
 A document's set is its distinct shingles (word n-grams over A-Z lower-cased words; the whole sequence if it has
 fewer words). Documents are linked when intersection / union reaches the threshold, and components follow links.
 
-1. Each text gives its set's size, a 128-bit digest of the set, and K minima of 2-universal multiply-shift hashes.
-2. Rows with equal sets collapse to one node (the smallest doc_id), so groups of copies cost one node.
+1. Each text gives its set's size, a 64-bit digest of the set, and K minima of 2-universal multiply-shift hashes.
+2. Rows with equal sets collapse to one node (named by the set's digest), so groups of copies cost one node.
 3. Nodes share a bucket when all minima of a band agree. A bucket is never expanded into pairs: each member is
    compared with the bucket's hub only, and hubs differ from band to band, as nodes are ordered by a hash of their own
    for each band. Candidates are checked by their signatures, then confirmed on the full sets.
 4. Alternating large-star and small-star contracts the confirmed links to components.
 5. Buckets that still hold several components are compared completely, in blocks of bounded size, leaving out pairs
-   that are connected already; what the signatures let through is confirmed on the full sets, and 4 runs again.
+   that are connected already or that an earlier band has compared. Pairs never become rows: a block passes on the
+   members that have a candidate, then, with their full sets, a forest of confirmed links; and 4 runs again.
 
-With 32 bands of 6 minima a pair at similarity 0.85 shares no bucket with a probability of 3e-7.
+Bands are cut so that a pair at the threshold shares no bucket with a probability of 1e-6 at most: 32 bands of 6 minima
+for 0.85, 38 of 5 for 0.8.
 
-Defined results: null, empty or blank texts have the empty set (n_shingles 0) and are linked with nothing. Rows with
-equal doc_id count as one node each set they have, labelled by that doc_id; a null doc_id gets a component of its own.
-Repeated rows have equal sets and thus one component. Other columns are not touched.
+Defined results: null, empty or blank texts have the empty set (n_shingles 0) and are linked with nothing. Rows are
+linked by their texts alone, so rows of one doc_id with different texts may be in different components; a row with a
+null doc_id is in a component of its own. Repeated rows have equal sets and thus one component. Other columns are not touched.
 """
 
 from __future__ import annotations
@@ -30,13 +32,21 @@ from pyspark.sql import functions as F
 
 from millrace.llm.common import map_arrow, materialize, mix, sized, slices, word_hashes
 
-BANDS, ROWS = 32, 6
-#: How far below the threshold a signature's estimate may be: five standard errors of 192 minima.
-SLACK = 0.13
+#: Minima of a signature, and how often a pair right at the threshold may share no bucket.
+MINIMA, MISSED = 192, 1e-6
+#: How many standard errors a signature's estimate may be below the threshold.
+ERRORS = 4.5
 #: Members of a bucket that one block of the complete comparison holds.
 BLOCK = 512
 
 
+def banding(percent: int) -> tuple[int, int]:
+    """(bands, rows) of MINIMA: the most rows for which a pair at the threshold is missed no more often than MISSED."""
+    fits = [r for r in range(1, 17) if (1 - (percent / 100) ** r) ** (MINIMA // r) <= MISSED]
+    rows = max(fits, default=1)
+    return MINIMA // rows, rows
+
+
 def universal(k: int, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
     """Multipliers and addends of k 2-universal multiply-shift hashes from 32 to 32 bits."""
     rng = np.random.default_rng(seed)
@@ -81,17 +91,16 @@ def _sign(size: int, k: int) -> Callable:
         for batch in batches:
             for i, j, data, offsets in slices(batch["text"]):
                 sets = shingle_sets(data, offsets, size)
-                digests = np.array([[np.bitwise_xor.reduce(mix(s)), np.add.reduce(mix(s ^ np.uint64(0xA5A5A5A5A5A5A5A5)))] if len(s) else [0, 0] for s in sets], np.uint64).view(np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [batch["doc_id"][i:j].cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests[:, 0]), pa.array(digests[:, 1]), pa.array([signature(s, mult, add).tobytes() if len(s) else None for s in sets], pa.binary())],
-                    ["doc_id", "n_shingles", "d1", "d2", "sig"],
+                    [batch["doc_id"][i:j].cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([digest(s) if len(s) else 0 for s in sets], pa.int64()), pa.array([signature(s, mult, add).tobytes() if len(s) else None for s in sets], pa.binary())],
+                    ["doc_id", "n_shingles", "d1", "sig"],
                 )
 
     return run
 
 
 def _bands(bands: int, rows: int) -> Callable:
-    """(bucket, node, order) for each band of each node's signature; order is the node's place in hub elections."""
+    """(bucket, band, node, order) for each band of each node's signature; order is the node's place in hub elections."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         salt = mix(np.arange(1, bands + 1, dtype=np.uint64))
@@ -105,7 +114,8 @@ def _bands(bands: int, rows: int) -> Callable:
                 bucket = mix(bucket * np.uint64(0x9E3779B97F4A7C15) + sig[:, :, r])
             order = mix(node.view(np.uint64)[:, None] ^ salt[None, :])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(bucket.ravel().view(np.int64)), pa.array(np.repeat(node, bands)), pa.array(order.ravel().view(np.int64))], ["bucket", "node", "order"]
+                [pa.array(bucket.ravel().view(np.int64)), pa.array(np.tile(np.arange(bands, dtype=np.int32), len(node))), pa.array(np.repeat(node, bands)), pa.array(order.ravel().view(np.int64))],
+                ["bucket", "band", "node", "order"],
             )
 
     return run
@@ -123,39 +133,89 @@ def _alike(k: int, least: float) -> Callable:
     return run
 
 
+def digest(shingles: np.ndarray) -> int:
+    """The name of a set: 64 bits of it, signed."""
+    return int(np.bitwise_xor.reduce(mix(shingles)).view(np.int64))
+
+
 def _sets(size: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, j, data, offsets in slices(batch["text"]):
-                sets = [s.view(np.int64) for s in shingle_sets(data, offsets, size)]
-                yield pa.RecordBatch.from_arrays([batch["node"][i:j], pa.array(sets, pa.list_(pa.int64()))], ["node", "shingles"])
+                sets = [s for s in shingle_sets(data, offsets, size) if len(s)]
+                yield pa.RecordBatch.from_arrays([pa.array([digest(s) for s in sets], pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], ["node", "shingles"])
+
+    return run
+
+
+def _candidates(group: pa.Table, bands: int, rows: int, least: float, low: int, high: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(row, other rows) of two blocks of one bucket (or within one) that are worth an exact comparison.
+
+    They lie in different components, their signatures agree enough, and no earlier band has them in one bucket, so
+    that each pair is looked at once over all buckets.
+    """
+    node, comp, side = (np.array(group[c]) for c in ("node", "component", "block"))
+    band = group["band"][0].as_py()
+    sig = np.frombuffer(b"".join(group["sig"].to_pylist()), np.uint32).reshape(-1, bands, rows)
+    left, right = np.flatnonzero(side == low), np.flatnonzero(side == high)
+    for i in left:
+        other = right[(comp[right] != comp[i]) & ((node[right] > node[i]) | (low != high))]
+        if len(other):
+            same = sig[other] == sig[i]
+            other = other[(same.mean(axis=(1, 2)) >= least) & ~same[:, :band].all(axis=2).any(axis=1)]
+        if len(other):
+            yield int(i), other
+
+
+def _active(bands: int, rows: int, least: float) -> Callable:
+    """The rows of two blocks that have a candidate: at most all of them, however many pairs they make."""
+
+    def run(key: tuple, group: pa.Table) -> pa.Table:
+        found = np.zeros(group.num_rows, bool)
+        for i, other in _candidates(group, bands, rows, least, key[1].as_py(), key[2].as_py()):
+            found[i] = True
+            found[other] = True
+        return group.select(["bucket", "low", "high", "band", "node", "component", "block"]).filter(pa.array(found))
 
     return run
 
 
-def _blocks(k: int, least: float) -> Callable:
-    """All pairs of different components of two blocks of one bucket (or within one) whose signatures agree enough."""
+def _forest(bands: int, rows: int, least: float, percent: int) -> Callable:
+    """Links of two blocks, confirmed on full sets, that join components: fewer than there are rows."""
 
     def run(key: tuple, group: pa.Table) -> pa.Table:
-        node, comp, side = (np.array(group[c]) for c in ("node", "component", "block"))
-        sig = np.frombuffer(b"".join(group["sig"].to_pylist()), np.uint32).reshape(-1, k)
-        low, high = key[1].as_py(), key[2].as_py()
-        left, right = np.flatnonzero(side == low), np.flatnonzero(side == high)
-        a, b = [], []
-        for i in left:
-            other = right[(comp[right] != comp[i]) & ((node[right] > node[i]) | (low != high))]
-            hit = other[(sig[other] == sig[i]).mean(axis=1) >= least] if len(other) else other
-            a += [node[i]] * len(hit)
-            b += node[hit].tolist()
+        node, sets = group["node"].to_pylist(), [np.array(x, np.int64) for x in group["shingles"].to_pylist()]
+        root: dict[int, int] = {}
+
+        def find(x: int) -> int:
+            while root.get(x, x) != x:
+                root[x] = root.get(root[x], root[x])
+                x = root[x]
+            return x
+
+        comp, a, b = group["component"].to_pylist(), [], []
+        for i, others in _candidates(group, bands, rows, least, key[1].as_py(), key[2].as_py()):
+            for j in others.tolist():
+                if (x := find(comp[i])) != (y := find(comp[j])):
+                    common = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+                    if 100 * common >= percent * (len(sets[i]) + len(sets[j]) - common):
+                        root[max(x, y)] = min(x, y)
+                        a.append(node[i])
+                        b.append(node[j])
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return run
 
 
-def confirm(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets reach the threshold. docs: (node, text), of which only the pairs' are read."""
-    nodes = materialize(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "nodes")
-    sets = materialize(docs.join(sized(nodes), "node").mapInArrow(_sets(size), "node long, shingles array<long>").dropDuplicates(["node"]), "sets")
+def full_sets(nodes: DataFrame, docs: DataFrame, reps: DataFrame, size: int) -> DataFrame:
+    """(node, shingles) of some nodes, read from the texts of their representatives (node, doc_id) alone."""
+    asked = materialize(nodes.select("node").distinct().join(reps, "node").select("doc_id").distinct(), "asked")
+    return materialize(map_arrow(docs.join(sized(asked), "doc_id").select("text"), _sets(size), "node long, shingles array<long>").dropDuplicates(["node"]), "sets")
+
+
+def confirm(pairs: DataFrame, docs: DataFrame, reps: DataFrame, size: int, percent: int) -> DataFrame:
+    """The pairs (a, b) of nodes whose full sets reach the threshold."""
+    sets = full_sets(pairs.select(F.explode(F.array("a", "b")).alias("node")), docs, reps, size)
     one = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a")
     both = one.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
     common = F.size(F.array_intersect("x", "y"))
@@ -169,6 +229,8 @@ def components(links: DataFrame) -> DataFrame:
     in one task; every round is a table in the shared folder.
     """
     pairs = materialize(links.filter("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "star")
+    total = lambda x: x.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+    before = total(pairs)
     while True:
         # Large star: every larger neighbour, and the node itself, points to the smallest of the neighbourhood.
         both = pairs.union(pairs.select("v", "u"))
@@ -180,54 +242,57 @@ def components(links: DataFrame) -> DataFrame:
         lows = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(lows, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v")
         small = materialize(small.union(lows.select("u", F.col("m").alias("v"))).distinct(), "small")
-        before, pairs = pairs, small
-        sums = [x.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first() for x in (before, pairs)]
-        if sums[0] == sums[1]:
+        pairs, now = small, total(small)
+        if now == before:
             return pairs.select(F.col("u").alias("node"), F.col("v").alias("component")).union(pairs.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+        before = now
 
 
-def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = 5, percent: int = 80) -> DataFrame:
     """One row for each row of docs: doc_id, n_shingles, component_id, kept."""
-    k, least = bands * rows, percent / 100 - SLACK
+    bands, rows = banding(percent)
+    k, share = bands * rows, percent / 100
+    least = share - ERRORS * (share * (1 - share) / k) ** 0.5
     docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    signed = materialize(map_arrow(docs, _sign(shingle, k), "doc_id long, n_shingles long, d1 long, d2 long, sig binary"), "signed")
-    classes = materialize(signed.filter("n_shingles > 0 and doc_id is not null").groupBy("d1", "d2").agg(F.min("doc_id").alias("node")), "classes")
-    named = signed.filter("n_shingles > 0 and doc_id is not null").select(F.col("doc_id").alias("node"), "d1", "d2", "sig")
-    sigs = materialize(named.join(classes, ["d1", "d2", "node"]).select("node", "sig").dropDuplicates(["node"]), "signatures")
+    signed = materialize(map_arrow(docs, _sign(shingle, k), "doc_id long, n_shingles long, d1 long, sig binary"), "signed")
+    named = signed.filter("n_shingles > 0 and doc_id is not null").withColumnRenamed("d1", "node")
+    reps = materialize(named.groupBy("node").agg(F.min("doc_id").alias("doc_id")), "nodes")
+    sigs = materialize(named.join(reps, ["node", "doc_id"]).select("node", "sig").dropDuplicates(["node"]), "signatures")
 
-    banded = map_arrow(sigs, _bands(bands, rows), "bucket long, node long, order long")
+    banded = map_arrow(sigs, _bands(bands, rows), "bucket long, band int, node long, order long")
     hubs = banded.groupBy("bucket").agg(F.min("order").alias("low"), F.count("*").alias("n")).filter("n > 1")
-    shared = materialize(banded.join(hubs, "bucket").select("bucket", "node", (F.col("order") == F.col("low")).alias("hub")), "buckets")
+    shared = materialize(banded.join(hubs, "bucket").select("bucket", "band", "node", (F.col("order") == F.col("low")).alias("hub")), "buckets")
     stars = shared.filter("not hub").join(shared.filter("hub").select("bucket", F.col("node").alias("hub_node")), "bucket")
     pairs = stars.select(F.greatest("node", "hub_node").alias("a"), F.least("node", "hub_node").alias("b")).filter("a != b").distinct()
     x, y = (sigs.select(F.col("node").alias(c), F.col("sig").alias(f"sig_{c}")) for c in "ab")
     alike = materialize(pairs.join(x, "a").join(y, "b").select("a", "b", "sig_a", "sig_b").mapInArrow(_alike(k, least), "a long, b long"), "alike")
-    texts = docs.withColumnRenamed("doc_id", "node")
-    links = confirm(alike, texts, shingle, percent)
+    links = confirm(alike, docs, reps, shingle, percent)
     found = materialize(components(links), "components")
 
     # Buckets whose members are not all connected yet: compare their components completely, in blocks.
     placed = shared.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     mixed = placed.groupBy("bucket").agg(F.min("component").alias("c1"), F.max("component").alias("c2"), F.count("*").alias("n")).filter("c1 != c2")
-    rest = materialize(placed.join(mixed.select("bucket", "n"), "bucket").select("bucket", "node", "component", "n"), "mixed")
+    rest = materialize(placed.join(mixed.select("bucket", "n"), "bucket").select("bucket", "band", "node", "component", "n"), "mixed")
     if not rest.isEmpty():
         n_blocks = F.ceil(F.col("n") / BLOCK).cast("int")
         block = F.pmod(F.xxhash64("node"), n_blocks).cast("int")
-        lone = F.when(F.col("n") <= BLOCK, F.lit(0)).otherwise(block)
-        cut = rest.select("bucket", "node", "component", lone.alias("block"), n_blocks.alias("blocks"))
-        other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-        cut = cut.select("bucket", "node", "component", "block", other).select("bucket", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "node", "component", "block")
-        more = cut.join(sigs, "node").groupBy("bucket", "low", "high").applyInArrow(_blocks(k, least), "a long, b long")
-        more = more.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-        more = materialize(more.join(alike, ["a", "b"], "left_anti"), "more")
-        added = confirm(more, texts, shingle, percent) if not more.isEmpty() else more
-        if not added.isEmpty():
-            found = materialize(components(links.union(added)), "components")
-
-    joined = classes.join(found, "node", "left").select("d1", "d2", F.coalesce("component", "node").alias("component_id"))
-    rows_out = signed.select("doc_id", "n_shingles", "d1", "d2")
-    linked = rows_out.filter("n_shingles > 0 and doc_id is not null").join(sized(materialize(joined, "named"), 1_000_000), ["d1", "d2"])
-    alone = rows_out.filter("n_shingles = 0 or doc_id is null").withColumn("component_id", F.col("doc_id"))
+        cut = rest.select("bucket", "band", "node", "component", block.alias("block"), F.explode(F.sequence(F.lit(0), n_blocks - 1)).alias("other"))
+        cut = cut.select("bucket", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "band", "node", "component", "block")
+        fields = "bucket long, low int, high int, band int, node long, component long, block int"
+        active = materialize(cut.join(sigs, "node").groupBy("bucket", "low", "high").applyInArrow(_active(bands, rows, least), fields), "active")
+        if not active.isEmpty():
+            sets = full_sets(active, docs, reps, shingle)
+            pairs = active.join(sigs, "node").join(sets, "node").groupBy("bucket", "low", "high")
+            added = materialize(pairs.applyInArrow(_forest(bands, rows, least, percent), "a long, b long"), "added")
+            if not added.isEmpty():
+                stars = found.select(F.col("node").alias("a"), F.col("component").alias("b"))
+                found = materialize(components(stars.union(added)), "components")
+
+    placed = materialize(reps.join(found, "node", "left").withColumn("component", F.coalesce("component", "node")), "placed")
+    labels = placed.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    label = materialize(placed.join(labels, "component").select("node", "component_id"), "labels")
+    linked = named.select("doc_id", "n_shingles", "node").join(sized(label), "node").select("doc_id", "n_shingles", "component_id")
+    alone = signed.filter("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     out = linked.unionByName(alone)
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
