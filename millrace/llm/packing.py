@@ -19,6 +19,8 @@ Ties in rank go by doc_id (null first) and piece. An empty table gives an empty
 
 from __future__ import annotations
 
+import re
+import struct
 import zlib
 from collections import defaultdict
 from collections.abc import Callable, Iterator
@@ -33,51 +35,84 @@ from millrace.llm.common import encoded, map_arrow, materialize, sized
 
 #: Tokens of a sequence; groups of large lengths; lengths of capacity / LARGE or more are large.
 CAPACITY, GROUPS, LARGE = 4096, 24, 8
-#: Words whose ids a worker remembers, and pieces of one length that one window slice ranks.
-CACHE_WORDS, SLICE_ROWS = 400_000, 2_000
+#: Up to so many different large lengths, each is a group of its own.
+EXACT = 64
+#: Parts of texts whose ids a worker remembers, and pieces of one length that one window slice ranks.
+CACHE_PARTS, SLICE_ROWS = 200_000, 2_000
 
 
 # -- tokens ----------------------------------------------------------------------------------------------------
 
 
-class WordEncoder:
-    """Ids of texts by a tokenizer that drops white space, word by word, remembering words.
+def _byte_letters() -> dict[int, str]:
+    """The byte-level alphabet: printable bytes stand for themselves, the others for code points from 256 on."""
+    same = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    return {b: chr(b) if b in same else chr(256 + k) for k, b in [(sum(x not in same for x in range(b)), b) for b in range(256)]}
 
-    Only for tokenizers whose pre-tokenizer never crosses white space, so that a text's ids are its words' ids.
+
+#: Texts of these characters alone need no normalisation but lower case; other control characters are left out.
+_PLAIN = re.compile(r"[\t-\r -~¡-ÿ]*")
+#: The tokenizer's own pattern, for plain texts: contractions, letters, single digits, anything else but white space.
+_PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ÿ]+|[0-9²³¹¼-¾]|[^\t-\r a-z0-9ªµºß-öø-ÿ²³¹¼-¾]+")
+
+
+class PartEncoder:
+    """Ids of texts by the installed tokenizer, part by part, remembering parts.
+
+    Only for byte-level tokenizers that lower-case and drop white space, so that a text's ids are its parts' ids. Plain
+    texts are cut into parts by the tokenizer's pattern here, and its model encodes each new part. In other texts this
+    goes for plain words; all else (special tokens, letters beyond Latin-1, control characters) takes the whole
+    tokenizer, word by word.
     """
 
-    def __init__(self, path: str, words: int = CACHE_WORDS) -> None:
+    def __init__(self, path: str, most: int = CACHE_PARTS) -> None:
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.words, self.known = Tokenizer.from_file(path), words, {}
+        self.tokenizer, self.most = Tokenizer.from_file(path), most
+        self.parts: dict[str, bytes] = {}
+        self.letters = _byte_letters()
+
+    def ids_of_plain(self, text: str) -> bytes:
+        found, known = _PARTS.findall(text.lower()), self.parts
+        for part in set(found).difference(known):
+            spelled = part if part.isascii() else part.encode().decode("latin-1").translate(self.letters)
+            known[part] = _packed([t.id for t in self.tokenizer.model.tokenize(spelled)])
+        return b"".join(map(known.__getitem__, found))
+
+    def encode(self, text: bytes) -> bytes:
+        """Little-endian uint32 ids of a UTF-8 text."""
+        if len(self.parts) > self.most:
+            self.parts.clear()
+        whole = text.decode()
+        if "<|" not in whole and _PLAIN.fullmatch(whole):
+            return self.ids_of_plain(whole)
+        out = []
+        for word in text.split():
+            w = word.decode()
+            plain = "<|" not in w and _PLAIN.fullmatch(w)
+            out.append(self.ids_of_plain(w) if plain else _packed(self.tokenizer.encode(w, add_special_tokens=False).ids))
+        return b"".join(out)
+
 
-    def encode(self, words_of: list[list[bytes]]) -> list[bytes]:
-        """Little-endian uint32 ids of texts that are given as lists of words."""
-        known = self.known
-        if len(known) > self.words:
-            known.clear()
-        new = list({w for words in words_of for w in words if w not in known})
-        for i in range(0, len(new), 4096):
-            some = new[i : i + 4096]
-            for word, e in zip(some, self.tokenizer.encode_batch_fast([w.decode() for w in some], add_special_tokens=False), strict=True):
-                known[word] = np.array(e.ids, "<u4").tobytes()
-        return [b"".join(map(known.__getitem__, words)) for words in words_of]
+def _packed(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
 
 
-_ENCODERS: dict[str, WordEncoder] = {}
+_ENCODERS: dict[str, PartEncoder] = {}
 
 
 def _pieces(path: str, capacity: int, end_id: int, with_ids: bool) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _ENCODERS.setdefault(path, None) or WordEncoder(path)  # workers are used again: so are words
-        _ENCODERS[path] = encoder
+        if path not in _ENCODERS:  # workers are used again: so are parts
+            _ENCODERS[path] = PartEncoder(path)
+        encoder = _ENCODERS[path]
         end, width = np.array([end_id], "<u4").tobytes(), 4 * capacity
         for batch in batches:
             raw, ids = encoded(batch["text"]), batch["doc_id"].to_pylist()
             for i in range(0, len(raw), 200):
                 rows: list[tuple] = []
-                for doc, tokens in zip(ids[i : i + 200], encoder.encode([t.split() for t in raw[i : i + 200]]), strict=True):
-                    tokens += end
+                for doc, text in zip(ids[i : i + 200], raw[i : i + 200], strict=True):
+                    tokens = encoder.encode(text) + end
                     for k in range(0, len(tokens), width):
                         piece = tokens[k : k + width]
                         rows.append((doc, k // width, k // 4, len(piece) // 4, zlib.crc32(piece), np.frombuffer(piece, "<u4").tolist() if with_ids else None))
@@ -98,23 +133,24 @@ def tokenize(docs: DataFrame, path: str, text: str = "text", doc_id: str = "doc_
 
 
 def knapsack(sizes: np.ndarray, values: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
-    """The most valuable multiset of sizes that fits, as counts."""
-    best, last = np.zeros(capacity + 1), np.full(capacity + 1, -1)
-    order = [k for k in np.argsort(sizes).tolist() if values[k] > 1e-12]
-    for room in range(int(sizes.min()), capacity + 1):
-        best[room], last[room] = best[room - 1], -2
-        for k in order:
-            if sizes[k] > room:
+    """The most valuable multiset of sizes that fits, as counts. A size's copies are added in whole-array passes."""
+    best = np.zeros(capacity + 1)  # by room; never falls as room grows, as 0 is the start everywhere
+    for k in np.flatnonzero(values > 1e-12).tolist():
+        size = int(sizes[k])
+        for _ in range(capacity // size):
+            more = best[:-size] + values[k]
+            gain = more > best[size:] + 1e-12
+            if not gain.any():
                 break
-            if (v := best[room - sizes[k]] + values[k]) > best[room] + 1e-12:
-                best[room], last[room] = v, k
+            best[size:][gain] = more[gain]
     counts, room = np.zeros(len(sizes), np.int64), capacity
-    while room > 0 and last[room] != -1:
-        if last[room] == -2:
+    while room > 0 and best[room] > 1e-12:
+        k = next((k for k in range(len(sizes)) if sizes[k] <= room and values[k] > 1e-12 and best[room - sizes[k]] + values[k] >= best[room] - 1e-9), None)
+        if k is None:
             room -= 1
-        else:
-            counts[last[room]] += 1
-            room -= sizes[last[room]]
+            continue
+        counts[k] += 1
+        room -= int(sizes[k])
     return float(best[capacity]), counts
 
 
@@ -182,7 +218,9 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY, groups: int = GROU
     if total:
         # Groups of equal cardinality over the sorted lengths: each is a list of runs (length, number).
         each, runs, members = -(-total // groups), [], []
-        for length in big:
+        if len(big) <= EXACT:  # few lengths need no rounding: each is a group
+            runs = [[[length, histogram[length]]] for length in big]
+        for length in big if not runs else []:
             n = histogram[length]
             while n:
                 take = min(n, each - sum(m for _, m in members))
