@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from millrace.llm import chat, common, exact_dedup, language, lm, minhash, mixing, packing, quality, queries, secrets, sharding
 
 WS = b" \t\n\x0b\x0c\r"
-ODD = [(0, "a b\tc"), (1, None), (2, ""), (3, "  \n "), (4, "abc"), (4, "abc"), (None, "a  bc"), (5, "ÀÉ x " * 3), (6, "w" * 200 + " y"), (7, "long word " * 20_000)]
+ODD = [(0, "a b\tc"), (1, None), (2, ""), (3, "  \n "), (4, "abc"), (4, "abc"), (None, "a  bc"), (5, "ÀÉ x " * 3), (None, "0 1 2"), (6, "w" * 200 + " y"), (7, "long word " * 20_000)]
 
 
 def documents(spark, rows, extra=True):
@@ -108,6 +108,13 @@ def test_near_duplicates(spark, monkeypatch):
             assert (r["n_shingles"], r["component_id"]) == (len(sets[r["doc_id"]]), find(r["doc_id"]))
 
 
+def test_rows_of_one_id_with_different_texts(spark):
+    rows = [(5, "a b c d"), (5, "x y z u"), (7, "x y z u"), (9, "a b c d"), (6, "x y z u")]
+    got = minhash.near_duplicates(documents(spark, rows), shingle=3, percent=85).collect()
+    assert sorted((r["doc_id"], r["component_id"]) for r in got) == [(5, 5), (5, 5), (6, 5), (7, 5), (9, 5)]
+    assert minhash.near_duplicates(documents(spark, rows).limit(0), shingle=3, percent=85).count() == 0
+
+
 def test_star_contraction(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (102, 101), (7, 7)], "a long, b long")
     found = {r["node"]: r["component"] for r in minhash.components(links).collect()}
