@@ -183,7 +183,9 @@ def importances(model: PipelineModel, scored: DataFrame, most: int = 30) -> list
     values = last.featureImportances.toArray() if hasattr(last, "featureImportances") else last.coefficients.toArray() if hasattr(last, "coefficients") and getattr(last, "numClasses", 2) == 2 else abs(last.coefficientMatrix.toArray()).mean(axis=0) if hasattr(last, "coefficientMatrix") else []
     meta = scored.schema["features"].metadata.get("ml_attr", {}).get("attrs", {})
     names = {a["idx"]: a.get("name", f"f{a['idx']}") for group in meta.values() for a in group}
-    clean = lambda n: n.removeprefix("__scaled_").removeprefix("__").removeprefix("f_").removeprefix("o_").removeprefix("n_")
+    numbers = [c for st in model.stages if isinstance(st, VectorAssembler) and st.getOutputCol() == "__numbers" for c in st.getInputCols()]
+    names |= {i: numbers[int(n.removeprefix("__scaled_"))] for i, n in names.items() if n.startswith("__scaled_")}  # the scaler drops names
+    clean = lambda n: n.removeprefix("__").removeprefix("f_").removeprefix("o_").removeprefix("n_")
     out = [(clean(names.get(i, f"feature_{i}")), abs(float(v))) for i, v in enumerate(values)]
     return sorted(out, key=lambda x: -x[1])[:most]
 
