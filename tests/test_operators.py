@@ -266,7 +266,7 @@ def test_models(spark):
 def test_split_does_not_depend_on_partitions(spark):
     df = spark.range(500).withColumn("c", F.col("id") % 3)
     a, b = (ml.split(df.repartition(n), "id", "c").filter("is_test") for n in (1, 8))
-    assert set(values(a, "id")) == set(values(b, "id")) and a.count() == 101
+    assert set(values(a, "id")) == set(values(b, "id")) and a.count() == 102  # a fifth of 167, 167 and 166, rounded up
 
 
 def test_streams(spark, tmp_path):
