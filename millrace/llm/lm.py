@@ -1,17 +1,20 @@
-"""Interpolated modified Kneser-Ney language model (bigrams), counted in Spark, memory-mapped by workers.
+"""Interpolated modified Kneser-Ney language model of any order from 2, counted in Spark, memory-mapped by workers.
 
-Tokens are the words of a text, A-Z lower-cased, and one end. Training is one chain of two shuffles:
+Tokens are the words of a text, A-Z lower-cased, and one end. Training is one chain of as many shuffles as the order:
 
-1. each task sorts and combines its bigrams and deals them by hash to buckets; a bucket's owner sums them, writes the
-   bigram file (sorted hash array and counts) and passes on each word's share: as a context (total, how many bigrams
-   have count 1, 2, 3, 4, more) and as a word (count, how many different words precede it);
-2. these are summed by word, in files of the same kind. A frequent word is one row from each bucket, never a group.
+1. each task sorts and combines its n-grams and deals them by hash to buckets; a bucket's owner sums them, writes the
+   file of the highest level (sorted hash array and counts) and passes on to the next level what each n-gram adds to its
+   suffix (one more word that precedes it) and to its context (total, how many n-grams have count 1, 2, 3 or more);
+2. each lower level sums these by its own n-grams, writes a file of the same kind and passes its own shares on, down to
+   words. A frequent n-gram is one row from each bucket, never a group.
 
-The discounts come from counts of counts. Workers map the files and look up sorted queries, so that a lookup walks
-each array once a batch. Files are written in one step under fixed names: a retried task replaces them by the same.
+The highest level has counts, lower ones have how many different words precede an n-gram; n-grams that begin a text have
+no such word and keep their counts. A text is begun once, so its first tokens have shorter contexts. Each level's
+discounts come from its counts of counts. Workers map the files and look up sorted queries, so that a lookup walks each
+array once a batch. Files are written in one step under fixed names: a retried task replaces them by the same.
 
-Words are known by 48 bits of a 64-bit hash, bigrams by 64 bits. Defined results: a null text is empty and has the end
-only. With nothing to learn from, every token has probability 1. Repeated rows count, and are scored, each for itself.
+Words are known by 48 bits of a 64-bit hash, longer n-grams by 64 bits. Defined results: a null text is empty and has the
+end only. With nothing to learn from, every token has probability 1. Repeated rows count, and are scored, each for itself.
 An empty table gives an empty result; other columns are not touched.
 """
 
@@ -29,10 +32,14 @@ from pyspark.sql import functions as F
 from millrace.llm.common import map_arrow, map_file, mix, put_file, shared_folder, slices, word_hashes
 
 BEGIN, END = 0, 1
-#: Bigrams that a task combines at a time, and bytes of text scored at a time.
+#: Bigrams (or as many words in longer n-grams) that a task combines at a time, and bytes of text scored at a time.
 FLUSH, SCORE_BYTES = 3_000_000, 8 << 20
 _ODD = np.uint64(0x9E3779B97F4A7C15)
-_WORD_FIELDS = ["total", "n1", "n2", "n3", "n4", "n5", "count", "preceders"]
+_PARTS = ["grams", "counts", "contexts", "sums", "stats"]
+_ROW = "bucket int, " + ", ".join(f"{x} binary" for x in _PARTS)
+_TYPES = {1: np.uint8, 2: np.uint16, 4: np.uint32, 8: np.int64}
+#: Sums of a level: n-grams of counts 1 to 4, distinct n-grams, all counts.
+_STATS = 6
 
 
 def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -50,8 +57,26 @@ def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return out, before, starts
 
 
-def bigram(before: np.ndarray, word: np.ndarray) -> np.ndarray:
-    return mix(before * _ODD + mix(word))
+def windows(before: np.ndarray, word: np.ndarray, starts: np.ndarray, order: int) -> list[np.ndarray]:
+    """The words of each token's n-gram, BEGIN in front of the one that begins a text where the text is too short."""
+    out = [before, word]
+    while len(out) < order:
+        earlier = np.concatenate([[BEGIN], out[0][:-1]]).astype(np.uint64)
+        earlier[starts] = BEGIN
+        out.insert(0, earlier)
+    return out
+
+
+def gram(words: list[np.ndarray]) -> np.ndarray:
+    """Keys of n-grams: a word itself, or a hash of all words."""
+    key = words[0]
+    for w in words[1:]:
+        key = mix(key * _ODD + mix(w))
+    return key
+
+
+def _width(level: int) -> int:
+    return 48 if level == 1 else 64
 
 
 def _short(x: np.ndarray) -> bytes:
@@ -81,70 +106,113 @@ def _deal(key: np.ndarray, bits: int, width: int, make: Callable) -> tuple[list[
     return full, [make(slice(edges[b], edges[b + 1])) for b in full]
 
 
-def _count(bits: int) -> Callable:
-    def flush(parts: list[tuple]) -> pa.RecordBatch:
-        before, word = (np.concatenate(x) for x in zip(*parts, strict=True))
-        key, row, (counts,) = _summed(bigram(before, word), np.ones(len(word), np.int64))
-        before, word = before[row], word[row]
-        bucket, blobs = _deal(key, bits, 64, lambda s: (_short(before[s]), _short(word[s]), counts[s].astype(np.uint32).tobytes()))
-        columns = list(zip(*blobs, strict=True))
-        return pa.RecordBatch.from_arrays([pa.array(bucket, pa.int32()), *(pa.array(c, pa.binary()) for c in columns)], ["bucket", "before", "word", "counts"])
+def _kind(values: np.ndarray) -> type:
+    return next(t for t in _TYPES.values() if not len(values) or values.max() <= np.iinfo(t).max)
+
+
+def _packed(*values: np.ndarray) -> bytes:
+    """Columns of counts in as few bytes as hold them."""
+    n, *kinds = len(values[0]), *map(_kind, values)
+    return np.array([n, *(np.dtype(t).itemsize for t in kinds)], np.int64).tobytes() + b"".join(v.astype(t).tobytes() for v, t in zip(values, kinds, strict=True))
+
+
+def _unpacked(blobs: list[bytes], n_columns: int) -> list[np.ndarray]:
+    parts = [[np.zeros(0, np.int64)] for _ in range(n_columns)]
+    for blob in blobs:
+        n, *widths = np.frombuffer(blob, np.int64, 1 + n_columns).tolist()
+        at = 8 * (1 + n_columns)
+        for part, w in zip(parts, widths, strict=True):
+            part.append(np.frombuffer(blob, _TYPES[w], n, at).astype(np.int64))
+            at += w * n
+    return [np.concatenate(x) for x in parts]
+
+
+def _rows(bits: int, grams: tuple, contexts: tuple | None = None, stats: tuple | None = None) -> pa.Table:
+    """Rows for the owners of the next level: (words, keys, counts) of n-grams, (keys, sums) of contexts, (bucket, statistics).
+
+    Counts are those in the text and, below the highest level, how many different words precede.
+    """
+    words, key, counts = grams
+    bucket, blobs = _deal(key, bits, _width(len(words)), lambda s: (b"".join(_short(w[s]) for w in words), _packed(*(c[s] for c in counts))))
+    rows = [(b, *x, None, None, None) for b, x in zip(bucket, blobs, strict=True)]
+    if contexts:
+        keys, sums = contexts
+        raw = _short if len(words) == 1 else np.ndarray.tobytes
+        bucket, blobs = _deal(keys, bits, _width(len(words)), lambda s: (raw(keys[s]), _packed(*(c[s] for c in sums))))
+        rows += [(b, None, None, *x, None) for b, x in zip(bucket, blobs, strict=True)]
+    if stats:
+        rows.append((stats[0], None, None, None, None, stats[1].tobytes()))
+    columns = list(zip(*rows, strict=True)) if rows else [[]] * 6
+    return pa.table([pa.array(columns[0], pa.int32()), *(pa.array(c, pa.binary()) for c in columns[1:])], ["bucket", *_PARTS])
+
+
+def _words(blobs: list[bytes], level: int) -> list[np.ndarray]:
+    """The words (first to last) of n-grams that came in several blobs."""
+    parts = [np.split(_long([b]), level) for b in blobs]
+    return [np.concatenate([np.zeros(0, np.uint64), *(p[k] for p in parts)]) for k in range(level)]
+
+
+def _count(bits: int, order: int) -> Callable:
+    def flush(parts: list[list[np.ndarray]]) -> list[pa.RecordBatch]:
+        words = [np.concatenate(x) for x in zip(*parts, strict=True)]
+        key, row, (counts,) = _summed(gram(words), np.ones(len(words[0]), np.int64))
+        return _rows(bits, ([w[row] for w in words], key, [counts])).combine_chunks().to_batches()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, n = [], 0
         for batch in batches:
             for _, _, data, offsets in slices(batch["text"]):
-                word, before, _ = tokens(data, offsets)
-                parts.append((before, word))
-                n += len(word)
-                if n >= FLUSH:
-                    yield flush(parts)
+                word, before, starts = tokens(data, offsets)
+                parts.append(windows(before, word, starts, order))
+                n += order * len(word)
+                if n >= 2 * FLUSH:
+                    yield from flush(parts)
                     parts, n = [], 0
         if n:
-            yield flush(parts)
+            yield from flush(parts)
 
     return run
 
 
 def _columns(keys: np.ndarray, *values: np.ndarray) -> list[np.ndarray]:
     """A file's content: rows, bytes of each value, sorted keys, then each column of values in as few bytes as hold it."""
-    kinds = [next(t for t in (np.uint16, np.uint32, np.int64) if not len(v) or v.max() <= np.iinfo(t).max) for v in values]
+    kinds = [_kind(v) for v in values]
     return [np.array([len(keys), *(np.dtype(t).itemsize for t in kinds)], np.int64), keys, *(v.astype(t) for v, t in zip(values, kinds, strict=True))]
 
 
-def _bigram_file(folder: str, bits: int) -> Callable:
-    def run(key: tuple, group: pa.Table) -> pa.Table:
-        before, word = _long(group["before"].to_pylist()), _long(group["word"].to_pylist())
-        counts = np.frombuffer(b"".join(group["counts"].to_pylist()), np.uint32).astype(np.int64)
-        hashes, row, (counts,) = _summed(bigram(before, word), counts)
-        before, word = before[row], word[row]
-        put_file(f"{folder}/bigrams-{key[0].as_py():06d}", _columns(hashes, counts))
-        zero, one = np.zeros(len(counts), np.int64), np.ones(len(counts), np.int64)
-        cells = [counts, *((counts == k).astype(np.int64) for k in (1, 2, 3, 4)), (counts > 4).astype(np.int64), zero, zero]
-        cells = [np.concatenate([c, w]) for c, w in zip(cells, [zero] * 6 + [counts, one], strict=True)]
-        words, _, sums = _summed(np.concatenate([before, word]), *cells)
-        bucket, blobs = _deal(words, bits, 48, lambda s: (_short(words[s]), np.stack([x[s] for x in sums]).tobytes()))
-        return pa.table({"bucket": pa.array(bucket, pa.int32()), "word": pa.array([b[0] for b in blobs], pa.binary()), "sums": pa.array([b[1] for b in blobs], pa.binary())})
+def _level_file(folder: str, bits: int, order: int, level: int) -> Callable:
+    """Sum a bucket's n-grams of a level, write its file and pass on the shares of the level below."""
 
-    return run
-
-
-def _word_file(folder: str) -> Callable:
     def run(key: tuple, group: pa.Table) -> pa.Table:
-        parts = [np.frombuffer(b, np.int64).reshape(len(_WORD_FIELDS), -1) for b in group["sums"].to_pylist()]
-        words, _, sums = _summed(_long(group["word"].to_pylist()), *np.concatenate(parts, axis=1))
-        total, n1, n2, n3, n4, n5, count, preceders = sums
-        put_file(f"{folder}/words-{key[0].as_py():06d}", _columns(words, count, preceders, total, n1, n2, n3 + n4 + n5))
-        stats = {"types": (count > 0).sum(), "tokens": count.sum(), "b1": n1.sum(), "b2": n2.sum(), "b3": n3.sum(), "b4": n4.sum(), "bigrams": preceders.sum()}
-        stats |= {f"u{k}": (preceders == k).sum() for k in (1, 2, 3, 4)}
-        return pa.table({k: pa.array([int(v)], pa.int64()) for k, v in stats.items()})
+        bucket, top = key[0].as_py(), level == order
+        blobs = {c: group[c].drop_null().to_pylist() for c in _PARTS}
+        words, counts = _words(blobs["grams"], level), _unpacked(blobs["counts"], 1 if top else 2)
+        contexts = _long(blobs["contexts"]) if level == 1 else np.frombuffer(b"".join(blobs["contexts"]), np.uint64)
+        sums = [] if top else _unpacked(blobs["sums"], 4)
+        none = lambda x: np.zeros(len(x), np.int64)
+        cells = [*(np.concatenate([c, none(contexts)]) for c in counts), *(np.concatenate([none(words[0]), x]) for x in sums)]
+        keys, row, (count, *cells) = _summed(np.concatenate([gram(words), contexts]), *cells)
+        here, sums = (count, []) if top else (cells[0], cells[1:])
+        whole = np.ones(len(keys), bool)
+        if level > 1:
+            words = [w[row] for w in words]  # a context of two words or more is an n-gram too, and comes after it
+            whole = words[1] != BEGIN  # else a text's first tokens, whose n-gram is shorter
+        put_file(f"{folder}/grams{level}-{bucket:06d}", _columns(keys[whole], *(x[whole] for x in (here, *sums, *[count] * (level == 1)))))
+        n = here[whole]
+        stats = np.sum([np.zeros(_STATS * order + 1, np.int64), *(np.frombuffer(x, np.int64) for x in blobs["stats"])], axis=0)
+        stats[_STATS * (level - 1) : _STATS * level] += [*((n == k).sum() for k in (1, 2, 3, 4)), (n > 0).sum(), n.sum()]
+        if level == 1:
+            stats[-1] += count.sum()
+            return pa.table({"stats": pa.array([stats.tobytes()], pa.binary())})
+        below = words[1:]
+        once = np.where(below[0] == BEGIN, count, 1)  # what begins a text has no word before it: its count is carried on
+        suffix, row, given = _summed(gram(below), count, once)
+        before, _, shares = _summed(gram([w[whole] for w in words[:-1]]), n, *((n == k).astype(np.int64) for k in (1, 2)), (n > 2).astype(np.int64))
+        return _rows(bits, ([w[row] for w in below], suffix, given), (before, shares), (bucket, stats))
 
     return run
 
 
-_STATS = ["types", "tokens", "b1", "b2", "b3", "b4", "bigrams", "u1", "u2", "u3", "u4"]
-
-
 def discounts(n: list[int]) -> list[float]:
     """D1, D2, D3+ of modified Kneser-Ney from counts of counts 1 to 4, kept within what they are taken from."""
     y = n[0] / (n[0] + 2 * n[1]) if n[0] + 2 * n[1] else 0.5
@@ -160,24 +228,39 @@ class Model:
     types: int
     tokens: int
     bigrams: int
-    bigram_discounts: list[float]
-    word_discounts: list[float]
+    discounts: list[list[float]]  # of words, bigrams and so on
     word_rest: float  # mass that the words' discounts leave for the uniform distribution
 
+    @property
+    def order(self) -> int:
+        return len(self.discounts)
+
 
-def train(docs: DataFrame, text: str = "text") -> Model:
-    """Count the bigrams of all rows. The driver gets eleven sums."""
+def train(docs: DataFrame, text: str = "text", order: int = 2) -> Model:
+    """Count the n-grams of all rows, up to `order` words. The driver gets a few sums for each level."""
+    if order < 2:
+        raise ValueError("the order is 2 or more")
     rows = docs.select(F.col(text).alias("text"))
     bits = max(4, math.ceil(math.log2(2 * max(1, rows.rdd.getNumPartitions()))))  # files grow in number with the input
     folder = shared_folder(docs.sparkSession, "lm")
-    counted = map_arrow(rows, _count(bits), "bucket int, before binary, word binary, counts binary")
-    shares = counted.groupBy("bucket").applyInArrow(_bigram_file(folder, bits), "bucket int, word binary, sums binary")
-    stats = shares.groupBy("bucket").applyInArrow(_word_file(folder), ", ".join(f"{x} long" for x in _STATS))
-    s = stats.agg(*[F.coalesce(F.sum(x), F.lit(0)).alias(x) for x in _STATS]).first().asDict()
-    d = discounts([s["u1"], s["u2"], s["u3"], s["u4"]])
-    more = s["types"] - s["u1"] - s["u2"]
-    rest = (d[0] * s["u1"] + d[1] * s["u2"] + d[2] * more) / s["bigrams"] if s["bigrams"] else 1.0
-    return Model(folder, bits, s["types"], s["tokens"], s["bigrams"], discounts([s["b1"], s["b2"], s["b3"], s["b4"]]), d, rest)
+    shares = map_arrow(rows, _count(bits, order), _ROW)
+    for level in range(order, 0, -1):
+        shares = shares.groupBy("bucket").applyInArrow(_level_file(folder, bits, order, level), _ROW if level > 1 else "stats binary")
+    unpacked = map_arrow(shares, _unpack_stats, "at int, value long")
+    found = {r["at"]: r["value"] for r in unpacked.groupBy("at").agg(F.sum("value").alias("value")).collect()}
+    s = [found.get(k, 0) for k in range(_STATS * order + 1)]
+    levels, tokens_ = [s[_STATS * k : _STATS * (k + 1)] for k in range(order)], s[-1]
+    d = [discounts(x[:4]) for x in levels]
+    n1, n2, _, _, types, bigrams = levels[0]
+    rest = (d[0][0] * n1 + d[0][1] * n2 + d[0][2] * (types - n1 - n2)) / bigrams if bigrams else 1.0
+    return Model(folder, bits, types, tokens_, bigrams, d, rest)
+
+
+def _unpack_stats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for x in batch["stats"].to_pylist():
+            values = np.frombuffer(x, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(range(len(values)), pa.int32()), pa.array(values)], ["at", "value"])
 
 
 class Reader:
@@ -186,54 +269,58 @@ class Reader:
     def __init__(self, model: Model) -> None:
         self.model, self.files = model, {}
 
-    def columns(self, kind: str, bucket: int, n_columns: int) -> list[np.ndarray]:
-        if (kind, bucket) not in self.files:
-            raw = map_file(f"{self.model.folder}/{kind}-{bucket:06d}")
+    def columns(self, level: int, bucket: int, n_columns: int) -> list[np.ndarray]:
+        if (level, bucket) not in self.files:
+            raw = map_file(f"{self.model.folder}/grams{level}-{bucket:06d}")
             head = 8 * n_columns
-            n, *widths = raw[:head].view(np.int64).tolist() if len(raw) else [0] * n_columns
+            n, *widths = raw[:head].view(np.int64).tolist() if len(raw) else [0] + [1] * (n_columns - 1)
             found, at = [raw[head : head + 8 * n].view(np.uint64)], head + 8 * n
             for w in widths:
-                found.append(raw[at : at + w * n].view({2: np.uint16, 4: np.uint32}.get(w, np.int64)))
+                found.append(raw[at : at + w * n].view(_TYPES[w]))
                 at += w * n
-            self.files[kind, bucket] = found
-        return self.files[kind, bucket]
+            self.files[level, bucket] = found
+        return self.files[level, bucket]
 
-    def find(self, kind: str, keys: np.ndarray, width: int, n_columns: int) -> np.ndarray:
-        """Values (column, key) of sorted distinct keys; zeros for unknown ones."""
+    def find(self, level: int, keys: np.ndarray) -> np.ndarray:
+        """Values (column, key) of n-grams by their keys: count, and below the highest level what it is as a context; of words also the count in the text. Zeros for unknown ones."""
+        n_columns = 7 if level == 1 else 2 if level == self.model.order else 6
+        keys, back = np.unique(keys, return_inverse=True)
         out = np.zeros((n_columns - 1, len(keys)), np.int64)
-        starts = np.arange(1 << self.model.bits, dtype=np.uint64) << np.uint64(width - self.model.bits)
+        starts = np.arange(1 << self.model.bits, dtype=np.uint64) << np.uint64(_width(level) - self.model.bits)
         edges = np.append(np.searchsorted(keys, starts), len(keys))
         for bucket in np.flatnonzero(np.diff(edges)).tolist():
             asked = keys[edges[bucket] : edges[bucket + 1]]
-            known, *values = self.columns(kind, bucket, n_columns)
+            known, *values = self.columns(level, bucket, n_columns)
             if len(known):
                 at = np.minimum(np.searchsorted(known, asked), len(known) - 1)
                 hit = known[at] == asked
                 for k, v in enumerate(values):
                     out[k, edges[bucket] : edges[bucket + 1]] = np.where(hit, v[at], 0)
-        return out
+        return out[:, back]
 
     def score(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
         """(n_tokens, n_known, base_score, score) of texts."""
         m = self.model
         word, before, starts = tokens(data, offsets)
-        asked, back = np.unique(np.concatenate([word, [BEGIN]]).astype(np.uint64), return_inverse=True)
-        count, preceders, total, n1, n2, n3 = self.find("words", asked, 48, 7)
+        words = windows(before, word, starts, m.order)
+        lower = self.find(1, np.append(word, np.uint64(BEGIN)))
+        count = lower[5, :-1]
         take = lambda n, d: np.choose(np.minimum(n, 3), [0.0, *d])  # noqa: E731  the discount of a count
         base = np.log10((count + 0.5) / (m.tokens + 0.5 * (m.types + 1)))
-        unigram = (preceders - take(preceders, m.word_discounts)) / max(m.bigrams, 1) + m.word_rest / (m.types + 1)
-        d = m.bigram_discounts
-        rest = np.where(total > 0, (d[0] * n1 + d[1] * n2 + d[2] * n3) / np.maximum(total, 1), 1.0)
-        here = back[: len(word)]
-        prior = np.concatenate([[0], here[:-1]])
-        prior[starts] = back[-1]
-        keys, where = np.unique(bigram(before, word), return_inverse=True)
-        pair = self.find("bigrams", keys, 64, 2)[0][where]
-        p = (pair - take(pair, d)) / np.maximum(total[prior], 1) + rest[prior] * unigram[here]
+        p = (lower[0, :-1] - take(lower[0, :-1], m.discounts[0])) / max(m.bigrams, 1) + m.word_rest / (m.types + 1)
+        prior = np.arange(len(word)) - 1  # a token's context is the n-gram that ends at the token before it
+        prior[starts] = len(word)
+        for level in range(2, m.order + 1):
+            here, d = self.find(level, gram(words[m.order - level :])), m.discounts[level - 1]
+            total, n1, n2, n3 = lower[1:5, np.minimum(prior, lower.shape[1] - 1)]
+            rest = np.where(total > 0, (d[0] * n1 + d[1] * n2 + d[2] * n3) / np.maximum(total, 1), 1.0)
+            more = (here[0] - take(here[0], d)) / np.maximum(total, 1) + rest * p
+            p = more if level == 2 else np.where(words[m.order - level + 1] != BEGIN, more, p)
+            lower = here
         if not m.tokens:
             p = np.ones(len(p))
         sums = lambda x: np.add.reduceat(x, starts)
-        return np.diff(np.append(starts, len(word))), sums((count > 0).astype(np.int64)[here]), sums(base[here]), sums(np.log10(p))
+        return np.diff(np.append(starts, len(word))), sums((count > 0).astype(np.int64)), sums(base), sums(np.log10(p))
 
 
 def _score(model: Model) -> Callable:

@@ -105,10 +105,10 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Log probability of every document, the model learning outside of the held-out fold."""
+    """Log probability of every document by trigrams, the model learning outside of the held-out fold."""
     docs = read(spark, sf_dir, "documents", "doc_id", "text")
     held = language.held_out(folds=5, fold=1)
-    model = lm.train(docs.filter(~held))
+    model = lm.train(docs.filter(~held), order=3)
     return lm.score(docs, model).select("doc_id", held.alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
 
 

@@ -387,6 +387,43 @@ def test_language_model(spark, monkeypatch):
     assert lm.score(docs, nothing).agg(F.sum("score")).first()[0] == 0
 
 
+@pytest.mark.parametrize("order", [3, 4])
+def test_language_model_of_higher_order(spark, monkeypatch, order):
+    monkeypatch.setattr(lm, "FLUSH", 50)
+    rng = random.Random(18)
+    rows = [(i, " ".join(f"w{min(rng.randrange(12), rng.randrange(12))}" for _ in range(rng.randrange(0, 25)))) for i in range(80)] + [(90, None), (91, "w1 New w2  w1 w0 w1"), (92, "w1")]
+    docs = documents(spark, rows)
+    sentence = lambda t: (0, *(w.lower() for w in words(t)), 1)
+    count = {k: Counter() for k in range(1, order + 1)}  # n-grams in the text, begun once
+    for _, t in rows[:60]:
+        for i in range(1, len(s := sentence(t))):
+            for k in range(1, min(order, i + 1) + 1):
+                count[k][s[i - k + 1 : i + 1]] += 1
+    n = {order: count[order]}
+    for k in range(1, order):  # below the highest level: different words before it, or the count at a text's begin
+        n[k] = Counter(g[1:] for g in count[k + 1])
+        n[k].update({g: c for g, c in count[k].items() if g[0] == 0})
+    d = {k: lm.discounts([sum(c == x for c in n[k].values()) for x in (1, 2, 3, 4)]) for k in n}
+    off = lambda k, c: 0 if c == 0 else d[k][min(c, 3) - 1]
+
+    def p(context, w):
+        k = len(context) + 1
+        after = [c for g, c in n[k].items() if g[:-1] == context]
+        if k == 1:
+            return (n[1][w,] - off(1, n[1][w,])) / sum(after) + sum(off(1, c) for c in after) / sum(after) / (len(n[1]) + 1)
+        if not after:
+            return p(context[1:], w)
+        return (n[k][*context, w] - off(k, n[k][*context, w])) / sum(after) + sum(off(k, c) for c in after) / sum(after) * p(context[1:], w)
+
+    assert math.isclose(sum(p((b"w1", b"w0"), w) for (w,) in n[1]) + p((b"w1", b"w0"), b"new"), 1)
+    model = lm.train(docs.filter("doc_id < 60"), order=order)
+    assert (model.order, model.tokens, model.types) == (order, sum(count[1].values()), len(count[1]))
+    for r in lm.score(docs, model).collect():
+        s = sentence(dict(rows)[r["doc_id"]])
+        assert math.isclose(r["score"], sum(math.log10(p(s[max(0, i - order + 1) : i], s[i])) for i in range(1, len(s))))
+    assert lm.score(docs, lm.train(docs.limit(0), order=order)).agg(F.sum("score")).first()[0] == 0
+
+
 # -- pipeline --------------------------------------------------------------------------------------------------
 
 
