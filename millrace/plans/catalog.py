@@ -737,9 +737,9 @@ def split_stratified(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def automl_leaderboard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Three candidates on the price of parts."""
-    df = read(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_size", "p_retailprice")
-    return ml.leaderboard(ml.train(df, "p_retailprice", "p_partkey", trees=5, folds=0, only=["ridge", "decision_tree"]), df)
+    """The baseline and all five candidates on the price of parts, with cross-validation."""
+    df = read(spark, sf_dir, "part")
+    return ml.leaderboard(ml.train(df, "p_retailprice", "p_partkey"), df)
 
 
 @query("""select '{"k":' || r_regionkey || ',"name":"' || r_name || '"}' as json from region""")

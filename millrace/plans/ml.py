@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import math
 import time
+from collections.abc import Callable
 from dataclasses import dataclass, field
+from multiprocessing.pool import ThreadPool
 from typing import Any
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Estimator, Pipeline, PipelineModel
 from pyspark.ml.classification import DecisionTreeClassifier, GBTClassifier, LogisticRegression, OneVsRest, RandomForestClassifier
 from pyspark.ml.evaluation import BinaryClassificationEvaluator, MulticlassClassificationEvaluator, RegressionEvaluator
@@ -25,6 +28,8 @@ from millrace.operators.types import text_evidence
 # Names of likely targets.
 TARGETS = ["target", "label", "price", "churn", "salary", "revenue", "class", "outcome", "survived", "status", "score"]
 REFERENCE_DAY = "2025-01-01"
+#: Fits that run at a time: boosting is many small jobs, one after another.
+AT_A_TIME = 6
 
 
 def task_type(df: DataFrame, target: str) -> str:
@@ -225,18 +230,24 @@ def train(df: DataFrame, target: str, key: str, trees: int = 100, folds: int = 5
         board.append(Candidate("baseline", True, evaluate(test_rows.withColumn("prediction", F.lit(float(top))), task)))
     prepared = Pipeline(stages=stages).fit(fit_rows)
     ready, tested = prepared.transform(fit_rows), prepared.transform(test_rows)
-    for name, estimator in candidates(task, trees, bool(weighted)).items():
-        if only and name not in only:
-            continue
+    chosen = {k: e for k, e in candidates(task, trees, bool(weighted)).items() if not only or k in only}
+
+    def fit(name: str) -> tuple[Any, Candidate]:
         began = time.monotonic()
-        try:
-            model = estimator.fit(ready)
-            c = Candidate(name, False, evaluate(model.transform(tested), task), seconds=round(time.monotonic() - began, 3))
-            c.cross_validation = cross_validate(fit_rows, stages, estimator, task, key, folds) if folds > 1 else []
-            models[name] = model
-        except Exception as e:
-            c = Candidate(name, False, {}, error=str(e)[:200])
-        board.append(c)
+        model = chosen[name].copy().fit(ready)
+        return model, Candidate(name, False, evaluate(model.transform(tested), task), seconds=round(time.monotonic() - began, 3))
+
+    tasks = {(name, k): (lambda name=name, k=k: fit(name) if k < 0 else cross_validate(fit_rows, stages, chosen[name], task, key, folds, k)) for name in chosen for k in range(-1, folds if folds > 1 else 0)}
+    done = _together(df, tasks)
+    for name in chosen:
+        parts = [done[name, k] for k in range(-1, folds if folds > 1 else 0)]
+        error = next((x for x in parts if isinstance(x, Exception)), None)
+        if error:
+            board.append(Candidate(name, False, {}, error=str(error)[:200]))
+        else:
+            models[name], c = parts[0]
+            c.cross_validation = parts[1:]
+            board.append(c)
     value = lambda c: c.metrics.get(primary, -math.inf)
     board.sort(key=lambda c: (c.baseline, -value(c)))
     best = board[0]
@@ -250,15 +261,24 @@ def train(df: DataFrame, target: str, key: str, trees: int = 100, folds: int = 5
     return out
 
 
-def cross_validate(rows: DataFrame, stages: list, estimator: Estimator, task: str, key: str, folds: int) -> list[float]:
-    """r2 or accuracy on each fold, the preprocessor being fitted anew without it."""
+def _together(df: DataFrame, tasks: dict[Any, Callable]) -> dict[Any, Any]:
+    """Each task's result or exception, some at a time."""
+
+    def run(f: Callable) -> Any:
+        try:
+            return f()
+        except Exception as e:
+            return e
+
+    with ThreadPool(AT_A_TIME) as pool:
+        return dict(zip(tasks, pool.map(inheritable_thread_target(df.sparkSession)(run), tasks.values(), chunksize=1), strict=True))
+
+
+def cross_validate(rows: DataFrame, stages: list, estimator: Estimator, task: str, key: str, folds: int, fold: int) -> float:
+    """r2 or accuracy on a fold, the preprocessor being fitted anew without it."""
     placed = rows.withColumn("__fold", F.pmod(F.xxhash64(F.col(key), F.lit(7)), folds))
-    metric = "r2" if task == "regression" else "accuracy"
-    out = []
-    for k in range(folds):
-        model = Pipeline(stages=[*stages, estimator]).fit(placed.filter(F.col("__fold") != k))
-        out.append(evaluate(model.transform(placed.filter(F.col("__fold") == k)), task)[metric])
-    return out
+    model = Pipeline(stages=[x.copy() for x in (*stages, estimator)]).fit(placed.filter(F.col("__fold") != fold))
+    return evaluate(model.transform(placed.filter(F.col("__fold") == fold)), task)["r2" if task == "regression" else "accuracy"]
 
 
 def leaderboard(trained: Trained, df: DataFrame) -> DataFrame:

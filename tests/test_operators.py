@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from millrace.errors import ExportError, LoadError, PlanError, ProviderError, RepairError, TableError
 from millrace.operators import duplicates, eda, embedded, missing, outliers, profile, reshape, rows, standardize, structure, types
-from millrace.plans import ml, pipeline, provider, repair, report
+from millrace.plans import catalog, ml, pipeline, provider, repair, report
 from millrace.records import Action, band
 from millrace.sources import readers, writers
 from millrace.streaming import rowwise
@@ -263,6 +263,26 @@ def test_models(spark):
     assert not ml.target_quality(df.limit(5), "churn")["valid"] and ml.suggest_targets(df)[0] == "churn"
 
 
+def test_automl_leaderboard_fits_all_candidates(spark, tmp_path, monkeypatch):
+    rows = [(i, f"n{i % 5}", f"b{i % 3}", f"t{i % 4}", i * 7 % 50, 10.0 * abs(i * 7 % 50 - 25) + 100 * (i % 4 == 1)) for i in range(300)]
+    table(spark, rows, "p_partkey long, p_name string, p_brand string, p_type string, p_size int, p_retailprice double").write.parquet(str(tmp_path / "part.parquet"))
+    train, seen = ml.train, []
+
+    def smaller(df, target, key, **options):
+        assert not options  # all candidates, 100 trees, 5 folds
+        seen.append((df.columns, train(df, target, key, trees=4, folds=2)))
+        return seen[-1][1]
+
+    monkeypatch.setattr(ml, "train", smaller)
+    got = {r["model"]: r["value"] for r in catalog.automl_leaderboard(spark, str(tmp_path)).collect()}
+    columns, trained = seen[0]
+    assert {"p_name", "p_type", "p_brand", "p_size"} < set(columns)
+    assert set(got) == {"baseline", "ridge", "random_forest", "gradient_boosting", "histogram_boosting", "decision_tree"}
+    assert all(not c.error and len(c.cross_validation) == (0 if c.baseline else 2) for c in trained.leaderboard)
+    # The price is a V over the size: lines can't follow it, trees can.
+    assert got["ridge"] < 0.6 < 0.8 < min(got[k] for k in ("gradient_boosting", "histogram_boosting", "decision_tree")) and got["baseline"] < 0.1 and got["random_forest"] > got["ridge"]
+
+
 def test_split_does_not_depend_on_partitions(spark):
     df = spark.range(500).withColumn("c", F.col("id") % 3)
     a, b = (ml.split(df.repartition(n), "id", "c").filter("is_test") for n in (1, 8))
