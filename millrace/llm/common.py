@@ -109,7 +109,7 @@ def ship(spark: SparkSession) -> None:
         package = Path(__file__).resolve().parents[1]
         target = Path(tempfile.mkdtemp(prefix="millrace-package-")) / "millrace.zip"
         with zipfile.ZipFile(target, "w") as out:
-            for path in sorted(package.rglob("*.py")):
+            for path in sorted([*package.rglob("*.py"), *package.rglob("*.txt")]):
                 out.write(path, path.relative_to(package.parent))
         context.addPyFile(str(target))
         atexit.register(shutil.rmtree, target.parent, True)

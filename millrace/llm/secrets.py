@@ -13,6 +13,7 @@ are not touched.
 from __future__ import annotations
 
 import math
+import pkgutil
 import re
 from collections.abc import Callable, Iterator
 
@@ -42,8 +43,10 @@ changeme example sample test testing user root guest demo temp public private to
 my the and for this that none null true false undefined placeholder dummy foo bar baz todo replace insert enter
 january february march april may june july august september october november december monday tuesday wednesday
 thursday friday saturday sunday system service account access office company home house family mother father""".split()
-_RANK = {w: k + 2 for k, w in reversed(list(enumerate(WORDS)))}
-_LONGEST = max(map(len, WORDS))
+#: Words by frequency: the whole words of two public tokenizers' vocabularies, which were merged in that order.
+VOCABULARY = pkgutil.get_data("millrace.llm", "words.txt").decode().split()
+_RANK = {w: k for k, w in sorted(((k + 2, w) for words in (VOCABULARY, WORDS) for k, w in enumerate(words)), reverse=True)}
+_LONGEST = max(map(len, _RANK))
 _LEET = str.maketrans("4301578$@!", "aeoistbsai")
 _ROWS = ["1234567890", "qwertyuiop", "asdfghjkl", "zxcvbnm"]
 _NEAR = {(a, b) for row in _ROWS for a, b in zip(row, row[1:], strict=False)} | {(a, b) for up, low in zip(_ROWS, _ROWS[1:], strict=False) for a, b in zip(up, low, strict=False)}

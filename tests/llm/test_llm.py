@@ -327,6 +327,14 @@ def test_guess_cost_is_the_cheapest_segmentation():
     assert secrets.guess_cost("password") < 1 < secrets.guess_cost("P@ssw0rd") < secrets.LEAST < secrets.guess_cost("Xk9$mQ2v")
 
 
+def test_ordinary_words_are_no_secrets(spark):
+    prose = ["password is incorrect", "The secret is nothing.", "token is rejected", "your password is required", "the api key is missing", "bearer is unauthorized", "passcode is Something", "credential is sunflower", "pwd is bicyclegarden"]
+    hard = ["password is xkqvzjwpfh", "the token is 8fK2q!zTw9", "secret is Xk9$mQ2v"]
+    got = [r["spans"] for r in secrets.find_secrets(documents(spark, list(enumerate(prose + hard)))).orderBy("doc_id").collect()]
+    assert [len(g) for g in got] == [0] * len(prose) + [1] * len(hard)
+    assert len(secrets.VOCABULARY) > 10_000
+
+
 # -- 5 ---------------------------------------------------------------------------------------------------------
 
 
