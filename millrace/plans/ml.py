@@ -50,7 +50,7 @@ def target_quality(df: DataFrame, target: str) -> dict[str, Any]:
     n, k, unique = df.agg(F.count(F.lit(1)), F.count(x), F.count_distinct(x)).first()
     spread = df.agg(F.var_samp(target)).first()[0] if is_numeric(df, target) else None
     reason = "fewer than 10 values" if k < 10 else "only one value" if unique <= 1 else "no variance" if spread == 0 else None
-    top = {str(r[0]): r["count"] for r in df.filter(x.isNotNull()).groupBy(target).count().orderBy(F.desc("count"), target).limit(20).collect()} if unique <= 20 else {}
+    top = {str(r[0]): r["count"] for r in df.filter(x.isNotNull()).groupBy(target).count().orderBy(F.desc("count"), target).collect()} if unique <= 20 or not is_numeric(df, target) else {}
     return {"valid": reason is None, "reason": reason, "missing": n - k, "valid_count": k, "unique": unique, "classes": top}
 
 
@@ -208,14 +208,14 @@ def train(df: DataFrame, target: str, key: str, trees: int = 100, folds: int = 5
     else:
         indexer = StringIndexer(inputCol="__label", outputCol="label", stringOrderType="alphabetAsc").fit(work.withColumn("__label", text(target)))
         work, labels = indexer.transform(work.withColumn("__label", text(target))), list(indexer.labels)
-    sizes = quality["classes"].values()
-    stratified = task != "regression" and min(sizes, default=0) >= 2
-    weighted = task != "regression" and sizes and max(sizes) > 4 * min(sizes)
+    stratified = weighted = False
+    if task != "regression":
+        sizes = work.groupBy("label").agg(F.count(F.lit(1)).alias("__n"))
+        least, most, total, classes = sizes.agg(F.min("__n"), F.max("__n"), F.sum("__n"), F.count(F.lit(1))).first()
+        stratified, weighted = least >= 2, most > 4 * least
     if weighted:
         warnings.append("classes are imbalanced: rows are weighted")
-        total = sum(sizes)
-        table = F.create_map(*[x for k, v in quality["classes"].items() for x in (F.lit(k), F.lit(total / (len(sizes) * v)))])
-        work = work.withColumn("__weight", table[text(target)])
+        work = work.join(sizes.select("label", (F.lit(total / classes) / F.col("__n")).alias("__weight")), "label")
     parted = split(work, key, "label" if stratified else None)
     stages, extra = prepare(parted.filter("not is_test"), roles)
     parted = parted.withColumns(extra) if extra else parted
@@ -230,7 +230,7 @@ def train(df: DataFrame, target: str, key: str, trees: int = 100, folds: int = 5
         board.append(Candidate("baseline", True, evaluate(test_rows.withColumn("prediction", F.lit(float(top))), task)))
     prepared = Pipeline(stages=stages).fit(fit_rows)
     ready, tested = prepared.transform(fit_rows), prepared.transform(test_rows)
-    chosen = {k: e for k, e in candidates(task, trees, bool(weighted)).items() if not only or k in only}
+    chosen = {k: e for k, e in candidates(task, trees, weighted).items() if not only or k in only}
 
     def fit(name: str) -> tuple[Any, Candidate]:
         began = time.monotonic()

@@ -283,6 +283,17 @@ def test_automl_leaderboard_fits_all_candidates(spark, tmp_path, monkeypatch):
     assert got["ridge"] < 0.6 < 0.8 < min(got[k] for k in ("gradient_boosting", "histogram_boosting", "decision_tree")) and got["baseline"] < 0.1 and got["random_forest"] > got["ridge"]
 
 
+def test_many_skewed_classes_are_stratified_and_weighted(spark):
+    df = table(spark, [(i, float(i % 25 if i < 100 else 0), f"c{i % 25 if i < 100 else 0}") for i in range(160)], "k long, x double, kind string")
+    t = ml.train(df, "kind", "k", folds=0, only=["decision_tree"])
+    assert t.task == "multiclass_classification" and t.primary == "f1" and any("imbalanced" in w for w in t.warnings)
+    assert sum(ml.target_quality(df, "kind")["classes"].values()) == 160
+    parted = ml.split(df, "k", "kind").filter("is_test")
+    assert parted.select("kind").distinct().count() == 25 and t.model.transform(df.withColumn("label", F.lit(0.0))).count() == 160
+    # Stratified, the test rows have each class once at least: the baseline is right in 13 of 37.
+    assert abs(next(c for c in t.leaderboard if c.baseline).metrics["accuracy"] - 13 / 37) < 1e-9
+
+
 def test_split_does_not_depend_on_partitions(spark):
     df = spark.range(500).withColumn("c", F.col("id") % 3)
     a, b = (ml.split(df.repartition(n), "id", "c").filter("is_test") for n in (1, 8))
