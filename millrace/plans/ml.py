@@ -13,7 +13,8 @@ from pyspark import inheritable_thread_target
 from pyspark.ml import Estimator, Pipeline, PipelineModel
 from pyspark.ml.classification import DecisionTreeClassifier, GBTClassifier, LogisticRegression, OneVsRest, RandomForestClassifier
 from pyspark.ml.evaluation import BinaryClassificationEvaluator, MulticlassClassificationEvaluator, RegressionEvaluator
-from pyspark.ml.feature import IDF, CountVectorizer, Imputer, Normalizer, OneHotEncoder, RegexTokenizer, StandardScaler, StopWordsRemover, StringIndexer, VectorAssembler
+from pyspark.ml.feature import IDF, CountVectorizer, Imputer, Normalizer, OneHotEncoder, RegexTokenizer, SQLTransformer, StandardScaler, StopWordsRemover, StringIndexer, VectorAssembler
+from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -135,10 +136,23 @@ class Trained:
 def _numbers(df: DataFrame, roles: dict[str, Any]) -> DataFrame:
     exprs = {c: F.regexp_replace(text(c), "[$,%]", "").try_cast("double") if is_text(df, c) else F.col(c).cast("double") for c in roles["numeric"]}
     exprs |= {c: classify_date(c)["ts"] for c in roles["datetime"] if is_text(df, c)}
-    exprs |= {c: F.coalesce(text(c), F.lit("missing")) for c in roles["categorical"]} | {c: F.coalesce(text(c), F.lit("")) for c in roles["text"]}
+    exprs |= {c: text(c) for c in roles["categorical"]} | {c: F.coalesce(text(c), F.lit("")) for c in roles["text"]}
     return df.withColumns(exprs) if exprs else df
 
 
+class ModeFill(Estimator):
+    """Fill missing categories with the most frequent one of the rows it is fitted on, the smallest of equally frequent ones."""
+
+    def __init__(self, columns: list[str]) -> None:
+        super().__init__()
+        self.columns = columns
+
+    def _fit(self, dataset: DataFrame) -> SQLTransformer:
+        modes = dataset.agg(*[F.hex(F.encode(F.mode(F.col(f"`{c}`"), deterministic=True), "UTF-8")) for c in self.columns]).first()
+        filled = [f"coalesce(`{c}`, decode(unhex('{m or ''}'), 'UTF-8')) AS `__m_{c}`" for c, m in zip(self.columns, modes, strict=True)]
+        return SQLTransformer(statement=f"SELECT *, {', '.join(filled)} FROM __THIS__")
+
+
 def prepare(train: DataFrame, roles: dict[str, Any]) -> tuple[list[Estimator], dict[str, F.Column]]:
     """Stages of the preprocessor, all fitted on training rows only, and the date features' expressions."""
     stages: list = []
@@ -154,8 +168,10 @@ def prepare(train: DataFrame, roles: dict[str, Any]) -> tuple[list[Estimator], d
         filled = [f"__f_{c}" for c in numbers]
         stages += [Imputer(strategy="median", inputCols=numbers, outputCols=filled), VectorAssembler(inputCols=filled, outputCol="__numbers", handleInvalid="keep"), StandardScaler(inputCol="__numbers", outputCol="__scaled", withMean=True)]
         parts.append("__scaled")
+    if roles["categorical"]:
+        stages.append(ModeFill(roles["categorical"]))
     for c in roles["categorical"]:
-        stages += [StringIndexer(inputCol=c, outputCol=f"__i_{c}", handleInvalid="keep"), OneHotEncoder(inputCols=[f"__i_{c}"], outputCols=[f"__o_{c}"], handleInvalid="keep")]
+        stages += [StringIndexer(inputCol=f"__m_{c}", outputCol=f"__i_{c}", handleInvalid="keep"), OneHotEncoder(inputCols=[f"__i_{c}"], outputCols=[f"__o_{c}"], handleInvalid="keep")]
         parts.append(f"__o_{c}")
     for c in roles["text"]:
         stages += [RegexTokenizer(inputCol=c, outputCol=f"__t_{c}", pattern=r"\W+"), StopWordsRemover(inputCol=f"__t_{c}", outputCol=f"__s_{c}"), CountVectorizer(inputCol=f"__s_{c}", outputCol=f"__v_{c}", vocabSize=30), IDF(inputCol=f"__v_{c}", outputCol=f"__d_{c}"), Normalizer(inputCol=f"__d_{c}", outputCol=f"__n_{c}")]
@@ -179,6 +195,11 @@ def evaluate(scored: DataFrame, task: str) -> dict[str, float]:
     out = {"accuracy": of("accuracy"), "f1": of("f1"), "precision": of("weightedPrecision"), "recall": of("weightedRecall"), "balanced_accuracy": sum(of("recallByLabel", metricLabel=x) for x in present) / max(len(present), 1)}
     if task.startswith("binary") and "rawPrediction" in scored.columns:
         out["roc_auc"] = BinaryClassificationEvaluator().evaluate(scored)
+    elif len(present) > 1 and "rawPrediction" in scored.columns:  # each class against the rest, weighted by its rows
+        values = vector_to_array("probability" if "probability" in scored.columns else "rawPrediction")
+        size = {r["label"]: r["count"] for r in scored.groupBy("label").count().collect()}
+        against = lambda x: scored.select(values[int(x)].alias("rawPrediction"), (F.col("label") == x).cast("double").alias("label"))
+        out["roc_auc"] = sum(n * BinaryClassificationEvaluator(numBins=0).evaluate(against(x)) for x, n in size.items()) / sum(size.values())
     return out
 
 

@@ -1,6 +1,8 @@
 import datetime as dt
 
 import pytest
+from pyspark.ml import Pipeline
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
 from millrace.errors import ExportError, LoadError, PlanError, ProviderError, RepairError, TableError
@@ -294,6 +296,27 @@ def test_many_skewed_classes_are_stratified_and_weighted(spark):
     assert abs(next(c for c in t.leaderboard if c.baseline).metrics["accuracy"] - 13 / 37) < 1e-9
 
 
+def test_missing_categories_are_the_mode_of_the_fitted_rows(spark):
+    df = table(spark, [(1, "b'", 0.0), (2, "b'", 0.0), (3, "a", 0.0), (4, None, 0.0)], "k long, c string, label double")
+    roles = {"numeric": [], "categorical": ["c"], "datetime": [], "text": []}
+    stages, _ = ml.prepare(ml._numbers(df, roles), roles)
+    model = Pipeline(stages=stages).fit(ml._numbers(df, roles))
+    got = {r["k"]: r["features"].toArray().tolist() for r in model.transform(ml._numbers(df.union(table(spark, [(5, "new", 0.0)], "k long, c string, label double")), roles)).collect()}
+    assert got[4][:2] == got[1][:2] == [1.0, 0.0] and got[3][:2] == [0.0, 1.0] and got[5][:2] == [0.0, 0.0]
+
+
+def test_multiclass_roc_auc_is_weighted_one_against_the_rest(spark):
+    rows = [(0.0, [0.6, 0.3, 0.1]), (0.0, [0.3, 0.4, 0.3]), (1.0, [0.4, 0.5, 0.1]), (1.0, [0.2, 0.3, 0.5]), (1.0, [0.1, 0.8, 0.1]), (2.0, [0.2, 0.2, 0.6])]
+    scored = spark.createDataFrame([(y, float(max(range(3), key=p.__getitem__)), Vectors.dense(p), Vectors.dense(p)) for y, p in rows], ["label", "prediction", "rawPrediction", "probability"])
+
+    def auc(k):
+        pairs = [(p[k], q[k]) for y, p in rows if y == k for z, q in rows if z != k]
+        return sum((a > b) + 0.5 * (a == b) for a, b in pairs) / len(pairs)
+
+    expected = sum(n * auc(k) for k, n in ((0, 2), (1, 3), (2, 1))) / 6
+    assert abs(ml.evaluate(scored, "multiclass_classification")["roc_auc"] - expected) < 1e-9
+
+
 def test_split_does_not_depend_on_partitions(spark):
     df = spark.range(500).withColumn("c", F.col("id") % 3)
     a, b = (ml.split(df.repartition(n), "id", "c").filter("is_test") for n in (1, 8))
