@@ -24,10 +24,10 @@ from pyspark.sql import functions as F
 
 from millrace.llm.common import map_arrow, mix, slices, texts
 
-#: Places of the hashed n-gram table; n-gram length in characters; EM rounds; added count for unseen n-grams.
+#: Places of the hashed n-gram table; n-gram length in characters; EM rounds at a time; added count for unseen n-grams.
 PLACES, LENGTH, ROUNDS, SMOOTH = 1 << 15, 3, 12, 0.1
-#: The smallest share that a language of the chosen set may have.
-LEAST_SHARE = 0.02
+#: A likelihood has settled if it is less than this below its maximum; how often ROUNDS are repeated at most until then.
+SETTLED, MOST_TIMES = 0.01, 500
 
 _POINTS = np.arange(0x110000, dtype=np.uint32)
 
@@ -116,21 +116,39 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", length: int
     return Model(langs, np.log(counts / counts.sum(axis=0)))
 
 
+def _climb(p: np.ndarray, count: np.ndarray, starts: np.ndarray, share: np.ndarray, rounds: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Some rounds of EM: shares, log likelihoods, and by how much these are below the maximum at most."""
+    owner = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(count))))
+    total = np.add.reduceat(count, starts)
+    for k in range(rounds + 1):
+        mixed = np.maximum((p * share[owner]).sum(axis=1), 1e-300)
+        gain = np.add.reduceat(p * (count / mixed)[:, None], starts) / total[:, None]
+        if k < rounds:
+            share = share * gain
+    # By Jensen's inequality no shares have a likelihood above this one by more than total * log(the largest gain).
+    return share, np.add.reduceat(count * np.log(mixed), starts), total * np.log(np.maximum(gain.max(axis=1), 1))
+
+
+def _pick(p: np.ndarray, count: np.ndarray, starts: np.ndarray, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """p, count and starts of the chosen documents only."""
+    size = np.diff(np.append(starts, len(count)))
+    rows = np.repeat(chosen, size)
+    return p[rows], count[rows], np.cumsum(size[chosen]) - size[chosen]
+
+
 def proportions(p: np.ndarray, count: np.ndarray, starts: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
-    """EM for many documents at once: shares (document, language) and log likelihoods.
+    """EM for many documents at once, until likelihoods settle: shares (document, language) and log likelihoods.
 
     p: probabilities (n-gram of a document, language); count: how often it occurs; starts: documents' first n-grams.
     """
-    n = len(starts)
-    owner = np.repeat(np.arange(n), np.diff(np.append(starts, len(count))))
-    share = np.full((n, p.shape[1]), 1 / p.shape[1])
-    total = np.add.reduceat(count, starts)
-    for _ in range(rounds):
-        weight = p * share[owner]
-        weight *= (count / weight.sum(axis=1))[:, None]
-        share = np.add.reduceat(weight, starts) / total[:, None]
-    mixed = (p * share[owner]).sum(axis=1)
-    return share, np.add.reduceat(count * np.log(np.maximum(mixed, 1e-300)), starts)
+    share, like, left = np.full((len(starts), p.shape[1]), 1 / p.shape[1]), np.zeros(len(starts)), np.arange(len(starts))
+    for _ in range(MOST_TIMES):
+        share[left], like[left], gap = _climb(p, count, starts, share[left], rounds)
+        open_ = gap > SETTLED
+        if not open_.any():
+            break
+        (p, count, starts), left = _pick(p, count, starts, open_), left[open_]
+    return share, like
 
 
 def choose(p: np.ndarray, count: np.ndarray, rounds: int = ROUNDS) -> tuple[list[int], np.ndarray]:
@@ -143,7 +161,7 @@ def choose(p: np.ndarray, count: np.ndarray, rounds: int = ROUNDS) -> tuple[list
     while len(kept) > 1:
         kept = [k for i, k in enumerate(kept) if i != int(np.argmin(share))]
         value, share = score(kept)
-        if value >= best[0] or best[2].min() < LEAST_SHARE:
+        if value >= best[0]:
             best = value, kept, share
     likes = count @ np.log(p)  # every single language is a candidate as well
     if (single := likes.max()) >= best[0]:
@@ -151,6 +169,20 @@ def choose(p: np.ndarray, count: np.ndarray, rounds: int = ROUNDS) -> tuple[list
     return best[1], best[2]
 
 
+def _single(p: np.ndarray, count: np.ndarray, starts: np.ndarray, single: np.ndarray) -> np.ndarray:
+    """Documents whose best single language no set can beat: no set's likelihood exceeds the maximum over all languages."""
+    sure, left, share = np.zeros(len(starts), bool), np.arange(len(starts)), np.full((len(starts), p.shape[1]), 1 / p.shape[1])
+    for _ in range(MOST_TIMES):
+        share, like, gap = _climb(p, count, starts, share, ROUNDS)
+        least = single[left] + 0.5 * np.log(np.add.reduceat(count, starts))
+        sure[left] = least >= like + gap
+        open_ = (least < like + gap) & (least >= like) & (gap > SETTLED)
+        if not open_.any():
+            break
+        (p, count, starts), left, share = _pick(p, count, starts, open_), left[open_], share[open_]
+    return sure
+
+
 def infer(model: Model, data: np.ndarray, offsets: np.ndarray, length: int = LENGTH) -> list[tuple[str, float, list[str], list[float]]]:
     """(language, its share, the set, its shares) for each text."""
     places, n = model.logs.shape[0], len(offsets) - 1
@@ -165,11 +197,8 @@ def infer(model: Model, data: np.ndarray, offsets: np.ndarray, length: int = LEN
     logs = model.logs[place]
     single = np.add.reduceat(count[:, None] * logs, starts)
     p = np.exp(logs)
-    _, like = proportions(p, count, starts)
-    total = np.add.reduceat(count, starts)
     ends = np.append(starts[1:], len(row))
-    # No set's likelihood exceeds that of all languages; so one language wins unless that gains over the penalty.
-    sure = single.max(axis=1) >= like - 0.5 * np.log(total)
+    sure = _single(p, count, starts, single.max(axis=1))
     for k, doc in enumerate(docs.tolist()):
         if sure[k]:
             top = int(np.argmax(single[k]))

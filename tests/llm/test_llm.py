@@ -200,6 +200,22 @@ def test_single_language_shortcut_equals_the_full_search():
             assert kept == [int(np.argmax(single))]
 
 
+def test_a_small_language_stays_if_its_likelihood_pays():
+    p = np.full((4, 3), 0.01)
+    p[0, 0], p[1, 1], p[2] = 0.9, 0.9, [1e-4, 1e-4, 0.9]
+    count = np.array([6000.0, 3940.0, 60.0, 0.001])
+    kept, share = language.choose(p, count)
+    assert kept == [0, 1, 2] and 0 < share[2] < 0.02
+
+
+def test_no_shares_beat_the_settled_likelihood():
+    rng = np.random.default_rng(4)
+    p, count = rng.dirichlet(np.ones(60), 4).T * 0.2 + 0.01, rng.integers(1, 60, 60).astype(float)
+    _, like = language.proportions(p, count, np.zeros(1, np.int64))
+    _, far = language.proportions(p, count, np.zeros(1, np.int64), rounds=3000)
+    assert far[0] - like[0] <= language.SETTLED
+
+
 # -- 6 ---------------------------------------------------------------------------------------------------------
 
 
