@@ -1,21 +1,27 @@
 """Interpolated modified Kneser-Ney language model of any order from 2, counted in Spark, memory-mapped by workers.
 
-Tokens are the words of a text, A-Z lower-cased, and one end. Training is one chain of as many shuffles as the order:
+Tokens are the words of a text, A-Z lower-cased, and one end. Training takes one job for words and one for n-grams:
 
-1. each task sorts and combines its n-grams and deals them by hash to buckets; a bucket's owner sums them, writes the
-   file of the highest level (sorted hash array and counts) and passes on to the next level what each n-gram adds to its
-   suffix (one more word that precedes it) and to its context (total, how many n-grams have count 1, 2, 3 or more);
-2. each lower level sums these by its own n-grams, writes a file of the same kind and passes its own shares on, down to
-   words. A frequent n-gram is one row from each bucket, never a group.
+1. words are counted by their 64-bit hashes, combined in each task before the shuffle. Each bucket's owner writes a file:
+   sorted hashes, each word's rank by count in its bucket (rank and bucket are its number), and counts by rank in runs;
+2. each task turns its tokens into word numbers, combines its n-grams and deals them by a hash of their context (all words
+   but the last). A bucket's owner sums them, writes the file of the highest level and passes on to the level below how
+   many different words precede each suffix. Each lower level does the same, down to single words. All n-grams of a
+   context lie in one file, so what a context needs (its total, how many n-grams have value 1, 2, 3 or more) is there.
+
+Rows between tasks are columns of small numbers, sorted, as differences, and compressed. Buckets are as many as hold
+TOKENS_A_BUCKET tokens each, so tasks stay the same size as the corpus grows; a context has at most as many rows in a
+blob as there are words.
 
 The highest level has counts, lower ones have how many different words precede an n-gram; n-grams that begin a text have
 no such word and keep their counts. A text is begun once, so its first tokens have shorter contexts. Each level's
-discounts come from its counts of counts. Workers map the files and look up sorted queries, so that a lookup walks each
-array once a batch. Files are written in one step under fixed names: a retried task replaces them by the same.
+discounts come from its counts of counts. A file of n-grams is a sorted array of its contexts' hashes (a table over their
+first bits, and the next 32), the number of n-grams of each, and their last words in order with their values. Workers map the
+files and look up whole batches. Files are written in one step under fixed names: a retried task replaces them by the same.
 
-Words are known by 48 bits of a 64-bit hash, longer n-grams by 64 bits. Defined results: a null text is empty and has the
-end only. With nothing to learn from, every token has probability 1. Repeated rows count, and are scored, each for itself.
-An empty table gives an empty result; other columns are not touched.
+Words are known by 64 bits, contexts of n-grams by the bucket's bits, the table's and 32 more. Defined results: a null
+text is empty and has the end only. With nothing to learn from, every token has probability 1. Repeated rows count, and
+are scored, each for itself. An empty table gives an empty result; other columns are not touched.
 """
 
 from __future__ import annotations
@@ -31,184 +37,274 @@ from pyspark.sql import functions as F
 
 from millrace.llm.common import map_arrow, map_file, mix, put_file, shared_folder, slices, word_hashes
 
-BEGIN, END = 0, 1
-#: Bigrams (or as many words in longer n-grams) that a task combines at a time, and bytes of text scored at a time.
-FLUSH, SCORE_BYTES = 3_000_000, 8 << 20
+#: The hash of a text's end; numbers of an unknown word and of what is before a text. Words are numbered from FIRST.
+END, UNKNOWN, BEGIN, FIRST = np.uint64(1), 0, 1, 2
+#: Tokens that a task combines at a time; tokens to a bucket; tokens scored at a time, and bytes of text read at a time.
+FLUSH, TOKENS_A_BUCKET, SCORE_TOKENS, SCORE_BYTES = 1_000_000, 2_000_000, 500_000, 2 << 20
+#: Contexts with more n-grams than this have their sums stored; contexts to an entry of a file's table (a power of 2).
+LONG, A_SLOT = 31, 8
 _ODD = np.uint64(0x9E3779B97F4A7C15)
-_PARTS = ["grams", "counts", "contexts", "sums", "stats"]
-_ROW = "bucket int, " + ", ".join(f"{x} binary" for x in _PARTS)
-_TYPES = {1: np.uint8, 2: np.uint16, 4: np.uint32, 8: np.int64}
-#: Sums of a level: n-grams of counts 1 to 4, distinct n-grams, all counts.
+_ROW = "bucket int, grams binary, stats binary"
+#: Sums of a level: n-grams of values 1 to 4, distinct n-grams, all values.
 _STATS = 6
 
 
-def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(word, the word before it, where each text begins): 48-bit hashes, texts ending in END, begun after BEGIN."""
+def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the tokens of texts, each text ending in END, and where each text begins."""
     words, bounds = word_hashes(data, offsets)
-    words = np.maximum(words >> np.uint64(16), np.uint64(2))
     n = len(bounds) - 1
-    starts = bounds[:-1] + np.arange(n)
-    out = np.full(len(words) + n, END, np.uint64)
-    inside = np.ones(len(out), bool)
+    out, inside = np.full(len(words) + n, END, np.uint64), np.ones(len(words) + n, bool)
     inside[bounds[1:] + np.arange(n)] = False
-    out[inside] = words
-    before = np.concatenate([[BEGIN], out[:-1]]).astype(np.uint64)
-    before[starts] = BEGIN
-    return out, before, starts
+    out[inside] = np.maximum(words, np.uint64(2))
+    return out, bounds[:-1] + np.arange(n)
 
 
-def windows(before: np.ndarray, word: np.ndarray, starts: np.ndarray, order: int) -> list[np.ndarray]:
-    """The words of each token's n-gram, BEGIN in front of the one that begins a text where the text is too short."""
-    out = [before, word]
+def windows(word: np.ndarray, starts: np.ndarray, order: int) -> list[np.ndarray]:
+    """The words of each token's n-gram, BEGIN in front of the first one and of the ones before it."""
+    out = [word]
     while len(out) < order:
-        earlier = np.concatenate([[BEGIN], out[0][:-1]]).astype(np.uint64)
+        earlier = np.empty_like(word)
+        earlier[1:] = out[0][:-1]
         earlier[starts] = BEGIN
         out.insert(0, earlier)
     return out
 
 
-def gram(words: list[np.ndarray]) -> np.ndarray:
-    """Keys of n-grams: a word itself, or a hash of all words."""
-    key = words[0]
+def context_hash(words: list[np.ndarray]) -> np.ndarray:
+    key = mix(words[0].astype(np.uint64) + _ODD)
     for w in words[1:]:
-        key = mix(key * _ODD + mix(w))
+        key = mix(key * _ODD + w.astype(np.uint64))
     return key
 
 
-def _width(level: int) -> int:
-    return 48 if level == 1 else 64
+def _top(key: np.ndarray, bits: int) -> np.ndarray:
+    return (key >> np.uint64(64 - bits)).astype(np.int32) if bits else np.zeros(len(key), np.int32)
 
 
-def _short(x: np.ndarray) -> bytes:
-    """48-bit numbers in six bytes each."""
-    return np.ascontiguousarray(x).view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+# -- columns of small numbers ----------------------------------------------------------------------------------
 
 
-def _long(blobs: list[bytes]) -> np.ndarray:
-    raw = np.frombuffer(b"".join(blobs), np.uint8).reshape(-1, 6)
-    out = np.zeros((len(raw), 8), np.uint8)
-    out[:, :6] = raw
-    return out.view(np.uint64).ravel()
+def _planes(x: np.ndarray) -> list[np.ndarray]:
+    """Numbers as arrays of their bytes, lowest first, as many as the largest needs."""
+    width = max(1, (int(x.max()).bit_length() + 7) // 8) if len(x) else 1
+    raw = np.ascontiguousarray(x.astype("<u8")).view(np.uint8).reshape(-1, 8)
+    return [np.ascontiguousarray(raw[:, k]) for k in range(width)]
 
 
-def _summed(key: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-    """Sorted distinct keys, a row of each, and the values' sums."""
-    order = np.argsort(key, kind="stable")
-    key = key[order]
-    at = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
-    return key[at], order[at], [np.add.reduceat(v[order], at) if len(key) else v for v in values]
+def _take(planes: list[np.ndarray], at: np.ndarray) -> np.ndarray:
+    out = planes[0][at].astype(np.int64)
+    for k, plane in enumerate(planes[1:], 1):
+        out |= plane[at].astype(np.int64) << (8 * k)
+    return out
 
 
-def _deal(key: np.ndarray, bits: int, width: int, make: Callable) -> tuple[list[int], list[tuple]]:
-    """Cut rows that are sorted by key (of `width` bits) into buckets by the key's first bits."""
-    edges = np.searchsorted(key, np.arange(1 << bits, dtype=np.uint64) << np.uint64(width - bits)).tolist() + [len(key)]
-    full = [b for b in range(1 << bits) if edges[b] < edges[b + 1]]
-    return full, [make(slice(edges[b], edges[b + 1])) for b in full]
+def _packed(words: list[np.ndarray], value: np.ndarray) -> bytes:
+    """A compressed blob of n-grams that are in order, and their values."""
+    columns = [_planes(x) for x in (np.diff(words[0], prepend=words[0].dtype.type(0)), *words[1:], value)]
+    raw = np.array([len(value), *map(len, columns)], "<i8").tobytes() + b"".join(p.tobytes() for c in columns for p in c)
+    return len(raw).to_bytes(8, "little") + pa.Codec("zstd", 1).compress(raw, asbytes=True)
 
 
-def _kind(values: np.ndarray) -> type:
-    return next(t for t in _TYPES.values() if not len(values) or values.max() <= np.iinfo(t).max)
+def _unpacked(blobs: list[bytes], n_words: int) -> tuple[list[np.ndarray], np.ndarray]:
+    columns: list[list[np.ndarray]] = [[] for _ in range(n_words + 1)]
+    for blob in blobs:
+        raw = np.frombuffer(pa.Codec("zstd").decompress(blob[8:], int.from_bytes(blob[:8], "little")), np.uint8)
+        n, *widths = raw[: 8 * (n_words + 2)].view("<i8").tolist()
+        at = 8 * (n_words + 2)
+        for k, width in enumerate(widths):
+            wide = np.zeros((n, 4 if width <= 4 else 8), np.uint8)
+            for j in range(width):
+                wide[:, j] = raw[at : at + n]
+                at += n
+            x = wide.view(np.uint32 if width <= 4 else np.uint64).ravel()
+            columns[k].append(np.cumsum(x, dtype=np.uint64) if not k else x)
+    whole = [np.concatenate([np.zeros(0, np.uint32), *x]) for x in columns]
+    small = [x.astype(np.uint32) if len(x) and x.max() < 2**32 else x for x in whole[:-1]]
+    return small, whole[-1].astype(np.int64)
+
+
+def _combined(words: list[np.ndarray], value: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """Distinct n-grams in order, and their values' sums."""
+    order = np.lexsort(words[::-1])
+    words, new = [w[order] for w in words], np.zeros(len(order), bool)
+    new[:1] = True
+    for w in words:
+        new[1:] |= w[1:] != w[:-1]
+    at = np.flatnonzero(new)
+    return [w[at] for w in words], np.add.reduceat(value[order], at) if len(at) else value[:0]
+
+
+def _rows(words: list[np.ndarray], value: np.ndarray, bucket: np.ndarray, stats: tuple[int, np.ndarray] | None = None) -> pa.Table:
+    """Rows for the next level's owners: n-grams that are in order, dealt to buckets, and a row of sums."""
+    order = np.argsort(bucket.astype(np.uint16) if not len(bucket) or bucket.max() < 1 << 16 else bucket, kind="stable")
+    full, at = np.unique(bucket[order], return_index=True)
+    cut = [order[i:j] for i, j in zip(at, [*at[1:], len(order)], strict=True)]
+    rows = [(b, _packed([w[s] for w in words], value[s]), None) for b, s in zip(full.tolist(), cut, strict=True)]
+    if stats:
+        rows.append((stats[0], None, stats[1].tobytes()))
+    columns = list(zip(*rows, strict=True)) if rows else [[]] * 3
+    return pa.table([pa.array(columns[0], pa.int32()), pa.array(columns[1], pa.binary()), pa.array(columns[2], pa.binary())], ["bucket", "grams", "stats"])
 
 
-def _packed(*values: np.ndarray) -> bytes:
-    """Columns of counts in as few bytes as hold them."""
-    n, *kinds = len(values[0]), *map(_kind, values)
-    return np.array([n, *(np.dtype(t).itemsize for t in kinds)], np.int64).tobytes() + b"".join(v.astype(t).tobytes() for v, t in zip(values, kinds, strict=True))
+# -- words -----------------------------------------------------------------------------------------------------
 
 
-def _unpacked(blobs: list[bytes], n_columns: int) -> list[np.ndarray]:
-    parts = [[np.zeros(0, np.int64)] for _ in range(n_columns)]
-    for blob in blobs:
-        n, *widths = np.frombuffer(blob, np.int64, 1 + n_columns).tolist()
-        at = 8 * (1 + n_columns)
-        for part, w in zip(parts, widths, strict=True):
-            part.append(np.frombuffer(blob, _TYPES[w], n, at).astype(np.int64))
-            at += w * n
-    return [np.concatenate(x) for x in parts]
-
-
-def _rows(bits: int, grams: tuple, contexts: tuple | None = None, stats: tuple | None = None) -> pa.Table:
-    """Rows for the owners of the next level: (words, keys, counts) of n-grams, (keys, sums) of contexts, (bucket, statistics).
-
-    Counts are those in the text and, below the highest level, how many different words precede.
-    """
-    words, key, counts = grams
-    bucket, blobs = _deal(key, bits, _width(len(words)), lambda s: (b"".join(_short(w[s]) for w in words), _packed(*(c[s] for c in counts))))
-    rows = [(b, *x, None, None, None) for b, x in zip(bucket, blobs, strict=True)]
-    if contexts:
-        keys, sums = contexts
-        raw = _short if len(words) == 1 else np.ndarray.tobytes
-        bucket, blobs = _deal(keys, bits, _width(len(words)), lambda s: (raw(keys[s]), _packed(*(c[s] for c in sums))))
-        rows += [(b, None, None, *x, None) for b, x in zip(bucket, blobs, strict=True)]
-    if stats:
-        rows.append((stats[0], None, None, None, None, stats[1].tobytes()))
-    columns = list(zip(*rows, strict=True)) if rows else [[]] * 6
-    return pa.table([pa.array(columns[0], pa.int32()), *(pa.array(c, pa.binary()) for c in columns[1:])], ["bucket", *_PARTS])
+def _count_words(bits: int) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        parts, n = [], 0
+
+        def merged() -> tuple[np.ndarray, np.ndarray]:
+            words, value = _combined([np.concatenate([keys, *parts])], np.concatenate([counts, np.ones(n, np.int64)]))
+            return words[0], value
 
+        for batch in batches:
+            for _, _, data, offsets in slices(batch["text"]):
+                parts.append(tokens(data, offsets)[0])
+                n += len(parts[-1])
+                if n >= FLUSH:
+                    keys, counts = merged()
+                    parts, n = [], 0
+                    if len(keys) >= 2 * FLUSH:
+                        yield from _rows([keys], counts, _top(keys, bits)).combine_chunks().to_batches()
+                        keys, counts = keys[:0], counts[:0]
+        keys, counts = merged()
+        if len(keys):
+            yield from _rows([keys], counts, _top(keys, bits)).combine_chunks().to_batches()
 
-def _words(blobs: list[bytes], level: int) -> list[np.ndarray]:
-    """The words (first to last) of n-grams that came in several blobs."""
-    parts = [np.split(_long([b]), level) for b in blobs]
-    return [np.concatenate([np.zeros(0, np.uint64), *(p[k] for p in parts)]) for k in range(level)]
+    return run
 
 
-def _count(bits: int, order: int) -> Callable:
-    def flush(parts: list[list[np.ndarray]]) -> list[pa.RecordBatch]:
-        words = [np.concatenate(x) for x in zip(*parts, strict=True)]
-        key, row, (counts,) = _summed(gram(words), np.ones(len(words[0]), np.int64))
-        return _rows(bits, ([w[row] for w in words], key, [counts])).combine_chunks().to_batches()
+def _word_file(folder: str) -> Callable:
+    """Sum a bucket's words and write its file: sorted hashes, ranks by count, and counts by rank in runs."""
 
+    def run(key: tuple, group: pa.Table) -> pa.Table:
+        words, count = _unpacked(group["grams"].to_pylist(), 1)
+        (hashes,), count = _combined([words[0].astype(np.uint64)], count)
+        order = np.argsort(-count, kind="stable")
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        falling = count[order]
+        runs = np.flatnonzero(np.diff(falling, prepend=-1))
+        ranks = _planes(rank)
+        put_file(f"{folder}/words-{key[0].as_py():06d}", [np.array([len(hashes), len(ranks), len(runs)], np.int64), hashes, runs.astype(np.int64), falling[runs], *ranks])
+        return pa.table({"types": pa.array([len(hashes)], pa.int64()), "tokens": pa.array([int(count.sum())], pa.int64())})
+
+    return run
+
+
+class Words:
+    """Numbers and counts of words, from memory-mapped files."""
+
+    def __init__(self, folder: str, bits: int) -> None:
+        self.folder, self.bits, self.files = folder, bits, {}
+
+    def file(self, bucket: int) -> tuple:
+        if bucket not in self.files:
+            raw = map_file(f"{self.folder}/words-{bucket:06d}")
+            n, width, runs = raw[:24].view(np.int64).tolist() if len(raw) else (0, 0, 0)
+            longs = raw[24 : 24 + 8 * (n + 2 * runs)]
+            bytes_ = raw[24 + 8 * (n + 2 * runs) :]
+            self.files[bucket] = longs[: 8 * n].view(np.uint64), longs[8 * n : 8 * (n + runs)].view(np.int64), longs[8 * (n + runs) :].view(np.int64), [bytes_[n * k : n * (k + 1)] for k in range(width)]
+        return self.files[bucket]
+
+    def find(self, hashes: np.ndarray, with_counts: bool = False) -> tuple[np.ndarray, np.ndarray | None]:
+        """Numbers of words (UNKNOWN if there is none) and, if asked for, their counts."""
+        asked, back = np.unique(hashes, return_inverse=True)
+        number, count = np.zeros(len(asked), np.int64), np.zeros(len(asked), np.int64)
+        bucket = _top(asked, self.bits)
+        full, at = np.unique(bucket, return_index=True)
+        for b, i, j in zip(full.tolist(), at.tolist(), [*at[1:].tolist(), len(asked)], strict=True):
+            known, starts, counts, ranks = self.file(b)
+            if not len(known):
+                continue
+            place = np.minimum(np.searchsorted(known, asked[i:j]), len(known) - 1)
+            hit = np.flatnonzero(known[place] == asked[i:j])
+            rank = _take(ranks, place[hit])
+            number[i + hit] = FIRST + (rank << self.bits) + b
+            if with_counts:
+                count[i + hit] = counts[np.searchsorted(starts, rank, "right") - 1]
+        return number[back], count[back] if with_counts else None
+
+
+# -- n-grams ---------------------------------------------------------------------------------------------------
+
+
+def _count(words: Words, bits: int, order: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts, n = [], 0
+        known, parts, n = Words(words.folder, words.bits), [], 0
+
+        def flush() -> list[pa.RecordBatch]:
+            grams = [np.concatenate(x) for x in zip(*parts, strict=True)]
+            grams, value = _combined(grams, np.ones(len(grams[0]), np.int64))
+            return _rows(grams, value, _top(context_hash(grams[:-1]), bits)).combine_chunks().to_batches()
+
         for batch in batches:
             for _, _, data, offsets in slices(batch["text"]):
-                word, before, starts = tokens(data, offsets)
-                parts.append(windows(before, word, starts, order))
-                n += order * len(word)
-                if n >= 2 * FLUSH:
-                    yield from flush(parts)
+                word, starts = tokens(data, offsets)
+                number = known.find(word)[0]
+                parts.append(windows(number.astype(np.uint32) if number.max() < 2**32 else number, starts, order))
+                n += len(word)
+                if n >= FLUSH:
+                    yield from flush()
                     parts, n = [], 0
         if n:
-            yield from flush(parts)
+            yield from flush()
 
     return run
 
 
-def _columns(keys: np.ndarray, *values: np.ndarray) -> list[np.ndarray]:
-    """A file's content: rows, bytes of each value, sorted keys, then each column of values in as few bytes as hold it."""
-    kinds = [_kind(v) for v in values]
-    return [np.array([len(keys), *(np.dtype(t).itemsize for t in kinds)], np.int64), keys, *(v.astype(t) for v, t in zip(values, kinds, strict=True))]
-
-
-def _level_file(folder: str, bits: int, order: int, level: int) -> Callable:
+def _file(bits: int, words: list[np.ndarray], value: np.ndarray) -> list[np.ndarray]:
+    """A file's content: n-grams, which are in order, by the hashes of their contexts."""
+    new = np.zeros(len(value), bool)
+    new[:1] = True
+    for w in words[:-1]:
+        new[1:] |= w[1:] != w[:-1]
+    first = np.flatnonzero(new)
+    size = np.diff(np.append(first, len(value)))
+    rest = context_hash([w[first] for w in words[:-1]]) << np.uint64(bits)
+    order = np.argsort(rest, kind="stable")
+    rest, size, first = rest[order], size[order], first[order]
+    ends = np.cumsum(size)
+    at = np.repeat(first - (ends - size), size) + np.arange(len(value))
+    last, value = words[-1][at], value[at]
+    n = len(rest)
+    p = max(0, (n // A_SLOT).bit_length() - 1) if n else 0
+    slots = np.searchsorted(rest, np.arange(1 << p, dtype=np.uint64) << np.uint64(64 - p)) if p else np.zeros(1, np.int64)
+    slots = np.append(slots, n)
+    base = np.append(ends - size, len(value))[slots]
+    low = ((rest << np.uint64(p)) >> np.uint64(32)).astype(np.uint32)
+    long = np.flatnonzero(size > LONG)
+    sums = [np.add.reduceat(x, (ends - size)).astype(np.int64)[long] if n else np.zeros(0, np.int64) for x in (value, value == 1, value == 2, value > 2)]
+    big = np.flatnonzero(value > 255)
+    planes = _planes(last)
+    kind = np.uint32 if len(value) < 2**32 else np.int64
+    head = np.array([n, len(value), p, len(long), len(big), len(planes), np.dtype(kind).itemsize], np.int64)
+    return [head, long, size[long], *sums, big, value[big], slots.astype(kind), base.astype(kind), low, np.minimum(size, LONG + 1).astype(np.uint8), np.minimum(value, 255).astype(np.uint8), *planes]
+
+
+def _level_file(folder: str, word_bits: int, bits: int, order: int, level: int) -> Callable:
     """Sum a bucket's n-grams of a level, write its file and pass on the shares of the level below."""
 
     def run(key: tuple, group: pa.Table) -> pa.Table:
-        bucket, top = key[0].as_py(), level == order
-        blobs = {c: group[c].drop_null().to_pylist() for c in _PARTS}
-        words, counts = _words(blobs["grams"], level), _unpacked(blobs["counts"], 1 if top else 2)
-        contexts = _long(blobs["contexts"]) if level == 1 else np.frombuffer(b"".join(blobs["contexts"]), np.uint64)
-        sums = [] if top else _unpacked(blobs["sums"], 4)
-        none = lambda x: np.zeros(len(x), np.int64)
-        cells = [*(np.concatenate([c, none(contexts)]) for c in counts), *(np.concatenate([none(words[0]), x]) for x in sums)]
-        keys, row, (count, *cells) = _summed(np.concatenate([gram(words), contexts]), *cells)
-        here, sums = (count, []) if top else (cells[0], cells[1:])
-        whole = np.ones(len(keys), bool)
-        if level > 1:
-            words = [w[row] for w in words]  # a context of two words or more is an n-gram too, and comes after it
-            whole = words[1] != BEGIN  # else a text's first tokens, whose n-gram is shorter
-        put_file(f"{folder}/grams{level}-{bucket:06d}", _columns(keys[whole], *(x[whole] for x in (here, *sums, *[count] * (level == 1)))))
-        n = here[whole]
-        stats = np.sum([np.zeros(_STATS * order + 1, np.int64), *(np.frombuffer(x, np.int64) for x in blobs["stats"])], axis=0)
-        stats[_STATS * (level - 1) : _STATS * level] += [*((n == k).sum() for k in (1, 2, 3, 4)), (n > 0).sum(), n.sum()]
+        bucket = key[0].as_py()
+        grams, value = _combined(*_unpacked(group["grams"].drop_null().to_pylist(), level))
+        # A text's first tokens come up with BEGIN twice or more; they are n-grams of a lower level.
+        whole = grams[1] != BEGIN if level > 1 else np.ones(len(value), bool)
+        n = value[whole]
+        stats = np.sum([np.zeros(_STATS * order, np.int64), *(np.frombuffer(x, np.int64) for x in group["stats"].drop_null().to_pylist())], axis=0)
+        stats[_STATS * (level - 1) : _STATS * level] += [*((n == k).sum() for k in (1, 2, 3, 4)), len(n), n.sum()]
         if level == 1:
-            stats[-1] += count.sum()
+            dense = np.zeros(int((grams[0].max() - FIRST) >> word_bits) + 1 if len(n) else 0, np.int64)
+            dense[(grams[0].astype(np.int64) - FIRST) >> word_bits] = n
+            planes = _planes(dense)
+            put_file(f"{folder}/grams1-{bucket:06d}", [np.array([len(dense), len(planes)], np.int64), *planes])
             return pa.table({"stats": pa.array([stats.tobytes()], pa.binary())})
-        below = words[1:]
-        once = np.where(below[0] == BEGIN, count, 1)  # what begins a text has no word before it: its count is carried on
-        suffix, row, given = _summed(gram(below), count, once)
-        before, _, shares = _summed(gram([w[whole] for w in words[:-1]]), n, *((n == k).astype(np.int64) for k in (1, 2)), (n > 2).astype(np.int64))
-        return _rows(bits, ([w[row] for w in below], suffix, given), (before, shares), (bucket, stats))
+        put_file(f"{folder}/grams{level}-{bucket:06d}", _file(bits, [w[whole] for w in grams], n))
+        # What begins a text has no word before it: its count is carried on. All else counts once for the word before it.
+        below, value = _combined(grams[1:], np.where(grams[1] == BEGIN, value, 1))
+        to = _top(context_hash(below[:-1]), bits) if level > 2 else ((below[0].astype(np.int64) - FIRST) & ((1 << word_bits) - 1)).astype(np.int32)
+        return _rows(below, value, to, (bucket if level > 2 else bucket & ((1 << word_bits) - 1), stats))
 
     return run
 
@@ -224,6 +320,7 @@ class Model:
     """Where the files are, and the few numbers that the driver holds."""
 
     folder: str
+    word_bits: int
     bits: int
     types: int
     tokens: int
@@ -236,24 +333,26 @@ class Model:
         return len(self.discounts)
 
 
-def train(docs: DataFrame, text: str = "text", order: int = 2) -> Model:
+def train(docs: DataFrame, text: str = "text", order: int = 3) -> Model:
     """Count the n-grams of all rows, up to `order` words. The driver gets a few sums for each level."""
     if order < 2:
         raise ValueError("the order is 2 or more")
     rows = docs.select(F.col(text).alias("text"))
-    bits = max(4, math.ceil(math.log2(2 * max(1, rows.rdd.getNumPartitions()))))  # files grow in number with the input
     folder = shared_folder(docs.sparkSession, "lm")
-    shares = map_arrow(rows, _count(bits, order), _ROW)
+    word_bits = max(2, math.ceil(math.log2(max(1, rows.rdd.getNumPartitions()))))
+    words = map_arrow(rows, _count_words(word_bits), _ROW).groupBy("bucket").applyInArrow(_word_file(folder), "types long, tokens long")
+    types, n = words.agg(F.coalesce(F.sum("types"), F.lit(0)), F.coalesce(F.sum("tokens"), F.lit(0))).first()
+    bits = max(2, math.ceil(math.log2(max(1, n / TOKENS_A_BUCKET))))
+    if not n:
+        return Model(folder, word_bits, bits, 0, 0, 0, [[0.5, 1.0, 1.5]] * order, 1.0)
+    shares = map_arrow(rows, _count(Words(folder, word_bits), bits, order), _ROW)
     for level in range(order, 0, -1):
-        shares = shares.groupBy("bucket").applyInArrow(_level_file(folder, bits, order, level), _ROW if level > 1 else "stats binary")
-    unpacked = map_arrow(shares, _unpack_stats, "at int, value long")
-    found = {r["at"]: r["value"] for r in unpacked.groupBy("at").agg(F.sum("value").alias("value")).collect()}
-    s = [found.get(k, 0) for k in range(_STATS * order + 1)]
-    levels, tokens_ = [s[_STATS * k : _STATS * (k + 1)] for k in range(order)], s[-1]
+        shares = shares.groupBy("bucket").applyInArrow(_level_file(folder, word_bits, bits, order, level), _ROW if level > 1 else "stats binary")
+    found = {r["at"]: r["value"] for r in map_arrow(shares, _unpack_stats, "at int, value long").groupBy("at").agg(F.sum("value").alias("value")).collect()}
+    levels = [[found.get(k, 0) for k in range(_STATS * level, _STATS * (level + 1))] for level in range(order)]
     d = [discounts(x[:4]) for x in levels]
-    n1, n2, _, _, types, bigrams = levels[0]
-    rest = (d[0][0] * n1 + d[0][1] * n2 + d[0][2] * (types - n1 - n2)) / bigrams if bigrams else 1.0
-    return Model(folder, bits, types, tokens_, bigrams, d, rest)
+    n1, n2, _, _, different, bigrams = levels[0]
+    return Model(folder, word_bits, bits, types, n, bigrams, d, (d[0][0] * n1 + d[0][1] * n2 + d[0][2] * (different - n1 - n2)) / bigrams)
 
 
 def _unpack_stats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -263,64 +362,150 @@ def _unpack_stats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             yield pa.RecordBatch.from_arrays([pa.array(range(len(values)), pa.int32()), pa.array(values)], ["at", "value"])
 
 
+class Contexts:
+    """One memory-mapped file of n-grams."""
+
+    def __init__(self, raw: np.ndarray, bits: int) -> None:
+        self.bits, self.n = np.uint64(bits), 0
+        if not len(raw):
+            return
+        self.n, n_grams, self.p, n_long, n_big, width, item = raw[:56].view(np.int64).tolist()
+        at = 56
+
+        def next_(n: int, kind: type) -> np.ndarray:
+            nonlocal at
+            at += n * np.dtype(kind).itemsize
+            return raw[at - n * np.dtype(kind).itemsize : at].view(kind)
+
+        self.long, *self.sums = (next_(n_long, np.int64) for _ in range(6))
+        self.big, self.big_value = (next_(n_big, np.int64) for _ in range(2))
+        kind = np.uint32 if item == 4 else np.int64
+        self.slots, self.base = (next_((1 << self.p) + 1, kind) for _ in range(2))
+        self.low, self.size, self.value = next_(self.n, np.uint32), next_(self.n, np.uint8), next_(n_grams, np.uint8)
+        self.last = [next_(n_grams, np.uint8) for _ in range(width)]
+
+    def sizes(self, at: np.ndarray) -> np.ndarray:
+        """How many n-grams contexts have."""
+        size = self.size[at].astype(np.int64)
+        many = np.flatnonzero(size > LONG)
+        size[many] = self.sums[0][np.searchsorted(self.long, at[many])]
+        return size
+
+    def values(self, at: np.ndarray) -> np.ndarray:
+        value = self.value[at].astype(np.int64)
+        many = np.flatnonzero(value == 255)
+        if len(many) and len(self.big):
+            place = np.minimum(np.searchsorted(self.big, at[many]), len(self.big) - 1)
+            hit = self.big[place] == at[many]
+            value[many[hit]] = self.big_value[place[hit]]
+        return value
+
+    def find(self, key: np.ndarray, word: np.ndarray) -> np.ndarray:
+        """(value of context and word; the context's total and how many values are 1, 2, more) for each key, a context's hash."""
+        out = np.zeros((5, len(key)), np.int64)
+        if not self.n:
+            return out
+        rest = key << self.bits
+        slot = (rest >> np.uint64(64 - self.p)).astype(np.int64) if self.p else np.zeros(len(key), np.int64)
+        low = ((rest << np.uint64(self.p)) >> np.uint64(32)).astype(np.uint32)
+        at, end, first = self.slots[slot].astype(np.int64), self.slots[slot + 1].astype(np.int64), self.base[slot].astype(np.int64)
+        found, live = np.zeros(len(key), bool), np.flatnonzero(at < end)
+        while len(live):
+            hit = self.low[at[live]] == low[live]
+            found[live[hit]] = True
+            live = live[~hit]
+            first[live] += self.sizes(at[live])
+            at[live] += 1
+            live = live[at[live] < end[live]]
+        hits = np.flatnonzero(found)
+        at, first, word = at[hits], first[hits], word[hits]
+        size = self.sizes(at)
+        lo, hi = first.copy(), first + size
+        live = np.arange(len(hits))
+        while len(live):  # binary search of the word among the context's last words
+            mid = (lo[live] + hi[live]) >> 1
+            less = _take(self.last, mid) < word[live]
+            lo[live[less]] = mid[less] + 1
+            hi[live[~less]] = mid[~less]
+            live = live[lo[live] < hi[live]]
+        inside = np.flatnonzero(lo < first + size)
+        inside = inside[_take(self.last, lo[inside]) == word[inside]]
+        out[0, hits[inside]] = self.values(lo[inside])
+        many = np.flatnonzero(size > LONG)
+        for k in range(4):
+            out[k + 1, hits[many]] = self.sums[k + 1][np.searchsorted(self.long, at[many])]
+        live, k = np.flatnonzero(size <= LONG), 0
+        while len(live):
+            value = self.values(first[live] + k)
+            out[1, hits[live]] += value
+            for j, test in enumerate((value == 1, value == 2, value > 2), 2):
+                out[j, hits[live]] += test
+            k += 1
+            live = live[size[live] > k]
+        return out
+
+
 class Reader:
-    """Memory-mapped sorted arrays of a model."""
+    """A model's memory-mapped files."""
 
     def __init__(self, model: Model) -> None:
-        self.model, self.files = model, {}
-
-    def columns(self, level: int, bucket: int, n_columns: int) -> list[np.ndarray]:
-        if (level, bucket) not in self.files:
-            raw = map_file(f"{self.model.folder}/grams{level}-{bucket:06d}")
-            head = 8 * n_columns
-            n, *widths = raw[:head].view(np.int64).tolist() if len(raw) else [0] + [1] * (n_columns - 1)
-            found, at = [raw[head : head + 8 * n].view(np.uint64)], head + 8 * n
-            for w in widths:
-                found.append(raw[at : at + w * n].view(_TYPES[w]))
-                at += w * n
-            self.files[level, bucket] = found
-        return self.files[level, bucket]
-
-    def find(self, level: int, keys: np.ndarray) -> np.ndarray:
-        """Values (column, key) of n-grams by their keys: count, and below the highest level what it is as a context; of words also the count in the text. Zeros for unknown ones."""
-        n_columns = 7 if level == 1 else 2 if level == self.model.order else 6
-        keys, back = np.unique(keys, return_inverse=True)
-        out = np.zeros((n_columns - 1, len(keys)), np.int64)
-        starts = np.arange(1 << self.model.bits, dtype=np.uint64) << np.uint64(_width(level) - self.model.bits)
-        edges = np.append(np.searchsorted(keys, starts), len(keys))
-        for bucket in np.flatnonzero(np.diff(edges)).tolist():
-            asked = keys[edges[bucket] : edges[bucket + 1]]
-            known, *values = self.columns(level, bucket, n_columns)
-            if len(known):
-                at = np.minimum(np.searchsorted(known, asked), len(known) - 1)
-                hit = known[at] == asked
-                for k, v in enumerate(values):
-                    out[k, edges[bucket] : edges[bucket + 1]] = np.where(hit, v[at], 0)
-        return out[:, back]
+        self.model, self.words, self.files = model, Words(model.folder, model.word_bits), {}
+
+    def continuations(self, number: np.ndarray) -> np.ndarray:
+        """How many different words precede each word."""
+        out = np.zeros(len(number), np.int64)
+        asked, back = np.unique(number, return_inverse=True)
+        asked = asked.astype(np.int64) - FIRST
+        bucket = asked & ((1 << self.model.word_bits) - 1)
+        value = np.zeros(len(asked), np.int64)
+        for b in np.unique(bucket[asked >= 0]).tolist():
+            if (1, b) not in self.files:
+                raw = map_file(f"{self.model.folder}/grams1-{b:06d}")
+                n, width = raw[:16].view(np.int64).tolist() if len(raw) else (0, 0)
+                self.files[1, b] = n, [raw[16 + n * k : 16 + n * (k + 1)] for k in range(width)]
+            n, planes = self.files[1, b]
+            at = np.flatnonzero((bucket == b) & (asked >= 0) & (asked >> self.model.word_bits < n))
+            if len(at):
+                value[at] = _take(planes, asked[at] >> self.model.word_bits)
+        out[:] = value[back]
+        return out
+
+    def find(self, context: list[np.ndarray], word: np.ndarray) -> np.ndarray:
+        """Contexts.find over all files of a level; zeros for contexts with an unknown word."""
+        level, m = len(context) + 1, self.model
+        out = np.zeros((5, len(word)), np.int64)
+        asked = np.flatnonzero(np.all([w != UNKNOWN for w in context], axis=0))
+        key = context_hash([w[asked] for w in context])
+        order = np.argsort(key)
+        asked, key = asked[order], key[order]
+        full, at = np.unique(_top(key, m.bits), return_index=True)
+        for b, i, j in zip(full.tolist(), at.tolist(), [*at[1:].tolist(), len(key)], strict=True):
+            if (level, b) not in self.files:
+                self.files[level, b] = Contexts(map_file(f"{m.folder}/grams{level}-{b:06d}"), m.bits)
+            out[:, asked[i:j]] = self.files[level, b].find(key[i:j], word[asked[i:j]])
+        return out
 
     def score(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
         """(n_tokens, n_known, base_score, score) of texts."""
         m = self.model
-        word, before, starts = tokens(data, offsets)
-        words = windows(before, word, starts, m.order)
-        lower = self.find(1, np.append(word, np.uint64(BEGIN)))
-        count = lower[5, :-1]
-        take = lambda n, d: np.choose(np.minimum(n, 3), [0.0, *d])  # noqa: E731  the discount of a count
+        hashes, starts = tokens(data, offsets)
+        number, count = self.words.find(hashes, with_counts=True)
+        grams = windows(number, starts, m.order)
+        take = lambda n, d: np.choose(np.minimum(n, 3), [0.0, *d])  # noqa: E731  the discount of a value
+        logs = np.zeros(len(number))
+        for i in range(0, len(number) if m.tokens else 0, SCORE_TOKENS):
+            part = [w[i : i + SCORE_TOKENS] for w in grams]
+            before = self.continuations(part[-1])
+            p = (before - take(before, m.discounts[0])) / m.bigrams + m.word_rest / (m.types + 1)
+            for level in range(2, m.order + 1):
+                value, total, n1, n2, n3 = self.find(part[m.order - level : -1], part[-1])
+                d = m.discounts[level - 1]
+                rest = np.where(total > 0, (d[0] * n1 + d[1] * n2 + d[2] * n3) / np.maximum(total, 1), 1.0)
+                p = (value - take(value, d)) / np.maximum(total, 1) + rest * p
+            logs[i : i + SCORE_TOKENS] = np.log10(p)
         base = np.log10((count + 0.5) / (m.tokens + 0.5 * (m.types + 1)))
-        p = (lower[0, :-1] - take(lower[0, :-1], m.discounts[0])) / max(m.bigrams, 1) + m.word_rest / (m.types + 1)
-        prior = np.arange(len(word)) - 1  # a token's context is the n-gram that ends at the token before it
-        prior[starts] = len(word)
-        for level in range(2, m.order + 1):
-            here, d = self.find(level, gram(words[m.order - level :])), m.discounts[level - 1]
-            total, n1, n2, n3 = lower[1:5, np.minimum(prior, lower.shape[1] - 1)]
-            rest = np.where(total > 0, (d[0] * n1 + d[1] * n2 + d[2] * n3) / np.maximum(total, 1), 1.0)
-            more = (here[0] - take(here[0], d)) / np.maximum(total, 1) + rest * p
-            p = more if level == 2 else np.where(words[m.order - level + 1] != BEGIN, more, p)
-            lower = here
-        if not m.tokens:
-            p = np.ones(len(p))
         sums = lambda x: np.add.reduceat(x, starts)
-        return np.diff(np.append(starts, len(word))), sums((count > 0).astype(np.int64)), sums(base), sums(np.log10(p))
+        return np.diff(np.append(starts, len(number))), sums((count > 0).astype(np.int64)), sums(base), sums(logs)
 
 
 def _score(model: Model) -> Callable:
