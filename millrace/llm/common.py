@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import os
 import shutil
 import tempfile
 import uuid
 import zipfile
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from pathlib import Path
 from urllib.parse import urlparse
 
@@ -20,6 +21,9 @@ from pyspark.sql import functions as F
 
 #: Rows up to which one side of a join is broadcast: at under 64 bytes a row, some 16 MB. Larger sides are shuffled.
 BROADCAST_ROWS = 250_000
+#: Bytes of an Arrow batch, where the session sets no bound of its own: the default of 64 MB is held several times over
+#: by each task, in the JVM and in its worker.
+BATCH_BYTES = 4 << 20
 #: Bytes of text that the vectorised functions take at once, so that their scratch arrays stay in cache and bounded.
 SLICE_BYTES = 1 << 20
 
@@ -31,7 +35,9 @@ def shared_root(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or one made here where that is unset."""
     conf = spark.sparkContext.getConf()
     root = conf.get("spark.checkpoint.dir", None) or getattr(spark.sparkContext, "_millrace_shared", None)
-    if not root:  # local mode without the setting, as in tests
+    if not root:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = "file://" + tempfile.mkdtemp(prefix="millrace-")
         spark.sparkContext._millrace_shared = root
         spark.sparkContext.setCheckpointDir(root)
@@ -103,8 +109,10 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the workers, once for each SparkContext: they may not have it installed."""
+    """Send this package to the workers, once for each SparkContext: they may not have it installed. Bounds Arrow batches."""
     context = spark.sparkContext
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) in (None, "67108864b"):
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     if not getattr(context, "_millrace_shipped", False):
         package = Path(__file__).resolve().parents[1]
         target = Path(tempfile.mkdtemp(prefix="millrace-package-")) / "millrace.zip"
@@ -116,10 +124,22 @@ def ship(spark: SparkSession) -> None:
         context._millrace_shipped = True
 
 
-def map_arrow(df: DataFrame, function: object, schema: object) -> DataFrame:
+def _tidy(function: Callable) -> Callable:
+    """The function, giving free memory back when a task ends: workers are used again by later tasks and stages."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from function(batches)
+        pa.default_memory_pool().release_unused()
+        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc
+            trim(0)
+
+    return run
+
+
+def map_arrow(df: DataFrame, function: Callable, schema: object) -> DataFrame:
     """df.mapInArrow with this package at the workers."""
     ship(df.sparkSession)
-    return df.mapInArrow(function, schema)
+    return df.mapInArrow(_tidy(function), schema)
 
 
 # -- joins -----------------------------------------------------------------------------------------------------

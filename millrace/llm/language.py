@@ -22,16 +22,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import map_arrow, mix, slices, texts
+from millrace.llm.common import map_arrow, mix, ship, slices, texts
 
 #: Places of the hashed n-gram table; n-gram length in characters; EM rounds at a time; added count for unseen n-grams.
 PLACES, LENGTH, ROUNDS, SMOOTH = 1 << 15, 3, 12, 0.1
+#: Characters of which n-grams are made at a time, so that scratch memory stays bounded for any text.
+PIECE = 1 << 20
 #: A likelihood has settled if it is less than this below its maximum; how often ROUNDS are repeated at most until then.
 SETTLED, MOST_TIMES = 0.01, 500
 
-_POINTS = np.arange(0x110000, dtype=np.uint32)
-
-
 def _letter_table() -> np.ndarray:
     """Code point -> code point of its lower-case letter, or 32 for what is no letter."""
     table = np.full(0x110000, 32, np.uint32)
@@ -44,36 +43,32 @@ def _letter_table() -> np.ndarray:
 _TABLES: dict[str, np.ndarray] = {}
 
 
-def letters(data: bytes) -> np.ndarray:
-    """A UTF-8 text's code points, lower-cased, with anything but letters as blanks."""
-    if "letters" not in _TABLES:
-        _TABLES["letters"] = _letter_table()
-    return _TABLES["letters"][np.frombuffer(data.decode("utf-8", "replace").encode("utf-32-le"), np.uint32)]
-
+def grams(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, places: int = PLACES) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(row, place) of every n-gram of the texts that holds a letter, PIECE characters at a time.
 
-def grams(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, places: int = PLACES) -> tuple[np.ndarray, np.ndarray]:
-    """(row, place) of every n-gram of the texts that holds a letter; words are separated by one blank or more."""
+    Words are separated by one blank or more.
+    """
     raw = data.tobytes()
     if "letters" not in _TABLES:
         _TABLES["letters"] = _letter_table()
-    parts = [b" " + raw[a:b] + b" " for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
-    points = np.frombuffer(b"".join(parts).decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
-    starts = np.cumsum([0] + [len(p.decode("utf-8", "replace")) for p in parts[:-1]])
-    points = _TABLES["letters"][points]
+    parts = [(b" " + raw[a:b] + b" ").decode("utf-8", "replace") for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+    starts = np.cumsum([0] + [len(p) for p in parts[:-1]])
+    points = _TABLES["letters"][np.frombuffer("".join(parts).encode("utf-32-le"), np.uint32)]
     blank = points == 32
     solid = ~(blank & np.concatenate([[False], blank[:-1]]))  # a run of blanks counts as one
     solid[starts] = True
-    row = np.cumsum(np.bincount(starts, minlength=len(points)), dtype=np.int32)[solid] - 1
-    points = points[solid].astype(np.uint64)
-    n = len(points) - length + 1
-    if n <= 0:
-        return np.zeros(0, np.int32), np.zeros(0, np.int64)
-    value, ink = np.zeros(n, np.uint64), np.zeros(n, bool)
-    for k in range(length):
-        value = value * np.uint64(0x110000) + points[k : k + n]
-        ink |= points[k : k + n] != 32
-    ink &= row[:n] == row[length - 1 : length - 1 + n]
-    return row[:n][ink], (mix(value[ink]) % np.uint64(places)).astype(np.int64)
+    begins = np.searchsorted(np.flatnonzero(solid), starts)
+    points = points[solid]
+    for at in range(0, len(points) - length + 1, PIECE):
+        piece = points[at : at + PIECE + length - 1].astype(np.uint64)
+        n = len(piece) - length + 1
+        row = np.searchsorted(begins, np.arange(at, at + len(piece)), "right").astype(np.int32) - 1
+        value, ink = np.zeros(n, np.uint64), np.zeros(n, bool)
+        for k in range(length):
+            value = value * np.uint64(0x110000) + piece[k : k + n]
+            ink |= piece[k : k + n] != 32
+        ink &= row[:n] == row[length - 1 :]
+        yield row[:n][ink], (mix(value[ink]) % np.uint64(places)).astype(np.int64)
 
 
 @dataclass
@@ -91,10 +86,10 @@ def _count(length: int, places: int) -> Callable:
             langs = np.array(batch["lang"].to_pylist(), object)
             for i, j, data, offsets in slices(batch["text"]):
                 names, code = np.unique(langs[i:j].astype(str), return_inverse=True)
-                row, place = grams(data, offsets, length, places)
-                counts = np.bincount(code[row] * places + place, minlength=len(names) * places)
-                for k, name in enumerate(names.tolist()):
-                    sums[name] = sums.get(name, 0) + counts[k * places : (k + 1) * places]
+                for row, place in grams(data, offsets, length, places):
+                    counts = np.bincount(code[row] * places + place, minlength=len(names) * places)
+                    for k, name in enumerate(names.tolist()):
+                        sums[name] = sums.get(name, 0) + counts[k * places : (k + 1) * places]
         for name, counts in sums.items():
             at = np.flatnonzero(counts)
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(counts[at], pa.int64())], ["lang", "place", "n"])
@@ -121,7 +116,7 @@ def _climb(p: np.ndarray, count: np.ndarray, starts: np.ndarray, share: np.ndarr
     owner = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(count))))
     total = np.add.reduceat(count, starts)
     for k in range(rounds + 1):
-        mixed = np.maximum((p * share[owner]).sum(axis=1), 1e-300)
+        mixed = np.maximum(np.einsum("ij,ij->i", p, share[owner]), 1e-300)
         gain = np.add.reduceat(p * (count / mixed)[:, None], starts) / total[:, None]
         if k < rounds:
             share = share * gain
@@ -187,11 +182,12 @@ def infer(model: Model, data: np.ndarray, offsets: np.ndarray, length: int = LEN
     """(language, its share, the set, its shares) for each text."""
     places, n = model.logs.shape[0], len(offsets) - 1
     out: list = [("und", 0.0, [], [])] * n
-    row, place = grams(data, offsets, length, places)
-    if not len(row) or not model.langs:
+    found = [np.unique(row.astype(np.int64) * places + place, return_counts=True) for row, place in grams(data, offsets, length, places)]
+    if not any(len(x) for x, _ in found) or not model.langs:
         return out
-    code, count = np.unique(row.astype(np.int64) * places + place, return_counts=True)
-    row, place, count = code // places, code % places, count.astype(float)
+    code, back = np.unique(np.concatenate([x for x, _ in found]), return_inverse=True)
+    count = np.bincount(back, np.concatenate([x for _, x in found]))
+    row, place = code // places, code % places
     starts = np.flatnonzero(np.diff(row, prepend=-1))
     docs = row[starts]
     logs = model.logs[place]
@@ -235,19 +231,14 @@ def held_out(doc_id: str = "doc_id", folds: int = 4, fold: int = 2) -> F.Column:
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % folds == fold
 
 
-def _mark(shared: object, length: int, least: float, text: str) -> Callable:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
-        for batch in batches:
-            good: list[bool] = []
-            for _, _, data, offsets in slices(texts(batch[text]), 1 << 18):
-                good += [x[0] != "und" and x[1] >= least for x in infer(model, data, offsets, length)]
-            yield batch.filter(pa.array(good, pa.bool_()))
-
-    return run
-
-
 def keep_identified(docs: DataFrame, model: Model, text: str = "text", least: float = 0.5, length: int = LENGTH) -> DataFrame:
     """The rows of docs, columns as they are, in which one language has a share of `least` or more."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    return map_arrow(docs, _mark(shared, length, least, text), docs.schema)
+    ship(docs.sparkSession)
+
+    @F.arrow_udf("boolean")
+    def identified(column: pa.Array) -> pa.Array:  # the other columns stay in the JVM
+        good = [x[0] != "und" and x[1] >= least for _, _, data, offsets in slices(texts(column), 1 << 18) for x in infer(shared.value, data, offsets, length)]
+        return pa.array(good, pa.bool_())
+
+    return docs.filter(identified(F.col(text)))
