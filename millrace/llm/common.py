@@ -97,7 +97,7 @@ def map_file(uri: str) -> np.ndarray:
             return np.frombuffer(f.read(), np.uint8)
     if not os.path.exists(path) or not os.path.getsize(path):
         return np.zeros(0, np.uint8)
-    return np.memmap(path, np.uint8, "r")
+    return np.asarray(np.memmap(path, np.uint8, "r"))
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -117,7 +117,7 @@ def ship(spark: SparkSession) -> None:
         package = Path(__file__).resolve().parents[1]
         target = Path(tempfile.mkdtemp(prefix="millrace-package-")) / "millrace.zip"
         with zipfile.ZipFile(target, "w") as out:
-            for path in sorted([*package.rglob("*.py"), *package.rglob("*.txt")]):
+            for path in sorted(package.rglob("*.py")):
                 out.write(path, path.relative_to(package.parent))
         context.addPyFile(str(target))
         atexit.register(shutil.rmtree, target.parent, True)

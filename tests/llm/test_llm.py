@@ -326,31 +326,84 @@ def test_secrets(spark):
     got = [r["spans"] for r in secrets.find_secrets(documents(spark, list(enumerate(texts)))).orderBy("doc_id").collect()]
     kinds = [[s["kind"] for s in g] for g in got]
     assert kinds == [["assign", "access", "hex"], [], [], [], ["guess"], [], ["guess"], [], [], ["assign"]]
-    assert [texts[4][s["start"] : s["end"]] for s in got[4]] == ["p@Xk9$mQ2v!zz"]
+    assert [texts[4][s["start"] : s["end"]] for s in got[4]] == ["p@Xk9$mQ2v!zz"] and got[4][0]["guesses"] >= secrets.LEAST
     row = secrets.digest_spans(secrets.find_secrets(documents(spark, [(0, texts[0])]))).first()
     assert row["spans"] == "assign:0:17,access:23:43,hex:49:73" and row["base_sha256"] == hashlib.sha256(row["spans"].encode()).hexdigest()
     assert secrets.find_secrets(documents(spark, [(0, "x")]).limit(0)).count() == 0
+    assert secrets.learn_words(documents(spark, [(0, None)])) == []
+
+
+def slow_spans(text):
+    """The fixed patterns' spans, character by character."""
+    words, value, found = ("password", "passwd", "secret", "token", "api_key", "apikey"), set("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_.=-"), []
+    fold = "".join(c.lower() if c.isascii() else c for c in text)
+
+    def run(i, chars):
+        while i < len(text) and text[i] in chars:
+            i += 1
+        return i
+
+    i = 0
+    while i < len(text):
+        end = None
+        for w in words:
+            if fold.startswith(w, i):
+                j = i + len(w)
+                j = j + 1 if text[j : j + 1] in ("'", '"') else j
+                j = run(j, " ")
+                if text[j : j + 1] in (":", "="):
+                    j = run(j + 1, " ")
+                    j = j + 1 if text[j : j + 1] in ("'", '"') else j
+                    if (k := run(j, value)) > j:
+                        end = k
+                        if k - j >= 6:
+                            found.append((i, k, "assign"))
+                        break
+        i = end or i + 1
+    for kind, first, chars, least in (("access", "AKIA", set("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"), 20), ("hex", "", set("0123456789abcdef"), 24)):
+        i = 0
+        while i < len(text):
+            j = run(i + len(first), chars) if text.startswith(first, i) else i
+            if j - i >= least:
+                found.append((i, j, kind))
+            i = max(j, i + 1)
+    return sorted(found, key=lambda s: (s[0], secrets.KINDS.index(s[2])))
+
+
+def test_fixed_spans_over_random_texts():
+    rng, ranks = random.Random(44), secrets.Ranks()
+    parts = ["password", "PassWd", "secret", "TOKEN", "api_key", "apikey", "api", ":", "=", " ", "  ", '"', "'", "\n", "é", "AKIA", "AKIA" + "Q7" * 8, "0a1b2c", "0123456789abcdef" * 2, "x/+", "abc", "Zz9_", ".-="]
+    for _ in range(3000):
+        text = "".join(rng.choice(parts) for _ in range(rng.randrange(0, 14)))
+        assert [s[:3] for s in secrets.scan(text, ranks) if s[2] != "guess"] == slow_spans(text), text
 
 
 def test_guess_cost_is_the_cheapest_segmentation():
+    ranks = secrets.Ranks(["the", "and", "horse", "staple"])
+
     def cheapest(value):
-        found = [(i, i + 1, secrets._brute(value[i])) for i in range(len(value))] + [(i, j, c + secrets._SEGMENT * (i > 0)) for i, j, c in secrets.segments(value)]
+        found = [(i, i + 1, secrets._brute(value[i])) for i in range(len(value))] + [(i, j, c + secrets._SEGMENT * (i > 0)) for i, j, c in secrets.segments(value, ranks)]
         best = {0: 0.0}
         for end in range(1, len(value) + 1):
             best[end] = min(best[i] + c for i, j, c in found if j == end)
         return best[len(value)]
 
-    for v in ("password1999", "qwertyuiop", "aaaaaaa", "xK9$abcabcabc", "P@ssw0rd!", "İstanbul20240131", "1qaz2wsx", ""):
-        assert math.isclose(secrets.guess_cost(v), cheapest(v))
-    assert secrets.guess_cost("password") < 1 < secrets.guess_cost("P@ssw0rd") < secrets.LEAST < secrets.guess_cost("Xk9$mQ2v")
+    for v in ("password1999", "qwertyuiop", "aaaaaaa", "xK9$abcabcabc", "P@ssw0rd!", "İstanbul20240131", "1qaz2wsx", "horsestaple", ""):
+        assert math.isclose(secrets.guess_cost(v, ranks), cheapest(v))
+    assert secrets.guess_cost("password", ranks) < 1 < secrets.guess_cost("P@ssw0rd", ranks) < secrets.LEAST < secrets.guess_cost("Xk9$mQ2v", ranks)
+    assert secrets.guess_cost("horsestaple", ranks) < 4 < secrets.LEAST < secrets.guess_cost("horsestaple", secrets.Ranks())
 
 
-def test_ordinary_words_are_no_secrets(spark):
-    prose = ["password is incorrect", "The secret is nothing.", "token is rejected", "your password is required", "the api key is missing", "bearer is unauthorized", "passcode is Something", "credential is sunflower", "pwd is bicyclegarden"]
+def test_words_of_the_corpus_are_no_secrets(spark):
+    prose = ["password is incorrect", "The secret is nothing.", "token is rejected", "the token is invalidated after", "the secret is extraordinary", "bearer is unauthorized", "passcode is Something", "credential is sunflower", "pwd is bicyclegarden"]
     hard = ["password is xkqvzjwpfh", "the token is 8fK2q!zTw9", "secret is Xk9$mQ2v"]
-    got = [r["spans"] for r in secrets.find_secrets(documents(spark, list(enumerate(prose + hard)))).orderBy("doc_id").collect()]
-    assert [len(g) for g in got] == [0] * len(prose) + [1] * len(hard)
-    assert len(secrets.VOCABULARY) > 10_000
+    body = ["incorrect nothing rejected invalidated extraordinary unauthorized something sunflower bicycle garden is the after"] * 3
+    docs = documents(spark, list(enumerate(prose + hard + body)))
+    words = secrets.learn_words(docs)
+    assert words[0] in ("the", "after") and "xkqvzjwpfh" not in words and len(words) == len(set(words))
+    got = [r["spans"] for r in secrets.find_secrets(docs, words).orderBy("doc_id").collect()]
+    assert [len(g) for g in got] == [0] * len(prose) + [1] * len(hard) + [0] * len(body)
+    assert secrets.learn_words(docs, most=2) == words[:2]
 
 
 # -- 5 ---------------------------------------------------------------------------------------------------------
