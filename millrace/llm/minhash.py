@@ -3,22 +3,25 @@
 A document's set is its distinct shingles (word n-grams over A-Z lower-cased words; the whole sequence if it has
 fewer words). Documents are linked when intersection / union reaches the threshold, and components follow links.
 
-1. Each text gives its set's size, a 64-bit digest of the set, and K minima of 2-universal multiply-shift hashes.
-2. Rows with equal sets collapse to one node (named by the set's digest), so groups of copies cost one node.
+1. Each text gives its set's size, a 128-bit digest of the set, and K minima of 2-universal multiply-shift hashes.
+2. Rows with equal sets collapse to one node, so groups of copies cost one node.
 3. Nodes share a bucket when all minima of a band agree. A bucket is never expanded into pairs: each member is
    compared with the bucket's hub only, and hubs differ from band to band, as nodes are ordered by a hash of their own
-   for each band. Candidates are checked by their signatures, then confirmed on the full sets.
+   for each band. Members are dealt in slices of a bucket, each with the hub, so a large bucket is many tasks'
+   work. Candidates are checked by their signatures, then confirmed on the full sets.
 4. Alternating large-star and small-star contracts the confirmed links to components.
 5. Buckets that still hold several components are compared completely, in blocks of bounded size, leaving out pairs
    that are connected already or that an earlier band has compared. Pairs never become rows: a block passes on the
-   members that have a candidate, then, with their full sets, a forest of confirmed links; and 4 runs again.
+   members that have a candidate, then, with their full sets, a forest of confirmed links; and 4 runs again. A
+   member of a bucket of n such nodes is read n / BLOCK times.
 
 Bands are cut so that a pair at the threshold shares no bucket with a probability of 1e-6 at most: 32 bands of 6 minima
 for 0.85, 38 of 5 for 0.8.
 
 Defined results: null, empty or blank texts have the empty set (n_shingles 0) and are linked with nothing. Rows are
-linked by their texts alone, so rows of one doc_id with different texts may be in different components; a row with a
-null doc_id is in a component of its own. Repeated rows have equal sets and thus one component. Other columns are not touched.
+linked by their texts alone, so rows of one doc_id with different texts may be in different components. Rows with a
+null doc_id are linked like any other; a component is named by its smallest id, and is null if it has none, when just
+one of its rows is kept. Repeated rows have equal sets and thus one component. Other columns are not touched.
 """
 
 from __future__ import annotations
@@ -36,8 +39,8 @@ from millrace.llm.common import map_arrow, materialize, mix, sized, slices, word
 MINIMA, MISSED = 192, 1e-6
 #: How many standard errors a signature's estimate may be below the threshold.
 ERRORS = 4.5
-#: Members of a bucket that one block of the complete comparison holds.
-BLOCK = 512
+#: Members of a bucket that one block of the complete comparison holds, and members that meet their hub in one slice.
+BLOCK, SLICE = 2048, 2000
 
 
 def banding(percent: int) -> tuple[int, int]:
@@ -91,9 +94,10 @@ def _sign(size: int, k: int) -> Callable:
         for batch in batches:
             for i, j, data, offsets in slices(batch["text"]):
                 sets = shingle_sets(data, offsets, size)
+                d1, d2 = zip(*map(digest, sets), strict=True)
                 yield pa.RecordBatch.from_arrays(
-                    [batch["doc_id"][i:j].cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([digest(s) if len(s) else 0 for s in sets], pa.int64()), pa.array([signature(s, mult, add).tobytes() if len(s) else None for s in sets], pa.binary())],
-                    ["doc_id", "n_shingles", "d1", "sig"],
+                    [batch["doc_id"][i:j], pa.array([len(s) for s in sets], pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array([signature(s, mult, add).tobytes() if len(s) else None for s in sets], pa.binary())],
+                    ["doc_id", "n_shingles", "d1", "d2", "sig"],
                 )
 
     return run
@@ -133,17 +137,20 @@ def _alike(k: int, least: float) -> Callable:
     return run
 
 
-def digest(shingles: np.ndarray) -> int:
-    """The name of a set: 64 bits of it, signed."""
-    return int(np.bitwise_xor.reduce(mix(shingles)).view(np.int64))
+def digest(shingles: np.ndarray) -> tuple[int, int]:
+    """128 bits of a set, as two signed numbers."""
+    mixed = mix(shingles)
+    return int(np.bitwise_xor.reduce(mixed).view(np.int64)), int(np.add.reduce(mix(mixed + np.uint64(1))).view(np.int64))
 
 
 def _sets(size: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, j, data, offsets in slices(batch["text"]):
+            for _, _, data, offsets in slices(batch["text"]):
                 sets = [s for s in shingle_sets(data, offsets, size) if len(s)]
-                yield pa.RecordBatch.from_arrays([pa.array([digest(s) for s in sets], pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], ["node", "shingles"])
+                if sets:
+                    d1, d2 = zip(*map(digest, sets), strict=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], ["d1", "d2", "shingles"])
 
     return run
 
@@ -208,9 +215,12 @@ def _forest(bands: int, rows: int, least: float, percent: int) -> Callable:
 
 
 def full_sets(nodes: DataFrame, docs: DataFrame, reps: DataFrame, size: int) -> DataFrame:
-    """(node, shingles) of some nodes, read from the texts of their representatives (node, doc_id) alone."""
-    asked = materialize(nodes.select("node").distinct().join(reps, "node").select("doc_id").distinct(), "asked")
-    return materialize(map_arrow(docs.join(sized(asked), "doc_id").select("text"), _sets(size), "node long, shingles array<long>").dropDuplicates(["node"]), "sets")
+    """(node, shingles) of some nodes, read from the texts of their representatives' ids alone."""
+    asked = materialize(nodes.select("node").distinct().join(reps, "node"), "asked")
+    ids = sized(materialize(asked.select(F.col("doc_id").alias("__rep")).distinct(), "ids"))
+    rows = docs.join(ids, docs["doc_id"].eqNullSafe(F.col("__rep")), "left_semi").select("text")
+    sets = map_arrow(rows, _sets(size), "d1 long, d2 long, shingles array<long>").dropDuplicates(["d1", "d2"])
+    return materialize(sets.join(asked, ["d1", "d2"]).select("node", "shingles"), "sets")
 
 
 def confirm(pairs: DataFrame, docs: DataFrame, reps: DataFrame, size: int, percent: int) -> DataFrame:
@@ -248,31 +258,52 @@ def components(links: DataFrame) -> DataFrame:
         before = now
 
 
-def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = 5, percent: int = 80) -> DataFrame:
-    """One row for each row of docs: doc_id, n_shingles, component_id, kept."""
+def _named(signed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows that have a set, with their node; and (node, d1, d2, smallest doc_id) of each node.
+
+    A node is named by d1, or by a hash of both digests where different sets have the same d1.
+    """
+    rows = signed.filter("n_shingles > 0")
+    reps = materialize(rows.groupBy("d1", "d2").agg(F.min("doc_id").alias("doc_id")), "nodes")
+    twice = materialize(reps.groupBy("d1").agg(F.count("*").alias("n")).filter("n > 1").select("d1", F.lit(True).alias("twice")), "twice")
+    if twice.isEmpty():
+        return rows.withColumn("node", F.col("d1")), reps.withColumn("node", F.col("d1"))
+    name = F.when(F.col("twice"), F.xxhash64("d1", "d2")).otherwise(F.col("d1"))
+    rows, reps = (x.join(sized(twice), "d1", "left").withColumn("node", name).drop("twice") for x in (rows, reps))
+    return rows, materialize(reps, "named")
+
+
+def label_rows(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """One row for each row of docs (doc_id, text): doc_id, n_shingles, d1, d2, component_id, kept."""
     bands, rows = banding(percent)
     k, share = bands * rows, percent / 100
     least = share - ERRORS * (share * (1 - share) / k) ** 0.5
-    docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    signed = materialize(map_arrow(docs, _sign(shingle, k), "doc_id long, n_shingles long, d1 long, sig binary"), "signed")
-    named = signed.filter("n_shingles > 0 and doc_id is not null").withColumnRenamed("d1", "node")
-    reps = materialize(named.groupBy("node").agg(F.min("doc_id").alias("doc_id")), "nodes")
-    sigs = materialize(named.join(reps, ["node", "doc_id"]).select("node", "sig").dropDuplicates(["node"]), "signatures")
+    signed = map_arrow(docs, _sign(shingle, k), "doc_id long, n_shingles long, d1 long, d2 long, sig binary")
+    signed = materialize(signed.withColumn("uid", F.monotonically_increasing_id()), "signed")
+    named, reps = _named(signed)
+    first = reps.select(F.col("node").alias("__node"), F.col("doc_id").alias("__rep"))
+    sigs = named.join(first, (F.col("node") == F.col("__node")) & F.col("doc_id").eqNullSafe(F.col("__rep")))
+    sigs = materialize(sigs.select("node", "sig").dropDuplicates(["node"]), "signatures")
 
     banded = map_arrow(sigs, _bands(bands, rows), "bucket long, band int, node long, order long")
-    hubs = banded.groupBy("bucket").agg(F.min("order").alias("low"), F.count("*").alias("n")).filter("n > 1")
-    shared = materialize(banded.join(hubs, "bucket").select("bucket", "band", "node", (F.col("order") == F.col("low")).alias("hub")), "buckets")
-    stars = shared.filter("not hub").join(shared.filter("hub").select("bucket", F.col("node").alias("hub_node")), "bucket")
-    pairs = stars.select(F.greatest("node", "hub_node").alias("a"), F.least("node", "hub_node").alias("b")).filter("a != b").distinct()
+    hubs = banded.groupBy("bucket").agg(F.min(F.struct("order", "node")).alias("low"), F.count("*").alias("n")).filter("n > 1")
+    hubs = materialize(hubs.select("bucket", F.col("low.node").alias("hub"), "n"), "hubs")
+    n_slices = F.ceil(F.col("n") / SLICE).cast("int")
+    hot = materialize(hubs.filter(F.col("n") > SLICE).select("bucket", n_slices.alias("slices")), "hot")
+    dealt = banded.drop("order").join(sized(hot), "bucket", "left").withColumn("slice", F.pmod(F.xxhash64("node"), F.coalesce("slices", F.lit(1))).cast("int"))
+    hubs = hubs.withColumn("slice", F.explode(F.sequence(F.lit(0), n_slices - 1)))
+    shared = materialize(dealt.join(hubs, ["bucket", "slice"]).select("bucket", "band", "node", "hub"), "buckets")
+    pairs = shared.filter("node != hub").select(F.greatest("node", "hub").alias("a"), F.least("node", "hub").alias("b")).distinct()
     x, y = (sigs.select(F.col("node").alias(c), F.col("sig").alias(f"sig_{c}")) for c in "ab")
-    alike = materialize(pairs.join(x, "a").join(y, "b").select("a", "b", "sig_a", "sig_b").mapInArrow(_alike(k, least), "a long, b long"), "alike")
+    alike = materialize(map_arrow(pairs.join(x, "a").join(y, "b").select("a", "b", "sig_a", "sig_b"), _alike(k, least), "a long, b long"), "alike")
     links = confirm(alike, docs, reps, shingle, percent)
     found = materialize(components(links), "components")
 
     # Buckets whose members are not all connected yet: compare their components completely, in blocks.
     placed = shared.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     mixed = placed.groupBy("bucket").agg(F.min("component").alias("c1"), F.max("component").alias("c2"), F.count("*").alias("n")).filter("c1 != c2")
-    rest = materialize(placed.join(mixed.select("bucket", "n"), "bucket").select("bucket", "band", "node", "component", "n"), "mixed")
+    mixed = materialize(mixed.select("bucket", "n"), "unsettled")
+    rest = materialize(placed.join(sized(mixed), "bucket").select("bucket", "band", "node", "component", "n"), "mixed")
     if not rest.isEmpty():
         n_blocks = F.ceil(F.col("n") / BLOCK).cast("int")
         block = F.pmod(F.xxhash64("node"), n_blocks).cast("int")
@@ -288,21 +319,47 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
                 stars = found.select(F.col("node").alias("a"), F.col("component").alias("b"))
                 found = materialize(components(stars.union(added)), "components")
 
-    placed = materialize(reps.join(found, "node", "left").withColumn("component", F.coalesce("component", "node")), "placed")
+    placed = materialize(reps.select("node", "doc_id").join(found, "node", "left").withColumn("component", F.coalesce("component", "node")), "placed")
     labels = placed.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    label = materialize(placed.join(labels, "component").select("node", "component_id"), "labels")
-    linked = named.select("doc_id", "n_shingles", "node").join(sized(label), "node").select("doc_id", "n_shingles", "component_id")
-    alone = signed.filter("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    out = linked.unionByName(alone)
-    return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+    label = materialize(placed.join(labels, "component").select("node", "component", "component_id"), "labels")
+    linked = named.join(sized(label), "node").select("doc_id", "n_shingles", "d1", "d2", "component_id", "component", "uid")
+    nameless = materialize(linked.filter("component_id is null").groupBy("component").agg(F.min("uid").alias("__uid")), "nameless")
+    kept = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    if nameless.isEmpty():
+        linked = linked.withColumn("kept", kept)
+    else:  # components without any id keep their first row
+        linked = linked.join(sized(nameless), "component", "left").withColumn("kept", F.when(F.col("component_id").isNull(), F.col("uid") == F.col("__uid")).otherwise(kept))
+    alone = signed.filter("n_shingles = 0").withColumns({"component_id": F.col("doc_id"), "kept": F.lit(True)})
+    out = ["doc_id", "n_shingles", "d1", "d2", "component_id", "kept"]
+    return linked.select(*out).unionByName(alone.select(*out))
+
+
+def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = 5, percent: int = 80) -> DataFrame:
+    """One row for each row of docs: doc_id, n_shingles, component_id, kept."""
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    return label_rows(rows, shingle, percent).select("doc_id", "n_shingles", "component_id", "kept")
 
 
 def drop_near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = 5, percent: int = 80) -> DataFrame:
     """The rows of docs of which doc_id is its component's smallest, with their columns as they are.
 
-    A doc_id whose rows are in several components stays if it is the smallest of one of them.
+    A doc_id whose rows are in several components stays if it is the smallest of one of them. Of the rows of a component
+    that has no doc_id at all, one stays.
     """
-    found = materialize(near_duplicates(docs, text, doc_id, shingle, percent), "near")
-    fate = found.groupBy("doc_id").agg(F.max("kept").alias("kept"))
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    found = materialize(label_rows(rows, shingle, percent), "near")
+    fate = found.filter("doc_id is not null").groupBy("doc_id").agg(F.max("kept").alias("kept"))
     gone = materialize(fate.filter("not kept").select(F.col("doc_id").alias("__gone")), "gone")
-    return docs.join(sized(gone), docs[doc_id] == F.col("__gone"), "left_anti")
+    out = docs.join(sized(gone), docs[doc_id] == F.col("__gone"), "left_anti")
+    if found.filter("doc_id is null and not kept").isEmpty():
+        return out
+
+    @F.arrow_udf("binary")
+    def digests(column: pa.Array) -> pa.Array:
+        sets = [s for _, _, data, offsets in slices(column) for s in shingle_sets(data, offsets, shingle)]
+        return pa.array([np.array(digest(s), ">i8").tobytes() if len(s) else None for s in sets], pa.binary())
+
+    stay = found.filter("doc_id is null and kept and n_shingles > 0").select(F.unhex(F.concat(*[F.lpad(F.hex(c), 16, "0") for c in ("d1", "d2")])).alias("__stay"))
+    nameless = docs.filter(F.col(doc_id).isNull()).withColumn("__digest", digests(F.col(text)))
+    one = nameless.join(stay, F.col("__digest") == F.col("__stay"), "left_semi").dropDuplicates(["__digest"])
+    return out.filter(F.col(doc_id).isNotNull()).unionByName(one.unionByName(nameless.filter("__digest is null")).drop("__digest"))

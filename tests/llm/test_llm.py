@@ -76,6 +76,7 @@ def test_directory_doubles():
 
 def test_near_duplicates(spark, monkeypatch):
     monkeypatch.setattr(minhash, "BLOCK", 7)
+    monkeypatch.setattr(minhash, "SLICE", 9)
     rng, rows = random.Random(5), []
     base = [f"w{rng.randrange(500)}" for _ in range(120)]
     for i in range(60):
@@ -104,8 +105,8 @@ def test_near_duplicates(spark, monkeypatch):
     got = minhash.near_duplicates(documents(spark, rows + [(None, rows[3][1])]), shingle=3, percent=85).collect()
     assert len(got) == len(rows) + 1
     for r in got:
-        if r["doc_id"] is not None:
-            assert (r["n_shingles"], r["component_id"]) == (len(sets[r["doc_id"]]), find(r["doc_id"]))
+        k = 3 if r["doc_id"] is None else r["doc_id"]
+        assert (r["n_shingles"], r["component_id"]) == (len(sets[k]), find(k))
 
 
 def test_rows_of_one_id_with_different_texts(spark):
@@ -115,6 +116,28 @@ def test_rows_of_one_id_with_different_texts(spark):
     assert minhash.near_duplicates(documents(spark, rows).limit(0), shingle=3, percent=85).count() == 0
 
 
+def test_rows_without_an_id_are_linked(spark):
+    base = [f"w{i}" for i in range(60)]
+    near, link = " ".join(base), " ".join([*base[:-1], "x"])
+    rows = [(None, near), (None, near), (3, link), (8, near), (None, "p q r s"), (None, "P q r  s"), (None, "p q r s t u v w"), (None, ""), (None, None)]
+    got = minhash.near_duplicates(documents(spark, rows), shingle=3, percent=85).collect()
+    assert sorted((r["component_id"] or -1, r["n_shingles"], r["kept"]) for r in got) == sorted(
+        [(3, 58, True), (3, 58, False), (3, 58, False), (3, 58, False), (-1, 2, True), (-1, 2, False), (-1, 6, True), (-1, 0, True), (-1, 0, True)]
+    )
+    docs = documents(spark, rows)
+    left = minhash.drop_near_duplicates(docs, shingle=3, percent=85)
+    assert left.columns == docs.columns
+    assert sorted((r["doc_id"] or -1, (r["text"] or "").lower().split()) for r in left.collect()) == [(-1, []), (-1, []), (-1, "p q r s".split()), (-1, "p q r s t u v w".split()), (3, link.split())]
+
+
+def test_sets_with_one_digest_stay_apart(spark, monkeypatch):
+    signed = spark.createDataFrame([(1, 4, 7, 1), (2, 4, 7, 2), (3, 4, 7, 2), (4, 4, 9, 1)], "doc_id long, n_shingles long, d1 long, d2 long")
+    named, reps = minhash._named(signed)
+    node = {r["doc_id"]: r["node"] for r in named.collect()}
+    assert node[2] == node[3] and len({node[1], node[2], node[4]}) == 3 and node[4] == 9
+    assert {r["node"]: r["doc_id"] for r in reps.collect()} == {node[1]: 1, node[2]: 2, node[4]: 4}
+
+
 def test_star_contraction(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (102, 101), (7, 7)], "a long, b long")
     found = {r["node"]: r["component"] for r in minhash.components(links).collect()}
