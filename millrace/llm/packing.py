@@ -3,7 +3,8 @@
 Documents are tokenised (plus one end token); only those longer than a sequence are cut. The lengths' histogram, which
 has at most `capacity` entries however many documents there are, is all that the planner needs:
 
-1. large lengths are sorted into groups of equal cardinality and rounded up to their group's largest length;
+1. large lengths are sorted into groups of equal cardinality (a length that fills a group is one by itself, and ends the
+   group before it) and rounded up to their group's largest length;
 2. configurations of these few sizes are optimised: the linear programme over all multisets that fit, by column
    generation (the pricing problem is a knapsack), rounded down;
 3. actual lengths take the places of their groups, and large ones left over open bins best-fit first;
@@ -14,7 +15,7 @@ a piece finds its place by its rank among pieces of its length. Ranks come from
 a length plus offsets, so that a length of a third of all pieces isn't one task.
 
 Defined results: a null text is empty and gives one piece, the end token. Repeated rows are packed each for itself.
-Ties in rank go by doc_id (null first) and piece. An empty table gives an empty result. Other columns stay away.
+Pieces of one length have places in any order. An empty table gives an empty result. Other columns stay away.
 """
 
 from __future__ import annotations
@@ -33,10 +34,10 @@ from pyspark.sql.window import Window
 
 from millrace.llm.common import encoded, map_arrow, materialize, sized
 
-#: Tokens of a sequence; groups of large lengths; lengths of capacity / LARGE or more are large.
-CAPACITY, GROUPS, LARGE = 4096, 24, 8
-#: Up to so many different large lengths, each is a group of its own.
-EXACT = 64
+#: Tokens of a sequence; numbers of groups of large lengths that are tried; lengths of capacity / LARGE or more are large.
+CAPACITY, GROUPS, LARGE = 4096, (24, 64), 8
+#: Rounds of column generation after which something must be wrong; a programme of 64 sizes takes some hundreds.
+ENDLESS = 20_000
 #: Parts of texts whose ids a worker remembers, and pieces of one length that one window slice ranks.
 CACHE_PARTS, SLICE_ROWS = 200_000, 2_000
 
@@ -154,8 +155,11 @@ def knapsack(sizes: np.ndarray, values: np.ndarray, capacity: int) -> tuple[floa
     return float(best[capacity]), counts
 
 
-def configurations(sizes: np.ndarray, demand: np.ndarray, capacity: int, rounds: int = 400) -> list[tuple[np.ndarray, float]]:
-    """An optimal basis of the configuration programme: (counts of each size, bins), by column generation."""
+def configurations(sizes: np.ndarray, demand: np.ndarray, capacity: int, rounds: int = ENDLESS) -> list[tuple[np.ndarray, float]]:
+    """An optimal basis of the configuration programme: (counts of each size, bins), by column generation.
+
+    Raises if it isn't reached in that many rounds.
+    """
     n = len(sizes)
     basis = np.diag(capacity // sizes).astype(float)
     for _ in range(rounds):
@@ -167,6 +171,8 @@ def configurations(sizes: np.ndarray, demand: np.ndarray, capacity: int, rounds:
         direction = inverse @ column
         ratio = np.where(direction > 1e-9, amount / np.where(direction > 1e-9, direction, 1), np.inf)
         basis[:, int(np.argmin(ratio))] = column
+    else:
+        raise RuntimeError(f"column generation has not ended after {rounds} rounds")
     amount = np.linalg.solve(basis, demand)
     return [(basis[:, k].astype(np.int64), float(amount[k])) for k in range(n)]
 
@@ -208,8 +214,13 @@ class Bins:
         return [x for room in sorted(self.by_room) for x in self.by_room[room] if x[1]]
 
 
-def plan(histogram: dict[int, int], capacity: int = CAPACITY, groups: int = GROUPS, large: int = LARGE) -> list[tuple[int, tuple]]:
-    """Patterns (bins, ((length, times), ...)) that hold all pieces of a histogram of lengths."""
+def plan(histogram: dict[int, int], capacity: int = CAPACITY, groups: tuple[int, ...] = GROUPS, large: int = LARGE) -> list[tuple[int, tuple]]:
+    """Patterns (bins, ((length, times), ...)) that hold all pieces of a histogram of lengths: of several numbers of groups the fewest bins."""
+    return min((grouped_plan(histogram, capacity, n, large) for n in groups), key=lambda patterns: sum(count for count, _ in patterns))
+
+
+def grouped_plan(histogram: dict[int, int], capacity: int, groups: int, large: int) -> list[tuple[int, tuple]]:
+    """A plan by linear grouping with one number of groups."""
     bins = Bins(capacity)
     bins.add(0, histogram.get(capacity, 0), ((capacity, 1),))
     big = sorted((x for x in histogram if capacity // large <= x < capacity), reverse=True)
@@ -218,10 +229,11 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY, groups: int = GROU
     if total:
         # Groups of equal cardinality over the sorted lengths: each is a list of runs (length, number).
         each, runs, members = -(-total // groups), [], []
-        if len(big) <= EXACT:  # few lengths need no rounding: each is a group
-            runs = [[[length, histogram[length]]] for length in big]
-        for length in big if not runs else []:
+        for length in big:
             n = histogram[length]
+            if n >= each:  # as many as a group or more of one length need no rounding
+                runs += [members, [[length, n]]] if members else [[[length, n]]]
+                members, n = [], 0
             while n:
                 take = min(n, each - sum(m for _, m in members))
                 members.append([length, take])
@@ -302,26 +314,28 @@ def _place(shared: object) -> Callable:
 
 
 def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """Add sequence_id and offset to materialised pieces (doc_id, piece, length, ...)."""
+    """Add sequence_id and offset to pieces (doc_id, piece, length, ...), which are written with a number each."""
+    columns = pieces.columns
+    pieces = materialize(pieces.withColumn("__row", F.monotonically_increasing_id()), "pieces")
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # one row a length
     places = Places(plan(counts, capacity))
     spark = pieces.sparkSession
     numbers = spark.createDataFrame([(k, -(-n // SLICE_ROWS)) for k, n in counts.items()], "length long, slices long")
     salted = pieces.join(F.broadcast(numbers), "length")  # one row a length
-    salted = salted.withColumn("slice", F.pmod(F.xxhash64("doc_id", "piece"), F.col("slices"))).drop("slices")
+    salted = salted.withColumn("slice", F.pmod(F.xxhash64("__row"), F.col("slices"))).drop("slices")
     sizes = materialize(salted.groupBy("length", "slice").agg(F.count("*").alias("n")), "slices")
     before = F.coalesce(F.sum("n").over(Window.partitionBy("length").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     offsets = materialize(sizes.select("length", "slice", before.alias("before")), "offsets")
-    row = F.row_number().over(Window.partitionBy("length", "slice").orderBy("doc_id", "piece")) - 1
+    row = F.row_number().over(Window.partitionBy("length", "slice").orderBy("__row")) - 1
     ranked = salted.withColumn("row", row).join(sized(offsets), ["length", "slice"])
-    ranked = ranked.withColumn("rank", (F.col("before") + F.col("row")).cast("long")).select(*pieces.columns, "rank")
-    names = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pieces.schema.fields)
+    ranked = ranked.withColumn("rank", (F.col("before") + F.col("row")).cast("long")).select(*columns, "rank")
+    names = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pieces.schema.fields if f.name != "__row")
     return map_arrow(ranked, _place(spark.sparkContext.broadcast(places)), f"{names}, sequence_id long, offset long")
 
 
 def pack(docs: DataFrame, path: str, text: str = "text", doc_id: str = "doc_id", capacity: int = CAPACITY, end_id: int = 1, with_ids: bool = False) -> DataFrame:
     """Tokenise and pack all rows of docs: one row for each piece."""
-    return pack_pieces(materialize(tokenize(docs, path, text, doc_id, capacity, end_id, with_ids), "pieces"), capacity)
+    return pack_pieces(tokenize(docs, path, text, doc_id, capacity, end_id, with_ids), capacity)
 
 
 def sequences(packed: DataFrame) -> DataFrame:
