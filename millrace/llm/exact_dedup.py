@@ -72,36 +72,48 @@ class Directory:
         return self.slots[(keys >> np.uint64(64 - self.depth)).astype(np.int64)]
 
 
+def _folded(n: np.ndarray) -> list[np.ndarray]:
+    """Sums over all shorter prefixes: level d has 2 ** d numbers."""
+    levels = [n]
+    while len(levels[0]) > 1:
+        levels.insert(0, levels[0].reshape(-1, 2).sum(axis=1))
+    return levels
+
+
 def build_directory(keys: DataFrame, page_bytes: int, page_entries: int) -> Directory:
     """Split buckets until each fits a page or holds one key prefix of MOST_BITS (such a page only grows).
 
-    keys: (key, n_bytes). The driver gets one row for each prefix, and deeper prefixes only below overfull ones.
+    keys: (key, n_bytes). The driver gets arrays of 2 ** MORE_BITS sums below each overfull bucket only, so their number
+    follows that of the pages; the overfull prefixes go back as a table.
     """
-    directory, bits, over = Directory(), FIRST_BITS, None
-    while bits <= MOST_BITS:
-        prefix = F.shiftrightunsigned("key", 64 - bits)
-        asked = keys if over is None else keys.filter(F.shiftrightunsigned("key", 64 - known).isin(over))
-        counts = {
-            r["p"]: (r["n"], r["b"])
-            for r in asked.groupBy(prefix.alias("p")).agg(F.count("*").alias("n"), F.sum("n_bytes").alias("b")).collect()
-        }
-        sums: dict[tuple[int, int], tuple[int, int]] = {}
-        for p, (n, b) in counts.items():  # sums for every shorter prefix
-            for d in range(bits + 1):
-                x = sums.get((d, p >> (bits - d)), (0, 0))
-                sums[d, p >> (bits - d)] = x[0] + n, x[1] + b
-        full = lambda at: (s := sums.get(at, (0, 0)))[0] > page_entries or s[1] > page_bytes
-        todo = list(range(len(directory.buckets)))
-        while todo:
-            bucket = todo.pop()
-            if directory.buckets[bucket][0] < bits and full(directory.buckets[bucket]):
-                directory.split(bucket)
-                todo += [bucket, len(directory.buckets) - 1]
-        over = [p for d, p in directory.buckets if d == bits and full((d, p))]
-        over = [p for p in over if sums[bits, p][0] > 1]  # a single key can't be split
-        if not over:
-            break
-        known, bits = bits, bits + MORE_BITS
+    directory, bits, more = Directory(), 0, FIRST_BITS
+    spark, over = keys.sparkSession, [(0, 0)]  # (bucket, prefix of `bits` bits)
+    while over and bits < MOST_BITS:
+        more = min(more, MOST_BITS - bits)
+        asked = keys.withColumn("p", F.shiftrightunsigned("key", 64 - bits - more))
+        if bits:
+            prefixes = spark.createDataFrame(pa.table({"at": pa.array([p for _, p in over], pa.int64())}))
+            asked = asked.withColumn("at", F.shiftrightunsigned("key", 64 - bits)).join(sized(prefixes), "at")
+        found = asked.groupBy("p").agg(F.count("*").alias("n"), F.sum("n_bytes").alias("b")).toArrow()
+        p, n, b = (found[c].to_numpy() for c in ("p", "n", "b"))
+        order = np.argsort(p)
+        p, n, b, next_ = p[order], n[order], b[order], []
+        for bucket, prefix in over:
+            i, j = np.searchsorted(p, [prefix << more, (prefix + 1) << more])
+            entries, held = np.zeros(1 << more, np.int64), np.zeros(1 << more, np.int64)
+            entries[p[i:j] - (prefix << more)], held[p[i:j] - (prefix << more)] = n[i:j], b[i:j]
+            entries, held, todo = _folded(entries), _folded(held), [bucket]
+            while todo:
+                at = todo.pop()
+                depth, name = directory.buckets[at][0] - bits, directory.buckets[at][1] - (prefix << (directory.buckets[at][0] - bits))
+                if entries[depth][name] < 2 or (entries[depth][name] <= page_entries and held[depth][name] <= page_bytes):
+                    continue  # it fits, or is a single key, which can't be split
+                if depth < more:
+                    directory.split(at)
+                    todo += [at, len(directory.buckets) - 1]
+                else:
+                    next_.append((at, directory.buckets[at][1]))
+        over, bits, more = next_, bits + more, MORE_BITS
     return directory
 
 
@@ -137,17 +149,18 @@ def _keys(text: str, doc_id: str, hash_key: Callable[[bytes], int]) -> Callable:
         for batch in batches:
             normal = [t.translate(None, _BLANK) for t in encoded(batch[text])]
             yield pa.RecordBatch.from_arrays(
-                [batch[doc_id].cast(pa.int64()), pa.array([hash_key(t) for t in normal], pa.int64()), pa.array([len(t) for t in normal], pa.int64())],
+                [batch[doc_id], pa.array([hash_key(t) for t in normal], pa.int64()), pa.array([len(t) for t in normal], pa.int64())],
                 ["doc_id", "key", "n_bytes"],
             )
 
     return run
 
 
-def _normals(hash_key: Callable[[bytes], int], directory: Directory) -> Callable:
+def _normals(hash_key: Callable[[bytes], int], shared: object) -> Callable:
     """Of representatives' rows (key, text): their normalised bytes with their buckets, if the row has that key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        directory = shared.value
         for batch in batches:
             normal = [t.translate(None, _BLANK) for t in encoded(batch["text"])]
             keys = np.array(batch["key"].to_pylist(), np.int64)
@@ -176,8 +189,9 @@ def _owner(folder: str) -> Callable:
     return run
 
 
-def _probe(text: str, doc_id: str, hash_key: Callable[[bytes], int], folder: str, directory: Directory) -> Callable:
+def _probe(text: str, doc_id: str, hash_key: Callable[[bytes], int], folder: str, shared: object) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        directory = shared.value
         index = Index(folder, directory)
         for batch in batches:
             raw = encoded(batch[text])
@@ -187,7 +201,7 @@ def _probe(text: str, doc_id: str, hash_key: Callable[[bytes], int], folder: str
             found = [index.compare(k, b, t) for k, b, t in zip(keys.view(np.uint64).tolist(), buckets, normal, strict=True)]
             points = pa.compute.utf8_length(pa.array(raw, pa.large_binary()).cast(pa.large_string())).cast(pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [batch[doc_id].cast(pa.int64()), pa.array(keys, pa.int64()), points, pa.array([hashlib.sha256(t).hexdigest() for t in normal], pa.string()), pa.array(found, pa.int32())],
+                [batch[doc_id], pa.array(keys, pa.int64()), points, pa.array([hashlib.sha256(t).hexdigest() for t in normal], pa.string()), pa.array(found, pa.int32())],
                 ["doc_id", "key", "n_points", "text_sha256", "found"],
             )
 
@@ -200,7 +214,7 @@ def index_rows(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", hash
     (key, generation) names the group of equal texts; shared is false if the row is certainly alone in it.
     """
     spark = docs.sparkSession
-    docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     done, rest, generation = None, docs, 0
     while True:
         keyed = map_arrow(rest, _keys("text", "doc_id", hash_key), "doc_id long, key long, n_bytes long")
@@ -208,7 +222,7 @@ def index_rows(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", hash
             keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("doc_id").alias("rep"), F.max("n_bytes").alias("n_bytes")).filter("n > 1" if not generation else "n > 0"),
             "keys",
         )
-        directory = build_directory(twice, page_bytes, page_entries)
+        directory = spark.sparkContext.broadcast(build_directory(twice, page_bytes, page_entries))  # 2 ** MOST_BITS slots at most
         folder = shared_folder(spark, "pages")
         # A key whose rows all have a null doc_id has no representative here; such rows are chained below.
         reps = rest.join(sized(twice.select("key", F.col("rep").alias("doc_id"))), "doc_id")
