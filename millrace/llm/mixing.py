@@ -7,7 +7,7 @@ odds that keep each document's expectation. What is left open of a chunk (one do
 tree of bounded fan-in, where open documents of the same source meet again; a lone last one is rounded by its odds.
 
 A source's taken words thus differ from its target by less than one document. Chunks, order and random numbers depend
-on document ids, texts' sizes and a seed only, so that reruns agree. A hot source is many chunks, never one task.
+on document ids, texts (by size and a checksum) and a seed only, so that reruns agree. A hot source is many chunks, never one task.
 
 Defined results: a null text has size 0. A null source is a source of its own, last in order. Documents of size 0 take
 nothing. Repeated rows and ids are rows of their own. An empty table gives an empty result. Other columns stay away.
@@ -16,29 +16,27 @@ nothing. Repeated rows and ids are rows of their own. An empty table gives an em
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from millrace.llm.common import encoded, map_arrow, materialize, rank_rows, sized
 
 #: Documents of one source that a task settles in one go, and chunks whose open documents meet at the next level.
-CHUNK_ROWS, FAN_IN = 2_000, 64
-_FIELDS = ["doc_id", "source", "size", "base", "p", "key", "chunk"]
-_SCHEMA = "doc_id long, source string, size long, base long, p double, key long, chunk long"
+CHUNK_ROWS, FAN_IN = 500, 64
+_FIELDS = ["uid", "doc_id", "source", "size", "mark", "base", "p", "key", "chunk"]
+_SCHEMA = "uid long, doc_id long, source string, size long, mark long, base long, p double, key long, chunk long"
 
 
-def _word_counts(text: str) -> Callable:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sizes = pa.array([len(t.split()) for t in encoded(batch[text])], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["source"], sizes], ["doc_id", "source", "size"])
-
-    return run
+def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        raw = encoded(batch["text"])
+        sizes, marks = pa.array([len(t.split()) for t in raw], pa.int64()), pa.array([zlib.crc32(t) for t in raw], pa.int64())
+        yield pa.RecordBatch.from_arrays([batch["uid"], batch["doc_id"], batch["source"], sizes, marks], ["uid", "doc_id", "source", "size", "mark"])
 
 
 def targets(sizes: DataFrame, weights: tuple[float, ...] = (1, 2, 3), share: float = 1.0, most: float = 3.0) -> DataFrame:
@@ -101,7 +99,7 @@ def _level(seed: int, last: bool) -> Callable:
     """Settle one chunk of one source; at the last level also the document that stays open."""
 
     def run(group: pa.Table) -> pa.Table:
-        order = np.lexsort((group["size"].to_numpy(), group["key"].to_numpy()))
+        order = np.lexsort([group[c].to_numpy() for c in ("mark", "size", "key")])
         group = group.take(pa.array(order))
         key = group["key"].to_pylist()
         p, open_at = settle(group["size"].to_pylist(), group["p"].to_pylist(), key, seed)
@@ -112,10 +110,9 @@ def _level(seed: int, last: bool) -> Callable:
     return run
 
 
-def mix(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str = "doc_id", weights: tuple[float, ...] = (1, 2, 3), share: float = 1.0, most: float = 3.0, seed: int = 17) -> DataFrame:
-    """One row for each row of docs: doc_id, source, size, source_size, target, copies, taken (= copies * size)."""
-    narrow = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(source).cast("string").alias("source"), F.col(text).alias("text"))
-    sizes = materialize(map_arrow(narrow, _word_counts("text"), "doc_id long, source string, size long"), "sizes")
+def _mixed(rows: DataFrame, weights: tuple[float, ...] = (1, 2, 3), share: float = 1.0, most: float = 3.0, seed: int = 17) -> DataFrame:
+    """uid, doc_id, source, size, source_size, target, copies, taken of rows (uid, doc_id, source, text)."""
+    sizes = materialize(map_arrow(rows, _word_counts, "uid long, doc_id long, source string, size long, mark long"), "sizes")
     goals = materialize(targets(sizes, weights, share, most), "targets")
     rows = sizes.join(sized(goals), sizes["source"].eqNullSafe(goals["source"])).drop(goals["source"])
     copies = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
@@ -123,7 +120,7 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str
     rows = rows.withColumn("p", F.when(F.col("size") > 0, F.col("copies") - F.col("base")).otherwise(0.0)).withColumn("key", F.xxhash64("doc_id", F.lit(seed)))
     biggest = sizes.groupBy("source").count().agg(F.max("count")).first()[0] or 1
     chunks = max(1, math.ceil(biggest / CHUNK_ROWS))
-    rows = rows.withColumn("chunk", F.pmod(F.xxhash64("key", "size"), F.lit(chunks)))
+    rows = rows.withColumn("chunk", F.pmod(F.xxhash64("key", "size", "mark"), F.lit(chunks)))
     done, level = None, 0
     rows = rows.select(*_FIELDS)
     while True:
@@ -139,30 +136,29 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str
     copies = F.col("base") + F.col("p").cast("long")
     done = done.withColumn("copies", copies).withColumn("taken", copies * F.col("size"))
     out = done.join(sized(goals), done["source"].eqNullSafe(goals["source"])).drop(goals["source"])
-    return out.select("doc_id", "source", "size", "source_size", "target", "copies", "taken")
+    return out.select("uid", "doc_id", "source", "size", "source_size", "target", "copies", "taken")
+
+
+def mix(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str = "doc_id", **options: object) -> DataFrame:
+    """One row for each row of docs: doc_id, source, size, source_size, target, copies, taken (= copies * size).
+
+    options: weights, share, most and seed, as in targets().
+    """
+    rows = docs.select(F.lit(0).cast("long").alias("uid"), F.col(doc_id).cast("long").alias("doc_id"), F.col(source).cast("string").alias("source"), F.col(text).alias("text"))
+    return _mixed(rows, **options).drop("uid")
 
 
 def apply_mix(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str = "doc_id", **options: object) -> DataFrame:
     """The rows of docs, each as often as the mix takes it, with their columns as they are.
 
-    Rows of one doc_id share that id's copies: of several rows with the same id, the n-th in order of source and size
-    gets the n-th of its copies.
+    The rows are written with a number first, by which each gets just its own copies, however often its id occurs.
     """
-    mixed = materialize(mix(docs, text, source, doc_id, **options), "mixed")
-    per_id = mixed.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("source", "size", "copies"))).alias("__rows"))
-    repeated = materialize(per_id.filter("size(__rows) > 1 or doc_id is null"), "repeated")
-    mixed = mixed.select(F.col("doc_id").alias("__id"), F.col("copies").cast("int").alias("__copies"))
-    if repeated.isEmpty():
-        rows = docs.join(sized(mixed.filter("__copies != 1")), docs[doc_id] == F.col("__id"), "left").withColumn("__copies", F.coalesce("__copies", F.lit(1)))
-    else:
-        ids = sized(repeated.select(F.col("doc_id").alias("__r")))
-        plain = docs.join(ids, docs[doc_id].eqNullSafe(F.col("__r")), "left_anti")
-        plain = plain.join(mixed, docs[doc_id] == F.col("__id"))
-        again = docs.join(ids, docs[doc_id].eqNullSafe(F.col("__r")), "left_semi")
-        order = Window.partitionBy(doc_id).orderBy(F.col(source), F.length(F.coalesce(F.col(text), F.lit(""))))
-        same = again.withColumn("__n", F.row_number().over(order))
-        copies = repeated.select(F.col("doc_id").alias("__id"), F.posexplode("__rows").alias("__k", "__row")).select("__id", (F.col("__k") + 1).alias("__n"), F.col("__row.copies").cast("int").alias("__copies"))
-        same = same.join(copies.withColumnRenamed("__n", "__m"), same[doc_id].eqNullSafe(F.col("__id")) & (F.col("__n") == F.col("__m"))).drop("__n", "__m")
-        rows = plain.unionByName(same)
+    body = [F.col(c).alias(f"__{k}") for k, c in enumerate(docs.columns)]
+    numbered = materialize(docs.select(*body).withColumn("__uid", F.monotonically_increasing_id()), "numbered")
+    at = {c: f"__{docs.columns.index(c)}" for c in (text, source, doc_id)}
+    rows = numbered.select(F.col("__uid").alias("uid"), F.col(at[doc_id]).cast("long").alias("doc_id"), F.col(at[source]).cast("string").alias("source"), F.col(at[text]).alias("text"))
+    other = materialize(_mixed(rows, **options).filter("copies != 1").select(F.col("uid").alias("__uid"), F.col("copies").cast("int").alias("__copies")), "copies")
+    out = numbered.join(sized(other), "__uid", "left").withColumn("__copies", F.coalesce("__copies", F.lit(1))).filter("__copies > 0")
     # A row is repeated without any shuffle, by exploding a bounded array of its copies.
-    return rows.filter("__copies > 0").withColumn("__i", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*docs.columns)
+    out = out.withColumn("__i", F.explode(F.sequence(F.lit(1), F.col("__copies"))))
+    return out.select(*[F.col(f"__{k}").alias(c) for k, c in enumerate(docs.columns)])

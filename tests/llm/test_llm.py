@@ -71,6 +71,19 @@ def test_directory_doubles():
     assert d.depth == 2 and sorted(d.find(keys).tolist()) == [0, 1, 2, 3]
 
 
+def test_directory_splits_until_pages_fit(spark, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "FIRST_BITS", 3)
+    monkeypatch.setattr(exact_dedup, "MORE_BITS", 2)
+    rng = random.Random(12)
+    keys = [rng.randrange(-(2**63), 2**63) >> (40 if k % 2 else 0) for k in range(600)]  # half of them have a long common prefix
+    d = exact_dedup.build_directory(spark.createDataFrame([(k, 10) for k in set(keys)], "key long, n_bytes long"), 10**9, 20)
+    held = Counter(d.find(np.array(sorted(set(keys)), np.int64).view(np.uint64)).tolist())
+    full = {b: n for b, n in held.items() if n > 20}
+    assert all(d.buckets[b][0] == exact_dedup.MOST_BITS for b in full) and len(d.buckets) > 30
+    for b, (depth, prefix) in enumerate(d.buckets):
+        assert (d.slots[prefix << (d.depth - depth) : (prefix + 1) << (d.depth - depth)] == b).all()
+
+
 # -- 7 ---------------------------------------------------------------------------------------------------------
 
 
@@ -179,10 +192,28 @@ def test_mixing(spark, monkeypatch):
         assert r["copies"] in (math.floor(r["target"] / r["source_size"]), math.ceil(r["target"] / r["source_size"])) or r["size"] == 0
         assert math.isclose(r["target"], target[r["source"]]) and r["taken"] <= 3 * r["size"]
     assert len(got) == len(rows) and all(abs(taken[s] - target[s]) <= 30 for s in order)
-    assert mixing.apply_mix(docs).count() == sum(r["copies"] for r in got)
+    copies, mixed = Counter(), Counter(map(tuple, mixing.apply_mix(docs.withColumns({"copies": F.lit(1), "uid": F.lit(2)})).collect()))
+    for r in got:
+        copies[r["doc_id"], r["source"], r["size"]] += r["copies"]
+    by_key = Counter()
+    for (i, t, s, *_), n in mixed.items():
+        by_key[i, s, len(words(t))] += n
+    assert by_key == +copies
     assert mixing.mix(docs.limit(0)).count() == 0
 
 
+def test_copies_go_to_the_right_row_of_an_id(spark):
+    rows = [(1, "w" * 200, "a"), (1, "a b c d e f", "a"), (None, "x y", "b"), (None, "x z", "b"), (2, "q " * 9, "b")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    for seed in range(4):
+        want = Counter()
+        for r in mixing.mix(docs, seed=seed).collect():
+            want[r["doc_id"], r["size"]] += r["copies"]
+        got = Counter((r["doc_id"], len(words(r["text"]))) for r in mixing.apply_mix(docs, seed=seed).collect())
+        assert got == +want
+    assert mixing.apply_mix(docs.limit(0)).count() == 0
+
+
 def test_pivotal_rounding_is_unbiased():
     hits = np.zeros(6)
     for seed in range(3000):
@@ -267,6 +298,13 @@ def test_packing(spark):
     assert packing.pack(documents(spark, rows).limit(0), queries.tokenizer_path()).count() == 0
 
 
+def test_lengths_that_fill_a_group_are_not_rounded():
+    assert sum(c for c, _ in packing.plan({60: 300, 40: 300, 100: 7}, 100)) == 307
+    assert packing.plan({}, 100) == []
+    with pytest.raises(RuntimeError):
+        packing.configurations(np.array([40, 60]), np.array([9.0, 9.0]), 100, rounds=1)
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_plan_holds_every_length(seed):
     rng = np.random.default_rng(seed)
