@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from millrace.operators.missing import is_numeric, is_text
 from millrace.operators.profile import frequencies, numeric_statistics, top_values
+from millrace.operators.ranks import quantiles
 
 
 def correlations(df: DataFrame, columns: list[str] | None = None, least_rows: int = 3) -> DataFrame:
@@ -33,7 +34,7 @@ def top_k(df: DataFrame, column: str, k: int = 20) -> DataFrame:
 def distribution(df: DataFrame, column: str) -> dict:
     """Numbers: bounds, mean, median and the first 1000 values; else the 20 most frequent values."""
     if is_numeric(df, column):
-        row = df.agg(F.min(column), F.max(column), F.avg(column), F.median(column)).first()
+        row = (*df.agg(F.min(column), F.max(column), F.avg(column)).first(), quantiles(df, {column: [0.5]})[column, 0.5])
         return dict(zip(("min", "max", "mean", "median"), row, strict=True)) | {"values": [r[0] for r in df.select(column).dropna().limit(1000).collect()]}
     return {"top": [(r["value"], r["n"]) for r in top_k(df, column).orderBy("rank").collect()]}
 
@@ -50,8 +51,9 @@ def histogram(df: DataFrame, column: str, bins: int = 20, bounds: tuple[float, f
 
 
 def box(df: DataFrame, column: str) -> DataFrame:
-    q = lambda p: F.percentile(F.col(column), p)
-    return df.agg(F.min(column).alias("low"), q(0.25).alias("q1"), q(0.5).alias("median"), q(0.75).alias("q3"), F.max(column).alias("high"))
+    q = quantiles(df, {column: [0.25, 0.5, 0.75]})
+    middle = [F.lit(q[column, p]).cast("double").alias(name) for p, name in ((0.25, "q1"), (0.5, "median"), (0.75, "q3"))]
+    return df.agg(F.min(column).alias("low"), F.max(column).alias("high")).select("low", *middle, "high")
 
 
 def trend(df: DataFrame, x: str, y: str, least_rows: int = 5) -> DataFrame:

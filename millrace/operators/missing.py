@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.errors import RepairError
-from millrace.operators.rows import null_counts
+from millrace.operators.ranks import modes, quantiles
+from millrace.operators.rows import ROW_ID, null_counts, with_row_id
+from millrace.stable import stable
 
 NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
 TEMPORAL = (T.DateType, T.TimestampType, T.TimestampNTZType)
@@ -34,9 +36,9 @@ def fill_value(df: DataFrame, column: str, strategy: str, value: Any = None) ->
     if strategy in ("median", "mean"):
         if not is_numeric(df, column):
             raise RepairError(f"{column} is not numeric")
-        return df.agg((F.median if strategy == "median" else F.avg)(column)).first()[0]
+        return quantiles(df, {column: [0.5]})[column, 0.5] if strategy == "median" else df.agg(F.avg(column)).first()[0]
     if strategy == "mode":
-        return df.agg(F.mode(F.col(column), True)).first()[0]
+        return modes(df, [column])[column]
     raise RepairError(f"no such strategy: {strategy}")
 
 
@@ -55,13 +57,17 @@ def fill_with(df: DataFrame, values: dict[str, Any]) -> DataFrame:
 def fill_directed(df: DataFrame, columns: list[str], order_by: list[str], backward: bool = False) -> DataFrame:
     """Fill from the nearest row before (or behind) that has a value; there is no task for all rows.
 
-    Rows are dealt by ranges of the order. Inside a range a window carries values on; each range's last value goes
-    through the driver (one row for each range) as a literal for the ranges behind it.
+    Rows are dealt by ranges of the order and written, so that both passes see the same ranges. Inside a range a window
+    carries values on; each range's last value goes through the driver (one row for each range) as a literal for the
+    ranges behind it.
     """
     order = [F.col(c).desc_nulls_last() if backward else F.col(c).asc_nulls_first() for c in order_by]
-    dealt = df.repartitionByRange(*order).withColumn("__part", F.spark_partition_id())
+    dealt = stable(df.repartitionByRange(*order)).withColumn("__part", F.spark_partition_id())
     inside = Window.partitionBy("__part").orderBy(*order)
-    last = dealt.groupBy("__part").agg(*[F.max_by(F.struct(c), F.when(F.col(c).isNotNull(), F.struct(*[F.col(o) for o in order_by]))).alias(f"__{c}") if not backward else F.min_by(F.struct(c), F.when(F.col(c).isNotNull(), F.struct(*[F.col(o) for o in order_by]))).alias(f"__{c}") for c in columns]).collect()
+    nearest = F.min_by if backward else F.max_by
+    at = F.struct(*[F.col(o) for o in order_by])
+    ends = [nearest(F.struct(c), F.when(F.col(c).isNotNull(), at)).alias(f"__{c}") for c in columns]
+    last = dealt.groupBy("__part").agg(*ends).collect()
     carried: dict[str, list] = {c: [] for c in columns}
     held: dict[str, Any] = dict.fromkeys(columns)
     for row in sorted(last, key=lambda r: r["__part"]):
@@ -90,12 +96,15 @@ def fill_missing(df: DataFrame, columns: list[str] | None = None, strategy: str
         if s and not (s in ("median", "mean") and not is_numeric(df, c)):
             chosen[c] = s
     literal = {c: s for c, s in chosen.items() if s in ("median", "mean", "mode", "constant")}
-    exprs = [(F.median(c) if s == "median" else F.avg(c) if s == "mean" else F.mode(F.col(c), True)).alias(c) for c, s in literal.items() if s != "constant"]
-    found = df.agg(*exprs).first().asDict() if exprs else {}
+    of = lambda kind: [c for c, s in literal.items() if s == kind]
+    found = {c: x for (c, _), x in quantiles(df, {c: [0.5] for c in of("median")}).items()} | modes(df, of("mode"))
+    found |= df.agg(*[F.avg(c).alias(c) for c in of("mean")]).first().asDict() if of("mean") else {}
     out = fill_with(df, {c: value if s == "constant" else found[c] for c, s in literal.items()})
     for direction in ("ffill", "bfill"):
         if some := [c for c, s in chosen.items() if s == direction]:
-            out = fill_directed(out, some, order_by or [df.columns[0]], direction == "bfill")
+            # Without an order the rows' own counts: their positions.
+            rows = out if order_by else with_row_id(out)
+            out = fill_directed(rows, some, order_by or [ROW_ID], direction == "bfill").select(*out.columns)
     return out, chosen
 
 

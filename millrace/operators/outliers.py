@@ -7,27 +7,31 @@ from pyspark.sql import functions as F
 
 from millrace.errors import RepairError
 from millrace.operators.missing import is_numeric
+from millrace.operators.ranks import quantiles
 
 
 def bounds(df: DataFrame, columns: list[str], method: str = "iqr", factor: float = 1.5, least_rows: int = 10, approximate: bool = False) -> dict[str, tuple[float, float]]:
     """(low, high) of each column that has enough values and spread. approximate: percentile sketches for huge data."""
-    quantile = (lambda c, p: F.percentile_approx(c, p, 10_000)) if approximate else F.percentile
-    if method == "iqr":
-        exprs = [e for c in columns for e in (quantile(F.col(c), 0.25).alias(f"{c}|a"), quantile(F.col(c), 0.75).alias(f"{c}|b"))]
-    elif method == "zscore":
-        exprs = [e for c in columns for e in (F.avg(c).alias(f"{c}|a"), F.stddev_samp(c).alias(f"{c}|b"))]
-    elif method == "mad":
-        exprs = [quantile(F.col(c), 0.5).alias(f"{c}|a") for c in columns]
-    elif method == "percentile":
-        tail = factor if factor < 0.5 else 0.01
-        exprs = [e for c in columns for e in (quantile(F.col(c), tail).alias(f"{c}|a"), quantile(F.col(c), 1 - tail).alias(f"{c}|b"))]
-    else:
+    tail = factor if method == "percentile" and factor < 0.5 else 0.01
+    probs = {"iqr": [0.25, 0.75], "mad": [0.5], "percentile": [tail, 1 - tail], "zscore": []}.get(method)
+    if probs is None:
         raise RepairError(f"no such method: {method}")
+
+    def found(values: dict[str, Column]) -> dict[tuple[str, float], float | None]:
+        if not approximate:
+            return quantiles(df, {c: probs for c in values}, values)
+        row = df.agg(*[F.percentile_approx(x, p, 10_000).alias(f"{c}|{p}") for c, x in values.items() for p in probs]).first().asDict()
+        return {(c, p): row[f"{c}|{p}"] for c in values for p in probs}
+
+    exprs = [e for c in columns for e in (F.avg(c).alias(f"{c}|a"), F.stddev_samp(c).alias(f"{c}|b"))] if method == "zscore" else []
     row = df.agg(*exprs, *[F.count(c).alias(f"{c}|n") for c in columns]).first().asDict() if columns else {}
+    if probs and columns:
+        for (c, p), x in found({c: F.col(c) for c in columns}).items():
+            row[f"{c}|{'a' if p == probs[0] else 'b'}"] = x
     usable = [c for c in columns if row[f"{c}|n"] >= least_rows and row[f"{c}|a"] is not None]
     if method == "mad" and usable:
-        spread = df.agg(*[quantile(F.abs(F.col(c) - F.lit(row[f"{c}|a"])), 0.5).alias(c) for c in usable]).first().asDict()
-        row |= {f"{c}|b": spread[c] * 1.4826 for c in usable}
+        spread = found({c: F.abs(F.col(c) - F.lit(row[f"{c}|a"])) for c in usable})
+        row |= {f"{c}|b": spread[c, 0.5] * 1.4826 for c in usable}
     out = {}
     for c in usable:
         a, b = row[f"{c}|a"], row[f"{c}|b"]

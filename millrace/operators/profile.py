@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 from millrace.functions.text import text, value_class
 from millrace.operators.duplicates import duplicate_count
 from millrace.operators.missing import is_numeric, is_temporal, is_text
+from millrace.operators.ranks import quantiles
 from millrace.operators.rows import null_counts
 
 HIGH_CARDINALITY = 0.95
@@ -25,7 +26,8 @@ def _finite(c: str) -> Column:
 
 
 def base_statistics(df: DataFrame) -> dict[str, dict[str, Any]]:
-    """All columns' counts and, by kind, moments and quartiles or bounds, in one aggregate."""
+    """All columns' counts and, by kind, moments and quartiles or bounds: one aggregate, and one for quartiles."""
+    quarters = quantiles(df, {c: [0.25, 0.5, 0.75] for c in df.columns if is_numeric(df, c)})
     exprs = [F.count(F.lit(1)).alias("rows")]
     for i, c in enumerate(df.columns):
         exprs.append(F.count(c).alias(f"{i}|count"))
@@ -33,7 +35,7 @@ def base_statistics(df: DataFrame) -> dict[str, dict[str, Any]]:
             x = _finite(c)
             exprs += [f.alias(f"{i}|{k}") for k, f in {
                 "finite": F.count(x), "min": F.min(x), "max": F.max(x), "mean": F.avg(x), "std": F.stddev_samp(x), "skew": F.skewness(x),
-                "q1": F.percentile(x, 0.25), "median": F.percentile(x, 0.5), "q3": F.percentile(x, 0.75), "infinite": F.count(F.when(F.abs(F.col(c).cast("double")) == float("inf"), 1)),
+                **{k: F.lit(quarters[c, p]).cast("double") for k, p in (("q1", 0.25), ("median", 0.5), ("q3", 0.75))}, "infinite": F.count(F.when(F.abs(F.col(c).cast("double")) == float("inf"), 1)),
             }.items()]
         elif is_temporal(df, c):
             exprs += [F.min(c).alias(f"{i}|min"), F.max(c).alias(f"{i}|max")]
@@ -73,9 +75,10 @@ def numeric_statistics(df: DataFrame, columns: list[str] | None = None) -> DataF
     columns = columns or [c for c in df.columns if is_numeric(df, c)]
     x = {c: _finite(c) for c in columns}
     n = lambda c: F.count(x[c])
+    middle = quantiles(df, {c: [0.5] for c in columns})
     rows = [
         F.struct(
-            F.lit(c).alias("column_name"), n(c).alias("n"), F.avg(x[c]).alias("mean"), F.percentile(x[c], 0.5).alias("median"), F.stddev_samp(x[c]).alias("std"), F.min(x[c]).alias("min"), F.max(x[c]).alias("max"),
+            F.lit(c).alias("column_name"), n(c).alias("n"), F.avg(x[c]).alias("mean"), F.lit(middle[c, 0.5]).cast("double").alias("median"), F.stddev_samp(x[c]).alias("std"), F.min(x[c]).alias("min"), F.max(x[c]).alias("max"),
             F.when(n(c) >= 3, F.skewness(x[c]) * F.sqrt(n(c) * (n(c) - 1)) / (n(c) - 2)).otherwise(0.0).alias("skewness"),
         )
         for c in columns
@@ -142,7 +145,8 @@ def possible_id(name: str, unique: int, rows: int, numeric: bool) -> bool:
 
 
 def profile_table(df: DataFrame, top: int = 5) -> DataFrame:
-    """One row for each column, as a table: counts, shares and finite numeric statistics, from two passes."""
+    """One row for each column, as a table: counts, shares and finite numeric statistics, from three passes."""
+    q = quantiles(df, {c: [0.25, 0.5, 0.75] for c in df.columns if is_numeric(df, c)})
     kinds = {c: "numeric" if is_numeric(df, c) else "datetime" if is_temporal(df, c) else "text" for c in df.columns}
     rows = []
     for c, kind in kinds.items():
@@ -150,8 +154,8 @@ def profile_table(df: DataFrame, top: int = 5) -> DataFrame:
         rows.append(
             F.struct(
                 F.lit(c).alias("column_name"), F.lit(kind).alias("kind"), F.count(F.lit(1)).alias("row_count"), (F.count(F.lit(1)) - F.count(c)).alias("missing_count"),
-                F.min(x).alias("min_value"), F.max(x).alias("max_value"), F.round(F.avg(x), 4).alias("mean_value"), F.round(F.percentile(x, 0.5), 4).alias("median_value"),
-                F.round(F.stddev_samp(x), 4).alias("std_value"), F.round(F.percentile(x, 0.25), 4).alias("q1"), F.round(F.percentile(x, 0.75), 4).alias("q3"),
+                F.min(x).alias("min_value"), F.max(x).alias("max_value"), F.round(F.avg(x), 4).alias("mean_value"), F.round(F.lit(q.get((c, 0.5))).cast("double"), 4).alias("median_value"),
+                F.round(F.stddev_samp(x), 4).alias("std_value"), F.round(F.lit(q.get((c, 0.25))).cast("double"), 4).alias("q1"), F.round(F.lit(q.get((c, 0.75))).cast("double"), 4).alias("q3"),
             )
         )
     base = df.agg(F.array(*rows).alias("r")).select(F.explode("r").alias("r")).select("r.*")

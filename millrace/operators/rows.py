@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from millrace.errors import RepairError
 from millrace.functions.text import is_blank, text, ws_trim
+from millrace.stable import stable
 
 ROW_ID = "_row_id"
 
@@ -23,10 +24,11 @@ def with_row_id(df: DataFrame, order_by: list[str] | None = None) -> DataFrame:
     """Add the 0-based position of each row, without one task for all rows.
 
     Positions follow order_by if given, else the rows' order in their partitions. Partition sizes (one number each) go
-    through the driver; offsets come back as a literal map. The input must be stable, such as a file scan.
+    through the driver; offsets come back as a literal map. Sorted rows are written once, as ranges differ from job to
+    job; without order_by the input must be stable by itself, such as a file scan.
     """
-    ordered = df.orderBy(*order_by) if order_by else df
-    raw = ordered.withColumn("__id", F.monotonically_increasing_id())
+    raw = stable(df.orderBy(*order_by)) if order_by else df
+    raw = raw.withColumn("__id", F.monotonically_increasing_id())
     part = F.shiftright("__id", 33)
     sizes = sorted((r["p"], r["n"]) for r in raw.groupBy(part.alias("p")).agg(F.count("*").alias("n")).collect())
     total, pairs = 0, []

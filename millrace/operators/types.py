@@ -8,10 +8,11 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.functions.dates import classify_date
+from millrace.functions.dates import classify_date, display_date
 from millrace.functions.numbers import CURRENCY, FALSE_TOKENS, TRUE_TOKENS, explicit_number, parse_number, to_boolean
 from millrace.functions.text import text, ws_trim
 from millrace.operators.missing import is_text
+from millrace.stable import stable
 
 PARSE_THRESHOLD = 0.85
 
@@ -87,6 +88,24 @@ def date_convention(column: str, e: dict) -> dict:
     return dict(zip(("convention", "dayfirst", "ambiguous", "confidence"), out, strict=True)) | {"parse_ratio": round(parsed / n, 3)}
 
 
+#: Distinct texts of a column up to which their readings are broadcast: at under 100 bytes each, some 25 MB.
+BROADCAST_TEXTS = 250_000
+
+
+def read_dates(df: DataFrame, column: str, name: str, dayfirst: bool = False) -> DataFrame:
+    """Add classify_date() of a text column, each distinct text being read once.
+
+    The readings are written, counted, and broadcast if they are few, else joined by a shuffle.
+    """
+    plain = text(column)
+    seen = df.select(plain.alias("__text")).filter("__text is not null").distinct()
+    table = stable(seen.withColumn(name, classify_date("__text", dayfirst)))
+    small = F.broadcast(table) if table.count() <= BROADCAST_TEXTS else table
+    missing = classify_date(F.lit(None).cast("string"))  # what null is read as
+    out = df.withColumn("__of", plain).join(small, F.col("__of") == F.col("__text"), "left")
+    return out.withColumn(name, F.coalesce(name, missing)).drop("__of", "__text")
+
+
 def first_values(df: DataFrame, columns: list[str], n: int = 100) -> dict[str, list[str]]:
     """The first n non-null texts of each column, from one bounded read for each column."""
     return {c: [r[0] for r in df.filter(F.col(c).isNotNull()).select(ws_trim(c)).limit(n).collect()] for c in columns}
@@ -184,9 +203,8 @@ def normalize_dates(df: DataFrame, columns: list[str] | None = None, dayfirst: b
     columns = columns if columns is not None else [c for c in df.columns if is_text(df, c)]
     evidence = text_evidence(df, columns)
     found = {c: date_convention(c, evidence[c]) | {k: evidence[c][k] for k in ("n", "dates", "ambiguous", "invalid", "has_time", "has_zone")} | {"is_ambiguous": date_convention(c, evidence[c])["ambiguous"]} for c in columns if c in evidence}
-    exprs = {}
+    out = df
     for c in columns:
-        hint = found[c]["dayfirst"] if dayfirst is None else dayfirst
-        ts = classify_date(c, hint)["ts"]
-        exprs |= {c: ts, f"{c}_display": F.coalesce(F.date_format(ts, "dd-MM-yy"), F.lit(""))}
-    return df.withColumns(exprs) if exprs else df, found
+        out = read_dates(out, c, "__date", found[c]["dayfirst"] if dayfirst is None else dayfirst).withColumn(c, F.col("__date.ts")).drop("__date")
+    shown = {f"{c}_display": display_date(c) for c in columns}
+    return out.withColumns(shown).select(*df.columns, *shown) if columns else df, found

@@ -432,7 +432,7 @@ def _written_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("select o_orderkey, case when o_orderkey % 5 = 4 then 'INVALID' else 'UNAMBIGUOUS' end as status, case when o_orderkey % 5 != 4 then strftime(o_orderdate, '%Y-%m-%d') end as day from orders")
 def parse_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    read_ = _written_dates(spark, sf_dir).select("o_orderkey", D.classify_date("shown").alias("d"))
+    read_ = types.read_dates(_written_dates(spark, sf_dir), "shown", "d")
     return read_.select("o_orderkey", F.col("d.status").alias("status"), F.date_format("d.ts", "yyyy-MM-dd").alias("day"))
 
 
