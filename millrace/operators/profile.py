@@ -16,6 +16,7 @@ from millrace.operators.duplicates import duplicate_count
 from millrace.operators.missing import is_numeric, is_temporal, is_text
 from millrace.operators.ranks import quantiles
 from millrace.operators.rows import null_counts
+from millrace.stable import spread
 
 HIGH_CARDINALITY = 0.95
 
@@ -49,7 +50,7 @@ def frequencies(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """(column, value, n): one shuffle for all columns, combined before it."""
     columns = columns or df.columns
     pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), text(c).alias("value")) for c in columns])).alias("x")
-    return df.select(pairs).select("x.*").filter("value is not null").groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
+    return spread(df.select(*columns), len(columns)).select(pairs).select("x.*").filter("value is not null").groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
 
 
 def top_values(freq: DataFrame, k: int) -> DataFrame:

@@ -8,7 +8,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.stable import stable
+from millrace.stable import spread, stable
 
 
 def _partial(wanted: dict[int, list[float]], sizes: dict[int, list[tuple[int, int]]]) -> tuple[dict, dict]:
@@ -41,7 +41,7 @@ def quantiles(df: DataFrame, wanted: dict[str, list[float]], values: dict[str, C
     pairs = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), x.alias("x")) for k, x in enumerate(number)])).alias("p") if names else None
     if pairs is None:
         return {}
-    counted = df.select(pairs).select("p.*").filter("x is not null and not isnan(x) and abs(x) != double('infinity')").groupBy("k", "x").agg(F.count(F.lit(1)).alias("n"))
+    counted = spread(df, len(names)).select(pairs).select("p.*").filter("x is not null and not isnan(x) and abs(x) != double('infinity')").groupBy("k", "x").agg(F.count(F.lit(1)).alias("n"))
     ranged = stable(counted.repartitionByRange("k", "x")).withColumn("part", F.spark_partition_id())
     sizes: dict[int, list[tuple[int, int]]] = {}
     for r in sorted(ranged.groupBy("k", "part").agg(F.sum("n").alias("n")).collect()):

@@ -1,4 +1,4 @@
-"""Rows that several jobs must see in the same partitions are written once."""
+"""Where rows lie: written once for several jobs, spread over all cores."""
 
 from __future__ import annotations
 
@@ -25,3 +25,12 @@ def stable(df: DataFrame) -> DataFrame:
             atexit.register(shutil.rmtree, root, True)
         context.setCheckpointDir(root)
     return df.checkpoint()
+
+
+def spread(df: DataFrame, times: int) -> DataFrame:
+    """The same rows over all cores, if they come in fewer partitions, as a small file with one row group does.
+
+    Only for work that makes `times` rows of each, more than four: less is done before a shuffle would be.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if times > 4 and df.rdd.getNumPartitions() < cores else df
