@@ -42,7 +42,7 @@ END, UNKNOWN, BEGIN, FIRST = np.uint64(1), 0, 1, 2
 #: Tokens that a task combines at a time; tokens to a bucket; tokens scored at a time, and bytes of text read at a time.
 FLUSH, TOKENS_A_BUCKET, SCORE_TOKENS, SCORE_BYTES = 1_000_000, 2_000_000, 500_000, 2 << 20
 #: Contexts with more n-grams than this have their sums stored; contexts to an entry of a file's table (a power of 2).
-LONG, A_SLOT = 31, 8
+LONG, A_SLOT = 31, 4
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _ROW = "bucket int, grams binary, stats binary"
 #: Sums of a level: n-grams of values 1 to 4, distinct n-grams, all values.
@@ -400,9 +400,9 @@ class Contexts:
             value[many[hit]] = self.big_value[place[hit]]
         return value
 
-    def find(self, key: np.ndarray, word: np.ndarray) -> np.ndarray:
-        """(value of context and word; the context's total and how many values are 1, 2, more) for each key, a context's hash."""
-        out = np.zeros((5, len(key)), np.int64)
+    def locate(self, key: np.ndarray) -> np.ndarray:
+        """Of contexts by their hashes: first n-gram, number of n-grams, total of the values, how many are 1, 2, more."""
+        out = np.zeros((6, len(key)), np.int64)
         if not self.n:
             return out
         rest = key << self.bits
@@ -411,18 +411,37 @@ class Contexts:
         at, end, first = self.slots[slot].astype(np.int64), self.slots[slot + 1].astype(np.int64), self.base[slot].astype(np.int64)
         found, live = np.zeros(len(key), bool), np.flatnonzero(at < end)
         while len(live):
-            hit = self.low[at[live]] == low[live]
+            here = at[live]
+            hit = self.low[here] == low[live]
             found[live[hit]] = True
-            live = live[~hit]
-            first[live] += self.sizes(at[live])
-            at[live] += 1
-            live = live[at[live] < end[live]]
+            live, here = live[~hit], here[~hit]
+            first[live] += self.sizes(here)
+            at[live] = here + 1
+            live = live[here + 1 < end[live]]
         hits = np.flatnonzero(found)
-        at, first, word = at[hits], first[hits], word[hits]
+        at, first = at[hits], first[hits]
         size = self.sizes(at)
-        lo, hi = first.copy(), first + size
-        live = np.arange(len(hits))
-        while len(live):  # binary search of the word among the context's last words
+        out[0, hits], out[1, hits] = first, size
+        many = np.flatnonzero(size > LONG)
+        for k in range(4):
+            out[k + 2, hits[many]] = self.sums[k + 1][np.searchsorted(self.long, at[many])]
+        live, k = np.flatnonzero(size <= LONG), 0
+        while len(live):
+            value, here = self.values(first[live] + k), hits[live]
+            out[2, here] += value
+            for j, test in enumerate((value == 1, value == 2, value > 2), 3):
+                out[j, here] += test
+            k += 1
+            live = live[size[live] > k]
+        return out
+
+    def search(self, first: np.ndarray, size: np.ndarray, word: np.ndarray) -> np.ndarray:
+        """Values of words in contexts that begin at `first`; 0 for words that never follow."""
+        out, lo, hi = np.zeros(len(word), np.int64), first.copy(), first + size
+        if not self.n:
+            return out
+        live = np.flatnonzero(size > 1)
+        while len(live):  # binary search among the context's last words
             mid = (lo[live] + hi[live]) >> 1
             less = _take(self.last, mid) < word[live]
             lo[live[less]] = mid[less] + 1
@@ -430,18 +449,7 @@ class Contexts:
             live = live[lo[live] < hi[live]]
         inside = np.flatnonzero(lo < first + size)
         inside = inside[_take(self.last, lo[inside]) == word[inside]]
-        out[0, hits[inside]] = self.values(lo[inside])
-        many = np.flatnonzero(size > LONG)
-        for k in range(4):
-            out[k + 1, hits[many]] = self.sums[k + 1][np.searchsorted(self.long, at[many])]
-        live, k = np.flatnonzero(size <= LONG), 0
-        while len(live):
-            value = self.values(first[live] + k)
-            out[1, hits[live]] += value
-            for j, test in enumerate((value == 1, value == 2, value > 2), 2):
-                out[j, hits[live]] += test
-            k += 1
-            live = live[size[live] > k]
+        out[inside] = self.values(lo[inside])
         return out
 
 
@@ -471,18 +479,28 @@ class Reader:
         return out
 
     def find(self, context: list[np.ndarray], word: np.ndarray) -> np.ndarray:
-        """Contexts.find over all files of a level; zeros for contexts with an unknown word."""
+        """(value of context and word; the context's total and how many values are 1, 2, more); zeros for unknown ones."""
         level, m = len(context) + 1, self.model
-        out = np.zeros((5, len(word)), np.int64)
-        asked = np.flatnonzero(np.all([w != UNKNOWN for w in context], axis=0))
-        key = context_hash([w[asked] for w in context])
+        known = np.flatnonzero(np.all([w != UNKNOWN for w in context], axis=0))
+        key = context_hash([w[known] for w in context])
         order = np.argsort(key)
-        asked, key = asked[order], key[order]
-        full, at = np.unique(_top(key, m.bits), return_index=True)
-        for b, i, j in zip(full.tolist(), at.tolist(), [*at[1:].tolist(), len(key)], strict=True):
+        known, key = known[order], key[order]
+        new = np.ones(len(key), bool)
+        new[1:] = key[1:] != key[:-1]
+        first, which, asked = np.flatnonzero(new), np.cumsum(new) - 1, word[known]
+        full, at = np.unique(_top(key[first], m.bits), return_index=True)
+        ends = [*at[1:].tolist(), len(first)]
+        found, value, begins = np.empty((6, len(first)), np.int64), np.empty(len(key), np.int64), np.append(first, len(key))
+        for b, i, j in zip(full.tolist(), at.tolist(), ends, strict=True):
             if (level, b) not in self.files:
                 self.files[level, b] = Contexts(map_file(f"{m.folder}/grams{level}-{b:06d}"), m.bits)
-            out[:, asked[i:j]] = self.files[level, b].find(key[i:j], word[asked[i:j]])
+            found[:, i:j] = self.files[level, b].locate(key[first[i:j]])
+            x, y = begins[i], begins[j]
+            value[x:y] = self.files[level, b].search(found[0, which[x:y]], found[1, which[x:y]], asked[x:y])
+        out = np.zeros((5, len(word)), np.int64)
+        out[0, known] = value
+        for k in range(4):
+            out[k + 1, known] = found[k + 2, which]
         return out
 
     def score(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
