@@ -12,6 +12,7 @@ from millrace.functions.dates import classify_date
 from millrace.functions.text import text
 from millrace.operators import embedded
 from millrace.operators.missing import is_numeric, is_temporal, is_text
+from millrace.operators.profile import frequencies
 from millrace.operators.rows import SUBTOTALS, head_rows
 from millrace.records import Evidence
 from millrace.stable import stable
@@ -84,6 +85,18 @@ def _ratio(f: Facts, c: str) -> float:
     return f.row.get(f"d|{c}", 0) / max(f.row[f"n|{c}"], 1)
 
 
+def numeric_share(df: DataFrame, column: str, n: int = 200) -> float:
+    """Which share of a column's first n values reads as numbers."""
+    head = df.filter(F.col(column).isNotNull()).select(text(column).try_cast("double").alias("x")).limit(n)
+    return head.agg(F.coalesce(F.avg(F.col("x").isNotNull().cast("double")), F.lit(0.0))).first()[0]
+
+
+def dominant_values(df: DataFrame, columns: list[str], threshold: float = 0.5) -> DataFrame:
+    """(column_name, share, dominant): the share of non-null values that the most frequent one has, and whether it is enough."""
+    counted = frequencies(df, columns).groupBy("column").agg((F.max("n") / F.sum("n")).alias("share"))
+    return counted.select(F.col("column").alias("column_name"), "share", (F.col("share") >= threshold).alias("dominant"))
+
+
 def _kinds(f: Facts) -> int:
     booleans = [c for c, t in f.df.dtypes if t == "boolean"]
     return sum(bool(x) for x in (f.numeric, f.temporal, booleans, f.texts))

@@ -38,8 +38,8 @@ def clean(df: DataFrame) -> DataFrame:
 
 
 def write_csv(df: DataFrame, path: str, original: DataFrame | None = None) -> None:
-    """UTF-8 with header; dates as dd-MM-yy. As many files as partitions: nothing is gathered."""
-    clean(guard(df, original)).write.mode("overwrite").options(header="true", timestampFormat="dd-MM-yy", timestampNTZFormat="dd-MM-yy", dateFormat="dd-MM-yy").csv(path)
+    """UTF-8 with header, quotes doubled, dates as dd-MM-yy. As many files as partitions: nothing is gathered."""
+    clean(guard(df, original)).write.mode("overwrite").options(header="true", escape="\"", timestampFormat="dd-MM-yy", timestampNTZFormat="dd-MM-yy", dateFormat="dd-MM-yy").csv(path)
 
 
 def write_excel(df: DataFrame, path: str, most_rows: int = 1_048_575) -> None:

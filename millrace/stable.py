@@ -5,8 +5,9 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
 def stable(df: DataFrame) -> DataFrame:
@@ -15,7 +16,13 @@ def stable(df: DataFrame) -> DataFrame:
     Spark samples range boundaries anew in each job, so what one job finds out about ranges does not hold in the next
     unless the ranges are written. The folder is spark.checkpoint.dir; only local masters get one of their own.
     """
-    context = df.sparkSession.sparkContext
+    shared_folder(df.sparkSession)
+    return df.checkpoint()
+
+
+def shared_folder(spark: SparkSession, name: str | None = None) -> str:
+    """The folder that driver and executors share, or a new name below it."""
+    context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         root = context.getConf().get("spark.checkpoint.dir", None)
         if not root:
@@ -24,7 +31,8 @@ def stable(df: DataFrame) -> DataFrame:
             root = tempfile.mkdtemp(prefix="millrace-checkpoints-")
             atexit.register(shutil.rmtree, root, True)
         context.setCheckpointDir(root)
-    return df.checkpoint()
+    root = context._jsc.sc().getCheckpointDir().get()
+    return f"{root}/{name}-{uuid.uuid4().hex}" if name else root
 
 
 def spread(df: DataFrame, times: int) -> DataFrame:
