@@ -8,7 +8,7 @@ the table's size, and the broadcast table (of a fixed number of slots) gives its
 A key that holds more than a shard's fair share of rows can be spread: its rows get several keys in turn.
 
 Defined results: a null key counts as the empty text. Equal keys share a shard unless spread. Repeated rows are rows
-of their own; an empty table gives an empty result. Other columns stay as they are.
+of their own; an empty table gives an empty result. Columns named slot or shard are replaced, others stay as they are.
 """
 
 from __future__ import annotations
