@@ -348,6 +348,54 @@ def test_quality(spark):
     assert quality.assess(documents(spark, rows).limit(0)).count() == 0 and quality.learn({}).posterior(quality.pattern_codes([])).shape == (0,)
 
 
+def planted_votes(n, accuracies, good_share, silent, seed):
+    """Votes of independent rules that are right as often as planted, and whether each document is good."""
+    rng = random.Random(seed)
+    truth = [rng.random() < good_share for _ in range(n)]
+    return ["".join("-" if rng.random() < silent else "DK"[good == (rng.random() < a)] for a in accuracies) for good in truth], truth
+
+
+def em_by_document(patterns, rounds):
+    """The same model, one document at a time in plain loops."""
+    n, rules = len(patterns), len(patterns[0])
+    good = [0.02 if "D" in p else 0.98 for p in patterns]
+    for _ in range(rounds):
+        prior = (sum(good) + 1) / (n + 2)
+        rates = {}
+        for j in range(rules):
+            for y, share in ((0, 1 - prior), (1, prior)):
+                mass = {v: quality.PRIOR_RATES[y][k] * (quality.PRIOR_SHARE * n * share + 1) for k, v in enumerate("DK-")}
+                for p, g in zip(patterns, good, strict=True):
+                    mass[p[j]] += g if y else 1 - g
+                rates |= {(j, y, v): m / sum(mass.values()) for v, m in mass.items()}
+        like = [[math.prod(rates[j, y, v] for j, v in enumerate(p)) for y in (0, 1)] for p in patterns]
+        good = [prior * b / (prior * b + (1 - prior) * a) for a, b in like]
+    return good, prior, rates
+
+
+def test_em_equals_em_by_document():
+    patterns, _ = planted_votes(400, (0.9, 0.8, 0.7), 0.7, 0.3, seed=3)
+    counts = Counter(patterns)
+    model = quality.learn(counts, rounds=12)
+    found = dict(zip(sorted(counts), model.posterior(quality.pattern_codes(sorted(counts))), strict=True))
+    good, prior, rates = em_by_document(patterns, 12)
+    assert model.prior == pytest.approx(prior) and [found[p] for p in patterns] == pytest.approx(good, abs=1e-9)
+    assert all(model.rates[j, y, "DK-".index(v)] == pytest.approx(r) for (j, y, v), r in rates.items())
+
+
+def test_em_finds_planted_accuracies():
+    accuracies = (0.95, 0.9, 0.85, 0.8, 0.65)
+    patterns, truth = planted_votes(20_000, accuracies, 0.7, 0.1, seed=4)
+    counts = Counter(patterns)
+    model = quality.learn(counts)
+    found = dict(zip(sorted(counts), model.posterior(quality.pattern_codes(sorted(counts))), strict=True))
+    ranked = [float((model.rates[j, 0, 0] + model.rates[j, 1, 1]) / (model.rates[j, 0, :2].sum() + model.rates[j, 1, :2].sum())) for j in range(5)]
+    assert ranked == sorted(ranked, reverse=True) and ranked == pytest.approx(accuracies, abs=0.06) and abs(model.prior - 0.7) < 0.05
+    right = sum((found[p] >= 0.5) == t for p, t in zip(patterns, truth, strict=True)) / len(truth)
+    strict_ = sum(("D" not in p) == t for p, t in zip(patterns, truth, strict=True)) / len(truth)
+    assert right > 0.93 and right > strict_ + 0.1  # a weak rule's single "drop" is outvoted
+
+
 # -- 2 ---------------------------------------------------------------------------------------------------------
 
 
