@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import chat, exact_dedup, language, lm, minhash, mixing, packing, quality, secrets, sharding
+from millrace.llm import chat, exact_dedup, language, lm, minhash, mixing, packing, quality, resample, secrets, sharding
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -154,3 +154,34 @@ r(node, seen) as (select doc_id, doc_id from documents union select d.v, r.seen
 c as (select node, min(seen) as component_id from r group by node)
 select s.doc_id, len(sh)::bigint as n_shingles, component_id, s.doc_id = component_id as kept from s join c on c.node = s.doc_id
 """
+
+
+@query
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weights, scores and ranks of every document, drawn towards the benchmark's texts."""
+    drawn = resample.resample(read(spark, sf_dir, "documents", "doc_id", "text"), read(spark, sf_dir, "benchmark", "text"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+ORACLES["op12_importance_resampling"] = r"""
+with recursive crc(i, v, k) as (select range, range::ubigint, 0 from range(256)
+    union all select i, case when v & 1 = 1 then xor(v >> 1, 3988292384::ubigint) else v >> 1 end, k + 1 from crc where k < 8),
+tab as (select list(v order by i) as codes from crc where k = 8),
+d as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as ws from documents),
+b as (select regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as ws from benchmark),
+dw as (select doc_id, unnest(ws) as w from d),
+vocabulary as (select w, hex(encode(w)) as h from (select w from dw union select unnest(ws) from b)),
+bucket as (select w, xor(list_reduce(list_prepend(4294967295::ubigint, list_transform(range(len(h) // 2), lambda i: ('0x' || substr(h, 2 * i + 1, 2))::ubigint)),
+                      lambda c, x: xor(c >> 8, codes[((xor(c, x) & 255) + 1)::bigint])), 4294967295::ubigint) % 10000 as k from vocabulary, tab),
+s as (select k, count(*) as n from dw join bucket using (w) group by k),
+t as (select k, count(*) as n from (select unnest(ws) as w from b) join bucket using (w) group by k),
+g as (select range as k, floor(1000 * ln((coalesce(t.n, 0) + 1)::double * ((select coalesce(sum(n), 0) from s) + 10000)::double
+                         / ((coalesce(s.n, 0) + 1)::double * ((select coalesce(sum(n), 0) from t) + 10000)::double)))::bigint as gain
+      from range(10000) left join s on s.k = range left join t on t.k = range),
+w as (select doc_id, count(*) as n_features, sum(gain)::bigint as weight from dw join bucket using (w) join g using (k) group by doc_id),
+f as (select d.doc_id, coalesce(n_features, 0)::bigint as n_features, coalesce(weight, 0)::bigint as weight,
+             (coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || d.doc_id), 1, 8))::bigint + 0.5::double) / 4294967296::double))))::bigint as score
+      from d left join w using (doc_id)),
+r as (select doc_id, row_number() over (order by score desc, doc_id) as place, count(*) over () as n from f where n_features >= 20)
+select f.doc_id, n_features, weight, score, case when place <= 10 * n // 100 then place end as rank from f left join r using (doc_id)
+"""
