@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import chat, exact_dedup, language, lm, minhash, mixing, packing, quality, resample, secrets, sharding
+from millrace.llm import chat, exact_dedup, language, lm, minhash, mixing, packing, quality, resample, secrets, sharding, trie
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -185,3 +185,35 @@ f as (select d.doc_id, coalesce(n_features, 0)::bigint as n_features, coalesce(w
 r as (select doc_id, row_number() over (order by score desc, doc_id) as place, count(*) over () as n from f where n_features >= 20)
 select f.doc_id, n_features, weight, score, case when place <= 10 * n // 100 then place end as rank from f left join r using (doc_id)
 """
+
+
+@query
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes of the trie of all rebuilt conversations."""
+    return trie.build(read(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text"))
+
+
+ORACLES["op13_prefix_trie"] = r"""
+with recursive crc(i, v, k) as (select range, range::ubigint, 0 from range(256)
+    union all select i, case when v & 1 = 1 then xor(v >> 1, 3988292384::ubigint) else v >> 1 end, k + 1 from crc where k < 8),
+tab as (select list(v order by i) as codes from crc where k = 8),
+r as (select conv_id, coalesce(role, '') as role, coalesce(text, '') as text, turn from conversations where conv_id is not null),
+k as (select conv_id, turn, sha256(length(role) || ':' || role || text) as key, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) as tokens from r),
+own as (select conv_id, list({'key': key, 'tokens': tokens} order by turn nulls first, key) as turns from k group by conv_id),
+ids as (select conv_id, xor(list_reduce(list_prepend(4294967295::ubigint, list_transform(range(length(conv_id::varchar)), lambda i: ord(substr(conv_id::varchar, i + 1, 1))::ubigint)),
+        lambda c, x: xor(c >> 8, codes[((xor(c, x) & 255) + 1)::bigint])), 4294967295::ubigint)::bigint % 4 as h from own, tab),
+built as (select own.conv_id, list_concat(coalesce(d.turns[1:h], []), own.turns[h + 1:]) as turns
+          from own join ids using (conv_id) left join own d on d.conv_id = own.conv_id - own.conv_id % 20),
+p as (select conv_id, len(turns) as n, unnest(range(len(turns) + 1)) as depth, turns from built),
+q as (select conv_id, n, depth, case when depth > 0 then sha256(array_to_string(list_transform(turns[1:depth], lambda t: t.key), ',')) end as node,
+             case when depth > 1 then sha256(array_to_string(list_transform(turns[1:depth - 1], lambda t: t.key), ',')) end as parent,
+             case when depth > 0 then turns[depth].tokens else 0 end as tokens from p),
+g as (select depth, node, any_value(parent) as parent, min(conv_id) as conv_id, count(*) as n_convs, (count(*) - 1) * any_value(tokens) as saved,
+             sha256(coalesce(string_agg(conv_id::varchar, ',' order by conv_id) filter (n = depth), '')) as ends_sha256 from q group by depth, node),
+c as (select depth - 1 as depth, parent as node, count(*) as n_children from g where depth > 0 group by all),
+x as (select g.*, coalesce(n_children, 0) as n_children from g left join c on c.depth = g.depth and c.node is not distinct from g.node),
+s as (select q.depth, q.node, sum((x.n_children = 0)::int) as n_leaves, sum(x.saved) as saved_tokens
+      from x join q on q.conv_id = x.conv_id and q.depth <= x.depth group by all)
+select x.conv_id, x.depth, y.conv_id as parent_conv_id, x.n_convs, x.n_children, s.n_leaves::bigint as n_leaves, s.saved_tokens::bigint as saved_tokens, x.ends_sha256
+from x join s on s.depth = x.depth and s.node is not distinct from x.node left join x y on y.depth = x.depth - 1 and y.node is not distinct from x.parent
+"""
