@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import chat, exact_dedup, language, lm, minhash, mixing, packing, quality, resample, secrets, sharding, trie
+from millrace.llm import chat, exact_dedup, language, lm, minhash, mixing, packing, quality, resample, secrets, sharding, toxicity, trie
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -217,3 +217,12 @@ s as (select q.depth, q.node, sum((x.n_children = 0)::int) as n_leaves, sum(x.sa
 select x.conv_id, x.depth, y.conv_id as parent_conv_id, x.n_convs, x.n_children, s.n_leaves::bigint as n_leaves, s.saved_tokens::bigint as saved_tokens, x.ends_sha256
 from x join s on s.depth = x.depth and s.node is not distinct from x.node left join x y on y.depth = x.depth - 1 and y.node is not distinct from x.parent
 """
+
+
+@query
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, learned from the labels outside of the held-out fold."""
+    docs, labels = read(spark, sf_dir, "documents", "doc_id", "text"), read(spark, sf_dir, "labels", "doc_id", "toxic")
+    model = toxicity.learn(docs.filter(~language.held_out()), labels)
+    found = toxicity.score(docs, model)
+    return found.select("doc_id", language.held_out().alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
