@@ -328,14 +328,16 @@ def sample_labelled(docs: DataFrame, labels: DataFrame, size: int = SAMPLE) -> t
     Only digests are sorted, and one digest for each label goes through the driver.
     """
     marked = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
-    rows = docs.filter(F.col("text").isNotNull()).select(F.col("doc_id"), "text").join(marked, "doc_id").select("text", "toxic", F.sha2("text", 256).alias("digest"))
+    digest = F.substring(F.sha2("text", 256), 1, 32)
+    texts = docs.filter(F.col("text").isNotNull())
+    rows = texts.select("doc_id", digest.alias("digest")).join(marked, "doc_id").select("digest", "toxic")
     keys = materialize(rows.groupBy("digest").agg(F.max("toxic").alias("toxic")), "digests")
     bounds = [keys.filter(F.col("toxic") == k).orderBy("digest").limit(size).agg(F.max("digest")).first()[0] or "" for k in (0, 1)]
     counts = {r["toxic"]: r["count"] for r in keys.groupBy("toxic").count().collect()}
     most = F.when(F.col("toxic") == 1, bounds[1]).otherwise(bounds[0])
     chosen = keys.filter(F.col("digest") <= most)
-    # Copies are left out before their texts are shuffled: one row stands for a digest.
-    few = rows.drop("toxic").filter(F.col("digest") <= max(bounds)).join(F.broadcast(chosen), "digest")  # 2 * size digests at most
+    # No text is shuffled but those of the sample.
+    few = texts.select("text", digest.alias("digest")).filter(F.col("digest") <= max(bounds)).join(F.broadcast(chosen), "digest")  # 2 * size digests at most
     sample = few.groupBy("digest").agg(F.first("text").alias("text"), F.first("toxic").alias("toxic")).select("text", "toxic")
     return materialize(sample, "sample"), tuple(max(1.0, counts.get(k, 0) / size) for k in (0, 1))
 
