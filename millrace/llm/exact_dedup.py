@@ -157,19 +157,15 @@ def _keys(text: str, doc_id: str, hash_key: Callable[[bytes], int]) -> Callable:
 
 
 def _normals(hash_key: Callable[[bytes], int], shared: object) -> Callable:
-    """Of representatives' rows (key, text): their normalised bytes with their buckets, if the row has that key."""
+    """Of representatives' rows: keys, normalised bytes and their buckets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         directory = shared.value
         for batch in batches:
             normal = [t.translate(None, _BLANK) for t in encoded(batch["text"])]
-            keys = np.array(batch["key"].to_pylist(), np.int64)
-            ours = np.array([hash_key(t) == k for t, k in zip(normal, keys.tolist(), strict=True)], bool)
+            keys = np.array([hash_key(t) for t in normal], np.int64)
             buckets = directory.find(keys.view(np.uint64))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(buckets[ours], pa.int32()), pa.array(keys[ours], pa.int64()), pa.array([t for t, o in zip(normal, ours, strict=True) if o], pa.binary())],
-                ["bucket", "key", "normal"],
-            )
+            yield pa.RecordBatch.from_arrays([pa.array(buckets, pa.int32()), pa.array(keys, pa.int64()), pa.array(normal, pa.binary())], ["bucket", "key", "normal"])
 
     return run
 
@@ -224,23 +220,20 @@ def index_rows(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", hash
         )
         directory = spark.sparkContext.broadcast(build_directory(twice, page_bytes, page_entries))  # 2 ** MOST_BITS slots at most
         folder = shared_folder(spark, "pages")
-        # A key whose rows all have a null doc_id has no representative here; such rows are chained below.
-        reps = rest.join(sized(twice.select("key", F.col("rep").alias("doc_id"))), "doc_id")
-        pages = map_arrow(reps, _normals(hash_key, directory), "bucket int, key long, normal binary")
+        # Each row of a representative's id comes once, whatever other keys that id stands for; a key's representative
+        # is then the least text of its rows among them (the same one, unless keys collide, as an id has mostly one row).
+        ids = twice.filter("rep is not null").select(F.col("rep").alias("doc_id")).distinct()
+        reps = rest.join(sized(ids), "doc_id", "left_semi")
+        if not twice.filter("rep is null").isEmpty():  # all rows of some key have no id
+            reps = reps.unionByName(rest.filter("doc_id is null"))
+        pages = map_arrow(reps, _normals(hash_key, directory), "bucket int, key long, normal binary").join(sized(twice.select("key")), "key", "left_semi")
+        pages = pages.groupBy("bucket", "key").agg(F.min("normal").alias("normal"))
         written = pages.groupBy("bucket").applyInArrow(_owner(folder), "bucket int, entries long")
         written.agg(F.sum("entries")).collect()
         rows = map_arrow(rest, _probe("text", "doc_id", hash_key, folder, directory), "doc_id long, key long, n_points long, text_sha256 string, found int")
         rows = rows.withColumn("uid", F.monotonically_increasing_id()).withColumn("generation", F.lit(generation))
-        null_rep = twice.filter("rep is null").select("key")
-        if not null_rep.isEmpty():  # index nothing for them: their rows are told apart by digest instead
-            rows = rows.join(null_rep.withColumn("orphan", F.lit(True)), "key", "left").withColumn(
-                "found", F.when(F.col("orphan"), F.lit(2)).otherwise(F.col("found"))
-            ).drop("orphan")
         rows = materialize(rows, "rows")
-        settled = rows.filter("found != 0").select(
-            "uid", "doc_id", F.when(F.col("found") == 2, F.conv(F.substring("text_sha256", 1, 15), 16, 10).cast("long")).otherwise(F.col("key")).alias("key"),
-            F.when(F.col("found") == 2, F.lit(-1)).otherwise(F.col("generation")).alias("generation"), (F.col("found") > 0).alias("shared"), "n_points", "text_sha256",
-        )
+        settled = rows.filter("found != 0").select("uid", "doc_id", "key", "generation", (F.col("found") > 0).alias("shared"), "n_points", "text_sha256")
         done = settled if done is None else done.unionByName(settled)
         chained = rows.filter("found = 0").select("doc_id", "text_sha256").distinct()
         if chained.isEmpty():

@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.llm import resample, toxicity, trie
+from millrace.llm import exact_dedup, resample, toxicity, trie
 
 CLASHING = ("word", "stem", "toxic", "score", "rank", "part", "at", "before", "class", "depth", "parent", "pos", "key", "tokens")
 
@@ -236,3 +236,25 @@ def test_trie_of_turnless_conversations(spark):
     for rows in ([(c, 0, "user", "gone") for c in bare], [(40, 0, "user", "stays")]):
         assert nodes(trie.build(spark.createDataFrame(rows, schema))) == brute_trie(rows)
     assert trie.build(spark.createDataFrame([], schema)).count() == 0
+
+
+# -- 10, rows whose ids repeat or are missing ------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("weak", [False, True])
+def test_exact_dedup_of_one_id_and_of_no_id(spark, weak):
+    rows = [(7, f"text {i // 2}") for i in range(600)] + [(None, f"other {i // 3}") for i in range(300)] + [(None, "text 1"), (3, "other 5"), (None, None), (None, " ")]
+    options = {"hash_key": lambda b: exact_dedup.hash64(bytes([len(b) % 3]))} if weak else {}
+    got = exact_dedup.exact_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), **options).collect()
+    groups = defaultdict(list)
+    for i, t in rows:
+        groups[hashlib.sha256((t or "").encode().translate(None, b" \t\n\x0b\x0c\r")).hexdigest()].append((-len(t or ""), i is None, i or 0))
+    assert len(got) == len(rows) and all(r["group_size"] == len(groups[r["text_sha256"]]) for r in got)
+    assert all(r["keep_id"] == (None if min(groups[r["text_sha256"]])[1] else min(groups[r["text_sha256"]])[2]) for r in got)
+    assert Counter(r["text_sha256"] for r in got if r["kept"]) == Counter(groups.keys())
+
+
+def test_exact_dedup_of_many_pairs_of_one_id_is_linear(spark):
+    pairs = spark.range(40_000).select(F.lit(1).cast("long").alias("doc_id"), F.concat(F.lit("text "), F.floor(F.col("id") / 2)).alias("text"))
+    got = exact_dedup.exact_duplicates(pairs).agg(F.count("*"), F.count_distinct("text_sha256"), F.count(F.when(F.col("kept"), 1)), F.max("group_size")).first()
+    assert tuple(got) == (40_000, 20_000, 20_000, 2)
