@@ -57,28 +57,20 @@ def fill_with(df: DataFrame, values: dict[str, Any]) -> DataFrame:
 def fill_directed(df: DataFrame, columns: list[str], order_by: list[str], backward: bool = False) -> DataFrame:
     """Fill from the nearest row before (or behind) that has a value; there is no task for all rows.
 
-    Rows are dealt by ranges of the order and written, so that both passes see the same ranges. Inside a range a window
-    carries values on; each range's last value goes through the driver (one row for each range) as a literal for the
-    ranges behind it.
+    Rows are dealt by ranges of the order and written with their range's number, so that both passes see the same
+    ranges. Inside a range a window carries values on; what each range gets from those before it is worked out on a
+    table of one row for each range.
     """
     order = [F.col(c).desc_nulls_last() if backward else F.col(c).asc_nulls_first() for c in order_by]
-    dealt = stable(df.repartitionByRange(*order)).withColumn("__part", F.spark_partition_id())
+    dealt = stable(df.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()))
     inside = Window.partitionBy("__part").orderBy(*order)
     nearest = F.min_by if backward else F.max_by
     at = F.struct(*[F.col(o) for o in order_by])
-    ends = [nearest(F.struct(c), F.when(F.col(c).isNotNull(), at)).alias(f"__{c}") for c in columns]
-    last = dealt.groupBy("__part").agg(*ends).collect()
-    carried: dict[str, list] = {c: [] for c in columns}
-    held: dict[str, Any] = dict.fromkeys(columns)
-    for row in sorted(last, key=lambda r: r["__part"]):
-        for c in columns:
-            if held[c] is not None:
-                carried[c] += [F.lit(row["__part"]), F.lit(held[c]).cast(df.schema[c].dataType)]
-            found = row[f"__{c}"]
-            if found is not None and found[0] is not None:
-                held[c] = found[0]
-    out = dealt.withColumns({c: F.coalesce(F.last(c, ignorenulls=True).over(inside), *([F.create_map(*carried[c])[F.col("__part")]] if carried[c] else [])) for c in columns})
-    return out.drop("__part")
+    ends = dealt.groupBy("__part").agg(*[nearest(c, F.when(F.col(c).isNotNull(), at)).alias(f"__{c}") for c in columns])
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # one row for each range
+    carried = ends.select("__part", *[F.last(f"__{c}", ignorenulls=True).over(before).alias(f"__{c}") for c in columns])
+    filled = {c: F.coalesce(F.last(c, ignorenulls=True).over(inside), F.col(f"__{c}")) for c in columns}
+    return dealt.join(carried, "__part", "left").withColumns(filled).select(*df.columns)
 
 
 def auto_strategy(df: DataFrame, column: str, null_ratio: float, non_null: int, identifier: bool = False) -> str | None:

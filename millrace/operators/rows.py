@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from functools import reduce
+from itertools import accumulate
 from operator import add, and_
 
 from pyspark.sql import Column, DataFrame
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 from millrace.errors import RepairError
 from millrace.functions.text import is_blank, text, ws_trim
-from millrace.stable import stable
+from millrace.stable import scans_only, stable
 
 ROW_ID = "_row_id"
 
@@ -23,20 +24,20 @@ SUBTOTALS = ["total", "subtotal", "summary", "grand total", "average"]
 def with_row_id(df: DataFrame, order_by: list[str] | None = None) -> DataFrame:
     """Add the 0-based position of each row, without one task for all rows.
 
-    Positions follow order_by if given, else the rows' order in their partitions. Partition sizes (one number each) go
-    through the driver; offsets come back as a literal map. Sorted rows are written once, as ranges differ from job to
-    job; without order_by the input must be stable by itself, such as a file scan.
+    Positions follow order_by if given, else the rows' order in their partitions. A number of partition and row is
+    written with each row, in the one job that decides where rows lie; files that are only filtered and projected lie
+    the same in every job and need no writing. Partition sizes (one number each) then give each partition's offset, joined as a small table.
+    Positions are dense and unique: a row whose partition has no offset is an error, never a null.
     """
-    raw = stable(df.orderBy(*order_by)) if order_by else df
-    raw = raw.withColumn("__id", F.monotonically_increasing_id())
+    placed = (df.orderBy(*order_by) if order_by else df).withColumn("__id", F.monotonically_increasing_id())
+    placed = placed if not order_by and scans_only(df) else stable(placed)
     part = F.shiftright("__id", 33)
-    sizes = sorted((r["p"], r["n"]) for r in raw.groupBy(part.alias("p")).agg(F.count("*").alias("n")).collect())
-    total, pairs = 0, []
-    for p, n in sizes:
-        pairs += [F.lit(p).cast("long"), F.lit(total).cast("long")]
-        total += n
-    offset = F.create_map(*pairs)[part] if pairs else F.lit(0).cast("long")
-    return raw.withColumn(ROW_ID, offset + F.col("__id").bitwiseAND((1 << 33) - 1)).drop("__id")
+    sizes = placed.groupBy(part.alias("__part")).agg(F.count(F.lit(1)).alias("n")).sort("__part").collect()  # one row for each partition
+    before = [0, *accumulate(r["n"] for r in sizes)]
+    offsets = df.sparkSession.createDataFrame([(r["__part"], n) for r, n in zip(sizes, before, strict=False)], "__part long, __before long")
+    joined = placed.join(F.broadcast(offsets), part == F.col("__part"), "left")
+    known = F.coalesce("__before", F.raise_error(F.lit("rows changed their partitions between two jobs")).cast("long"))
+    return joined.withColumn(ROW_ID, known + F.col("__id").bitwiseAND((1 << 33) - 1)).drop("__id", "__part", "__before")
 
 
 # -- predicates ------------------------------------------------------------------------------------------------

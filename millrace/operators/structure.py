@@ -183,7 +183,7 @@ def gap_kinds(df: DataFrame, column: str, approximate_order: bool = False) -> tu
     Neighbours come from windows over ranges of time; the few gaps across ranges are added from each range's ends.
     """
     ts = df.filter(F.col(column).isNotNull()).select(F.unix_micros(F.col(column).cast("timestamp")).alias("t"))
-    dealt = stable(ts.repartitionByRange("t")).withColumn("p", F.spark_partition_id())  # both passes need the same ranges
+    dealt = stable(ts.repartitionByRange("t").withColumn("p", F.spark_partition_id()))  # all passes need the same ranges
     gaps = dealt.withColumn("g", F.col("t") - F.lag("t").over(Window.partitionBy("p").orderBy("t"))).filter("g is not null").groupBy("g").agg(F.count(F.lit(1)).alias("n"))
     ends = sorted((r["lo"], r["hi"]) for r in dealt.groupBy("p").agg(F.min("t").alias("lo"), F.max("t").alias("hi")).collect())  # one row for each range
     across = [b[0] - a[1] for a, b in zip(ends, ends[1:], strict=False)]
