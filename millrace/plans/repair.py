@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+import atexit
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import reduce
+from operator import and_
 from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from millrace.errors import RepairError
 from millrace.functions.text import strip_collapse
 from millrace.operators import duplicates, embedded, missing, outliers, reshape, rows, standardize, structure, types
 from millrace.records import Action, Audit, Verdict
+from millrace.stable import delete, write_table
 
 STRUCTURAL = {
     "explode_multi_value_cells", "unpivot", "flatten_headers", "remove_repeated_headers", "remove_metadata_rows", "remove_spacer_rows_cols", "unpivot_horizontal_category_blocks",
@@ -105,17 +109,24 @@ def dispatch(df: DataFrame, action: Action) -> DataFrame:
         raise RepairError(f"{action.operation} failed: {e}") from e
 
 
-def validate(before: tuple[int, dict[str, int]], after: DataFrame, operation: str) -> tuple[Verdict, tuple[int, dict[str, int]]]:
-    """Accept or reject a result by losses of rows, columns and values; one aggregate over the result."""
-    n0, nulls0 = before
-    n1, nulls1 = rows.null_counts(after) if after.columns else (0, {})
+State = tuple[int, dict[str, int]]
+
+
+def judge(before: State, columns: int, after: State, names: list[str], operation: str, asked: int | None = None) -> Verdict:
+    """Accept or reject a result by losses of rows, columns and values. before, after: rows and nulls of each column.
+
+    asked: how many rows the action was told to drop; any other loss is an error.
+    """
+    (n0, nulls0), (n1, nulls1) = before, after
     errors, warnings = [], []
     if n0 and not n1:
         errors.append("no rows are left")
-    if not after.columns:
+    if not names:
         errors.append("no columns are left")
+    if asked is not None and n0 - n1 != asked:
+        errors.append(f"{n0 - n1} rows are lost instead of {asked}")
     if operation not in STRUCTURAL and n0:
-        lost, gone = 1 - n1 / n0, 1 - len(nulls1) / max(len(nulls0), 1)
+        lost, gone = 1 - n1 / n0, 1 - len(nulls1) / max(columns, 1)
         if lost > LOSS:
             errors.append(f"{lost:.0%} of the rows are lost")
         elif lost > WARN:
@@ -127,10 +138,15 @@ def validate(before: tuple[int, dict[str, int]], after: DataFrame, operation: st
             errors.append(f"{c} has no value left")
         elif operation in ("auto_dtypes", "normalize_dates") and n0 and (nulls1[c] - nulls0[c]) / n0 > LEAK:
             errors.append(f"{c} loses {(nulls1[c] - nulls0[c]) / n0:.0%} of its values")
-    if len(set(after.columns)) < len(after.columns):
+    if len(set(names)) < len(names):
         warnings.append("names repeat")
-    confidence = max(0.0, 1.0 - 0.05 * len(warnings) - 0.30 * len(errors))
-    return Verdict(not errors, confidence, errors, warnings), (n1, nulls1)
+    return Verdict(not errors, max(0.0, 1.0 - 0.05 * len(warnings) - 0.30 * len(errors)), errors, warnings)
+
+
+def validate(before: State, after: DataFrame, operation: str) -> tuple[Verdict, State]:
+    """judge() with one aggregate over the result."""
+    state = rows.null_counts(after) if after.columns else (0, {})
+    return judge(before, len(before[1]), state, after.columns, operation), state
 
 
 @dataclass
@@ -138,48 +154,170 @@ class Result:
     df: DataFrame
     audits: list[Audit] = field(default_factory=list)
     errors: list[str] = field(default_factory=list)
+    state: State | None = None
 
     @property
     def success(self) -> bool:
         return any(a.success for a in self.audits) and not self.errors
 
 
-def repair(df: DataFrame, actions: list[Action], cache: bool = False, keep: Callable[[DataFrame], DataFrame] | None = None, keep_every: int = 5) -> Result:
+#: Operations that look at one row at a time and need no job to be planned: they ride along with the write before them.
+ROWWISE = {"strip_whitespace", "rename_columns", "remove_columns", "drop_empty_rows"}
+
+
+def _observed(df: DataFrame) -> tuple[DataFrame, Observation]:
+    """The same table, which counts its rows and nulls while it is written."""
+    seen, plain = Observation(), df.toDF(*(f"c{i}" for i in range(len(df.columns))))
+    counts = [F.count(F.when(F.col(c).isNull(), 1)).alias(c) for c in plain.columns]
+    return plain.observe(seen, F.count(F.lit(1)).alias("n"), *counts).toDF(*df.columns), seen
+
+
+def _state(names: list[str], seen: Observation) -> State:
+    found = seen.get
+    return found["n"], {c: found[f"c{i}"] for i, c in enumerate(names)}
+
+
+@dataclass
+class _Step:
+    """An action that was planned: its result's names, and what its counts will be read from."""
+
+    action: Action
+    names: list[str]
+    seen: Observation | None
+    error: str = ""
+
+
+def _asked(action: Action) -> int | None:
+    return len(set(action.params.get("rows", []))) if action.operation in ("remove_rows", "remove_rows_and_columns") else None
+
+
+class _Work:
+    """The newest committed table, as written, with its counts; older tables are deleted as they are replaced."""
+
+    def __init__(self, df: DataFrame, state: State | None) -> None:
+        self.df, self.state, self.uri = df, state, None
+        if state is None and df.columns:
+            observed, seen = _observed(df)
+            self.df, self.uri = write_table(observed)
+            self.state = _state(df.columns, seen)
+        elif state is None:
+            self.state = (df.count(), {})
+
+    def attempt(self, actions: list[Action]) -> tuple[list[_Step], DataFrame, str | None]:
+        """Plan some actions, one upon the other, and write what they come to in one job."""
+        plan, steps = self.df, []
+        for a in actions:
+            try:
+                candidate = dispatch(plan, a)
+                if not candidate.columns:
+                    steps.append(_Step(a, [], None))
+                    break
+                if candidate is plan:
+                    steps.append(_Step(a, plan.columns, None))
+                    continue
+                plan, seen = _observed(candidate)
+                steps.append(_Step(a, plan.columns, seen))
+            except RepairError as e:
+                steps.append(_Step(a, plan.columns, None, str(e)))
+        if not any(s.seen for s in steps):
+            return steps, self.df, None
+        try:
+            return steps, *write_table(plan)
+        except Exception as e:  # a value that an expression can't take shows up only here
+            if len(actions) > 1:
+                raise _Retry from e
+            return [_Step(actions[0], self.df.columns, None, f"{actions[0].operation} failed: {e}")], self.df, None
+
+    def commit(self, df: DataFrame, uri: str | None, state: State) -> None:
+        if self.uri and uri:
+            delete(self.df.sparkSession, self.uri)
+        self.df, self.uri, self.state = df, uri or self.uri, state
+
+
+class _Retry(Exception):
+    """Several actions were written at once and failed: they are tried one by one."""
+
+
+def _record(out: Result, work: _Work, steps: list[_Step]) -> tuple[int, State]:
+    """Audit steps in order up to the first that is rejected; returns how many were taken, and the counts after them."""
+    state, names = work.state, work.df.columns
+    for i, s in enumerate(steps):
+        if s.error:
+            out.errors.append(s.error)
+            out.audits.append(Audit(s.action.operation, state[0], state[0], len(names), len(names), False, [s.error]))
+            continue
+        after = _state(s.names, s.seen) if s.seen else state if s.names else (0, {})
+        verdict = judge(state, len(set(names)), after, s.names, s.action.operation, _asked(s.action))
+        out.audits.append(Audit(s.action.operation, state[0], after[0], len(names), len(s.names), verdict.valid, verdict.warnings + verdict.errors, {"columns": s.action.columns, **s.action.params}, verdict.confidence))
+        if not verdict.valid:
+            out.errors += verdict.errors
+            return i, state
+        state, names = after, s.names
+    return len(steps), state
+
+
+def repair(df: DataFrame, actions: list[Action], state: State | None = None) -> Result:
     """Carry out actions in order: each result is validated, then committed or left; the others still run.
 
-    cache: persist the newest committed result (in memory, then on disk; lost parts are computed again), so that
-    chains of actions are computed once. keep: cuts the lineage after every few commits (such as writing a table to a
-    shared folder).
+    df is read once, for a working copy in the shared folder that counts rows and nulls while it is written (give their
+    counts as `state` for a table that is written already). Each action's result is written once too, and observed by
+    the same job: its verdict needs no other pass. Actions that look at one row at a time are written together with the
+    one before. A rejected result is deleted, and nothing after it has seen it.
     """
-    out, state, commits = Result(df), rows.null_counts(df), 0
-    for action in actions:
+    out, work = Result(df), _Work(df, state)
+    at, single = 0, False
+    while at < len(actions):
+        end = at + 1
+        while not single and end < len(actions) and actions[end].operation in ROWWISE:
+            end += 1
         try:
-            candidate = dispatch(out.df, action)
-            candidate = candidate.persist() if cache and candidate is not out.df else candidate
-            verdict, after = validate(state, candidate, action.operation)
-        except RepairError as e:
-            out.errors.append(str(e))
-            out.audits.append(Audit(action.operation, state[0], state[0], len(out.df.columns), len(out.df.columns), False, [str(e)]))
+            steps, table, uri = work.attempt(actions[at:end])
+        except _Retry:
+            single = True
             continue
-        audit = Audit(action.operation, state[0], after[0], len(out.df.columns), len(candidate.columns), verdict.valid, verdict.warnings + verdict.errors, {"columns": action.columns, **action.params}, verdict.confidence)
-        out.audits.append(audit)
-        if verdict.valid:
-            if cache and out.df is not df and candidate is not out.df:
-                out.df.unpersist()
-            out.df, state, commits = candidate, after, commits + 1
-            if keep and commits % keep_every == 0:
-                out.df = keep(out.df)
-        else:
-            if cache:
-                candidate.unpersist()
-            out.errors += verdict.errors
+        audits, errors = len(out.audits), len(out.errors)
+        taken, after = _record(out, work, steps)
+        if taken == len(steps):
+            work.commit(table, uri, after)
+            at, single = at + taken, False
+            continue
+        if uri:
+            delete(df.sparkSession, uri)
+        if taken == 0:  # the table is still that of before
+            at, single = at + 1, False
+        else:  # the steps before the rejected one are written for themselves
+            del out.audits[audits:], out.errors[errors:]
+            single = True
+    if not any(a.success for a in out.audits):
+        if work.uri:
+            delete(df.sparkSession, work.uri)
+        return out
+    out.df, out.state = work.df, work.state
+    if work.uri:
+        atexit.register(delete, df.sparkSession, work.uri)
     return out
 
 
+def cell_evidence(df: DataFrame) -> dict[str, Any]:
+    """What the row-local checks need, from one aggregate: rows, nulls and cells to strip by column, rows without a value."""
+    names = [f"c{i}" for i in range(len(df.columns))]
+    plain = df.toDF(*names)
+    texts = [c for c in names if missing.is_text(plain, c)]
+    none = reduce(and_, [F.col(c).isNull() for c in names], F.lit(True))
+    exprs = [F.count(F.lit(1)).alias("rows"), F.count(F.when(none, 1)).alias("empty_rows"), *[F.count(F.when(F.col(c).isNull(), 1)).alias(f"null|{c}") for c in names]]
+    exprs += [F.count(F.when(F.col(c) != strip_collapse(c), 1)).alias(f"strip|{c}") for c in texts]
+    row = plain.agg(*exprs).first()
+    by = lambda kind, some: {df.columns[int(c[1:])]: row[f"{kind}|{c}"] for c in some}
+    return {"rows": row["rows"], "empty_rows": row["empty_rows"], "nulls": by("null", names), "strip": by("strip", texts)}
+
+
 def detect_repairs(df: DataFrame) -> list[Action]:
-    """Suggested actions, in the order in which they should run."""
-    n, nulls = rows.null_counts(df)
-    texts = [c for c in df.columns if missing.is_text(df, c)]
+    """Suggested actions, in the order in which they should run.
+
+    All row-local checks share one aggregate; packed cells, repeated rows, spellings and types have evidence of their own.
+    """
+    seen = cell_evidence(df)
+    n, nulls = seen["rows"], seen["nulls"]
     found: list[Action] = []
     if packed := reshape.detect_packed(df):
         found.append(Action("explode_multi_value_cells", packed["synchronized"], {"delimiter": packed["delimiter"]}, packed["confidence"]))
@@ -187,20 +325,20 @@ def detect_repairs(df: DataFrame) -> list[Action]:
         found.append(Action("remove_duplicate_rows", confidence=0.99))
     if any(reshape.N.is_unnamed(c) or c != c.strip() for c in df.columns) or len(set(df.columns)) < len(df.columns):
         found.append(Action("rename_columns", confidence=0.95))
-    if n and df.filter(F.expr(" and ".join(f"`{c}` is null" for c in df.columns))).limit(1).count():
+    if seen["empty_rows"]:
         found.append(Action("drop_empty_rows", confidence=0.99))
     if any(nulls[c] == n for c in df.columns):
         found.append(Action("drop_empty_columns", confidence=0.99))
     if any(0.8 <= nulls[c] / max(n, 1) < 1 for c in df.columns):
         found.append(Action("drop_high_missing_columns", confidence=0.90))
-    if texts and any(df.agg(*[F.coalesce(F.bool_or(F.col(c) != strip_collapse(c)), F.lit(False)) for c in texts]).first()):
-        found.append(Action("strip_whitespace", texts, confidence=0.98))
+    if any(seen["strip"].values()):
+        found.append(Action("strip_whitespace", list(seen["strip"]), confidence=0.98))
     if odd := standardize.inconsistent_columns(df):
         found.append(Action("standardize_values", odd, confidence=0.88))
     if wrong := types.mistyped(df):
         found.append(Action("auto_dtypes", list(wrong), confidence=0.90))
-    if any(0 < nulls[c] < n for c in df.columns):
-        found.append(Action("fill_missing", [c for c in df.columns if 0 < nulls[c] < n], confidence=0.85))
+    if some := [c for c in df.columns if 0 < nulls[c] < n]:
+        found.append(Action("fill_missing", some, confidence=0.85))
     return found
 
 
@@ -245,21 +383,22 @@ class Session:
 
     def load(self, df: DataFrame) -> None:
         self.original = self.current = df
-        self.history, self.derived, self._undo = History(), {}, []
+        self.history, self.derived, self._undo, self._state = History(), {}, [], None
 
     def apply(self, actions: list[Action]) -> Result:
-        result = repair(self.current, actions)
+        """Repair the newest table; what a repair has written and counted is not copied again."""
+        result = repair(self.current, actions, self._state)
         self.history.add(result)
         if result.success:
-            self._undo.append(self.current)
-            self.current, self.derived = result.df, {}
+            self._undo.append((self.current, self._state))
+            self.current, self._state, self.derived = result.df, result.state, {}
         return result
 
     def undo(self) -> DataFrame:
         if self._undo:
-            self.current, self.derived = self._undo.pop(), {}
+            (self.current, self._state), self.derived = self._undo.pop(), {}
         return self.current
 
     def reset(self) -> DataFrame:
-        self.current, self.derived, self._undo = self.original, {}, []
+        self.current, self.derived, self._undo, self._state = self.original, {}, [], None
         return self.current
