@@ -91,10 +91,61 @@ def _pairs(canon: DataFrame, other: DataFrame | None = None) -> DataFrame:
     return a.join(F.broadcast(b), F.col("a") != F.col("b"))
 
 
+#: Keys up to this length are indexed by what is left after deletions, longer ones by their thirds; lengths next to it by both.
+DELETIONS_TO = 26
+
+
+def _deleted(x: Column) -> Column:
+    """All texts that are x less one character."""
+    n = F.length(x)
+    return F.when(n > 0, F.transform(F.sequence(F.lit(1), n), lambda i: F.concat(x.substr(F.lit(1), i - 1), x.substr(i + 1, n)))).otherwise(F.array().cast("array<string>"))
+
+
+def _thirds(x: Column, n: Column, shift: tuple[int, ...]) -> list[Column]:
+    """The thirds that a text of length n is cut into, as marked pieces of x, moved by each shift."""
+    size = F.floor(n / 3).cast("int")
+    cuts = [(F.lit(0), size), (size, size), (2 * size, n - 2 * size)]
+    return [F.when(at + d >= 0, F.concat_ws("|", n, F.lit(i), x.substr(at + d + 1, long))) for i, (at, long) in enumerate(cuts) for d in shift]
+
+
+def near_keys(keys: DataFrame) -> DataFrame:
+    """(x, y), x < y: all pairs of a table of distinct texts (`key`) that are at most two edits apart, without comparing all.
+
+    Short texts meet in what is left of both after two deletions at most: texts two edits apart always share such a rest.
+    Long ones meet in a third: of three pieces of a text, two edits leave one as it is, moved by two places at most.
+    Both are equi-joins over exploded pieces; the edit distance then decides. Texts of less than 6 characters are only
+    looked up with one deletion, as two edits change more than a quarter of them.
+    """
+    x, n = F.col("key"), F.length("key")
+    one = _deleted(x)
+    two = F.flatten(F.transform(one, _deleted))
+    rests = F.array_distinct(F.concat(F.array(x), one, F.when(n >= 6, two).otherwise(F.array().cast("array<string>"))))
+    short = keys.filter(n <= DELETIONS_TO).select("key", F.explode(rests).alias("piece"))
+    long = keys.filter(n >= DELETIONS_TO - 1)
+    index = long.select("key", F.explode(F.array(*_thirds(x, n, (0,)))).alias("piece"))
+    probe = long.select(F.col("key").alias("other"), F.explode(F.array_compact(F.array(*[p for d in range(-2, 3) for p in _thirds(x, n + d, (-2, -1, 0, 1, 2))]))).alias("piece"))
+    pairs = short.join(short.withColumnRenamed("key", "other"), "piece").unionByName(index.join(probe, "piece"))
+    ordered = pairs.filter("key != other").select(F.least("key", "other").alias("x"), F.greatest("key", "other").alias("y")).distinct()
+    return ordered.filter(F.levenshtein("x", "y", 2) >= 0)
+
+
+def _near_pairs(canon: DataFrame) -> DataFrame:
+    """_pairs() of values whose keys are at most two edits apart, by near_keys()."""
+    keyed = canon.withColumn("key", canonical_key("value")).filter(F.length("key") >= 4)
+    near = near_keys(keyed.select("key").distinct())
+    both = near.unionByName(near.select(F.col("y").alias("x"), F.col("x").alias("y")))
+    side = lambda s, k: keyed.select(F.col("key").alias(k), F.col("value").alias(s), F.col("n").alias(f"n{s}"), F.col("first").alias(f"f{s}"), F.col("own").alias(f"o{s}"))
+    return both.join(side("a", "x"), "x").join(side("b", "y"), "y").drop("x", "y")
+
+
 def fuzzy_typos(canon: DataFrame) -> DataFrame:
-    """Values one or two edits apart; counts 3 to 1 make it safe, balanced ones need a review."""
+    """Values one or two edits apart; counts 3 to 1 make it safe, balanced ones need a review.
+
+    A table of VALUES at most is compared pair by pair, a larger one by an index of pieces; the pairs are the same.
+    """
     x, y = canonical_key("a"), canonical_key("b")
-    pairs = _pairs(canon).filter((F.col("fa") < F.col("fb")) | ((F.col("fa") == F.col("fb")) & (F.col("a") < F.col("b")))).withColumns({"x": x, "y": y})
+    found = _pairs(canon) if canon.limit(VALUES + 1).count() <= VALUES else _near_pairs(canon)
+    pairs = found.filter((F.col("fa") < F.col("fb")) | ((F.col("fa") == F.col("fb")) & (F.col("a") < F.col("b")))).withColumns({"x": x, "y": y})
     pairs = pairs.filter((F.length("x") >= 4) & (F.length("y") >= 4)).withColumn("d", F.levenshtein("x", "y")).withColumn("m", F.greatest(F.length("x"), F.length("y")))
     sim = 1 - F.col("d") / F.col("m")
     near = ((F.col("d") == 1) | ((F.col("d") == 2) & (F.col("m") >= 7))) & (sim >= 0.75)
