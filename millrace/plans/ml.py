@@ -43,6 +43,10 @@ def task_type(df: DataFrame, target: str) -> str:
     return "regression"
 
 
+#: Classes of a target that are reported with their counts; `unique` tells how many there are.
+CLASSES = 1_000
+
+
 def target_quality(df: DataFrame, target: str) -> dict[str, Any]:
     """Whether a target can be learned: it exists, has ten values or more and some variation."""
     if target not in df.columns:
@@ -51,7 +55,8 @@ def target_quality(df: DataFrame, target: str) -> dict[str, Any]:
     n, k, unique = df.agg(F.count(F.lit(1)), F.count(x), F.count_distinct(x)).first()
     spread = df.agg(F.var_samp(target)).first()[0] if is_numeric(df, target) else None
     reason = "fewer than 10 values" if k < 10 else "only one value" if unique <= 1 else "no variance" if spread == 0 else None
-    top = {str(r[0]): r["count"] for r in df.filter(x.isNotNull()).groupBy(target).count().orderBy(F.desc("count"), target).collect()} if unique <= 20 or not is_numeric(df, target) else {}
+    counted = df.filter(x.isNotNull()).groupBy(target).count().orderBy(F.desc("count"), target).limit(CLASSES)
+    top = {str(r[0]): r["count"] for r in counted.collect()} if unique <= 20 or not is_numeric(df, target) else {}
     return {"valid": reason is None, "reason": reason, "missing": n - k, "valid_count": k, "unique": unique, "classes": top}
 
 
@@ -96,18 +101,34 @@ def readiness(df: DataFrame, target: str) -> dict[str, Any]:
     return {"target": target, "task": task_type(df, target) if quality["valid"] else None, "quality": quality, "roles": roles, "ready": quality["valid"] and usable > 0}
 
 
-def split(df: DataFrame, key: str, label: str | None = None, share: float = 0.2, seed: int = 42) -> DataFrame:
-    """Add is_test: the first rows of each class in order of a hash of the key, so that reruns agree.
+#: Slices of the hash in which ranks are counted: no slice of a class has more than a small part of its rows.
+SLICE_BITS = 14
+
+
+def class_ranks(df: DataFrame, key: str, label: str | None, seed: int) -> DataFrame:
+    """Add __rank (from 1, in order of a hash of the key) and __total of each row's class, so that reruns agree.
 
-    Classes are cut by ranges of the hash (ranks are computed in 64 slices of it), so no class is one task.
+    Classes are cut into slices of the hash: ranks are counted inside of slices, and the rows of the slices before are
+    added from a small table, so no class is one task.
     """
-    h = F.xxhash64(F.col(key), F.lit(seed))
-    work = df.withColumn("__h", h).withColumn("__c", text(label) if label else F.lit("")).withColumn("__s", F.pmod(F.shiftright("__h", 58), 64))
+    work = df.withColumn("__h", F.xxhash64(F.col(key), F.lit(seed))).withColumn("__c", F.coalesce(text(label), F.lit("")) if label else F.lit(""))
+    work = work.withColumn("__s", F.shiftright("__h", 64 - SLICE_BITS))
     counts = work.groupBy("__c", "__s").agg(F.count(F.lit(1)).alias("__n"))
     w = Window.partitionBy("__c").orderBy("__s")
     counts = counts.select("__c", "__s", (F.sum("__n").over(w) - F.col("__n")).alias("__before"), F.sum("__n").over(Window.partitionBy("__c")).alias("__total"))
     ranked = work.withColumn("__r", F.row_number().over(Window.partitionBy("__c", "__s").orderBy("__h", key))).join(counts, ["__c", "__s"])
-    return ranked.withColumn("is_test", F.col("__before") + F.col("__r") <= F.ceil(F.lit(share) * F.col("__total"))).drop("__h", "__c", "__s", "__r", "__before", "__total")
+    return ranked.withColumn("__rank", F.col("__before") + F.col("__r")).drop("__h", "__c", "__s", "__r", "__before")
+
+
+def split(df: DataFrame, key: str, label: str | None = None, share: float = 0.2, seed: int = 42) -> DataFrame:
+    """Add is_test: the first rows of each class in order of a hash of the key."""
+    ranked = class_ranks(df, key, label, seed)
+    return ranked.withColumn("is_test", F.col("__rank") <= F.ceil(F.lit(share) * F.col("__total"))).drop("__rank", "__total")
+
+
+def assign_folds(df: DataFrame, key: str, label: str | None = None, folds: int = 5, seed: int = 7, name: str = "fold") -> DataFrame:
+    """Add each row's fold, dealt in turns along the hash inside of each class: a class's folds differ by one row at most."""
+    return class_ranks(df, key, label, seed).withColumn(name, ((F.col("__rank") - 1) % folds).cast("int")).drop("__rank", "__total")
 
 
 @dataclass
@@ -240,7 +261,10 @@ def train(df: DataFrame, target: str, key: str, trees: int = 100, folds: int = 5
     parted = split(work, key, "label" if stratified else None)
     stages, extra = prepare(parted.filter("not is_test"), roles)
     parted = parted.withColumns(extra) if extra else parted
-    fit_rows, test_rows = parted.filter("not is_test").persist(), parted.filter("is_test").persist()
+    # Folds are dealt once, by class if the split is, and shared by all candidates.
+    learning = parted.filter("not is_test")
+    learning = assign_folds(learning, key, "label" if stratified else None, folds, name="__fold") if folds > 1 else learning
+    fit_rows, test_rows = learning.persist(), parted.filter("is_test").persist()
     primary = "r2" if task == "regression" else "f1" if weighted else "accuracy" if task.startswith("binary") else "balanced_accuracy"
     board, models = [], {}
     if task == "regression":
@@ -258,7 +282,7 @@ def train(df: DataFrame, target: str, key: str, trees: int = 100, folds: int = 5
         model = chosen[name].copy().fit(ready)
         return model, Candidate(name, False, evaluate(model.transform(tested), task), seconds=round(time.monotonic() - began, 3))
 
-    tasks = {(name, k): (lambda name=name, k=k: fit(name) if k < 0 else cross_validate(fit_rows, stages, chosen[name], task, key, folds, k)) for name in chosen for k in range(-1, folds if folds > 1 else 0)}
+    tasks = {(name, k): (lambda name=name, k=k: fit(name) if k < 0 else cross_validate(fit_rows, stages, chosen[name], task, k)) for name in chosen for k in range(-1, folds if folds > 1 else 0)}
     done = _together(df, tasks)
     for name in chosen:
         parts = [done[name, k] for k in range(-1, folds if folds > 1 else 0)]
@@ -295,9 +319,8 @@ def _together(df: DataFrame, tasks: dict[Any, Callable]) -> dict[Any, Any]:
         return dict(zip(tasks, pool.map(inheritable_thread_target(df.sparkSession)(run), tasks.values(), chunksize=1), strict=True))
 
 
-def cross_validate(rows: DataFrame, stages: list, estimator: Estimator, task: str, key: str, folds: int, fold: int) -> float:
-    """r2 or accuracy on a fold, the preprocessor being fitted anew without it."""
-    placed = rows.withColumn("__fold", F.pmod(F.xxhash64(F.col(key), F.lit(7)), folds))
+def cross_validate(placed: DataFrame, stages: list, estimator: Estimator, task: str, fold: int) -> float:
+    """r2 or accuracy on a fold (column __fold), the preprocessor being fitted anew without it."""
     model = Pipeline(stages=[x.copy() for x in (*stages, estimator)]).fit(placed.filter(F.col("__fold") != fold))
     return evaluate(model.transform(placed.filter(F.col("__fold") == fold)), task)["r2" if task == "regression" else "accuracy"]
 
