@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions.text import strip_collapse
@@ -20,12 +20,10 @@ def remove_duplicates(df: DataFrame, subset: list[str] | None = None, keep: str
     if subset is None and keep in ("first", "last"):
         return df.dropDuplicates()
     keys = subset or df.columns
-    if keep == "none":
-        w = Window.partitionBy(*keys)
-        return df.withColumn("__n", F.count(F.lit(1)).over(w)).filter("__n = 1").drop("__n")
     # The best row of a key is an aggregate, combined before the shuffle, and no window over a hot key's rows.
     row = F.struct(*[F.col(c) for c in order_by or df.columns], *[F.col(c).alias(f"__v{i}") for i, c in enumerate(df.columns)])
-    best = df.groupBy(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)]).agg((F.min if keep == "first" else F.max)(row).alias("__r"))
+    best = df.groupBy(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)]).agg((F.max if keep == "last" else F.min)(row).alias("__r"), F.count(F.lit(1)).alias("__n"))
+    best = best.filter("__n = 1") if keep == "none" else best
     return best.select(*[F.col(f"__r.__v{i}").alias(c) for i, c in enumerate(df.columns)])
 
 

@@ -232,6 +232,35 @@ def sample_values(df: DataFrame, column: str, order_by: list[str], k: int = 5) -
     return [r[0] for r in seen.orderBy("first").limit(k).collect()]
 
 
+def column_details(df: DataFrame, order_by: list[str] | None = None, samples: int = 5) -> DataFrame:
+    """One row for each column: dtype, counts and shares of values, nulls and distinct values, flags, first distinct values.
+
+    One scan: cells are counted by (column, value) with the first place of each value, combined before the shuffle; both
+    summaries read that one exchange. Places are order_by, or numbers given in the same job, so they can't move. The
+    first values of a column come from a ranking that every task cuts to `samples` before rows move.
+    """
+    place = F.struct(*order_by) if order_by else F.monotonically_increasing_id()
+    cells = [F.struct(F.lit(i).alias("i"), text(F.col(f"`{c}`")).alias("value")) for i, c in enumerate(df.columns)]
+    rows = F.struct(F.lit(-1).alias("i"), F.lit("").alias("value"))  # counts all rows
+    counted = df.select(place.alias("place"), F.explode(F.array(rows, *cells)).alias("cell")).select("place", "cell.*").filter("value is not null")
+    counted = counted.groupBy("i", "value").agg(F.count(F.lit(1)).alias("n"), F.min("place").alias("first"))
+    sums = counted.groupBy("i").agg(F.sum("n").alias("non_null_count"), F.count(F.lit(1)).alias("unique_count"))
+    first = Window.partitionBy("i").orderBy("first", "value")
+    heads = counted.filter("i >= 0").withColumn("rank", F.row_number().over(first)).filter(F.col("rank") <= samples)
+    heads = heads.groupBy("i").agg(F.array_sort(F.collect_list(F.struct("rank", "value"))).alias("heads"))  # `samples` values
+    kinds = [F.struct(F.lit(i).alias("i"), F.lit(c).alias("column_name"), F.lit(t).alias("dtype")) for i, (c, t) in enumerate(df.dtypes)]
+    columns = df.sparkSession.range(1).select(F.explode(F.array(*kinds)).alias("c")).select("c.*")
+    total = sums.filter("i = -1").select(F.col("non_null_count").alias("total"), F.lit(1).alias("one"))
+    found = columns.join(sums, "i", "left").join(heads, "i", "left").withColumn("one", F.lit(1)).join(F.broadcast(total), "one", "left")  # one row of totals
+    non_null, unique, n = F.coalesce("non_null_count", F.lit(0)), F.coalesce("unique_count", F.lit(0)), F.coalesce("total", F.lit(0))
+    share = lambda x: F.coalesce(F.try_divide(x.cast("double"), n), F.lit(0.0))
+    return found.select(
+        "column_name", "dtype", non_null.alias("non_null_count"), (n - non_null).alias("null_count"), share(n - non_null).alias("null_share"), unique.alias("unique_count"), share(unique).alias("unique_share"),
+        ((unique == n) & (n > 1)).alias("is_potential_id"), ((unique <= 1) & (non_null > 0)).alias("is_constant"),
+        F.coalesce(F.transform("heads", lambda h: h["value"]), F.array().cast("array<string>")).alias("samples"),
+    )
+
+
 def mixed_type_columns(df: DataFrame, n: int = 100) -> list[str]:
     """Text columns whose first values look like several types."""
     return [c for c in df.columns if is_text(df, c) and df.filter(F.col(c).isNotNull()).limit(n).select(value_class(c).alias("k")).distinct().count() > 1]

@@ -88,8 +88,8 @@ def date_convention(column: str, e: dict) -> dict:
     return dict(zip(("convention", "dayfirst", "ambiguous", "confidence"), out, strict=True)) | {"parse_ratio": round(parsed / n, 3)}
 
 
-#: Distinct texts of a column up to which their readings are broadcast: at under 100 bytes each, some 25 MB.
-BROADCAST_TEXTS = 250_000
+#: Distinct texts of a column, and their characters in all, up to which their readings are broadcast.
+BROADCAST_TEXTS, BROADCAST_CHARS = 250_000, 8_000_000
 
 
 def read_dates(df: DataFrame, column: str, name: str, dayfirst: bool = False) -> DataFrame:
@@ -100,7 +100,8 @@ def read_dates(df: DataFrame, column: str, name: str, dayfirst: bool = False) ->
     plain = text(column)
     seen = df.select(plain.alias("__text")).filter("__text is not null").distinct()
     table = stable(seen.withColumn(name, classify_date("__text", dayfirst)))
-    small = F.broadcast(table) if table.count() <= BROADCAST_TEXTS else table
+    n, chars = table.agg(F.count(F.lit(1)), F.sum(F.length("__text"))).first()
+    small = F.broadcast(table) if n <= BROADCAST_TEXTS and (chars or 0) <= BROADCAST_CHARS else table
     missing = classify_date(F.lit(None).cast("string"))  # what null is read as
     out = df.withColumn("__of", plain).join(small, F.col("__of") == F.col("__text"), "left")
     return out.withColumn(name, F.coalesce(name, missing)).drop("__of", "__text")

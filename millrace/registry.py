@@ -11,13 +11,13 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 def queries() -> dict[str, Query]:
     """Queries over the reference operators, by name."""
-    from millrace.plans import catalog, catalog_more  # noqa: F401  the second adds to the first
+    from millrace.plans import catalog, catalog_layouts, catalog_more  # noqa: F401  the others add to the first
 
     return dict(catalog.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL for those of queries() that SQL can express."""
-    from millrace.plans import catalog, catalog_more  # noqa: F401
+    from millrace.plans import catalog, catalog_layouts, catalog_more  # noqa: F401
 
     return dict(catalog.ORACLES)
