@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions.text import ascii_clean, canonical_key, distinct_entities, text, token_key, ws_trim
 from millrace.operators.missing import is_text
+from millrace.stable import stable
 
 # Texts that mean "missing" in categories; words that initials leave out; limits of what is a category.
 SENTINELS = [
@@ -281,3 +282,28 @@ def inconsistent_columns(df: DataFrame, least: float = 0.85) -> list[str]:
 def semantic_groups(found: DataFrame) -> DataFrame:
     """Proposals by canonical value, with the least confidence."""
     return found.filter("canonical is not null").groupBy("canonical").agg(F.array_sort(F.collect_set("value")).alias("members"), F.min("confidence").alias("confidence"))
+
+
+def validated_groups(values: DataFrame, proposed: DataFrame) -> DataFrame:
+    """Proposed groups (canonical, value, confidence) held against the column's values (value, n), such as a provider's.
+
+    Members that the column doesn't have are dropped. Groups that share a member are one: they get the least canonical
+    name of each other's until nothing changes, and go under the name that is most frequent in the column. A group is
+    rejected (accepted is false) if a name or member of it must never merge with that name. One row for each group:
+    canonical, members in order, the least confidence, accepted.
+    """
+    known = stable(proposed.join(values.select("value"), "value", "left_semi").select("canonical", "value", "confidence"))
+    label = known.select("canonical", F.col("canonical").alias("root")).distinct()
+    while True:
+        by_value = known.join(label, "canonical").groupBy("value").agg(F.min("root").alias("least"))
+        new = stable(known.join(by_value, "value").groupBy("canonical").agg(F.min("least").alias("root")))
+        if new.join(label, ["canonical", "root"], "left_anti").isEmpty():
+            break
+        label = new
+    names = label.join(values.select(F.col("value").alias("canonical"), "n"), "canonical", "left")
+    best = names.groupBy("root").agg(F.min(F.struct((-F.coalesce("n", F.lit(0))).alias("less"), "canonical")).alias("b")).select("root", F.col("b.canonical").alias("name"))
+    rows = known.join(label, "canonical").join(best, "root")
+    apart = lambda c: (F.col(c) != F.col("name")) & F.coalesce(distinct_entities(F.col(c), F.col("name")), F.lit(False))
+    return rows.groupBy(F.col("name").alias("canonical")).agg(
+        F.array_sort(F.collect_set("value")).alias("members"), F.min("confidence").alias("confidence"), (~F.bool_or(apart("value") | apart("canonical"))).alias("accepted")
+    )

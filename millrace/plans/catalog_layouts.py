@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.operators import duplicates, missing, profile, rows, standardize
-from millrace.plans import ml, repair
-from millrace.plans.catalog import DIRTY_ORDERS_SQL, DOUBLED_SQL, ORACLES, dirty_orders, doubled_customers, one_row, query, read
+from millrace.plans import ml, provider, repair
+from millrace.plans.catalog import _MESSY_SQL, DIRTY_ORDERS_SQL, DOUBLED_SQL, ORACLES, _messy, dirty_orders, doubled_customers, one_row, query, read
 
 # -- positions after shuffles ----------------------------------------------------------------------------------
 
@@ -155,3 +155,37 @@ _FACTS_SQL = "select count(*) as n, " + ", ".join([
     "(select [" + ", ".join(f"{c}::varchar" for c in _LINEITEM) + "] from lineitem limit 1) as head",
 ]) + " from lineitem"
 ORACLES["structure_rules"] = f"with f as ({_FACTS_SQL}) " + " union all ".join(f"select '{rule}' as rule, '{layout}' as layout, {score} as score from f" for rule, (layout, score) in _lineitem_rules().items())
+
+
+# -- plans and checked proposals -------------------------------------------------------------------------------
+
+
+@query(f"""with v as (select segment as value, count(*) as n from {_MESSY_SQL} where lower(trim(segment)) != 'n/a' group by 1),
+p as (select upper(trim(value)[1]) || lower(trim(value)[2:]) as canonical, value, 0.9 as confidence from v union all select 'Machinery', value, 0.8 from v where value = 'Machinerry')
+select case when canonical = 'Machinerry' then 'Machinery' else canonical end as canonical, string_agg(distinct value, '|' order by value) as members, min(confidence)::double as confidence, true as accepted from p group by 1""")
+def semantic_groups_checked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Segments grouped by their name, with a misspelling that joins two groups and a member that isn't there."""
+    values = standardize.value_table(_messy(spark, sf_dir), "segment").filter("lower(trim(value)) != 'n/a'").select("value", "n")
+    named = values.select(F.initcap(F.trim("value")).alias("canonical"), "value", F.lit(0.9).alias("confidence"))
+    more = spark.sql("select * from values ('Machinery', 'Machinerry', 0.8d), ('Machinery', 'Not There', 0.1d) as t(canonical, value, confidence)")
+    found = standardize.validated_groups(values, named.unionByName(more))
+    return found.withColumn("members", F.array_join("members", "|"))
+
+
+@query("""select 'o_orderstatus' as target, 'multiclass_classification' as task, 'accuracy' as metric,
+(select string_agg(c, ',' order by k) from (values (0, 'o_orderkey', (select count(distinct o_orderkey) from orders)), (1, 'o_custkey', (select count(distinct o_custkey) from orders)), (3, 'o_totalprice', (select count(distinct o_totalprice) from orders)),
+  (4, 'o_orderdate', (select count(distinct o_orderdate) from orders)), (5, 'o_orderpriority', (select count(distinct o_orderpriority) from orders)), (6, 'same', (select count(distinct 1) from orders))) as t(k, c, n) where n > 1) as features""")
+def model_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The plan by rule for orders with a constant column: o_orderstatus is named like a target."""
+    found = ml.plan(read(spark, sf_dir, "orders").withColumn("same", F.lit(1)))
+    return one_row(spark, "target string, task string, metric string, features string", found.target, found.task, found.metric, ",".join(found.features))
+
+
+@query(f"""select 'o_orderpriority' as column_name, count(*) - count(o_orderpriority) as null_count, round(100.0 * (count(*) - count(o_orderpriority)) / count(*), 2)::double as null_percentage, count(distinct o_orderpriority) as unique_count from {DIRTY_ORDERS_SQL}
+union all select 'o_totalprice', count(*) - count(o_totalprice), round(100.0 * (count(*) - count(o_totalprice)) / count(*), 2)::double, count(distinct o_totalprice) from {DIRTY_ORDERS_SQL}
+union all select 'nothing', count(*), 100.0::double, 0 from {DIRTY_ORDERS_SQL}""")
+def compact_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a provider gets to see of three columns of dirty orders."""
+    found = provider.compact_profile(dirty_orders(spark, sf_dir).select("o_orderpriority", "o_totalprice", "nothing"))
+    cells = F.array(*[F.struct(F.lit(c["column"]).alias("column_name"), *[F.lit(c[k]).cast(t).alias(k) for k, t in (("null_count", "long"), ("null_percentage", "double"), ("unique_count", "long"))]) for c in found["column_profiles"]])
+    return spark.range(1).select(F.explode(cells).alias("c")).select("c.*")

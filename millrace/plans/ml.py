@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 import time
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import asdict, dataclass, field
 from multiprocessing.pool import ThreadPool
 from typing import Any
 
@@ -101,6 +101,60 @@ def readiness(df: DataFrame, target: str) -> dict[str, Any]:
     return {"target": target, "task": task_type(df, target) if quality["valid"] else None, "quality": quality, "roles": roles, "ready": quality["valid"] and usable > 0}
 
 
+@dataclass
+class Plan:
+    """What to model and how: from a provider if it proposes something usable, else by rule."""
+
+    task: str
+    target: str | None
+    features: list[str]
+    excluded: dict[str, str]
+    models: list[str]
+    metric: str
+    confidence: float
+    reasoning: str = ""
+    risks: list[str] = field(default_factory=list)
+
+
+# Parts of names that targets have; the confidence of a plan by rule and of a provider's.
+TARGET_NAMES = ["target", "label", "churn", "price", "sales", "salary", "outcome", "status", "class", "default"]
+BY_RULE, BY_PROVIDER = 0.80, 0.90
+
+
+def candidate_target(df: DataFrame) -> str | None:
+    """The first column that is named like a target, else the last column."""
+    return next((c for c in df.columns if any(x in c.lower() for x in TARGET_NAMES)), df.columns[-1] if df.columns else None)
+
+
+def fallback_plan(df: DataFrame, target: str | None = None) -> Plan:
+    """The plan by rule: features are the other columns that vary; candidates and metric follow the task."""
+    target = target or candidate_target(df)
+    task = task_type(df, target) if target else "binary_classification"
+    unique = distinct_counts(df) if df.columns else {}
+    excluded = {c: "the target" if c == target else "has one value at most" for c in df.columns if c == target or unique[c] <= 1}
+    models = ["random_forest", "gradient_boosting", "ridge" if task == "regression" else "logistic_regression"]
+    return Plan(task, target, [c for c in df.columns if c not in excluded], excluded, models, "r2" if task == "regression" else "accuracy", BY_RULE, f"target {target} by name or place", ["features must be known when the model is used"])
+
+
+def plan(df: DataFrame, target: str | None = None, propose: Callable[[dict], dict] | None = None) -> Plan:
+    """A plan for the table. propose gets the fallback as a dict and returns what it would change; features and targets
+    that don't exist are left out, and the fallback stands if it fails or leaves no feature."""
+    base = fallback_plan(df, target)
+    if propose is None:
+        return base
+    try:
+        said = propose(asdict(base))
+        goal = said.get("target") if said.get("target") in df.columns else base.target
+        chosen = said.get("features")
+        features = base.features if chosen is None else [c for c in chosen if c in df.columns and c != goal]
+        if not features:
+            return base
+        excluded = {str(k): str(v) for k, v in dict(said.get("excluded", base.excluded)).items() if k in df.columns}
+        return Plan(str(said.get("task", base.task)), goal, features, excluded, [str(m) for m in said.get("models", base.models)], str(said.get("metric", base.metric)), BY_PROVIDER, str(said.get("reasoning", "")), [str(r) for r in said.get("risks", base.risks)])
+    except Exception:  # whatever a provider answers, there is a plan
+        return base
+
+
 #: Slices of the hash in which ranks are counted: no slice of a class has more than a small part of its rows.
 SLICE_BITS = 14
 

@@ -90,10 +90,32 @@ def checked_actions(proposed: list[dict], df: DataFrame) -> tuple[list[Action],
     return good, warnings
 
 
+#: Values of a column that a provider gets to see, and their longest length.
+SHOWN, SHOWN_CHARS = 3, 80
+
+
 def compact_profile(df: DataFrame) -> dict:
-    """What a provider gets to see: schema, nulls, duplicates, three rows."""
-    from millrace.operators.duplicates import duplicate_count
-    from millrace.operators.rows import null_counts
+    """What a provider gets to see: schema, nulls, duplicates, three rows, and a profile of each column.
 
-    n, nulls = null_counts(df)
-    return {"rows": n, "schema": dict(df.dtypes), "nulls": nulls, "duplicates": duplicate_count(df), "sample": [r.asDict() for r in df.limit(3).collect()]}
+    The columns' profiles come from one scan; their semantic types from the evidence that type repair uses.
+    """
+    from millrace.operators.duplicates import duplicate_count
+    from millrace.operators.profile import column_details
+    from millrace.operators.types import infer_types
+
+    if not df.columns:
+        return {"rows": df.count(), "schema": {}, "nulls": {}, "duplicates": 0, "sample": [], "column_profiles": []}
+    details = {r["column_name"]: r for r in column_details(df, samples=SHOWN).collect()}  # a row for each column
+    kinds = infer_types(df)
+    columns = [
+        {
+            "column": c, "dtype": d["dtype"], "semantic_type": kinds[c].type if c in kinds else d["dtype"], "type_confidence": kinds[c].confidence if c in kinds else 1.0, "null_count": d["null_count"],
+            "null_percentage": round(100 * d["null_share"], 2), "unique_count": d["unique_count"], "sample_values": [v[:SHOWN_CHARS] for v in d["samples"]], "possible_id": d["is_potential_id"], "constant": d["is_constant"],
+        }
+        for c, d in details.items()
+    ]
+    n = next(iter(details.values()))
+    return {
+        "rows": n["non_null_count"] + n["null_count"], "schema": dict(df.dtypes), "nulls": {c: d["null_count"] for c, d in details.items()}, "duplicates": duplicate_count(df),
+        "sample": [r.asDict() for r in df.limit(3).collect()], "column_profiles": columns,
+    }

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from millrace.operators import profile, ranks, standardize
-from millrace.plans import ml
+from millrace.plans import ml, provider
 
 
 @pytest.mark.parametrize(("few", "sketch"), [(100_000, 2_000), (60, 20), (1, 8)])
@@ -87,3 +87,35 @@ def test_column_details(spark):
         assert by["k"]["is_potential_id"] and by["same"]["is_constant"] and not by["nothing"]["is_constant"] and not by["t"]["is_potential_id"]
     empty = profile.column_details(df.limit(0)).collect()
     assert len(empty) == 4 and all(r["non_null_count"] == 0 and r["samples"] == [] and not r["is_potential_id"] for r in empty)
+
+
+def test_checked_groups_merge_and_reject(spark):
+    values = spark.createDataFrame([("Red", 9), ("red ", 1), ("Redd", 2), ("North Shop", 5), ("South Shop", 6), ("Blue", 3)], "value string, n long")
+    proposed = spark.createDataFrame(
+        [("Red", "red ", 0.9), ("Redd", "Redd", 0.7), ("Red", "Redd", 0.8), ("North Shop", "South Shop", 0.9), ("Blue", "Bleu", 0.9), ("Blue", "Blue", 0.6)], "canonical string, value string, confidence double"
+    )
+    got = {r["canonical"]: (list(r["members"]), r["confidence"], r["accepted"]) for r in standardize.validated_groups(values, proposed).collect()}
+    assert got["Red"] == (["Redd", "red "], 0.7, True) and got["Blue"] == (["Blue"], 0.6, True)
+    assert got["North Shop"][2] is False and len(got) == 3
+    assert standardize.validated_groups(values, proposed.limit(0)).count() == 0
+
+
+def test_model_plans(spark):
+    df = spark.createDataFrame([(i, float(i), "a", f"s{i % 3}", i * 2.5) for i in range(40)], "k long, price double, one string, kind string, x double")
+    base = ml.plan(df)
+    assert (base.target, base.task, base.metric, base.features, base.excluded["one"], base.confidence) == ("price", "regression", "r2", ["k", "kind", "x"], "has one value at most", 0.80)
+    said = ml.plan(df, propose=lambda p: {"target": "kind", "features": ["x", "ghost", "kind"], "task": "multiclass_classification", "metric": "f1"})
+    assert (said.target, said.features, said.metric, said.confidence) == ("kind", ["x"], "f1", 0.90)
+
+    def fails(p):
+        raise RuntimeError("no answer")
+
+    assert ml.plan(df, propose=fails) == base and ml.plan(df, propose=lambda p: {"features": ["ghost"]}) == base and ml.plan(df, "x").target == "x"
+
+
+def test_compact_profiles_hold_columns(spark):
+    df = spark.createDataFrame([(i, f"${i}.50", None) for i in range(30)], "k long, price string, none string")
+    p = provider.compact_profile(df)
+    by = {c["column"]: c for c in p["column_profiles"]}
+    assert p["rows"] == 30 and by["k"]["possible_id"] and by["none"]["null_percentage"] == 100.0 and len(by["price"]["sample_values"]) == 3 and by["price"]["semantic_type"] == "currency"
+    assert provider.compact_profile(df.limit(0))["rows"] == 0
