@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import re
 from functools import reduce
-from itertools import accumulate
 from operator import add, and_
 
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.errors import RepairError
@@ -24,20 +24,31 @@ SUBTOTALS = ["total", "subtotal", "summary", "grand total", "average"]
 def with_row_id(df: DataFrame, order_by: list[str] | None = None) -> DataFrame:
     """Add the 0-based position of each row, without one task for all rows.
 
-    Positions follow order_by if given, else the rows' order in their partitions. A number of partition and row is
-    written with each row, in the one job that decides where rows lie; files that are only filtered and projected lie
-    the same in every job and need no writing. Partition sizes (one number each) then give each partition's offset, joined as a small table.
-    Positions are dense and unique: a row whose partition has no offset is an error, never a null.
+    Positions follow order_by if given, else the order of files by name and of rows inside of them, or of partitions
+    where there are no files. A number of partition and row is written with each row, in the one job that decides where
+    rows lie; files that are only filtered and projected lie the same in every job and need no writing. The sizes of
+    pieces (parts of files, or partitions: one row each) then give each piece's offset, joined as a small table.
+    Positions are dense and unique: a row whose piece has no offset is an error, never a null.
     """
-    placed = (df.orderBy(*order_by) if order_by else df).withColumn("__id", F.monotonically_increasing_id())
-    placed = placed if not order_by and scans_only(df) else stable(placed)
-    part = F.shiftright("__id", 33)
-    sizes = placed.groupBy(part.alias("__part")).agg(F.count(F.lit(1)).alias("n")).sort("__part").collect()  # one row for each partition
-    before = [0, *accumulate(r["n"] for r in sizes)]
-    offsets = df.sparkSession.createDataFrame([(r["__part"], n) for r, n in zip(sizes, before, strict=False)], "__part long, __before long")
-    joined = placed.join(F.broadcast(offsets), part == F.col("__part"), "left")
-    known = F.coalesce("__before", F.raise_error(F.lit("rows changed their partitions between two jobs")).cast("long"))
-    return joined.withColumn(ROW_ID, known + F.col("__id").bitwiseAND((1 << 33) - 1)).drop("__id", "__part", "__before")
+    if order_by or not scans_only(df):
+        return _placed(stable((df.orderBy(*order_by) if order_by else df).withColumn("__id", F.monotonically_increasing_id())), F.struct(F.shiftright("__id", 33)))
+    numbered = df.withColumn("__id", F.monotonically_increasing_id())
+    try:
+        file = numbered.select("*", F.struct(F.length("_metadata.file_path"), "_metadata.file_path", "_metadata.file_block_start").alias("__file"))
+    except AnalysisException:  # no files: ranges and literal rows
+        return _placed(numbered, F.struct(F.shiftright("__id", 33)))
+    return _placed(file, F.col("__file")).drop("__file")
+
+
+def _placed(numbered: DataFrame, piece: Column) -> DataFrame:
+    """Positions from pieces whose rows are consecutive numbers (__id), the pieces being in order of themselves."""
+    cut = numbered.withColumn("__piece", piece)
+    sizes = cut.groupBy("__piece").agg(F.count(F.lit(1)).alias("n"), F.min("__id").alias("first"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("__piece").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row for each piece
+    offsets = sizes.select(F.col("__piece").alias("__of"), (before - F.col("first")).alias("__shift"))
+    joined = cut.join(offsets, F.col("__piece") == F.col("__of"), "left")
+    known = F.coalesce("__shift", F.raise_error(F.lit("rows changed their partitions between two jobs")).cast("long"))
+    return joined.withColumn(ROW_ID, known + F.col("__id")).drop("__id", "__piece", "__of", "__shift")
 
 
 # -- predicates ------------------------------------------------------------------------------------------------

@@ -142,3 +142,17 @@ def test_sessions_undo_to_written_tables(spark):
     s.apply([Action("strip_whitespace")])
     s.apply([Action("remove_rows", params={"rows": [0]})])
     assert s.current.count() == 9 and s.undo().count() == 10 and s.current.filter("t like ' %'").isEmpty() and s.undo().filter("t like ' %'").count() == 10
+
+
+def test_positions_survive_working_copies(spark, tmp_path):
+    """Files are read largest first, and small ones together: positions of a source's copy follow their names all the same."""
+    df = spark.range(0, 10, 1, 1).union(spark.range(10, 4000, 1, 1)).union(spark.range(4000, 4300, 1, 2)).withColumn("t", F.concat(F.lit(" x"), F.col("id")))
+    actions = [Action("remove_rows", params={"rows": [0, 1, 11, 4000]}), Action("strip_whitespace"), Action("remove_rows", params={"rows": [0, 4295], "order_by": ["id"]})]
+    result = repair.repair(df, actions)
+    assert result.success
+    left = {r["id"] for r in result.df.select("id").collect()}
+    assert set(range(4300)) - left == {0, 1, 11, 4000, 2, 4299}
+    path = str(tmp_path / "files")
+    df.write.parquet(path)
+    placed = rows.with_row_id(spark.read.parquet(path).filter("id % 3 != 1").select("id"))
+    assert [r["id"] for r in placed.orderBy(rows.ROW_ID).collect()] == [i for i in range(4300) if i % 3 != 1]
