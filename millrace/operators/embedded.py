@@ -174,6 +174,7 @@ def value_label(values: DataFrame, column: str) -> str:
     rows = values.filter(F.coalesce(x, F.lit("")) != "").select(x.alias("v"))
     v, low = F.col("v"), F.lower("v")
     number = F.regexp_replace(v, r"[$,\s]", "").try_cast("double")
+    # Words of places, patterns of kinds of values, and the order and shares by which a kind is chosen.
     places = ["street", "st", "avenue", "ave", "road", "rd", "crescent", "plot", "block", "city", "state", "zip", "postal", "country", "suite", "apt", "number", "lagos", "karachi", "london", "york", "chicago"]
     tests = {
         "email": v.rlike(r"^[\w.-]+@[\w.-]+\.\w+$"), "url": low.rlike(r"^(https?://|www\.)"), "currency": v.rlike("[$€£¥₹₦]|USD|EUR|GBP"), "percent": v.endswith("%"),

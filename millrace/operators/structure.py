@@ -111,6 +111,9 @@ def _rule(name: str, layout: str, *parts: tuple[float, object, str]) -> Evidence
     return Evidence(name, layout, max(0.0, min(1.0, round(sum(w for w, _ in hit), 4))), [t for _, t in hit])
 
 
+# Fixed values in all rules below: weights, limits, words in names, and the layouts that the rules speak for.
+
+
 def normal_table(f: Facts) -> Evidence:
     n = len(f.names)
     return _rule(
