@@ -27,7 +27,7 @@ from millrace.llm.common import map_arrow, mix, ship, slices, texts
 #: Places of the hashed n-gram table; n-gram length in characters; EM rounds at a time; added count for unseen n-grams.
 PLACES, LENGTH, ROUNDS, SMOOTH = 1 << 15, 3, 12, 0.1
 #: Characters of which n-grams are made at a time, so that scratch memory stays bounded for any text.
-PIECE = 1 << 20
+PIECE = 1 << 18
 #: A likelihood has settled if it is less than this below its maximum; how often ROUNDS are repeated at most until then.
 SETTLED, MOST_TIMES = 0.01, 500
 
