@@ -4,16 +4,19 @@ Rules look at independent properties of a document and vote (keep or drop) or ab
 vote patterns (at most 3 ** rules rows, whatever the corpus) estimates how each rule votes on good and on bad
 documents, and each pattern gets its posterior probability of good quality; that replaces all-must-pass filtering.
 
-Defined results: a null text has no words. Documents without words get votes from the length rule alone. Equal
-statistics get equal verdicts, repeated rows included. An empty table gives an empty result. Other columns stay away.
+Rules overlap and err: each votes both ways on evidence of its own (words, symbols, lines, letters), so that a document
+with one "drop" may be kept, and one without any dropped. overruled() counts such documents.
+
+Defined results: a null text has no words. All rules abstain on documents without words. Equal statistics get equal
+verdicts, repeated rows included. An empty table gives an empty result. Other columns stay away. Ids are whole numbers;
+others are refused by the cast to long.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import warnings
+from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import reduce
-from operator import and_
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +25,7 @@ from pyspark.sql import functions as F
 
 from millrace.llm.common import map_arrow, materialize, mix, slices, word_hashes
 
-STATISTICS = ["n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_letters", "n_upper", "n_bang"]
+STATISTICS = ["n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_letters", "n_upper", "n_bang", "n_ended", "n_plain", "n_distinct", "n_short", "entropy"]
 
 
 def _class(chars: bytes) -> np.ndarray:
@@ -34,11 +37,22 @@ def _class(chars: bytes) -> np.ndarray:
 _SYMBOLS, _BANG = _class(b"#*$%&|<>"), _class(b"!?")
 _UPPER = _class(bytes(range(65, 91)))
 _LETTER = _UPPER | _class(bytes(range(97, 123)))
+_FOLD = np.arange(256)
+_FOLD[65:91] += 32
+_INK = ~_class(b" \t\n\x0b\x0c\r")
+#: What a sentence ends with, and what may follow it.
+_ENDS, _AFTER = (b".", b"!", b"?", b":", "\u3002".encode(), "\u2026".encode()), b" \t\r\x0b\x0c\"')]"
+_PLAIN = _LETTER | _class(bytes([*range(48, 58), *range(0x80, 0x100)]))
 _POINT = ~_class(bytes(range(0x80, 0xC0))) & ~_class(b" \t\n\x0b\x0c\r")  # first bytes of code points inside words
 
 
 def statistics(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
-    """STATISTICS of each text of a run of texts."""
+    """STATISTICS of each text of a run of texts.
+
+    n_ended: lines that end like a sentence; n_plain: words with a letter or digit, n_distinct different
+    ones of them, n_short those of three code points at most; entropy: of bytes outside of
+    white space, A-Z as a-z, in thousandths of a bit.
+    """
     n = len(offsets) - 1
 
     def total(mask: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -55,13 +69,28 @@ def statistics(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
         first = np.flatnonzero(inside)[counts[back] > 1]
         for k in range(3):
             repeated[first + k] = True
-    raw, lines, again = data.tobytes(), np.zeros(n, np.int64), np.zeros(n, np.int64)
+    row = np.repeat(np.arange(n), np.diff(bounds))
+    ink = _INK[data]
+    start = ink.copy()
+    start[1:] &= ~ink[:-1]
+    edges = offsets[:-1][offsets[:-1] < len(data)]
+    start[edges] = ink[edges]
+    starts = np.flatnonzero(start)
+    long_, plain = (np.add.reduceat(m[data], starts, dtype=np.int64) if len(starts) else np.zeros(0, np.int64) for m in (_POINT, _PLAIN))
+    plain = plain > 0  # a separator or a bullet is no word of the vocabulary
+    _, at = np.unique(mix(words + mix(row.astype(np.uint64)))[plain], return_index=True)
+    distinct = np.bincount(row[plain][at], minlength=n)
+    char = np.bincount(np.repeat(np.arange(n), np.diff(offsets))[ink] * 256 + _FOLD[data[ink]], minlength=256 * n).reshape(n, 256)
+    share = char / np.maximum(char.sum(axis=1, keepdims=True), 1)
+    entropy = -(share * np.log2(np.where(share > 0, share, 1))).sum(axis=1)
+    raw, lines, again, ended = data.tobytes(), np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, np.int64)
     for i, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)):
         full = [x for x in raw[a:b].split(b"\n") if x.strip()]
-        lines[i], again[i] = len(full), len(full) - len(set(full))
+        lines[i], again[i], ended[i] = len(full), len(full) - len(set(full)), sum(x.rstrip(_AFTER).endswith(_ENDS) for x in full)
     return {
         "n_words": np.diff(bounds), "word_chars": total(_POINT[data], offsets), "n_symbols": total(_SYMBOLS[data], offsets), "n_lines": lines, "n_dup_lines": again,
         "n_repeat_words": total(repeated, bounds), "n_letters": total(_LETTER[data], offsets), "n_upper": total(_UPPER[data], offsets), "n_bang": total(_BANG[data], offsets),
+        "n_ended": ended, "n_plain": total(plain, bounds), "n_distinct": distinct, "n_short": total(plain & (long_ <= 3), bounds), "entropy": np.floor(1000 * entropy).astype(np.int64),
     }
 
 
@@ -88,23 +117,22 @@ class Rule:
 
 
 def default_rules() -> list[Rule]:
-    """Rules over STATISTICS: each of five defects has one that drops or abstains, and whole prose has one that keeps.
+    """Rules over STATISTICS, each with a drop vote, a keep vote and a band between them in which it abstains."""
+    c, some = F.col, F.col("n_words") > 0
+    words, letters, lines, plain = c("n_words"), c("n_letters"), c("n_lines"), c("n_plain")
+
+    def rule(name: str, drop: Column, keep: Column) -> Rule:
+        return Rule(name, some & drop, some & keep)
 
-    A defect's absence is no vote: else five rules that know nothing of a defect would outvote the one that does.
-    """
-    c, no = F.col, F.lit(False)
-    some = c("n_words") > 0
-    prose = [
-        some, c("word_chars").between(3 * c("n_words"), 9 * c("n_words")), 50 * c("n_symbols") <= c("n_words"), 100 * c("n_repeat_words") <= 25 * c("n_words"),
-        5 * c("n_upper") <= c("n_letters"), 20 * c("n_bang") <= c("n_words"),
-    ]
     return [
-        Rule("length", c("n_words") < 50, no),
-        Rule("word_length", some & ((c("word_chars") < 2 * c("n_words")) | (c("word_chars") > 12 * c("n_words"))), no),
-        Rule("symbols", some & (10 * c("n_symbols") > c("n_words")), no),
-        Rule("repetition", some & ((2 * c("n_dup_lines") > c("n_lines")) | (100 * c("n_repeat_words") > 35 * c("n_words"))), no),
-        Rule("shouting", some & ((2 * c("n_upper") > c("n_letters")) | (10 * c("n_bang") > c("n_words"))), no),
-        Rule("prose", no, reduce(and_, prose)),
+        rule("word_length", ~c("word_chars").between(3 * words, 9 * words), c("word_chars").between(4 * words, 7 * words)),
+        rule("symbols", 10 * c("n_symbols") > words, 50 * c("n_symbols") <= words),
+        rule("repetition", (2 * c("n_dup_lines") > lines) | (100 * c("n_repeat_words") > 35 * words), (c("n_dup_lines") == 0) & (100 * c("n_repeat_words") <= 10 * words)),
+        rule("shouting", (2 * c("n_upper") > letters) | (10 * c("n_bang") > words), (5 * c("n_upper") <= letters) & (20 * c("n_bang") <= words)),
+        rule("line_ends", (lines >= 3) & (2 * c("n_ended") < lines), (lines >= 3) & (5 * c("n_ended") >= 4 * lines)),
+        rule("variety", 4 * c("n_distinct") < plain, 5 * c("n_distinct") >= 3 * plain),
+        rule("short_words", ~(100 * c("n_short")).between(10 * plain, 60 * plain), (100 * c("n_short")).between(20 * plain, 50 * plain)),
+        rule("entropy", ~c("entropy").between(3000, 4800), c("entropy").between(3650, 4400)),
     ]
 
 
@@ -139,10 +167,11 @@ def pattern_codes(patterns: list[str]) -> np.ndarray:
 PRIOR_RATES, PRIOR_SHARE = ((0.20, 0.05, 0.75), (0.01, 0.29, 0.70)), 0.05
 
 
-def learn(patterns: dict[str, int], rounds: int = 100) -> LabelModel:
+def learn(patterns: dict[str, int], rounds: int = 20_000) -> LabelModel:
     """Expectation-maximisation over patterns and their counts, begun from "bad if any rule says drop".
 
-    Rates are posterior means under PRIOR_RATES, whose weight grows with the corpus.
+    Rates are posterior means under PRIOR_RATES, whose weight grows with the corpus. A warning says so if `rounds` are
+    over before the posteriors have settled.
     """
     order = sorted(patterns)
     codes, counts = pattern_codes(order), np.array([patterns[x] for x in order], float)
@@ -163,6 +192,9 @@ def learn(patterns: dict[str, int], rounds: int = 100) -> LabelModel:
         if np.abs(new - good).max() < 1e-9:
             break
         good = new
+    else:
+        if len(order):
+            warnings.warn(f"posteriors have not settled after {rounds} rounds", RuntimeWarning, stacklevel=2)
     return model
 
 
@@ -177,3 +209,10 @@ def assess(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", rules: l
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     rows = voted.join(F.broadcast(table), "votes").withColumn("base_failed", failed)
     return rows.withColumn("kept", ~F.col("base_failed") & (F.col("quality") >= least))
+
+
+def overruled(found: DataFrame) -> DataFrame:
+    """Of the rows of assess() that pass the base: n_any_drop (a rule says drop), n_kept_despite and n_dropped_without."""
+    some, kept = F.col("votes").contains("D"), F.col("kept")
+    count = lambda test: F.count(F.when(test, 1))
+    return found.filter(~F.col("base_failed")).agg(count(some).alias("n_any_drop"), count(some & kept).alias("n_kept_despite"), count(~some & ~kept).alias("n_dropped_without"))

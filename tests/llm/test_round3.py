@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.llm import exact_dedup, resample, toxicity, trie
+from millrace.llm import exact_dedup, quality, resample, toxicity, trie
 
 CLASHING = ("word", "stem", "toxic", "score", "rank", "part", "at", "before", "class", "depth", "parent", "pos", "key", "tokens")
 
@@ -258,3 +258,42 @@ def test_exact_dedup_of_many_pairs_of_one_id_is_linear(spark):
     pairs = spark.range(40_000).select(F.lit(1).cast("long").alias("doc_id"), F.concat(F.lit("text "), F.floor(F.col("id") / 2)).alias("text"))
     got = exact_dedup.exact_duplicates(pairs).agg(F.count("*"), F.count_distinct("text_sha256"), F.count(F.when(F.col("kept"), 1)), F.max("group_size")).first()
     assert tuple(got) == (40_000, 20_000, 20_000, 2)
+
+
+# -- 1, rules that overlap -------------------------------------------------------------------------------------
+
+
+def english(rng, n):
+    vocabulary = ["".join(rng.choice("aeioustrnl") for _ in range(rng.choice((2, 3, 3, 4, 5, 6, 7, 8)))) for _ in range(600)]
+    return ".\n".join(" ".join(rng.choice(vocabulary) for _ in range(12)) for _ in range(n)) + "."
+
+
+@pytest.mark.parametrize("text", [b"", b" \n", "Ab ab, --- abcd!\nÄö | x1\n\n(end.)  \n".encode(), "日本。\nA a …".encode(), b"a" * 300, b"...\n. a b? \n"])
+def test_quality_statistics(text):
+    data = np.frombuffer(b"zz top. " + text, np.uint8)  # a text before, so that borders matter
+    found = {k: int(v[1]) for k, v in quality.statistics(data, np.array([0, 8, len(data)])).items()}
+    words = [w.decode() for w in text.split()]
+    plain = [w for w in words if any(c.isascii() and c.isalnum() or ord(c) > 127 for c in w)]
+    chars = Counter(b for b in text.replace(b"\n", b"").replace(b" ", b"").lower())
+    entropy = -sum(k / chars.total() * math.log2(k / chars.total()) for k in chars.values())
+    ended = [line for line in text.decode().split("\n") if line.strip() and line.rstrip(" \t\"')]").endswith((".", "!", "?", ":", "。", "…"))]
+    assert (found["n_words"], found["n_plain"], found["n_distinct"], found["n_short"]) == (len(words), len(plain), len(set(plain)), sum(len(w) <= 3 for w in plain))
+    assert found["n_ended"] == len(ended) and found["entropy"] == math.floor(1000 * entropy)
+
+
+def test_posterior_overrules_a_lone_drop(spark):
+    rng = random.Random(11)
+    clean = [(k, english(rng, 10)) for k in range(150)]
+    verse = [(1000 + k, english(rng, 10).replace(".", "")) for k in range(8)]  # no line ends like a sentence, nothing else is wrong
+    junk = [(2000 + k, "\n".join(f"{rng.randrange(10**12)}$$$ &&&" for _ in range(40))) for k in range(25)]
+    rows = spark.createDataFrame(clean + verse + junk, "doc_id long, text string")
+    found = quality.assess(rows)
+    by = {r["doc_id"]: r for r in found.collect()}
+    assert all(by[k]["kept"] for k, _ in clean) and not any(by[k]["kept"] for k, _ in junk)
+    assert all(by[k]["kept"] and "D" in by[k]["votes"] for k, _ in verse)
+    assert quality.overruled(found).first().asDict() == {"n_any_drop": 33, "n_kept_despite": 8, "n_dropped_without": 0}
+
+
+def test_learning_says_when_it_has_not_settled():
+    with pytest.warns(RuntimeWarning, match="not settled"):
+        quality.learn({"DK-": 5, "KKD": 9, "K-K": 30}, rounds=1)
