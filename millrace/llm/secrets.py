@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import map_arrow, materialize, texts
+from millrace.llm.common import map_arrow, materialize, rank_rows, texts
 
 # The patterns of the contract.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -161,18 +161,22 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def learn_words(docs: DataFrame, text: str = "text", most: int = DICTIONARY) -> list[str]:
     """The corpus's most frequent words (of 3 to 24 letters, in lower case), most frequent first, ties by code point.
 
-    Counts are put into classes of an eighth of a doubling each; the dictionary has all words of as many classes, from
-    the top, as hold no more than `most` words. So the driver gets one row for each class, then those words.
+    Counts are put into classes of an eighth of a doubling each. The dictionary has all words of as many classes, from
+    the top, as hold no more than `most` words, and is filled up from the next class, which is ranked by ranges. So the
+    driver gets one row for each class, then `most` words.
     """
     counted = map_arrow(docs.select(F.col(text).alias("text")), _count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
     counted = materialize(counted.withColumn("class", F.floor(8 * F.log2("n")).cast("int")), "words")
-    least, held = None, 0
+    held, split = 0, -1  # counts of one or more have classes from 0
     for r in sorted(counted.groupBy("class").agg(F.count("*").alias("words")).collect(), reverse=True):
-        held += r["words"]
-        if held > most:
+        if held + r["words"] > most:
+            split = r["class"]
             break
-        least = r["class"]
-    found = counted.filter(F.col("class") >= least).select("word", "n").collect() if least is not None else []
+        held += r["words"]
+    found = counted.filter(F.col("class") > split).select("word", "n").collect() if held else []
+    if held < most and split >= 0:
+        ranked = rank_rows(counted.filter(F.col("class") == split).select("word", "n"), F.col("n").desc(), F.col("word"))
+        found += ranked.filter(F.col("rank") < most - held).select("word", "n").collect()
     return [r["word"] for r in sorted(found, key=lambda r: (-r["n"], r["word"]))]
 
 
