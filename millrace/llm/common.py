@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.stable import delete
+
 #: Rows up to which one side of a join is broadcast: at under 64 bytes a row, some 16 MB. Larger sides are shuffled.
 BROADCAST_ROWS = 250_000
 #: Bytes of an Arrow batch, where the session sets no bound of its own: the default of 64 MB is held several times over
@@ -52,9 +54,11 @@ def shared_folder(spark: SparkSession, name: str) -> str:
 
 
 def discard(uri: str) -> None:
-    """Delete a folder made by shared_folder(), if it is reachable as a local path."""
+    """Delete a folder made by shared_folder(), on any store that Spark can write to."""
     if urlparse(uri).scheme in ("", "file"):
         shutil.rmtree(urlparse(uri).path, ignore_errors=True)
+    elif (spark := SparkSession.getActiveSession()) is not None:
+        delete(spark, uri)
 
 
 def local_path(uri: str) -> str | None:
@@ -124,14 +128,19 @@ def ship(spark: SparkSession) -> None:
         context._millrace_shipped = True
 
 
+def give_back() -> None:
+    """Give this worker's free memory back to the system: it is used again by later tasks and stages."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc
+        trim(0)
+
+
 def _tidy(function: Callable) -> Callable:
-    """The function, giving free memory back when a task ends: workers are used again by later tasks and stages."""
+    """The function, giving free memory back when a task ends."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from function(batches)
-        pa.default_memory_pool().release_unused()
-        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc
-            trim(0)
+        give_back()
 
     return run
 

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import map_arrow, mix, ship, slices, texts
+from millrace.llm.common import give_back, map_arrow, mix, ship, slices, texts
 
 #: Places of the hashed n-gram table; n-gram length in characters; EM rounds at a time; added count for unseen n-grams.
 PLACES, LENGTH, ROUNDS, SMOOTH = 1 << 15, 3, 12, 0.1
@@ -30,6 +30,8 @@ PLACES, LENGTH, ROUNDS, SMOOTH = 1 << 15, 3, 12, 0.1
 PIECE = 1 << 18
 #: A likelihood has settled if it is less than this below its maximum; how often ROUNDS are repeated at most until then.
 SETTLED, MOST_TIMES = 0.01, 500
+#: Languages of a model at most: the driver and each worker hold PLACES numbers for each (some 65 MB at this bound).
+MOST_LANGUAGES = 250
 
 def _letter_table() -> np.ndarray:
     """Code point -> code point of its lower-case letter, or 32 for what is no letter."""
@@ -97,8 +99,13 @@ def _count(length: int, places: int) -> Callable:
     return run
 
 
-def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", length: int = LENGTH, places: int = PLACES) -> Model:
-    """Count the n-grams of all rows whose language is not null. The driver gets `places` numbers for a language."""
+def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", length: int = LENGTH, places: int = PLACES, most: int = MOST_LANGUAGES) -> Model:
+    """Count the n-grams of all rows whose language is not null. The driver gets `places` numbers for a language.
+
+    Labels are counted first, by a scan of that column alone: more than `most` different ones raise a ValueError.
+    """
+    if labelled.filter(F.col(lang).isNotNull()).select(lang).distinct().limit(most + 1).count() > most:
+        raise ValueError(f"more than {most} different languages")
     rows = labelled.filter(F.col(lang).isNotNull()).select(F.col(text).alias("text"), F.col(lang).cast("string").alias("lang"))
     found = map_arrow(rows, _count(length, places), "lang string, place int, n long").groupBy("lang", "place").agg(F.sum("n").alias("n"))
     table = found.toArrow()
@@ -239,6 +246,7 @@ def keep_identified(docs: DataFrame, model: Model, text: str = "text", least: fl
     @F.arrow_udf("boolean")
     def identified(column: pa.Array) -> pa.Array:  # the other columns stay in the JVM
         good = [x[0] != "und" and x[1] >= least for _, _, data, offsets in slices(texts(column), 1 << 18) for x in infer(shared.value, data, offsets, length)]
+        give_back()
         return pa.array(good, pa.bool_())
 
     return docs.filter(identified(F.col(text)))

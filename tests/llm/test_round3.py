@@ -6,13 +6,13 @@ import random
 import re
 import zlib
 from collections import Counter, defaultdict
-from itertools import product
+from itertools import combinations, product
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.llm import exact_dedup, quality, resample, toxicity, trie
+from millrace.llm import exact_dedup, language, quality, resample, secrets, toxicity, trie
 
 CLASHING = ("word", "stem", "toxic", "score", "rank", "part", "at", "before", "class", "depth", "parent", "pos", "key", "tokens")
 
@@ -297,3 +297,42 @@ def test_posterior_overrules_a_lone_drop(spark):
 def test_learning_says_when_it_has_not_settled():
     with pytest.warns(RuntimeWarning, match="not settled"):
         quality.learn({"DK-": 5, "KKD": 9, "K-K": 30}, rounds=1)
+
+
+# -- 3 and 4 ---------------------------------------------------------------------------------------------------
+
+
+def test_dictionary_is_filled_to_its_bound(spark):
+    rng = random.Random(5)
+    name = lambda k: "".join("abcdefghij"[int(d)] for d in f"{k:04d}")
+    counts = {name(k): n for k, n in enumerate([40] * 3 + [9, 8] + [2] * 30 + [1] * 200)}
+    tokens = [w for w, n in counts.items() for _ in range(n)]
+    rng.shuffle(tokens)
+    docs = spark.createDataFrame([(i, " ".join(tokens[i::20])) for i in range(20)], "doc_id long, text string")
+    ranked = sorted(counts, key=lambda w: (-counts[w], w))
+    for most in (0, 1, 2, 4, 20, 100, 234, 235, 1000):  # inside of classes, at their ends, and beyond all words
+        assert secrets.learn_words(docs, most=most) == ranked[:most]
+    assert secrets.learn_words(docs.limit(0)) == []
+
+
+def test_languages_are_bounded(spark):
+    docs = spark.createDataFrame([(k, "some text", f"l{k}") for k in range(4)] + [(9, "more", None)], "doc_id long, text string, lang string")
+    assert len(language.fit(docs, most=4).langs) == 4
+    with pytest.raises(ValueError, match="more than 3"):
+        language.fit(docs, most=3)
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_language_set_is_the_best_of_all(seed):
+    rng = np.random.default_rng(seed)
+    p = rng.dirichlet(np.full(200, 0.05), 4).T + 1e-6
+    p /= p.sum(axis=0)
+    mixture = p @ np.array([[1, 0, 0, 0], [0.7, 0.3, 0, 0], [0.4, 0.3, 0.3, 0]][seed % 3])
+    count = rng.multinomial(400, mixture / mixture.sum()).astype(float)
+    p, count = p[count > 0], count[count > 0]
+
+    def value(s):
+        return language.proportions(p[:, s], count, np.zeros(1, np.int64))[1][0] - 0.5 * math.log(count.sum()) * (len(s) - 1)
+
+    best = max((list(s) for k in range(1, 5) for s in combinations(range(4), k)), key=value)
+    assert language.choose(p, count)[0] == best == list(range(seed % 3 + 1))
