@@ -25,6 +25,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -195,7 +196,7 @@ def _probe(text: str, doc_id: str, hash_key: Callable[[bytes], int], folder: str
             keys = np.array([hash_key(t) for t in normal], np.int64)
             buckets = directory.find(keys.view(np.uint64)).tolist()
             found = [index.compare(k, b, t) for k, b, t in zip(keys.view(np.uint64).tolist(), buckets, normal, strict=True)]
-            points = pa.compute.utf8_length(pa.array(raw, pa.large_binary()).cast(pa.large_string())).cast(pa.int64())
+            points = pc.utf8_length(pa.array(raw, pa.large_binary()).cast(pa.large_string())).cast(pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [batch[doc_id], pa.array(keys, pa.int64()), points, pa.array([hashlib.sha256(t).hexdigest() for t in normal], pa.string()), pa.array(found, pa.int32())],
                 ["doc_id", "key", "n_points", "text_sha256", "found"],

@@ -24,6 +24,7 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -93,7 +94,7 @@ def _chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             parents.append(held)
             held = hashlib.blake2b(held + key, digest_size=16).digest()
             classes.append(held)
-        depth = pa.compute.add(batch["pos"], 1)
+        depth = pc.add(batch["pos"], 1)
         yield pa.RecordBatch.from_arrays([batch["conv_id"], depth, pa.array(parents, pa.binary()), pa.array(classes, pa.binary()), batch["tokens"], batch["n_turns"]], ["conv_id", "depth", "parent", "class", "tokens", "n_turns"])
 
 

@@ -4,9 +4,12 @@ import hashlib
 import math
 import random
 import re
+import subprocess
+import sys
 import zlib
 from collections import Counter, defaultdict
 from itertools import combinations, product
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -238,6 +241,12 @@ def test_trie_of_turnless_conversations(spark):
     assert trie.build(spark.createDataFrame([], schema)).count() == 0
 
 
+@pytest.mark.parametrize("module", ["trie", "exact_dedup"])
+def test_modules_import_the_parts_of_arrow_that_they_use(module):
+    done = subprocess.run([sys.executable, "-c", f"import pyarrow, millrace.llm.{module}; pyarrow.compute"], cwd=Path(trie.__file__).parents[2], capture_output=True, text=True, timeout=120)
+    assert done.returncode == 0, done.stderr
+
+
 # -- 10, rows whose ids repeat or are missing ------------------------------------------------------------------
 
 
