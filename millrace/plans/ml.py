@@ -25,12 +25,15 @@ from millrace.operators.missing import is_numeric, is_temporal, is_text
 from millrace.operators.profile import distinct_counts
 from millrace.operators.rows import null_counts
 from millrace.operators.types import text_evidence
+from millrace.stable import shared_folder
 
 # Names of likely targets.
 TARGETS = ["target", "label", "price", "churn", "salary", "revenue", "class", "outcome", "survived", "status", "score"]
 REFERENCE_DAY = "2025-01-01"
 #: Fits that run at a time: boosting is many small jobs, one after another.
 AT_A_TIME = 6
+#: Rows to a partition while models are fitted: boosting runs hundreds of jobs over them, each with a task for a partition.
+ROWS_A_PART = 20_000
 
 
 def task_type(df: DataFrame, target: str) -> str:
@@ -262,7 +265,10 @@ def candidates(task: str, trees: int = 100, weighted: bool = False) -> dict[str,
     return {"logistic_regression": LogisticRegression(maxIter=1000, **w), "random_forest": RandomForestClassifier(numTrees=trees, seed=42, **w), "gradient_boosting": boost(32), "histogram_boosting": boost(255), "decision_tree": DecisionTreeClassifier(seed=42, **w)}
 
 
-def evaluate(scored: DataFrame, task: str) -> dict[str, float]:
+def evaluate(scored: DataFrame, task: str, only: str | None = None) -> dict[str, float]:
+    """All metrics, or one alone (r2 or accuracy): each reads the predictions anew."""
+    if only:
+        return {only: (RegressionEvaluator if task == "regression" else MulticlassClassificationEvaluator)(metricName=only).evaluate(scored)}
     if task == "regression":
         return {m: RegressionEvaluator(metricName=m).evaluate(scored) for m in ("r2", "rmse", "mae")}
     of = lambda m, **kw: MulticlassClassificationEvaluator(metricName=m, **kw).evaluate(scored)
@@ -318,7 +324,10 @@ def train(df: DataFrame, target: str, key: str, trees: int = 100, folds: int = 5
     # Folds are dealt once, by class if the split is, and shared by all candidates.
     learning = parted.filter("not is_test")
     learning = assign_folds(learning, key, "label" if stratified else None, folds, name="__fold") if folds > 1 else learning
-    fit_rows, test_rows = learning.persist(), parted.filter("is_test").persist()
+    # Partitions follow the rows, not the shuffle's setting. Boosting checkpoints its residuals where there is a folder for it.
+    shared_folder(df.sparkSession)
+    packed = lambda x: x.repartition(max(1, math.ceil(quality["valid_count"] / ROWS_A_PART)), key).persist()
+    fit_rows, test_rows = packed(learning), packed(parted.filter("is_test"))
     primary = "r2" if task == "regression" else "f1" if weighted else "accuracy" if task.startswith("binary") else "balanced_accuracy"
     board, models = [], {}
     if task == "regression":
@@ -376,7 +385,8 @@ def _together(df: DataFrame, tasks: dict[Any, Callable]) -> dict[Any, Any]:
 def cross_validate(placed: DataFrame, stages: list, estimator: Estimator, task: str, fold: int) -> float:
     """r2 or accuracy on a fold (column __fold), the preprocessor being fitted anew without it."""
     model = Pipeline(stages=[x.copy() for x in (*stages, estimator)]).fit(placed.filter(F.col("__fold") != fold))
-    return evaluate(model.transform(placed.filter(F.col("__fold") == fold)), task)["r2" if task == "regression" else "accuracy"]
+    metric = "r2" if task == "regression" else "accuracy"
+    return evaluate(model.transform(placed.filter(F.col("__fold") == fold)), task, metric)[metric]
 
 
 def leaderboard(trained: Trained, df: DataFrame) -> DataFrame:

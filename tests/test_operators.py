@@ -331,3 +331,16 @@ def test_streams(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert [tuple(r)[1:] for r in spark.table("streamed").collect()] == [("a", 5.0)]
+
+
+def test_training_rows_are_dealt_by_their_number(spark, monkeypatch):
+    """Boosting runs hundreds of jobs over the rows: as many tasks as shuffles have would be most of the time."""
+    parts, before = [], spark.conf.get("spark.sql.shuffle.partitions")
+    monkeypatch.setattr(ml, "cross_validate", lambda placed, *_: float(parts.append(placed.rdd.getNumPartitions()) or 0))
+    df = spark.range(200).select("id", (F.col("id") % 7).cast("double").alias("x"), (F.col("id") % 90 * 1.5).alias("y"))
+    spark.conf.set("spark.sql.shuffle.partitions", 40)
+    try:
+        ml.train(df, "y", "id", folds=2, only=["ridge"])
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert parts == [1, 1]
