@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -15,6 +17,9 @@ QUALIFIERS = [
 ]
 PROSE_WORDS = ["the", "is", "at", "which", "on", "and", "a", "an", "this", "that", "with", "from", "by", "for", "it", "because", "reported", "delay"]
 
+#: Texts that are composed at a time.
+TEXTS = 64
+
 
 def text(c: Column | str) -> Column:
     return (F.col(c) if isinstance(c, str) else c).cast("string")
@@ -48,14 +53,24 @@ def bind(value: Column, use: Callable[[Column], Column]) -> Column:
 
 
 def _nfkc(c: Column) -> Column:
-    """The only Python in this module: the JVM has no function for it."""
-    return F.pandas_udf(lambda values: values.str.normalize("NFKC"), "string")(c)
+    """The only Python in this module: the JVM has no function for it, and Arrow's kernel leaves letters decomposed.
+
+    A few texts at a time are Python objects, whatever the batch holds.
+    """
+
+    def run(values: pa.Array) -> pa.Array:
+        pa.default_memory_pool().release_unused()  # what the batch before has left
+        slices = [values.slice(i, TEXTS) for i in range(0, len(values), TEXTS)] or [values]
+        return pa.concat_arrays([pa.array([None if x is None else unicodedata.normalize("NFKC", x) for x in s.to_pylist()], values.type) for s in slices])
+
+    return F.arrow_udf(run, "string")(c)
 
 
 def unicode_clean(c: Column | str) -> Column:
     """NFKC, without zero-width characters, white space collapsed. Only text beyond ASCII goes through Python."""
     plain = text(c)
-    composed = F.when(plain.rlike(r"[^\x00-\x7F]"), _nfkc(plain)).otherwise(plain)
+    # Spark computes Python functions for all rows, whatever condition they stand under: ASCII goes there as null.
+    composed = F.coalesce(_nfkc(F.when(plain.rlike(r"[^\x00-\x7F]"), plain)), plain)
     return strip_collapse(F.translate(composed, "​﻿‎ ", ""))
 
 

@@ -107,3 +107,16 @@ def test_helpers(spark):
 
 def test_errors_are_typed():
     assert issubclass(RepairError, Exception)
+
+
+def test_ascii_text_does_not_go_through_python(spark, monkeypatch):
+    sent = []
+    monkeypatch.setattr(X, "_nfkc", lambda c: sent.append(c) or c)
+    assert column(spark, ["plain  text", "\u00e9", None, ""], X.unicode_clean("x")) == ["plain text", "\u00e9", None, ""]
+    assert column(spark, ["plain  text", "\u00e9", None, ""], sent[0]) == [None, "\u00e9", None, None]
+
+
+def test_composition_of_more_texts_than_a_slice(spark):
+    texts = [f"e\u0301{i} \ufb01" if i % 3 else None for i in range(3 * X.TEXTS + 1)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, x string").coalesce(1)
+    assert [r[0] for r in df.orderBy("i").select(X.unicode_clean("x")).collect()] == [None if t is None else f"\u00e9{i} fi" for i, t in enumerate(texts)]
