@@ -58,10 +58,9 @@ def _explicit(c: Column, sep: str) -> Column:
 def explicit_labels(df: DataFrame, column: str) -> dict | None:
     """Labels before separators, in rows' majority: the first separator that has two or more."""
     rows = df.filter(~(F.coalesce(ws_trim(column), F.lit("")) == "")).select(text(column).alias("x"))
-    n = rows.count()
-    for sep in SEPARATORS if n >= 2 else []:
+    n, *hits = rows.agg(F.count(F.lit(1)), *[F.count(F.when(F.size(_explicit(F.col("x"), sep)) > 0, 1)) for sep in SEPARATORS]).first()
+    for sep, matched in zip(SEPARATORS, hits, strict=True) if n >= 2 else []:
         labels = _explicit(F.col("x"), sep)
-        matched = rows.filter(F.size(labels) > 0).count()
         if matched / n < 0.25:
             continue
         counts = rows.select(F.explode(F.array_distinct(labels)).alias("label")).groupBy("label").count().filter(F.col("count") >= max(2, int(0.25 * n)))
@@ -76,15 +75,25 @@ def explicit_labels(df: DataFrame, column: str) -> dict | None:
 
 
 def implicit_labels(df: DataFrame, column: str) -> dict | None:
-    """Labels in white-space records: tokens of many rows that are followed by values. Two joins of token tables."""
-    rows = with_row_id(df.filter(~(F.coalesce(ws_trim(column), F.lit("")) == "")).select(text(column).alias("x")))
-    n = rows.count()
+    """Labels in white-space records: tokens of many rows that are followed by values.
+
+    Rows are counted for each token first, combined before the shuffle; only tokens of many rows are looked at further.
+    """
+    plain = df.filter(~(F.coalesce(ws_trim(column), F.lit("")) == "")).select(text(column).alias("x"))
+    tokens = F.filter(F.split(ws_trim("x"), r"\s+"), lambda t: t != "")
+    n = plain.count()
     if n < 2:
         return None
-    tokens = rows.select(ROW_ID, F.posexplode(F.filter(F.split(ws_trim("x"), r"\s+"), lambda t: t != "")).alias("pos", "token"))
-    w = Window.partitionBy(ROW_ID).orderBy("pos")
-    near = tokens.withColumn("next", F.lead("token").over(w)).groupBy(ROW_ID, "token").agg(F.min_by(F.struct("pos", "next"), "pos").alias("at")).select(ROW_ID, "token", "at.*")
-    stats = near.filter((F.length("token") >= 2) & ~F.col("token").rlike(r"^\d+$")).groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("next").isNull(), 1)).alias("last"), F.avg("pos").alias("pos"), F.min(ROW_ID).alias("first"))
+    label_like = (F.length("token") >= 2) & ~F.col("token").rlike(r"^\d+$")
+    found = plain.select(F.explode(F.array_distinct(tokens)).alias("token")).filter(label_like).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+    many = [r["token"] for r in found.filter(F.col("n") >= max(2, int(0.30 * n))).collect()]  # each in three tenths of the rows, or two
+    if len(many) < 2:
+        return None
+    rows = with_row_id(plain)
+    pairs = F.transform(tokens, lambda t, i: F.struct(t.alias("token"), F.get(tokens, i + 1).alias("next")))
+    placed = rows.select(ROW_ID, F.posexplode(pairs).alias("pos", "pair")).select(ROW_ID, "pos", "pair.*").filter(F.col("token").isin(many))
+    near = placed.groupBy(ROW_ID, "token").agg(F.min_by(F.struct("pos", "next"), "pos").alias("at")).select(ROW_ID, "token", "at.*")
+    stats = near.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("next").isNull(), 1)).alias("last"), F.avg("pos").alias("pos"), F.min(ROW_ID).alias("first"))
     often = stats.filter(F.col("n") >= max(2, int(0.30 * n))).orderBy(F.desc("n"), "first", "pos").collect()  # each in three tenths of the rows, or two
     inner = [r for r in often if r["last"] / r["n"] < 0.5]
     if len(inner) < 2:

@@ -71,12 +71,12 @@ def gather(df: DataFrame) -> Facts:
     f = Facts(df, df.columns, head=head_rows(df, 3), numeric=[c for c in df.columns if is_numeric(df, c)], temporal=[c for c in df.columns if is_temporal(df, c)], texts=[c for c in df.columns if is_text(df, c)])
     exprs = [F.count(F.lit(1)).alias("rows"), F.count(F.when(F.expr(" and ".join(f"`{c}` is null" for c in df.columns)), 1)).alias("empty_rows")]
     exprs += [F.count(F.col(f"`{c}`")).alias(f"n|{c}") for c in df.columns]
-    for c in {df.columns[0], *f.temporal[:2], *f.texts[:1]}:
-        exprs.append(F.count_distinct(F.col(f"`{c}`")).alias(f"d|{c}"))
     for c in f.numeric[:20]:
         exprs += [F.min(c).cast("double").alias(f"lo|{c}"), F.max(c).cast("double").alias(f"hi|{c}"), F.approx_count_distinct(c).alias(f"d|{c}") if c != df.columns[0] else F.lit(0).alias(f"_|{c}")]
     exprs.append(F.count(F.when(F.lower(text(F.col(f"`{df.columns[0]}`"))).rlike("|".join(SUBTOTALS)), 1)).alias("subtotal_rows"))
-    f.row = df.agg(*exprs).first().asDict()
+    # Distinct values apart: beside other aggregates, each of them would carry the others' buffers (sketches too) through sorts.
+    exact = [F.count_distinct(F.col(f"`{c}`")).alias(f"d|{c}") for c in {df.columns[0], *f.temporal[:2], *f.texts[:1]}]
+    f.row = df.agg(*exprs).first().asDict() | df.agg(*exact).first().asDict()
     f.rows = f.row["rows"]
     return f
 

@@ -344,3 +344,20 @@ def test_training_rows_are_dealt_by_their_number(spark, monkeypatch):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
     assert parts == [1, 1]
+
+
+def test_layout_facts_keep_distinct_values_apart_from_sketches(spark, monkeypatch):
+    df, said = spark.createDataFrame([(1, 2.0, "a"), (2, 2.0, "a"), (2, None, None)], "k int, x double, t string"), []
+    agg = type(df).agg
+    monkeypatch.setattr(type(df), "agg", lambda self, *e: said.append(" ".join(map(str, e)).lower()) or agg(self, *e))
+    row = structure.gather(df).row
+    assert (row["d|k"], row["d|x"], row["d|t"], row["rows"]) == (2, 1, 1, 3)
+    assert not [x for x in said if "approx_count_distinct" in x and "count(distinct" in x]
+
+
+def test_texts_without_frequent_tokens_need_no_positions(spark, monkeypatch):
+    records = [(f"name {x} city {y}",) for x, y in [("ann", "bonn"), ("bob", "rome"), ("cy", "oslo"), ("name name", "bern")]]
+    found = embedded.implicit_labels(spark.createDataFrame(records, "x string"), "x")
+    assert found["labels"] == ["name", "city"] and found["counts"] == {"name": 4, "city": 4}
+    monkeypatch.setattr(embedded, "with_row_id", lambda *_: pytest.fail("positions of all rows"))
+    assert embedded.implicit_labels(spark.createDataFrame([("N",), ("O",), ("R",)], "x string"), "x") is None
