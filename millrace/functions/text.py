@@ -37,7 +37,7 @@ def strip_collapse(c: Column | str) -> Column:
 
 def is_blank(c: Column | str) -> Column:
     """Null, or nothing but white space."""
-    return text(c).isNull() | (ws_trim(c) == "")
+    return ~F.coalesce(text(c).rlike(r"(?U)\S"), F.lit(False))
 
 
 def title_case(c: Column | str) -> Column:

@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.functions.text import prose_signals, text, ws_trim
+from millrace.functions.text import is_blank, prose_signals, text, ws_trim
 from millrace.operators.missing import is_text
 from millrace.operators.reshape import retype_numeric
 from millrace.operators.rows import ROW_ID, with_row_id
@@ -52,12 +52,12 @@ def _explicit(c: Column, sep: str) -> Column:
     else:
         parts = F.filter(F.transform(F.split(c, re.escape(sep), -1), ws_trim), lambda t: t != "")
         found = F.filter(parts, lambda t, i: (i % 2 == 0) & (F.length(t) < 30))
-    return F.when(F.contains(c, F.lit(sep)), F.filter(found, lambda t: (t != "") & ~t.rlike(r"^\d+$"))).otherwise(F.slice(found, 1, 0))
+    return F.when(F.contains(c, F.lit(sep)), F.filter(found, lambda t: (t != "") & ~t.rlike(r"^\d+$"))).otherwise(F.array().cast("array<string>"))
 
 
 def explicit_labels(df: DataFrame, column: str) -> dict | None:
     """Labels before separators, in rows' majority: the first separator that has two or more."""
-    rows = df.filter(~(F.coalesce(ws_trim(column), F.lit("")) == "")).select(text(column).alias("x"))
+    rows = df.filter(~is_blank(column)).select(text(column).alias("x"))
     n, *hits = rows.agg(F.count(F.lit(1)), *[F.count(F.when(F.size(_explicit(F.col("x"), sep)) > 0, 1)) for sep in SEPARATORS]).first()
     for sep, matched in zip(SEPARATORS, hits, strict=True) if n >= 2 else []:
         labels = _explicit(F.col("x"), sep)
@@ -79,7 +79,7 @@ def implicit_labels(df: DataFrame, column: str) -> dict | None:
 
     Rows are counted for each token first, combined before the shuffle; only tokens of many rows are looked at further.
     """
-    plain = df.filter(~(F.coalesce(ws_trim(column), F.lit("")) == "")).select(text(column).alias("x"))
+    plain = df.filter(~is_blank(column)).select(text(column).alias("x"))
     tokens = F.filter(F.split(ws_trim("x"), r"\s+"), lambda t: t != "")
     n = plain.count()
     if n < 2:

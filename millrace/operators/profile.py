@@ -276,11 +276,24 @@ def inspection_score(rows: int, missing_ratio: float, duplicates: int, empty_row
     return max(0.0, min(1.0, 1.0 - sum(parts.values()))), notes or ["No quality issues detected"]
 
 
+def exact_texts(df: DataFrame, c: str) -> bool:
+    """Whether different values of a column always have different texts, and equal ones the same: not so for -0.0."""
+    kind = df.schema[c].dataType
+    return isinstance(kind, (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.DateType)) or kind == T.StringType()
+
+
 def inspect(df: DataFrame) -> dict:
-    """The second, independent report: missing, duplicates, empty, constant, mixed and suspicious columns, score."""
+    """The second, independent report: missing, duplicates, empty, constant, mixed and suspicious columns, score.
+
+    Where a column has as many distinct values as there are rows, no row can repeat; where one has no null, none is empty.
+    """
     rows, nulls = null_counts(df)
-    unique, duplicates = distinct_counts(df), duplicate_count(df)
-    empty = df.filter(F.expr(" and ".join(f"`{c}` is null" for c in df.columns))).count() if df.columns else 0
+    unique = distinct_counts(df)
+    plain = len(set(df.columns)) == len(df.columns)
+    keyed = plain and any(unique[c] == rows and exact_texts(df, c) for c in df.columns)
+    duplicates = 0 if keyed else duplicate_count(df)
+    some = df.columns and not (plain and any(nulls[c] == 0 for c in df.columns))
+    empty = df.filter(F.expr(" and ".join(f"`{c}` is null" for c in df.columns))).count() if some else 0
     missing = sum(nulls.values()) / max(rows * len(df.columns), 1)
     lists = {
         "empty_columns": [c for c in df.columns if rows and nulls[c] == rows], "constant": [c for c in df.columns if unique[c] <= 1],
@@ -289,6 +302,6 @@ def inspect(df: DataFrame) -> dict:
         "mixed": mixed_type_columns(df), "suspicious_names": [c for c in df.columns if c.strip() != c or c == "" or c.startswith("Unnamed:") or df.columns.count(c) > 1],
     }
     score, notes = inspection_score(rows, missing, duplicates, empty, len(lists["empty_columns"]), len(lists["constant"]), len(lists["mixed"]), len(lists["suspicious_names"]))
-    return {"rows": rows, "columns": len(df.columns), "missing_cells": sum(nulls.values()), "missing_ratio": missing, "duplicates": duplicates, "empty_rows": empty, "score": score, "notes": notes} | lists
+    return {"rows": rows, "columns": len(df.columns), "missing_cells": sum(nulls.values()), "missing_ratio": missing, "duplicates": duplicates, "empty_rows": empty, "score": score, "notes": notes, "unique": unique} | lists
 
 

@@ -9,6 +9,7 @@ from operator import add, and_
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from millrace.errors import RepairError
 from millrace.functions.text import is_blank, text, ws_trim
@@ -165,22 +166,43 @@ def remove_spacers(df: DataFrame) -> DataFrame:
 # -- headers and totals inside of data -------------------------------------------------------------------------
 
 
+#: Types whose texts, numbers and times, hold a digit or are NaN or an infinity, without white space.
+_FIGURES = (T.NumericType, T.DateType, T.TimestampType, T.TimestampNTZType)
+
+
+def figures(df: DataFrame, i: int) -> bool:
+    """Whether a column, by its place, holds numbers or times, whose texts can't be words."""
+    return isinstance(df.schema[i].dataType, _FIGURES)
+
+
 def remove_repeated_headers(df: DataFrame) -> DataFrame:
-    """Drop rows that repeat at least two column names, being 60% or more of their filled cells."""
+    """Drop rows that repeat at least two column names, being 60% or more of their filled cells.
+
+    Only cells that may be their column's name are trimmed, and filled cells are counted only in rows with two of them.
+    """
     if not df.columns or df.limit(2).count() < 2:
         return df
-    filled = [(~is_blank(F.col(f"`{c}`")) & (text(F.col(f"`{c}`")) != "nan"), F.lower(ws_trim(F.col(f"`{c}`"))) == c.strip().lower()) for c in df.columns]
     flag = lambda c: F.when(F.coalesce(c, F.lit(False)), 1).otherwise(0)
-    n, same = reduce(add, (flag(f) for f, _ in filled)), reduce(add, (flag(f & m) for f, m in filled))
+    cells = [F.col(f"`{c}`") for c in df.columns]
+    filled = [~is_blank(x) & (text(x) != "nan") for x in cells]
+    named = []
+    for i, (c, x, f) in enumerate(zip(df.columns, cells, filled, strict=True)):
+        name = c.strip().lower()
+        word = not any(ch.isdigit() for ch in name) and name.lstrip("-") not in ("nan", "infinity")
+        if name and not (word and figures(df, i)):
+            named.append(F.contains(F.lower(text(x)), F.lit(name)) & (F.lower(ws_trim(x)) == name) & f)
+    if len(named) < 2:
+        return df
+    n, same = reduce(add, map(flag, filled)), reduce(add, map(flag, named))
     return df.filter(~((same >= 2) & (10 * same >= 6 * n)))
 
 
 def remove_metadata_rows(df: DataFrame) -> DataFrame:
     """Drop rows whose first cell begins with a metadata word."""
-    if not df.columns or df.limit(2).count() < 2:
+    if not df.columns or figures(df, 0) or df.limit(2).count() < 2:
         return df
-    first = F.lower(ws_trim(F.col(f"`{df.columns[0]}`")))
-    return df.filter(~F.coalesce(first.rlike("^(" + "|".join(map(re.escape, METADATA)) + ")"), F.lit(False)))
+    first = F.lower(text(F.col(f"`{df.columns[0]}`")))
+    return df.filter(~F.coalesce(first.rlike(r"(?U)^\s*(" + "|".join(map(re.escape, METADATA)) + ")"), F.lit(False)))
 
 
 def subtotal_columns(names: list[str]) -> list[str]:

@@ -233,6 +233,8 @@ def context_scores(df: DataFrame, column: str, pairs: DataFrame, most: int = CON
 def proposals(df: DataFrame, column: str, order_by: list[str] | None = None, mapping: dict[str, str] | None = None) -> DataFrame:
     """All proposals of one column: value, canonical (null for "missing"), confidence, method, ambiguous; step tells their order."""
     values = value_table(df, column, order_by).persist()
+    if values.limit(VALUES + 1).count() <= VALUES:  # bounded: in one partition, none of the many steps shuffles
+        values = values.coalesce(1).persist()
     canon = canonicals(values).persist()
     sentinel = null_sentinels(values).select("value", F.lit(None).cast("string").alias("canonical"), F.lit(0.99).alias("confidence"), F.lit("null_sentinel").alias("method"), F.lit(False).alias("ambiguous"))
     acr = acronyms(canon)

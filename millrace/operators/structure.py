@@ -13,7 +13,7 @@ from millrace.functions.text import text
 from millrace.operators import embedded
 from millrace.operators.missing import is_numeric, is_temporal, is_text
 from millrace.operators.profile import frequencies
-from millrace.operators.rows import SUBTOTALS, head_rows
+from millrace.operators.rows import SUBTOTALS, figures, head_rows
 from millrace.records import Evidence
 from millrace.stable import stable
 
@@ -67,16 +67,21 @@ class Facts:
     row: dict = field(default_factory=dict)
 
 
-def gather(df: DataFrame) -> Facts:
+def gather(df: DataFrame, unique: dict[str, int] | None = None) -> Facts:
+    """unique: exact distinct counts of some columns, if they are known already."""
+    unique = unique or {}
     f = Facts(df, df.columns, head=head_rows(df, 3), numeric=[c for c in df.columns if is_numeric(df, c)], temporal=[c for c in df.columns if is_temporal(df, c)], texts=[c for c in df.columns if is_text(df, c)])
     exprs = [F.count(F.lit(1)).alias("rows"), F.count(F.when(F.expr(" and ".join(f"`{c}` is null" for c in df.columns)), 1)).alias("empty_rows")]
     exprs += [F.count(F.col(f"`{c}`")).alias(f"n|{c}") for c in df.columns]
     for c in f.numeric[:20]:
         exprs += [F.min(c).cast("double").alias(f"lo|{c}"), F.max(c).cast("double").alias(f"hi|{c}"), F.approx_count_distinct(c).alias(f"d|{c}") if c != df.columns[0] else F.lit(0).alias(f"_|{c}")]
-    exprs.append(F.count(F.when(F.lower(text(F.col(f"`{df.columns[0]}`"))).rlike("|".join(SUBTOTALS)), 1)).alias("subtotal_rows"))
+    subtotal = F.lit(False) if figures(df, 0) else F.lower(text(F.col(f"`{df.columns[0]}`"))).rlike("|".join(SUBTOTALS))
+    exprs.append(F.count(F.when(subtotal, 1)).alias("subtotal_rows"))
     # Distinct values apart: beside other aggregates, each of them would carry the others' buffers (sketches too) through sorts.
-    exact = [F.count_distinct(F.col(f"`{c}`")).alias(f"d|{c}") for c in {df.columns[0], *f.temporal[:2], *f.texts[:1]}]
-    f.row = df.agg(*exprs).first().asDict() | df.agg(*exact).first().asDict()
+    wanted = dict.fromkeys([df.columns[0], *f.temporal[:2], *f.texts[:1]])
+    exact = [F.count_distinct(F.col(f"`{c}`")).alias(f"d|{c}") for c in wanted if c not in unique]
+    f.row = df.agg(*exprs).first().asDict() | {f"d|{c}": unique[c] for c in wanted if c in unique}
+    f.row |= df.agg(*exact).first().asDict() if exact else {}
     f.rows = f.row["rows"]
     return f
 
@@ -276,11 +281,14 @@ class Layout:
     warnings: list[str] = field(default_factory=list)
 
 
-def detect(df: DataFrame) -> Layout:
-    """The best rule's layout from 0.3 on, with a warning where the next one is close; the order of rules breaks ties."""
+def detect(df: DataFrame, unique: dict[str, int] | None = None) -> Layout:
+    """The best rule's layout from 0.3 on, with a warning where the next one is close; the order of rules breaks ties.
+
+    unique: as for gather().
+    """
     if not df.columns or df.isEmpty():
         return Layout("UNKNOWN", 0.0, [])
-    facts = gather(df)
+    facts = gather(df, unique)
     found = sorted((rule(facts) for rule in RULES), key=lambda e: -e.score)
     if found[0].score < THRESHOLD:
         return Layout("UNKNOWN", 0.0, found)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import time
 from dataclasses import dataclass, field
 from typing import Any
@@ -12,10 +13,13 @@ from millrace.errors import PlanError
 from millrace.functions.text import title_case, ws_trim
 from millrace.operators import duplicates, missing, outliers, profile, reshape, rows, structure, types
 from millrace.plans.provider import Provider
-from millrace.plans.repair import Result, repair
+from millrace.plans.repair import Result, State, repair, working_copy
 from millrace.records import Action, Audit
+from millrace.stable import delete
 
 WIDE = ("WIDE_TABLE", "PIVOT_TABLE", "CROSSTAB")
+#: Steps of reshape_stage() that only leave rows out.
+SELECTIONS = {"remove_repeated_headers", "remove_metadata_rows"}
 
 
 @dataclass
@@ -57,12 +61,15 @@ def reshape_stage(df: DataFrame, layout: structure.Layout) -> tuple[DataFrame, l
     return df, done
 
 
-def plan_stage(df: DataFrame) -> list[Action]:
-    """Stage 2: the ordered actions that a table needs; capping outliers always comes last."""
-    n, nulls = rows.null_counts(df)
+def plan_stage(df: DataFrame, state: State | None = None, repeated: int | None = None) -> list[Action]:
+    """Stage 2: the ordered actions that a table needs; capping outliers always comes last.
+
+    state, repeated: rows and nulls, and how many rows repeat an earlier one, if they are counted already.
+    """
+    n, nulls = state or rows.null_counts(df)
     texts = [c for c in df.columns if missing.is_text(df, c)]
     plan = []
-    if duplicates.duplicate_count(df):
+    if duplicates.duplicate_count(df) if repeated is None else repeated:
         plan.append(Action("remove_duplicate_rows"))
     if any(reshape.N.is_unnamed(c) or c.strip() != c for c in df.columns) or len(set(df.columns)) < len(df.columns):
         plan.append(Action("rename_columns"))
@@ -72,7 +79,7 @@ def plan_stage(df: DataFrame) -> list[Action]:
         plan.append(Action("drop_high_missing_columns"))
     if texts:
         plan += [Action("strip_whitespace"), Action("standardize_values"), Action("auto_dtypes")]
-        kinds = types.infer_types(df, [c for c in texts if c in profile.mixed_type_columns(df)])
+        kinds = types.infer_types(df, profile.mixed_type_columns(df))
         for c, kind in kinds.items():
             e = kind.evidence
             if e and e["number"] > 0.8 * e["n"]:
@@ -100,12 +107,23 @@ def gate(actions: list[Action], df: DataFrame) -> list[Action]:
 
 
 def run(df: DataFrame, provider: Provider | None = None) -> Outcome:
-    """Inspect, reshape, plan, repair, inspect again. Actions that a provider proposes replace the plan if any pass the gate."""
+    """Inspect, reshape, plan, repair, inspect again. Actions that a provider proposes replace the plan if any pass the gate.
+
+    The reshaped table is written once, for the plan's counts and the repair. If reshaping only selected rows and left
+    all of them, it is the table that was inspected, and so are its repeated rows.
+    """
     began = time.monotonic()
-    before, layout = profile.inspect(df)["score"], structure.detect(df)
+    seen = profile.inspect(df)
+    before, layout = seen["score"], structure.detect(df, {c: n for c, n in seen["unique"].items() if profile.exact_texts(df, c)})
     shaped, done = reshape_stage(df, layout)
     proposed = gate(provider.propose(shaped), shaped) if provider and provider.configured else []
-    result: Result = repair(shaped, proposed or plan_stage(shaped))
+    copy, state, uri = working_copy(shaped)
+    if uri:
+        atexit.register(delete, df.sparkSession, uri)
+    same = set(done) <= SELECTIONS and state[0] == seen["rows"]
+    result: Result = repair(copy, proposed or plan_stage(shaped, state, seen["duplicates"] if same else None), state)
+    if uri and result.df is not copy:
+        delete(df.sparkSession, uri)
     after = profile.inspect(result.df)["score"]
     out = Outcome(result.df, result.audits, before, after, layout.layout, round(time.monotonic() - began, 2))
     out.summary = [f"Layout: {layout.layout}", *(f"Reshaped: {x}" for x in done), *(f"{a.operation}: {a.rows_before} -> {a.rows_after} rows" for a in result.audits if a.success), f"Quality {before:.2f} -> {after:.2f}"]

@@ -191,17 +191,22 @@ def _asked(action: Action) -> int | None:
     return len(set(action.params.get("rows", []))) if action.operation in ("remove_rows", "remove_rows_and_columns") else None
 
 
+def working_copy(df: DataFrame) -> tuple[DataFrame, State, str | None]:
+    """A table as written in the shared folder, its rows and nulls, counted while it is written, and its folder."""
+    if not df.columns:
+        return df, (df.count(), {}), None
+    observed, seen = _observed(df)
+    table, uri = write_table(observed)
+    return table, _state(df.columns, seen), uri
+
+
 class _Work:
     """The newest committed table, as written, with its counts; older tables are deleted as they are replaced."""
 
     def __init__(self, df: DataFrame, state: State | None) -> None:
         self.df, self.state, self.uri = df, state, None
-        if state is None and df.columns:
-            observed, seen = _observed(df)
-            self.df, self.uri = write_table(observed)
-            self.state = _state(df.columns, seen)
-        elif state is None:
-            self.state = (df.count(), {})
+        if state is None:
+            self.df, self.state, self.uri = working_copy(df)
 
     def attempt(self, actions: list[Action]) -> tuple[list[_Step], DataFrame, str | None]:
         """Plan some actions, one upon the other, and write what they come to in one job."""
