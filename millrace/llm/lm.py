@@ -40,9 +40,11 @@ from millrace.llm.common import map_arrow, map_file, mix, put_file, shared_folde
 #: The hash of a text's end; numbers of an unknown word and of what is before a text. Words are numbered from FIRST.
 END, UNKNOWN, BEGIN, FIRST = np.uint64(1), 0, 1, 2
 #: Tokens that a task combines at a time; tokens to a bucket; tokens scored at a time, and bytes of text read at a time.
-FLUSH, TOKENS_A_BUCKET, SCORE_TOKENS, SCORE_BYTES = 1_000_000, 2_000_000, 500_000, 2 << 20
+FLUSH, TOKENS_A_BUCKET, SCORE_TOKENS, SCORE_BYTES = 1_000_000, 2_000_000, 1_000_000, 4 << 20
 #: Contexts with more n-grams than this have their sums stored; contexts to an entry of a file's table (a power of 2).
 LONG, A_SLOT = 31, 4
+#: Bits that a word's number may have; contexts of a file that are looked up at a time.
+WORD_BITS, AT_A_TIME = 44, 1 << 15
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _ROW = "bucket int, grams binary, stats binary"
 #: Sums of a level: n-grams of values 1 to 4, distinct n-grams, all values.
@@ -125,13 +127,41 @@ def _unpacked(blobs: list[bytes], n_words: int) -> tuple[list[np.ndarray], np.nd
 
 def _combined(words: list[np.ndarray], value: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
     """Distinct n-grams in order, and their values' sums."""
-    order = np.lexsort(words[::-1])
-    words, new = [w[order] for w in words], np.zeros(len(order), bool)
+    order, new = _ordered(words)
+    at = np.flatnonzero(new)
+    first = order[at]
+    return [w[first] for w in words], np.add.reduceat(value[order], at) if len(at) else value[:0]
+
+
+def _ordered(words: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The order of n-grams, and which of them, in order, differ from the one before.
+
+    Each step sorts single 64-bit keys: the place of what the words before make up, and the next word (or two, at first).
+    """
+    wide = [int(w.max()).bit_length() if len(w) else 0 for w in words]
+    order, place, bits = None, words[0], wide[0]
+    for k, word in enumerate([*words[1:], None], 1):
+        if word is not None and bits + wide[k] <= 64:
+            key = (place.astype(np.uint64) << np.uint64(wide[k])) | word.astype(np.uint64)
+            place, bits = key, bits + wide[k]
+            continue
+        order = np.argsort(place)
+        ordered = place[order]
+        new = np.ones(len(order), bool)
+        new[1:] = ordered[1:] != ordered[:-1]
+        if word is None:
+            return order, new
+        place = np.empty(len(order), np.uint64)
+        place[order] = np.cumsum(new) - 1
+        bits = len(order).bit_length()
+        if bits + wide[k] > 64:  # neither does this fit a key
+            break
+        place, bits = (place << np.uint64(wide[k])) | word.astype(np.uint64), bits + wide[k]
+    order, new = np.lexsort(words[::-1]), np.zeros(len(words[0]), bool)
     new[:1] = True
     for w in words:
-        new[1:] |= w[1:] != w[:-1]
-    at = np.flatnonzero(new)
-    return [w[at] for w in words], np.add.reduceat(value[order], at) if len(at) else value[:0]
+        new[1:] |= w[order[1:]] != w[order[:-1]]
+    return order, new
 
 
 def _rows(words: list[np.ndarray], value: np.ndarray, bucket: np.ndarray, stats: tuple[int, np.ndarray] | None = None) -> pa.Table:
@@ -208,9 +238,8 @@ class Words:
             self.files[bucket] = longs[: 8 * n].view(np.uint64), longs[8 * n : 8 * (n + runs)].view(np.int64), longs[8 * (n + runs) :].view(np.int64), [bytes_[n * k : n * (k + 1)] for k in range(width)]
         return self.files[bucket]
 
-    def find(self, hashes: np.ndarray, with_counts: bool = False) -> tuple[np.ndarray, np.ndarray | None]:
-        """Numbers of words (UNKNOWN if there is none) and, if asked for, their counts."""
-        asked, back = np.unique(hashes, return_inverse=True)
+    def find(self, asked: np.ndarray, with_counts: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of distinct words in order (UNKNOWN if there is none) and, if asked for, their counts."""
         number, count = np.zeros(len(asked), np.int64), np.zeros(len(asked), np.int64)
         bucket = _top(asked, self.bits)
         full, at = np.unique(bucket, return_index=True)
@@ -224,7 +253,7 @@ class Words:
             number[i + hit] = FIRST + (rank << self.bits) + b
             if with_counts:
                 count[i + hit] = counts[np.searchsorted(starts, rank, "right") - 1]
-        return number[back], count[back] if with_counts else None
+        return number, count
 
 
 # -- n-grams ---------------------------------------------------------------------------------------------------
@@ -242,7 +271,8 @@ def _count(words: Words, bits: int, order: int) -> Callable:
         for batch in batches:
             for _, _, data, offsets in slices(batch["text"]):
                 word, starts = tokens(data, offsets)
-                number = known.find(word)[0]
+                asked, back = np.unique(word, return_inverse=True)
+                number = known.find(asked)[0][back]
                 parts.append(windows(number.astype(np.uint32) if number.max() < 2**32 else number, starts, order))
                 n += len(word)
                 if n >= FLUSH:
@@ -277,10 +307,9 @@ def _file(bits: int, words: list[np.ndarray], value: np.ndarray) -> list[np.ndar
     long = np.flatnonzero(size > LONG)
     sums = [np.add.reduceat(x, (ends - size)).astype(np.int64)[long] if n else np.zeros(0, np.int64) for x in (value, value == 1, value == 2, value > 2)]
     big = np.flatnonzero(value > 255)
-    planes = _planes(last)
-    kind = np.uint32 if len(value) < 2**32 else np.int64
-    head = np.array([n, len(value), p, len(long), len(big), len(planes), np.dtype(kind).itemsize], np.int64)
-    return [head, long, size[long], *sums, big, value[big], slots.astype(kind), base.astype(kind), low, np.minimum(size, LONG + 1).astype(np.uint8), np.minimum(value, 255).astype(np.uint8), *planes]
+    kind, wide = np.uint32 if len(value) < 2**32 else np.int64, 4 if not n or last.max() < 2**32 else 8
+    head = np.array([n, len(value), p, len(long), len(big), wide, np.dtype(kind).itemsize], np.int64)
+    return [head, long, size[long], *sums, big, value[big], slots.astype(kind), base.astype(kind), low, last.astype(f"<u{wide}"), np.minimum(size, LONG + 1).astype(np.uint8), np.minimum(value, 255).astype(np.uint8)]
 
 
 def _level_file(folder: str, word_bits: int, bits: int, order: int, level: int) -> Callable:
@@ -362,6 +391,13 @@ def _unpack_stats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             yield pa.RecordBatch.from_arrays([pa.array(range(len(values)), pa.int32()), pa.array(values)], ["at", "value"])
 
 
+def _spread(at: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of n places from `at`, side by side: where each begins, and of each place its run and the place itself."""
+    starts = np.cumsum(n) - n
+    who = np.repeat(np.arange(len(n)), n)
+    return starts, who, np.arange(len(who)) + (at - starts)[who]
+
+
 class Contexts:
     """One memory-mapped file of n-grams."""
 
@@ -369,7 +405,7 @@ class Contexts:
         self.bits, self.n = np.uint64(bits), 0
         if not len(raw):
             return
-        self.n, n_grams, self.p, n_long, n_big, width, item = raw[:56].view(np.int64).tolist()
+        self.n, n_grams, self.p, n_long, n_big, wide, item = raw[:56].view(np.int64).tolist()
         at = 56
 
         def next_(n: int, kind: type) -> np.ndarray:
@@ -381,8 +417,8 @@ class Contexts:
         self.big, self.big_value = (next_(n_big, np.int64) for _ in range(2))
         kind = np.uint32 if item == 4 else np.int64
         self.slots, self.base = (next_((1 << self.p) + 1, kind) for _ in range(2))
-        self.low, self.size, self.value = next_(self.n, np.uint32), next_(self.n, np.uint8), next_(n_grams, np.uint8)
-        self.last = [next_(n_grams, np.uint8) for _ in range(width)]
+        self.low, self.last = next_(self.n, np.uint32), next_(n_grams, np.uint32 if wide == 4 else np.uint64)
+        self.size, self.value = next_(self.n, np.uint8), next_(n_grams, np.uint8)
 
     def sizes(self, at: np.ndarray) -> np.ndarray:
         """How many n-grams contexts have."""
@@ -400,57 +436,62 @@ class Contexts:
             value[many[hit]] = self.big_value[place[hit]]
         return value
 
-    def locate(self, key: np.ndarray) -> np.ndarray:
-        """Of contexts by their hashes: first n-gram, number of n-grams, total of the values, how many are 1, 2, more."""
-        out = np.zeros((6, len(key)), np.int64)
-        if not self.n:
-            return out
+    def locate(self, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of distinct contexts by their hashes: which are found; their places, first n-grams and numbers of n-grams."""
         rest = key << self.bits
         slot = (rest >> np.uint64(64 - self.p)).astype(np.int64) if self.p else np.zeros(len(key), np.int64)
         low = ((rest << np.uint64(self.p)) >> np.uint64(32)).astype(np.uint32)
-        at, end, first = self.slots[slot].astype(np.int64), self.slots[slot + 1].astype(np.int64), self.base[slot].astype(np.int64)
-        found, live = np.zeros(len(key), bool), np.flatnonzero(at < end)
-        while len(live):
-            here = at[live]
-            hit = self.low[here] == low[live]
-            found[live[hit]] = True
-            live, here = live[~hit], here[~hit]
-            first[live] += self.sizes(here)
-            at[live] = here + 1
-            live = live[here + 1 < end[live]]
-        hits = np.flatnonzero(found)
-        at, first = at[hits], first[hits]
-        size = self.sizes(at)
-        out[0, hits], out[1, hits] = first, size
-        many = np.flatnonzero(size > LONG)
-        for k in range(4):
-            out[k + 2, hits[many]] = self.sums[k + 1][np.searchsorted(self.long, at[many])]
-        live, k = np.flatnonzero(size <= LONG), 0
-        while len(live):
-            value, here = self.values(first[live] + k), hits[live]
-            out[2, here] += value
-            for j, test in enumerate((value == 1, value == 2, value > 2), 3):
-                out[j, here] += test
-            k += 1
-            live = live[size[live] > k]
-        return out
+        at = self.slots[slot].astype(np.int64)
+        # All contexts of the keys' slots, one slot after the other, and the n-grams before each of them.
+        starts, who, here = _spread(at, self.slots[slot + 1] - at)
+        hit = np.flatnonzero(self.low[here] == low[who])
+        found = who[hit]
+        if len(found) > 1 and not (once := np.append(True, found[1:] != found[:-1])).all():
+            hit, found = hit[once], found[once]
+        size = self.sizes(here)
+        ends = np.cumsum(size)
+        before = ends[hit] - size[hit] - np.where(starts[found] > 0, ends[starts[found] - 1], 0)
+        return found, here[hit], self.base[slot[found]].astype(np.int64) + before, size[hit]
+
+    def find(self, key: np.ndarray, asked: np.ndarray, ends: np.ndarray, d: list[float]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Values of words that are asked for in distinct contexts, 0 for those that never follow; and of the contexts their
+        totals (0 for unknown ones) and the shares of these that discounts leave. The words of key[i] end at ends[i]."""
+        value, total, rest = np.zeros(len(asked), np.int64), np.zeros(len(key)), np.ones(len(key))
+        if not self.n:
+            return value, total, rest
+        found, at, first, size = self.locate(key)
+        begins = np.append(0, ends[:-1])
+        long = size > LONG
+        for many in (False, True):
+            some = np.flatnonzero(long == many)
+            if not len(some):
+                continue
+            which, n = found[some], size[some]
+            _, who, words = _spread(begins[which], ends[which] - begins[which])
+            if many:
+                place = np.searchsorted(self.long, at[some])
+                sum_, n1, n2 = (x[place] for x in self.sums[1:4])
+                value[words] = self.search(first[some][who], n[who], asked[words])
+            else:  # few n-grams each: all of them are taken, one context after the other
+                starts, of, grams = _spread(first[some], n)
+                v = self.values(grams)
+                sum_, n1, n2 = (np.add.reduceat(x, starts, dtype=np.int64) for x in (v, v == 1, v == 2))
+                keys = (of << WORD_BITS) | self.last[grams].astype(np.int64)
+                wanted = (who << WORD_BITS) | asked[words]
+                place = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+                value[words] = np.where(keys[place] == wanted, v[place], 0)
+            total[which] = sum_
+            rest[which] = (d[0] * n1 + d[1] * n2 + d[2] * (n - n1 - n2)) / sum_
+        return value, total, rest
 
     def search(self, first: np.ndarray, size: np.ndarray, word: np.ndarray) -> np.ndarray:
         """Values of words in contexts that begin at `first`; 0 for words that never follow."""
-        out, lo, hi = np.zeros(len(word), np.int64), first.copy(), first + size
-        if not self.n:
-            return out
-        live = np.flatnonzero(size > 1)
-        while len(live):  # binary search among the context's last words
-            mid = (lo[live] + hi[live]) >> 1
-            less = _take(self.last, mid) < word[live]
-            lo[live[less]] = mid[less] + 1
-            hi[live[~less]] = mid[~less]
-            live = live[lo[live] < hi[live]]
-        inside = np.flatnonzero(lo < first + size)
-        inside = inside[_take(self.last, lo[inside]) == word[inside]]
-        out[inside] = self.values(lo[inside])
-        return out
+        at, n = first.copy(), size.copy()
+        for _ in range(int(size.max()).bit_length()):  # the last one that isn't beyond the word: among n from `at`
+            half = n >> 1
+            at += half * (self.last[at + half] <= word)
+            n -= half
+        return np.where(self.last[at] == word, self.values(at), 0)
 
 
 class Reader:
@@ -461,9 +502,7 @@ class Reader:
 
     def continuations(self, number: np.ndarray) -> np.ndarray:
         """How many different words precede each word."""
-        out = np.zeros(len(number), np.int64)
-        asked, back = np.unique(number, return_inverse=True)
-        asked = asked.astype(np.int64) - FIRST
+        asked = number - FIRST
         bucket = asked & ((1 << self.model.word_bits) - 1)
         value = np.zeros(len(asked), np.int64)
         for b in np.unique(bucket[asked >= 0]).tolist():
@@ -475,11 +514,10 @@ class Reader:
             at = np.flatnonzero((bucket == b) & (asked >= 0) & (asked >> self.model.word_bits < n))
             if len(at):
                 value[at] = _take(planes, asked[at] >> self.model.word_bits)
-        out[:] = value[back]
-        return out
+        return value
 
-    def find(self, context: list[np.ndarray], word: np.ndarray) -> np.ndarray:
-        """(value of context and word; the context's total and how many values are 1, 2, more); zeros for unknown ones."""
+    def find(self, context: list[np.ndarray], word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Values of words after contexts, the contexts' totals, and the shares that discounts leave; 0, 0, 1 for unknown ones."""
         level, m = len(context) + 1, self.model
         known = np.flatnonzero(np.all([w != UNKNOWN for w in context], axis=0))
         key = context_hash([w[known] for w in context])
@@ -488,42 +526,41 @@ class Reader:
         new = np.ones(len(key), bool)
         new[1:] = key[1:] != key[:-1]
         first, which, asked = np.flatnonzero(new), np.cumsum(new) - 1, word[known]
-        full, at = np.unique(_top(key[first], m.bits), return_index=True)
-        ends = [*at[1:].tolist(), len(first)]
-        found, value, begins = np.empty((6, len(first)), np.int64), np.empty(len(key), np.int64), np.append(first, len(key))
-        for b, i, j in zip(full.tolist(), at.tolist(), ends, strict=True):
+        key, begins = key[first], np.append(first, len(key))
+        full, at = np.unique(_top(key, m.bits), return_index=True)
+        value, total, rest = np.empty(len(asked), np.int64), np.empty(len(key)), np.empty(len(key))
+        for b, low, high in zip(full.tolist(), at.tolist(), [*at[1:].tolist(), len(key)], strict=True):
             if (level, b) not in self.files:
                 self.files[level, b] = Contexts(map_file(f"{m.folder}/grams{level}-{b:06d}"), m.bits)
-            found[:, i:j] = self.files[level, b].locate(key[first[i:j]])
-            x, y = begins[i], begins[j]
-            value[x:y] = self.files[level, b].search(found[0, which[x:y]], found[1, which[x:y]], asked[x:y])
-        out = np.zeros((5, len(word)), np.int64)
-        out[0, known] = value
-        for k in range(4):
-            out[k + 1, known] = found[k + 2, which]
+            for i in range(low, high, AT_A_TIME):
+                j = min(high, i + AT_A_TIME)
+                x, y = begins[i], begins[j]
+                value[x:y], total[i:j], rest[i:j] = self.files[level, b].find(key[i:j], asked[x:y], begins[i + 1 : j + 1] - x, m.discounts[level - 1])
+        out = np.zeros(len(word), np.int64), np.zeros(len(word)), np.ones(len(word))
+        out[0][known], out[1][known], out[2][known] = value, total[which], rest[which]
         return out
 
     def score(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
         """(n_tokens, n_known, base_score, score) of texts."""
         m = self.model
         hashes, starts = tokens(data, offsets)
-        number, count = self.words.find(hashes, with_counts=True)
-        grams = windows(number, starts, m.order)
-        take = lambda n, d: np.choose(np.minimum(n, 3), [0.0, *d])  # noqa: E731  the discount of a value
-        logs = np.zeros(len(number))
-        for i in range(0, len(number) if m.tokens else 0, SCORE_TOKENS):
+        asked, back = np.unique(hashes, return_inverse=True)
+        number, count = self.words.find(asked, with_counts=True)
+        take = lambda n, d: np.array([0.0, *d])[np.minimum(n, 3)]  # noqa: E731  the discount of a value
+        logs, base = np.zeros(len(back)), np.log10((count + 0.5) / (m.tokens + 0.5 * (m.types + 1)))[back]
+        if m.tokens:
+            before = self.continuations(number)
+            single = (before - take(before, m.discounts[0])) / m.bigrams + m.word_rest / (m.types + 1)
+            grams = windows(number[back], starts, m.order)
+        for i in range(0, len(back) if m.tokens else 0, SCORE_TOKENS):
             part = [w[i : i + SCORE_TOKENS] for w in grams]
-            before = self.continuations(part[-1])
-            p = (before - take(before, m.discounts[0])) / m.bigrams + m.word_rest / (m.types + 1)
+            p = single[back[i : i + SCORE_TOKENS]]
             for level in range(2, m.order + 1):
-                value, total, n1, n2, n3 = self.find(part[m.order - level : -1], part[-1])
-                d = m.discounts[level - 1]
-                rest = np.where(total > 0, (d[0] * n1 + d[1] * n2 + d[2] * n3) / np.maximum(total, 1), 1.0)
-                p = (value - take(value, d)) / np.maximum(total, 1) + rest * p
+                value, total, rest = self.find(part[m.order - level : -1], part[-1])
+                p = (value - take(value, m.discounts[level - 1])) / np.maximum(total, 1) + rest * p
             logs[i : i + SCORE_TOKENS] = np.log10(p)
-        base = np.log10((count + 0.5) / (m.tokens + 0.5 * (m.types + 1)))
         sums = lambda x: np.add.reduceat(x, starts)
-        return np.diff(np.append(starts, len(number))), sums((count > 0).astype(np.int64)), sums(base), sums(logs)
+        return np.diff(np.append(starts, len(back))), sums((count > 0).astype(np.int64)[back]), sums(base), sums(logs)
 
 
 def _score(model: Model) -> Callable:
