@@ -12,7 +12,7 @@ from typing import Any
 from pyspark import inheritable_thread_target
 from pyspark.ml import Estimator, Pipeline, PipelineModel
 from pyspark.ml.classification import DecisionTreeClassifier, GBTClassifier, LogisticRegression, OneVsRest, RandomForestClassifier
-from pyspark.ml.evaluation import BinaryClassificationEvaluator, MulticlassClassificationEvaluator, RegressionEvaluator
+from pyspark.ml.evaluation import BinaryClassificationEvaluator, MulticlassClassificationEvaluator
 from pyspark.ml.feature import IDF, CountVectorizer, Imputer, Normalizer, OneHotEncoder, RegexTokenizer, SQLTransformer, StandardScaler, StopWordsRemover, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, LinearRegression, RandomForestRegressor
@@ -26,13 +26,13 @@ from millrace.operators.profile import distinct_counts
 from millrace.operators.rows import null_counts
 from millrace.operators.types import text_evidence
 from millrace.plans import boosting
-from millrace.stable import shared_folder
+from millrace.stable import shared_folder, written
 
 # Names of likely targets.
 TARGETS = ["target", "label", "price", "churn", "salary", "revenue", "class", "outcome", "survived", "status", "score"]
 REFERENCE_DAY = "2025-01-01"
-#: Fits that run at a time: each is many small jobs, one after another.
-AT_A_TIME = 6
+#: Fits that run at a time: each is many small jobs, one after another, whose plans the driver holds.
+AT_A_TIME = 3
 #: Rows to a partition while models are fitted: each fit runs many jobs over them, each with a task for a partition.
 ROWS_A_PART = 20_000
 
@@ -267,11 +267,16 @@ def candidates(task: str, trees: int = 100, weighted: bool = False) -> dict[str,
 
 
 def evaluate(scored: DataFrame, task: str, only: str | None = None) -> dict[str, float]:
-    """All metrics, or one alone (r2 or accuracy): each reads the predictions anew."""
-    if only:
-        return {only: (RegressionEvaluator if task == "regression" else MulticlassClassificationEvaluator)(metricName=only).evaluate(scored)}
+    """All metrics, or one alone (r2 or accuracy). Classes' metrics read the predictions anew for each, numbers' read them once."""
     if task == "regression":
-        return {m: RegressionEvaluator(metricName=m).evaluate(scored) for m in ("r2", "rmse", "mae")}
+        y, off = F.col("label"), F.col("label") - F.col("prediction")
+        n, spread, squares, absolute = scored.agg(F.count(y), F.var_pop(y), F.avg(off * off), F.avg(F.abs(off))).first()
+        if not n:
+            raise ValueError("no rows to measure on")
+        out = {"r2": 1 - squares / spread if spread else math.nan, "rmse": math.sqrt(squares), "mae": absolute}
+        return {only: out[only]} if only else out
+    if only:
+        return {only: MulticlassClassificationEvaluator(metricName=only).evaluate(scored)}
     of = lambda m, **kw: MulticlassClassificationEvaluator(metricName=m, **kw).evaluate(scored)
     present = [r[0] for r in scored.select("label").distinct().collect()]  # one number a class
     out = {"accuracy": of("accuracy"), "f1": of("f1"), "precision": of("weightedPrecision"), "recall": of("weightedRecall"), "balanced_accuracy": sum(of("recallByLabel", metricLabel=x) for x in present) / max(len(present), 1)}
@@ -305,6 +310,7 @@ def train(df: DataFrame, target: str, key: str, trees: int = 100, folds: int = 5
         raise ValueError(quality["reason"])
     df = df.filter(F.col(target).isNotNull())
     task, roles = task_type(df, target), feature_roles(df.drop(key) if key != target else df, target)
+    _collect_garbage(df)
     work, warnings, labels = _numbers(df, roles), [], []
     if task == "regression":
         work = work.withColumn("label", F.col(target).cast("double"))
@@ -325,80 +331,87 @@ def train(df: DataFrame, target: str, key: str, trees: int = 100, folds: int = 5
     # Folds are dealt once, by class if the split is, and shared by all candidates.
     learning = parted.filter("not is_test")
     learning = assign_folds(learning, key, "label" if stratified else None, folds, name="__fold") if folds > 1 else learning
-    # Partitions follow the rows, not the shuffle's setting. Boosting checkpoints its residuals where there is a folder for it.
+    # Both sides are written: the hundred and more plans of the fits would each hold the ranking of rows.
     shared_folder(df.sparkSession)
-    packed = lambda x: x.repartition(max(1, math.ceil(quality["valid_count"] / ROWS_A_PART)), key).persist()
-    fit_rows, test_rows = packed(learning), packed(parted.filter("is_test"))
-    primary = "r2" if task == "regression" else "f1" if weighted else "accuracy" if task.startswith("binary") else "balanced_accuracy"
-    board, models = [], {}
-    if task == "regression":
-        mean = fit_rows.agg(F.avg("label")).first()[0]
-        board.append(Candidate("baseline", True, evaluate(test_rows.withColumn("prediction", F.lit(float(mean))), task)))
-    else:
-        top = fit_rows.groupBy("label").count().orderBy(F.desc("count"), "label").first()[0]
-        board.append(Candidate("baseline", True, evaluate(test_rows.withColumn("prediction", F.lit(float(top))), task)))
-    # A preprocessor for the learning rows (-1) and one without each fold, which all candidates share.
-    parts = range(-1, folds if folds > 1 else 0)
-    without = lambda k: fit_rows if k < 0 else fit_rows.filter(F.col("__fold") != k)
-    prepared = _together(df, {k: (lambda k=k: Pipeline(stages=[x.copy() for x in stages]).fit(without(k))) for k in parts})
-    if isinstance(prepared[-1], Exception):
-        raise prepared[-1]
-    ready, tested = prepared[-1].transform(fit_rows), prepared[-1].transform(test_rows)
-    chosen = {k: e for k, e in candidates(task, trees, weighted).items() if not only or k in only}
-    boosted = {k: e for k, e in chosen.items() if isinstance(e, GBTRegressor)}
-
-    def fit(name: str) -> tuple[Any, Candidate]:
-        began = time.monotonic()
-        model = chosen[name].copy().fit(ready)
-        return model, Candidate(name, False, evaluate(model.transform(tested), task), seconds=round(time.monotonic() - began, 3))
-
-    def fold(name: str, k: int) -> float:
-        if isinstance(prepared[k], Exception):
-            raise prepared[k]
-        return cross_validate(fit_rows, prepared[k].stages, chosen[name], task, k)
-
-    def boost() -> dict[str, tuple[Any, Candidate]]:
-        """All boosting, of all folds, at once: the seconds are those of all."""
-        began = time.monotonic()
-        if error := next((x for x in prepared.values() if isinstance(x, Exception)), None):
-            raise error
-        order = F.xxhash64(key).alias("key")
-        tables = {k: prepared[k].transform(fit_rows).select("features", "label", (F.col("__fold") == k if k >= 0 else F.lit(False)).alias("held"), order) for k in parts}
-        tables[-1] = tables[-1].union(tested.select("features", "label", F.lit(True).alias("held"), order))
-        rows = {k: quality["valid_count"] * (0.8 if k >= 0 else 1) for k in parts}
-        fits = boosting.boost(tables, boosted, rows)
-        spent = round(time.monotonic() - began, 3)
-        return {n: (fits[n, -1], Candidate(n, False, fits[n, -1].metrics, [fits[n, k].metrics["r2"] for k in parts if k >= 0], spent)) for n in boosted}
-
-    tasks: dict[Any, Callable] = {"boosted": boost} if boosted else {}
-    tasks |= {(name, k): (lambda name=name, k=k: fit(name) if k < 0 else fold(name, k)) for name in chosen if name not in boosted for k in parts}
-    done = _together(df, tasks)
-    for name in chosen:
-        if name in boosted:
-            got = [done["boosted"]] if isinstance(done["boosted"], Exception) else [done["boosted"][name]]
-        else:
-            got = [done[name, k] for k in parts]
-        error = next((x for x in got if isinstance(x, Exception)), None)
-        if error:
-            board.append(Candidate(name, False, {}, error=str(error)[:200]))
+    with written(learning) as learning, written(parted.filter("is_test")) as tested:
+        # Partitions follow the rows, not the shuffle's setting. Classifiers' boosting checkpoints where there is a folder for it.
+        packed = lambda x: x.repartition(max(1, math.ceil(quality["valid_count"] / ROWS_A_PART)), key).persist()
+        fit_rows, test_rows = packed(learning), packed(tested)
+        primary = "r2" if task == "regression" else "f1" if weighted else "accuracy" if task.startswith("binary") else "balanced_accuracy"
+        board, models = [], {}
+        if task == "regression":
+            mean = fit_rows.agg(F.avg("label")).first()[0]
+            board.append(Candidate("baseline", True, evaluate(test_rows.withColumn("prediction", F.lit(float(mean))), task)))
         else:
-            models[name], c = got[0]
-            c.cross_validation += got[1:]
-            board.append(c)
-    value = lambda c: c.metrics.get(primary, -math.inf)
-    board.sort(key=lambda c: (c.baseline, -value(c)))
-    best = board[0]
-    if value(best) <= value(next(c for c in board if c.baseline)) + 0.02:
-        warnings.append("weak signal: hardly better than the baseline")
-    model = models.get(best.name)
-    model = boosting.spark_model(model) if isinstance(model, boosting.Fit) else model
-    boosting.forget(x for x in models.values() if isinstance(x, boosting.Fit))
-    full = PipelineModel([*prepared[-1].stages, model]) if model else None
-    scored = full.transform(test_rows) if full else test_rows
-    out = Trained(task, target, primary, board, best.name, full, importances(full, scored) if full else [], warnings, labels)
-    fit_rows.unpersist()
-    test_rows.unpersist()
-    return out
+            top = fit_rows.groupBy("label").count().orderBy(F.desc("count"), "label").first()[0]
+            board.append(Candidate("baseline", True, evaluate(test_rows.withColumn("prediction", F.lit(float(top))), task)))
+        # A preprocessor for the learning rows (-1) and one without each fold, which all candidates share.
+        parts = range(-1, folds if folds > 1 else 0)
+        without = lambda k: fit_rows if k < 0 else fit_rows.filter(F.col("__fold") != k)
+        prepared = _together(df, {k: (lambda k=k: Pipeline(stages=[x.copy() for x in stages]).fit(without(k))) for k in parts})
+        if isinstance(prepared[-1], Exception):
+            raise prepared[-1]
+        ready, ready_tests = prepared[-1].transform(fit_rows), prepared[-1].transform(test_rows)
+        chosen = {k: e for k, e in candidates(task, trees, weighted).items() if not only or k in only}
+        boosted = {k: e for k, e in chosen.items() if isinstance(e, GBTRegressor)}
+
+        def fit(name: str) -> tuple[Any, Candidate]:
+            began = time.monotonic()
+            model = chosen[name].copy().fit(ready)
+            return model, Candidate(name, False, evaluate(model.transform(ready_tests), task), seconds=round(time.monotonic() - began, 3))
+
+        def fold(name: str, k: int) -> float:
+            if isinstance(prepared[k], Exception):
+                raise prepared[k]
+            return cross_validate(fit_rows, prepared[k].stages, chosen[name], task, k)
+
+        def boost() -> dict[str, tuple[Any, Candidate]]:
+            """All boosting, of all folds, at once: the seconds are those of all."""
+            began = time.monotonic()
+            if error := next((x for x in prepared.values() if isinstance(x, Exception)), None):
+                raise error
+            order = F.xxhash64(key).alias("key")
+            tables = {k: prepared[k].transform(fit_rows).select("features", "label", (F.col("__fold") == k if k >= 0 else F.lit(False)).alias("held"), order) for k in parts}
+            tables[-1] = tables[-1].union(ready_tests.select("features", "label", F.lit(True).alias("held"), order))
+            rows = {k: quality["valid_count"] * (0.8 if k >= 0 else 1) for k in parts}
+            fits = boosting.boost(tables, boosted, rows)
+            spent = round(time.monotonic() - began, 3)
+            return {n: (fits[n, -1], Candidate(n, False, fits[n, -1].metrics, [fits[n, k].metrics["r2"] for k in parts if k >= 0], spent)) for n in boosted}
+
+        tasks: dict[Any, Callable] = {"boosted": boost} if boosted else {}
+        tasks |= {(name, k): (lambda name=name, k=k: fit(name) if k < 0 else fold(name, k)) for name in chosen if name not in boosted for k in parts}
+        done = _together(df, tasks)
+        for name in chosen:
+            if name in boosted:
+                got = [done["boosted"]] if isinstance(done["boosted"], Exception) else [done["boosted"][name]]
+            else:
+                got = [done[name, k] for k in parts]
+            error = next((x for x in got if isinstance(x, Exception)), None)
+            if error:
+                board.append(Candidate(name, False, {}, error=str(error)[:200]))
+            else:
+                models[name], c = got[0]
+                c.cross_validation += got[1:]
+                board.append(c)
+        value = lambda c: c.metrics.get(primary, -math.inf)
+        board.sort(key=lambda c: (c.baseline, -value(c)))
+        best = board[0]
+        if value(best) <= value(next(c for c in board if c.baseline)) + 0.02:
+            warnings.append("weak signal: hardly better than the baseline")
+        model = models.get(best.name)
+        model = boosting.spark_model(model) if isinstance(model, boosting.Fit) else model
+        boosting.forget(x for x in models.values() if isinstance(x, boosting.Fit))
+        full = PipelineModel([*prepared[-1].stages, model]) if model else None
+        scored = full.transform(test_rows) if full else test_rows
+        out = Trained(task, target, primary, board, best.name, full, importances(full, scored) if full else [], warnings, labels)
+        fit_rows.unpersist()
+        test_rows.unpersist()
+        return out
+
+
+def _collect_garbage(df: DataFrame) -> None:
+    """Ended fits' plans leave the driver, and with them their broadcasts and shuffle files go: else its heap grows first."""
+    df.sparkSession._jvm.System.gc()
 
 
 def _together(df: DataFrame, tasks: dict[Any, Callable]) -> dict[Any, Any]:
@@ -409,6 +422,8 @@ def _together(df: DataFrame, tasks: dict[Any, Callable]) -> dict[Any, Any]:
             return f()
         except Exception as e:
             return e
+        finally:
+            _collect_garbage(df)
 
     with ThreadPool(AT_A_TIME) as pool:
         return dict(zip(tasks, pool.map(inheritable_thread_target(df.sparkSession)(run), tasks.values(), chunksize=1), strict=True))

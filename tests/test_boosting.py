@@ -58,3 +58,18 @@ def test_boosting_takes_few_jobs(spark):
     # The model that is kept is the one that was measured, and new rows go through it.
     work = trained.model.transform(ml.split(df.withColumn("label", F.col("y")), "id").filter("is_test"))
     assert abs(RegressionEvaluator(metricName="r2").evaluate(work) - trained.leaderboard[0].metrics["r2"]) < 1e-9
+
+
+def test_numbers_are_measured_as_spark_does(spark):
+    scored = spark.createDataFrame([(1e6 + i % 7, 1e6 + i % 5) for i in range(50)], "label double, prediction double")
+    got = ml.evaluate(scored, "regression")
+    assert all(abs(v - RegressionEvaluator(metricName=m).evaluate(scored)) < 1e-9 for m, v in got.items()) and set(got) == {"r2", "rmse", "mae"}
+    assert ml.evaluate(scored, "regression", "r2") == {"r2": got["r2"]}
+
+
+def test_plans_of_fits_do_not_hold_the_ranking_of_rows(spark, monkeypatch):
+    plans = []
+    monkeypatch.setattr(ml, "cross_validate", lambda placed, *_: float(plans.append(placed._jdf.queryExecution().optimizedPlan().toString()) or 0))
+    df = spark.range(200).select("id", (F.col("id") % 7).cast("double").alias("x"), (F.col("id") % 90 * 1.5).alias("y"))
+    ml.train(df, "y", "id", folds=2, only=["ridge"])
+    assert len(plans) == 2 and not [x for x in plans if "Window" in x]
