@@ -32,7 +32,7 @@ from millrace.stable import shared_folder, written
 TARGETS = ["target", "label", "price", "churn", "salary", "revenue", "class", "outcome", "survived", "status", "score"]
 REFERENCE_DAY = "2025-01-01"
 #: Fits that run at a time: each is many small jobs, one after another, whose plans the driver holds.
-AT_A_TIME = 2
+AT_A_TIME = 3
 #: Rows to a partition while models are fitted: each fit runs many jobs over them, each with a task for a partition.
 ROWS_A_PART = 20_000
 
@@ -351,8 +351,7 @@ def train(df: DataFrame, target: str, key: str, trees: int = 100, folds: int = 5
         prepared = _together(df, {k: (lambda k=k: Pipeline(stages=[x.copy() for x in stages]).fit(without(k))) for k in parts})
         if isinstance(prepared[-1], Exception):
             raise prepared[-1]
-        transformed = {k: x.transform(fit_rows) for k, x in prepared.items() if not isinstance(x, Exception)}
-        ready, ready_tests = transformed[-1], prepared[-1].transform(test_rows)
+        ready, ready_tests = prepared[-1].transform(fit_rows), prepared[-1].transform(test_rows)
         chosen = {k: e for k, e in candidates(task, trees, weighted).items() if not only or k in only}
         boosted = {k: e for k, e in chosen.items() if isinstance(e, GBTRegressor)}
 
@@ -364,7 +363,7 @@ def train(df: DataFrame, target: str, key: str, trees: int = 100, folds: int = 5
         def fold(name: str, k: int) -> float:
             if isinstance(prepared[k], Exception):
                 raise prepared[k]
-            return cross_validate(transformed[k], [], chosen[name], task, k)
+            return cross_validate(fit_rows, prepared[k].stages, chosen[name], task, k)
 
         def boost() -> dict[str, tuple[Any, Candidate]]:
             """All boosting, of all folds, at once: the seconds are those of all."""
@@ -372,7 +371,7 @@ def train(df: DataFrame, target: str, key: str, trees: int = 100, folds: int = 5
             if error := next((x for x in prepared.values() if isinstance(x, Exception)), None):
                 raise error
             order = F.xxhash64(key).alias("key")
-            tables = {k: transformed[k].select("features", "label", (F.col("__fold") == k if k >= 0 else F.lit(False)).alias("held"), order) for k in parts}
+            tables = {k: prepared[k].transform(fit_rows).select("features", "label", (F.col("__fold") == k if k >= 0 else F.lit(False)).alias("held"), order) for k in parts}
             tables[-1] = tables[-1].union(ready_tests.select("features", "label", F.lit(True).alias("held"), order))
             rows = {k: quality["valid_count"] * (0.8 if k >= 0 else 1) for k in parts}
             fits = boosting.boost(tables, boosted, rows)
@@ -411,7 +410,7 @@ def train(df: DataFrame, target: str, key: str, trees: int = 100, folds: int = 5
 
 
 def _collect_garbage(df: DataFrame) -> None:
-    """Ended fits' plans leave the driver, and with them their broadcasts and shuffle files go: else its heap grows first."""
+    """Broadcasts and shuffle files of ended fits go when the driver's JVM collects its garbage."""
     df.sparkSession._jvm.System.gc()
 
 
